@@ -8,9 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import bpe_codec, token_counts, token_store
+from fundflow.llm import bpe_codec, line_dedup, quality_rules, token_counts, token_store
+from fundflow.llm.common import only
 from fundflow.shipping import ship
 
+#: op1: a line key of this many documents loses all its lines.
+MIN_DOCS = 10
+#: op4: the policy that decides.
+POLICY = "v2"
 #: op6: documents of more tokens are over the limit.
 TOKEN_LIMIT = 4096
 #: op5: closes each document.
@@ -21,6 +26,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, MIN_DOCS)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_rules.ledger(only(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality_rules.fails(quality_rules.BASE).alias("base_failed"),
+        (~quality_rules.fails(quality_rules.POLICIES[POLICY])).alias("kept"),
+        "failure_bits",
+    )
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -36,11 +57,50 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op5_token_store": op5_token_store,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_codec": op7_bpe_codec,
     }
 
 
+#: DuckDB: words of a text t.
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+_TRIMMED = "trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP1_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, l.line, l.pos, translate({_TRIMMED.replace("line", "l.line")}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(list_zip(ls, range(1, len(ls) + 1))) AS z FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) x,
+  LATERAL (SELECT z[1] AS line, z[2] AS pos) l),
+gone AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN gone g USING (key) GROUP BY doc_id
+"""
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_WORDS} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, key) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+pair AS (SELECT doc_id, count(*) FILTER (WHERE a = b) AS n FROM (SELECT doc_id, unnest(ws[2:]) AS a, unnest(ws[:len(ws) - 1]) AS b FROM w WHERE len(ws) > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(list_aggregate(list_append(ws, ''), 'string_agg', '')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(pair.n, 0) AS n_stutter, length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN pair USING (doc_id)),
+b AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality_rules.RULES.values()))} AS bits FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, (bits & {quality_rules.mask(*quality_rules.BASE)}) <> 0 AS base_failed,
+  (bits & {quality_rules.mask(*quality_rules.POLICIES[POLICY])}) = 0 AS kept, bits::BIGINT AS failure_bits
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": OP1_SQL,
+        "op4_quality_rules": OP4_SQL,
+    }
