@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import bpe_codec, line_dedup, quality_rules, token_counts, token_store
+from fundflow.llm import bpe_codec, chat_format, decontaminate, language_id, line_dedup, quality_rules, token_counts, token_store
 from fundflow.llm.common import only
 from fundflow.shipping import ship
 
@@ -32,6 +32,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = only(_table(spark, sf_dir, "conversations"), *extra.columns).unionByName(extra)
+    return chat_format.digests(chat_format.format_log(chat_format.log_of(conversations)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(only(_table(spark, sf_dir, "documents"), "doc_id", "text"))
     return entries.select(
@@ -55,13 +62,24 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False, decoded=False, digests=True)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_chat_format": op3_chat_format,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_store": op5_token_store,
         "op6_token_counts": op6_token_counts,
         "op7_bpe_codec": op7_bpe_codec,
+        "op8_language_id": op8_language_id,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
@@ -99,8 +117,24 @@ FROM b
 """
 
 
+_ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '#', chr(92) || '#'), '</', '<' || chr(92) || '/')"
+
+OP3_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(replace({_ESCAPED.format("role")}, ':', chr(92) || ':')) + 2 + length({_ESCAPED.format("text")}) + 8)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op3_chat_format": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
     }
