@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import bpe_codec, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, token_counts, token_store
+from fundflow.llm import bpe_codec, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, token_counts, token_store
 from fundflow.llm.common import only
 from fundflow.shipping import ship
 
@@ -70,6 +70,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_language_id": op8_language_id,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
 
