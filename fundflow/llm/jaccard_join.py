@@ -302,3 +302,14 @@ def _shared_ids(rows: DataFrame, of: DataFrame) -> DataFrame:
     mine = rows.join(several, "doc_id", "left_semi").join(of, "node").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.collect_set("component_id").alias("all"))
     roots = components(mine.select("a", F.explode("all").alias("b"))).toDF("component_id", "root")
     return of.join(roots, "component_id", "left").select("node", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that of the least doc_id
+    (of rows that share it, one)."""
+    found = stored(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
+    again = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(again.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id"])
