@@ -1,23 +1,29 @@
 """Near-duplicate documents: an exact Jaccard join of sets of word n-grams.
 
-1. Every document's set of n-gram hashes is written once (``sets``), with a
-   digest of the whole set; equal sets are one class and one node from here.
-2. Tokens are ranked by how often they occur (counted in a fixed number of
-   buckets over all documents), then by hash. Sets that link share a token
-   among the rarest fifth of either, so only nodes that share such a token
-   with another node go on (``candidates``).
-3. Nodes with the same least token under a fixed permutation are joined by a
-   signature tree (signature_tree); so are, under three more permutations,
-   nodes of blocks that are not one class yet. This finds nearly all links.
-4. The rest, exactly: where two classes still share a rare token, the trees of
-   the two classes are traversed against each other.
+Sets are never stored whole for all documents; they are cheap to compute and
+each pass over the texts computes them anew.
+
+1. The first pass writes a narrow table: per document the size, a digest of
+   the whole set (equal sets are one *node* from here) and four least tokens;
+   and per task how many sets have a token of each of a fixed number of
+   buckets.
+2. Tokens are ranked by their bucket's count over all documents, then by hash.
+   Two sets that link share at least ``need`` tokens among the rarest fifth
+   (and a few more) of either. The second pass lists these rare tokens; only
+   nodes that share enough of them with others are *candidates*.
+3. The third pass writes the candidates' sets. Those with the same least token
+   under a fixed permutation are joined by a signature tree (signature_tree);
+   so are, under three more permutations, those of blocks that are not one
+   class yet. This finds nearly all links.
+4. The rest, exactly: where two classes still share enough rare tokens, the
+   trees of the two classes are traversed against each other.
 
 Groups of any size are dealt out in chunks of :data:`CHUNK` sets, so no task
 holds more than two chunks of one; the links between chunks are found in steps
-3 and 4. Nothing is sampled, capped or sent to the driver but the buckets
-(4 MB) and a filter of candidates (1 MB).
+3 and 4. Nothing is sampled or capped, and the driver gets no more than the
+counts of the buckets (8 MB) and a filter of candidates (1 MB).
 
-Sets are compared by 64-bit hashes of n-grams, classes by 64-bit digests.
+Sets are compared by 64-bit hashes of n-grams, nodes by 64-bit digests.
 
 Defined results: a text without words has an empty set, links with nothing and
 is its own component; a text shorter than an n-gram is one n-gram; rows of one
@@ -31,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.llm.common import only, partitions, stored
@@ -41,13 +47,16 @@ from fundflow.llm.words import Texts, Words, batches, mixed
 
 N_GRAM = 5
 CHUNK = 4096
+#: Rare tokens that two sets must share, if they have so many.
+NEED = 12
 #: Buckets in which tokens are counted, and pieces in which counts travel.
-BUCKETS, PIECES = 1 << 20, 16
+BUCKETS, PIECES = 1 << 22, 16
 #: Bits of the filter of candidates.
 FILTER_BITS = 1 << 23
 _M = np.uint64(0x9FB21C651E98DF25)
 _TURNS = [np.uint64(x) for x in (1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-SETS = "doc_id long, n int, node long, m0 long, m1 long, m2 long, m3 long, tokens binary"
+_NODE = {"doc_id": pa.int64(), "n": pa.int32(), "node": pa.int64(), **{f"m{k}": pa.int64() for k in range(4)}}
+NODES = "doc_id long, n int, node long, m0 long, m1 long, m2 long, m3 long"
 _LEAST = -(1 << 63)
 
 
@@ -74,105 +83,131 @@ def shingles(texts: Texts, n: int = N_GRAM) -> list[np.ndarray]:
     return out
 
 
-def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for a, b, texts in batches(batch.column(1)):
-            sets = shingles(texts)
-            n = [len(s) for s in sets]
-            with np.errstate(over="ignore"):
-                node = [int((np.bitwise_xor.reduce(mixed(s)) + np.uint64(len(s)) * _M + s.sum(dtype=np.uint64)).view(np.int64)) if len(s) else None for s in sets]
-                least = [[int(_turned(s, k).min().view(np.int64)) if len(s) else None for s in sets] for k in range(4)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], pa.array(n, pa.int32()), pa.array(node, pa.int64()), *[pa.array(m, pa.int64()) for m in least], pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "node", "m0", "m1", "m2", "m3", "tokens"],
-            )
+def _node(tokens: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return int((np.bitwise_xor.reduce(mixed(tokens)) + np.uint64(len(tokens)) * _M + tokens.sum(dtype=np.uint64)).view(np.int64))
 
 
 def _turned(tokens: np.ndarray, k: int) -> np.ndarray:
     return tokens if not k else mixed(tokens ^ _TURNS[k])
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "text")
-    return stored(rows.mapInArrow(_sets, SETS), "sets", compression="none")
+def _columns(sets: list[np.ndarray], nodes: list) -> list[pa.Array]:
+    """n, node and the least tokens of each set."""
+    with np.errstate(over="ignore"):
+        least = [[int(_turned(s, k).min().view(np.int64)) if len(s) else None for s in sets] for k in range(4)]
+    return [pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes, pa.int64()), *[pa.array(m, pa.int64()) for m in least]]
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[np.ndarray], list]]:
+    """(doc_ids, sets, nodes) of parts of a batch of (doc_id, text)."""
+    for a, b, texts in batches(batch.column(1)):
+        sets = shingles(texts)
+        yield batch.column(0)[a:b], sets, [_node(s) if len(s) else None for s in sets]
+
+
+def _buckets(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), "text")
 
 
-def token_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets have a token of each bucket."""
+def node_table(docs: DataFrame) -> DataFrame:
+    """Rows of :data:`NODES`, and rows of counts: piece and counts (16 bits a
+    bucket, saturated)."""
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(BUCKETS, np.uint32), [], 0
+        names = [*_NODE, "piece", "counts"]
         for batch in rows:
-            tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-            total += np.bincount((tokens >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in np.split(total, PIECES)], pa.binary())], ["piece", "counts"])
+            for ids, sets, nodes in _sets(batch):
+                held += sets
+                n += sum(map(len, sets))
+                if n > 1 << 20:
+                    total += np.bincount(_buckets(np.concatenate(held)), minlength=BUCKETS).astype(np.uint32)
+                    held, n = [], 0
+                yield pa.RecordBatch.from_arrays([ids, *_columns(sets, nodes), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        if held:
+            total += np.bincount(_buckets(np.concatenate(held)), minlength=BUCKETS).astype(np.uint32)
+        if total.any():
+            for k, part in enumerate(np.split(np.minimum(total, 0xFFFF).astype(np.uint16), PIECES)):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, kind) for kind in _NODE.values()], pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+
+    return stored(_rows(docs).mapInArrow(run, f"{NODES}, piece int, counts binary"), "nodes", compression="zstd")
+
+
+def bucket_counts(table: DataFrame) -> np.ndarray:
+    """The counts of all tasks, added up (and saturated again)."""
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in rows:
             for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals[piece] = totals.get(piece, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
+                totals[piece] = totals.get(piece, 0) + np.frombuffer(counts, np.uint16).astype(np.uint32)
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(t, 0xFFFFFFFF).astype(np.uint32).tobytes() for t in totals.values()], pa.binary())], ["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(t, 0xFFFF).astype(np.uint16).tobytes() for t in totals.values()], pa.binary())], ["piece", "counts"])
 
-    kind = "piece int, counts binary"
-    found = sets.select("tokens").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect()
-    out = np.zeros((PIECES, BUCKETS // PIECES), np.uint32)
-    for r in found:
-        out[r.piece] = np.frombuffer(r.counts, np.uint32)
+    out = np.zeros((PIECES, BUCKETS // PIECES), np.uint16)
+    for r in table.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary").collect():
+        out[r.piece] = np.frombuffer(r.counts, np.uint16)
     return out.reshape(-1)
 
 
-def rare_tokens(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, node, n) for the rarest tokens of each set: as many as a set that
-    links with it must share one of."""
-    shipped = sets.sparkSession.sparkContext.broadcast(counts)
+def need(n: Column, share: float = 0.8) -> Column:
+    return F.least(F.lit(NEED), F.ceil(n * share - 1e-9))
+
+
+def rare_tokens(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(token, node, n) for the rarest tokens of each set: so many that a set
+    which links with it shares :func:`need` of them."""
+    shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shipped.value
         for batch in rows:
-            tokens, nodes, sizes, seen = [], [], [], set()
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                t = np.frombuffer(data, np.uint64)
-                k = len(t) - -(-4 * len(t) // 5) + 1
-                bucket = often[(t >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                tokens.append(t[np.lexsort((t, bucket))[:k]])
-                nodes.append(node)
-                sizes.append(len(t))
-            if nodes:
-                k = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(nodes, k)), pa.array(np.repeat(sizes, k).astype(np.int32))], ["token", "node", "n"]
-                )
-
-    return sets.where("node is not null").select("node", "tokens").mapInArrow(run, "token long, node long, n int")
-
-
-def candidate_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per node of ``nodes``: node, n, m0.., tokens."""
-    spark = sets.sparkSession
-    bit = F.pmod("node", F.lit(FILTER_BITS))
+            for _, sets, nodes in _sets(batch):
+                tokens, own, sizes, seen = [], [], [], set()
+                for t, node in zip(sets, nodes):
+                    if node is None or node in seen:
+                        continue
+                    seen.add(node)
+                    shared = -(-4 * len(t) // 5)
+                    k = len(t) - shared + min(NEED, shared)
+                    tokens.append(t[np.lexsort((t, often[_buckets(t)]))[:k]] if k < len(t) else t)
+                    own.append(node)
+                    sizes.append(len(t))
+                if own:
+                    k = [len(t) for t in tokens]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), k)), pa.array(np.repeat(sizes, k).astype(np.int32))], ["token", "node", "n"]
+                    )
+
+    return _rows(docs).mapInArrow(run, "token long, node long, n int")
+
+
+def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For ``nodes(node, doc_id)``: node, n, m0.., tokens (as one doc_id has them)."""
+    spark = docs.sparkSession
+    bit = F.pmod(F.col("node").bitwiseXOR(F.col("doc_id")), F.lit(FILTER_BITS))
     words = nodes.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[[r.word for r in words]] = [r.bits for r in words]
     shipped = spark.sparkContext.broadcast(table)
 
-    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shipped.value
         for batch in rows:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            at = node % FILTER_BITS
-            mask = bits[at >> 6] >> (at & 63) & 1 == 1
-            first = np.zeros(len(node), bool)
-            first[np.unique(node, return_index=True)[1]] = True
-            yield batch.filter(pa.array(mask & first))
+            for ids, sets, nodes in _sets(batch):
+                at = [-1 if node is None else (node ^ doc) % FILTER_BITS for node, doc in zip(nodes, ids.to_pylist())]
+                keep = [i for i, k in enumerate(at) if k >= 0 and int(bits[k >> 6]) >> (k & 63) & 1]
+                if keep:
+                    kept = [sets[i] for i in keep]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), *_columns(kept, [nodes[i] for i in keep]), pa.array([s.tobytes() for s in kept], pa.binary())], [*_NODE, "tokens"])
 
-    columns = ["node", "n", "m0", "m1", "m2", "m3", "tokens"]
-    few = sets.where("node is not null").select(*columns).mapInArrow(keep, SETS.replace("doc_id long, n int, node long", "node long, n int"))
-    return stored(few.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidates", compression="none")
+    few = _rows(docs).mapInArrow(run, f"{NODES}, tokens binary")
+    return stored(few.join(nodes, ["node", "doc_id"], "left_semi").drop("doc_id"), "candidates", compression="none")
 
 
 def _grouped(members: DataFrame, keys: list[str], then: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -233,13 +268,16 @@ def _in_chunk(salt: int, chunks: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(chunks)).cast("int")
 
 
-def classes(sets: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     """(node, label) for every node that may link with another; nodes of one
-    component have one label."""
-    rare = rare_tokens(sets, token_counts(sets)).repartition("token")
-    ends = rare.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    shared = stored(rare.join(ends.hint("shuffle_hash"), "token", "left_semi").distinct(), "shared-tokens")
-    candidates = candidate_sets(sets, shared.select("node").distinct())
+    component have one label. ``firsts(node, doc_id)``: a document per node."""
+    token = Window.partitionBy("token")
+    rare = rare_tokens(docs, bucket_counts(table)).repartition("token")
+    ends = rare.withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high")
+    shared = stored(ends.select("token", "node", "n").distinct(), "shared-tokens")
+    enough = shared.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= need(F.col("n"), 0.64)).select("node")
+    nodes = stored(firsts.join(enough, "node", "left_semi"), "candidate-nodes")
+    candidates = candidate_sets(docs, nodes)
 
     # blocks of one least token
     blocks = candidates.groupBy("m0").agg(F.count("*").alias("size")).where("size > 1").select("m0", _chunks("size").alias("chunks"))
@@ -259,7 +297,9 @@ def classes(sets: DataFrame) -> DataFrame:
     mixed_ = named.groupBy("token").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("token")
     named = stored(named.join(mixed_, "token", "left_semi"), "mixed-tokens")
     a, b = (named.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "low", "high")]) for s in "ab")
-    pairs = stored(a.join(b, "token").where("label_a < label_b and 100 * high_a >= 80 * low_b and 100 * high_b >= 80 * low_a").select("label_a", "label_b").distinct(), "pairs")
+    met = a.join(b, "token").where("label_a < label_b and 100 * high_a >= 80 * low_b and 100 * high_b >= 80 * low_a")
+    met = met.groupBy("label_a", "label_b").agg(F.count("*").alias("k"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"))
+    pairs = stored(met.where(F.col("k") >= F.least(need(F.col("low_a")), need(F.col("low_b")))).select("label_a", "label_b"), "pairs")
     if pairs.isEmpty():
         return labels
     sizes = stored(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
@@ -281,10 +321,11 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (the
     least doc_id that links lead to)."""
-    sets = set_table(docs)
-    rows = sets.select("doc_id", "n", "node")
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    labelled = least.join(classes(sets), "node", "left").select("node", "first", "last", F.coalesce("label", "node").alias("label"))
+    table = node_table(docs)
+    rows = table.where("piece is null").select("doc_id", "n", "node")
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    found = classes(docs, table, least.select("node", F.col("first").alias("doc_id")))
+    labelled = least.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     whole = stored(labelled, "classes")
     of = whole.join(whole.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("node", "component_id")
     by_id = _shared_ids(rows, of)
