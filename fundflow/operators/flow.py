@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fundflow.functions.columns import positive, total, value_weight
 from fundflow.plans.paths import between
+from fundflow.shipping import ship
 
 #: Paths into which a flow is decomposed at most (the report's length).
 MOST_PATHS = 5
@@ -170,5 +171,6 @@ def max_flow(transfers: DataFrame, source: str, sink: str, max_nodes_hops: int =
         names = ("from_address", "to_address", "capacity_usd")
         return pd.DataFrame([(value, min(c for *_, c in cut), [dict(zip(names, x)) for x in cut], paths)], columns=["max_flow_usd", "bottleneck_usd", "cut", "paths"])
 
+    ship(edges.sparkSession)
     none = edges.sparkSession.createDataFrame([(None, None, None)], edges.schema)
-    return edges.unionByName(none).groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: solve(pdf), kind)
+    return edges.unionByName(none).groupBy(F.lit(0).alias("g")).applyInPandas(solve, kind)
