@@ -71,8 +71,10 @@ def units(texts: Texts) -> tuple[np.ndarray, ...]:
     points = np.concatenate([[0], np.cumsum((texts.data[:-8] & 0xC0) != 0x80)])
     begin = points[texts.offsets]
     start = points[words.starts[first]] - begin[text]
-    stop = np.append(start[1:], 0)
-    last = np.append(text[1:] != text[:-1], True)[: len(text)]
+    stop = start.copy()
+    stop[:-1] = start[1:]
+    last = np.ones(len(text), bool)
+    last[:-1] = text[1:] != text[:-1]
     stop[last] = (begin[1:] - begin[:-1])[text[last]]
     return text, digest, start, stop, size
 
