@@ -17,7 +17,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int, direction: str = "
     """
     one = edges.select(F.col("from_address").alias("a"), F.col("to_address").alias("b"))
     two = one.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    step = {"out": one, "in": two, "both": one.union(two)}[direction].distinct()
+    step = stored({"out": one, "in": two, "both": one.union(two)}[direction].distinct(), "steps")
     seen = stored(starts.select("start", F.col("start").alias("address"), F.lit(0).alias("hops")).distinct(), "reach")
     front = seen
     for hop in range(1, max_hops + 1):
@@ -32,6 +32,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int, direction: str = "
 def between(edges: DataFrame, source: str, sink: str, max_hops: int) -> DataFrame:
     """The edges that lie on some walk from source to sink of so many hops."""
     spark = edges.sparkSession
+    edges = stored(edges, "edges")
     ahead = reach(edges, spark.createDataFrame([(source,)], "start string"), max_hops).select(F.col("address").alias("from_address"), F.col("hops").alias("h1"))
     back = reach(edges, spark.createDataFrame([(sink,)], "start string"), max_hops, "in").select(F.col("address").alias("to_address"), F.col("hops").alias("h2"))
     return edges.join(ahead, "from_address").join(back, "to_address").where(F.col("h1") + F.col("h2") + 1 <= max_hops).select(edges.columns)
@@ -42,7 +43,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int, direction
     the one whose addresses sort first."""
     one = edges.select(F.col("from_address").alias("a"), F.col("to_address").alias("b"))
     two = one.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    step = {"out": one, "in": two, "both": one.union(two)}[direction].distinct()
+    step = stored({"out": one, "in": two, "both": one.union(two)}[direction].distinct(), "steps")
     seen = stored(starts.select("start", F.col("start").alias("address"), F.lit(0).alias("hops"), F.array("start").alias("path")).distinct(), "paths")
     front = seen
     for hop in range(1, max_hops + 1):
@@ -63,7 +64,7 @@ def cheapest(edges: DataFrame, source: str, target: str, most_rounds: int = 64)
     """
     spark = edges.sparkSession
     first = spark.createDataFrame([(source, 0.0, [source], 0.0, float("inf"))], "address string, cost double, path array<string>, total_usd double, bottleneck_usd double")
-    best = stored(first, "cheapest")
+    best, edges = stored(first, "cheapest"), stored(edges, "edges")
     front = best
     for _ in range(most_rounds):
         label = F.struct("cost", "path", "total_usd", "bottleneck_usd")

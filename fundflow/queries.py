@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fundflow.functions import codecs
 from fundflow.functions.columns import total
-from fundflow.operators import attribution, clusters, correlation, evidence, flow, graph, motifs, risk, router, taint, wallets
+from fundflow.operators import attribution, clusters, correlation, evidence, flow, graph, motifs, risk, router, store, taint, wallets
+from fundflow.shipping import ship
 from fundflow.sources import chains, views
 from fundflow.streaming import alerts
 
@@ -311,6 +313,98 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return evidence.record_hashes(t.select(F.col("block_number").alias("position"), F.col("tx_hash").alias("record_id"), F.lit("transaction").alias("record_type"), F.col("chain").alias("source"), F.to_json(F.struct("from_address", "to_address", "value")).alias("payload")))
 
 
+# -- merging and lookups ------------------------------------------------------------------
+@query("upsert_wallets", f"""WITH {TRANSFERS}, l AS (SELECT from_address AS address, chain, timestamp, value_usd AS s, 0 AS r FROM transfers UNION ALL SELECT to_address, chain, timestamp, 0, value_usd FROM transfers)
+SELECT address, chain, CAST(sum(1) AS BIGINT) AS tx_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(sum(CAST(s AS DECIMAL(38,2))) AS DOUBLE) AS sent_usd, CAST(sum(CAST(r AS DECIMAL(38,2))) AS DOUBLE) AS received_usd FROM l GROUP BY 1, 2""")
+def _upsert_wallets(s: SparkSession, d: str) -> DataFrame:
+    """Two halves of the transfers, merged one after the other."""
+    t = _t(s, d)
+
+    def facts(part: DataFrame) -> DataFrame:
+        legs = part.select("chain", "timestamp", F.inline(F.array(
+            F.struct(F.col("from_address").alias("address"), F.col("value_usd").alias("sent"), F.lit(0.0).alias("received")), F.struct(F.col("to_address").alias("address"), F.lit(0.0).alias("sent"), F.col("value_usd").alias("received")),
+        )))
+        return legs.groupBy("address", "chain").agg(F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("tx_count"), total(F.col("sent")).alias("sent_usd"), total(F.col("received")).alias("received_usd"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("risk_score"))
+
+    merged = store.upsert_wallets(facts(t.where("block_number % 2 = 0")), facts(t.where("block_number % 2 = 1")))
+    return merged.select("address", "chain", "tx_count", "first_seen", "last_seen", "sent_usd", "received_usd")
+
+
+_RANK_OF = "CASE confidence WHEN 'CONFIRMED' THEN 4 WHEN 'HIGH_CONFIDENCE' THEN 3 WHEN 'PROBABLE' THEN 2 ELSE 1 END"
+query("upsert_entities", f"""WITH {ENTITIES}, b AS (SELECT name, address, confidence, 0 AS k FROM entities UNION ALL SELECT 'Renamed ' || name, address, 'HIGH_CONFIDENCE', 1 FROM entities)
+SELECT name, address, confidence FROM b QUALIFY row_number() OVER (PARTITION BY address ORDER BY {_RANK_OF} DESC, k DESC, name) = 1""")(
+    lambda s, d: store.upsert_entities(views.entities(s, d), views.entities(s, d).withColumn("name", F.concat(F.lit("Renamed "), "name")).withColumn("confidence", F.lit("HIGH_CONFIDENCE"))).select("name", "address", "confidence")
+)
+query("update_risk", f"WITH {WALLETS}, {ENTITIES} SELECT wallet_id, CASE WHEN address IN (SELECT address FROM entities WHERE entity_type = 'mixer') THEN 99 ELSE risk_score END AS risk_score FROM wallets")(
+    lambda s, d: store.update_risk(views.wallets(s, d), views.entities(s, d).where("entity_type = 'mixer'").select("address", F.lit(99.0).alias("risk_score"))).select("wallet_id", "risk_score")
+)
+query("entity_lookup", f"WITH {WALLETS}, {ENTITIES} SELECT wallet_id, name, entity_type FROM wallets w LEFT JOIN entities e ON w.address = e.address AND w.chain = 'Ethereum'")(
+    lambda s, d: store.lookup_entities(views.wallets(s, d), views.entities(s, d)).select("wallet_id", "name", "entity_type")
+)
+query("notice_rows", f"""WITH {TRANSACTIONS}, l AS (SELECT tx_hash, block_number, CAST(value_usd AS DOUBLE) AS value_usd, value_usd AS v FROM transactions WHERE '{START}' IN (from_address, to_address) ORDER BY block_number DESC, tx_hash LIMIT 20)
+SELECT tx_hash, block_number, value_usd, (SELECT CAST(sum(v) AS DOUBLE) FROM l) AS total_usd FROM l""")(lambda s, d: store.notice_rows(views.chain_transactions(s, d), START))
+query("case_narrative", f"WITH {WALLETS} SELECT case_id, count(*) AS wallet_count, count(*) FILTER (attribution_status = 'attributed') AS attributed, count(*) FILTER (risk_score >= 75) AS critical, count(*) FILTER (risk_score >= 50 AND risk_score < 75) AS high, count(*) FILTER (risk_score >= 25 AND risk_score < 50) AS medium, count(*) FILTER (risk_score < 25) AS low FROM wallets GROUP BY 1")(
+    lambda s, d: store.narrative(views.wallets(s, d))
+)
+query("compare_wallets")(lambda s, d: store.compare_wallets(wallets.wallet_stats(_t(s, d)), START, "0x" + "0" * 39 + "3"))
+
+
+# -- raw sources over derived rows -------------------------------------------------------------
+@query("trc20_legs", """SELECT 't' || event_id AS tx_hash, CASE WHEN event_id % 3 = 0 THEN CAST(CAST(floor(value * 1000000) AS BIGINT) AS DOUBLE) / 1e6 WHEN event_id % 3 = 1 THEN CAST(CAST(floor(value * 1000000) AS BIGINT) AS DOUBLE) / 1e2 ELSE CAST(CAST(floor(value * 1000000) AS BIGINT) AS DOUBLE) END AS value FROM events""")
+def _trc20(s: SparkSession, d: str) -> DataFrame:
+    """Decimals from the entry, from a table of tokens, or unknown."""
+    e, kind = views.table(s, d, "events"), F.col("event_id") % 3
+    token = F.struct(F.concat(F.lit("T"), kind.cast("string")).alias("address"), F.lit("TOK").alias("symbol"), F.when(kind == 0, 6).alias("decimals"))
+    rows = e.select(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("transaction_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("block_timestamp"), F.lit("a").alias("from"), F.lit("b").alias("to"), F.floor(F.col("value") * 1_000_000).cast("string").alias("value"), token.alias("token_info"))
+    return chains.trc20_legs(rows, s.createDataFrame([("T1", 2)], "address string, decimals int")).select("tx_hash", "value")
+
+
+@query("asset_transfers", "SELECT 'h' || event_id AS tx_hash, event_id AS block_number, ts AS timestamp, CASE WHEN event_id % 2 = 0 THEN value * 2000 END AS value_usd FROM events")
+def _assets(s: SparkSession, d: str) -> DataFrame:
+    """Indexer rows: hex blocks and ISO times, priced where there is a price."""
+    e = views.table(s, d, "events")
+    rows = e.select(
+        F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("hash"), F.lit("a").alias("from"), F.lit("b").alias("to"), "value", F.when(F.col("event_id") % 2 == 0, "ETH").otherwise("XYZ").alias("asset"),
+        F.concat(F.lit("0x"), F.hex("event_id")).alias("blockNum"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("blockTimestamp"), F.lit("external").alias("category"),
+    )
+    return chains.asset_transfers(rows, s.createDataFrame([("ETH", 2000.0)], "asset string, usd double")).select("tx_hash", "block_number", "timestamp", "value_usd")
+
+
+@query("log_transfers", f"SELECT 'l' || event_id // 2 AS tx_hash, {_HEX.format('max(user_id)', 40)} AS from_address, CAST(max(event_id) * 1000 AS VARCHAR) AS value FROM events GROUP BY event_id // 2")
+def _logs(s: SparkSession, d: str) -> DataFrame:
+    """Two logs of a transaction, sent and received: the received one counts."""
+    e = views.table(s, d, "events")
+    most = F.max("user_id").over(Window.partitionBy(F.expr("event_id div 2")))
+    logs = e.select("event_id", F.concat(F.lit("l"), F.expr("event_id div 2").cast("string")).alias("transactionHash"), F.array(F.lit("0xddf2"), views.hex_id(most, 64), views.hex_id(F.col("event_id"), 64)).alias("topics"), views.hex_id(F.col("event_id") * 1000, 64).alias("data"), F.concat(F.lit("0x"), F.hex("event_id")).alias("blockNumber"))
+    return chains.log_transfers(logs.where("event_id % 2 = 0").drop("event_id"), logs.where("event_id % 2 = 1").drop("event_id")).select("tx_hash", "from_address", "value")
+
+
+@query("sanctioned_addresses", f"""SELECT 'OFAC: ' || s_name AS name, {_HEX.format('s_suppkey', 40)} AS address, CASE s_suppkey % 4 WHEN 0 THEN 'Ethereum' WHEN 1 THEN 'Ethereum Classic' ELSE 'BSC' END AS chain, 'P' || s_suppkey % 5 AS program FROM supplier WHERE s_suppkey % 4 < 3""")
+def _listed_addresses(s: SparkSession, d: str) -> DataFrame:
+    """A sanctions list with its fixed columns, one entry per supplier."""
+    k = F.col("s_suppkey")
+    code = F.when(k % 4 == 0, "ETH").when(k % 4 == 1, "ETC").when(k % 4 == 2, "BNB").otherwise("XBT")
+    remark = F.concat(F.lit("DOB 1970; Digital Currency Address - "), code, F.lit(" "), views.hex_id(k, 40), F.lit("; alt. Digital Currency Address - XMR 4abc."))
+    rows = views.table(s, d, "supplier").select(k.cast("string").alias("_c0"), F.col("s_name").alias("_c1"), F.lit("x").alias("_c2"), F.concat(F.lit("[P"), (k % 5).cast("string"), F.lit("]")).alias("_c3"), *[F.lit("").alias(f"_c{i}") for i in range(4, 11)], remark.alias("_c11"))
+    return chains.sanctioned(rows).select("name", "address", "chain", "program")
+
+
+query("held_tokens", "SELECT event_id FROM events WHERE event_id % 5 <> 0")(
+    lambda s, d: chains.held_tokens(views.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "0x" + "0" * 64).otherwise(views.hex_id(F.col("event_id"), 64)).alias("tokenBalance"))).select("event_id")
+)
+query("block_filter", f"WITH {TRANSFERS} SELECT tx_hash FROM transfers WHERE block_number = 0 OR block_number BETWEEN 100 AND 500")(lambda s, d: chains.in_blocks(_t(s, d), 100, 500).select("tx_hash"))
+query("address_checks", None)(lambda s, d: _addresses(s, d))
+query("entity_directory", "SELECT * FROM (VALUES ('Some Exchange', '0xaa', 'Ethereum'), ('Some Exchange', '0xbb', 'Polygon'), ('Some Mixer', '0xcc', 'Ethereum')) t(name, address, chain)")(
+    lambda s, d: chains.directory(s, [("Some Exchange", "exchange", {1: ["0xAA"], 137: ["0xBB"]}, "CONFIRMED"), ("Some Mixer", "mixer", {1: ["0xCC"]}, "CONFIRMED")]).select("name", "address", "chain")
+)
+
+
+def _addresses(s: SparkSession, d: str) -> DataFrame:
+    """Checksummed form and validity of every address."""
+    a = wallets.addresses(_t(ship(s), d))
+    return a.select("address", codecs.checksum_address_udf("address").alias("checksum"), codecs.is_bitcoin_udf("address").alias("bitcoin"), codecs.is_tron_udf("address").alias("tron"))
+
+
 # -- streaming (batch twins) ------------------------------------------------------------------
 query("watchlist_alerts", f"""WITH {TRANSFERS}, {ENTITIES}, w AS (SELECT address AS watched, entity_type AS label FROM entities WHERE entity_type IN ('mixer', 'sanctioned'))
 SELECT tx_hash, watched, label, CASE WHEN watched = from_address THEN 'sent' ELSE 'received' END AS side FROM transfers JOIN w ON watched IN (from_address, to_address) WHERE value_usd >= 50""")(
