@@ -98,25 +98,27 @@ def _max_flow(capacity: dict[tuple[str, str], float], source: str, sink: str) ->
                     queue.append(b)
         if sink not in level:
             break
-        at = {a: iter(list(nxt[a])) for a in level}
-        path = [source]
+        order, at, path = {a: list(nxt[a]) for a in level}, dict.fromkeys(level, 0), [source]
         while path:
             a = path[-1]
             if a == sink:
-                step = min(nxt[x][y] for x, y in zip(path, path[1:]))
+                hops = list(zip(path, path[1:]))
+                step = min(nxt[x][y] for x, y in hops)
                 value += step
-                for x, y in zip(path, path[1:]):
+                for x, y in hops:
                     nxt[x][y] -= step
                     nxt[y][x] += step
-                path = [source]
-                at = {x: iter(list(nxt[x])) for x in level}
+                full = next(i for i, (x, y) in enumerate(hops) if nxt[x][y] <= EPSILON)
+                path = path[: full + 1]
                 continue
-            b = next((b for b in at[a] if nxt[a][b] > EPSILON and level.get(b) == level[a] + 1), None)
-            if b is None:
-                path.pop()
-                level[a] = -1
+            while at[a] < len(order[a]) and not (nxt[a][b := order[a][at[a]]] > EPSILON and level.get(b) == level[a] + 1):
+                at[a] += 1
+            if at[a] < len(order[a]):
+                path.append(order[a][at[a]])
             else:
-                path.append(b)
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
     flow = {(a, b): c - nxt[a][b] for (a, b), c in capacity.items() if c - nxt[a][b] > EPSILON}
     return value, flow, set(level)
 
