@@ -16,7 +16,9 @@ each pass over the texts computes them anew.
    so are, under three more permutations, those of blocks that are not one
    class yet. This finds nearly all links.
 4. The rest, exactly: where two classes still share enough rare tokens, the
-   trees of the two classes are traversed against each other.
+   trees of the two classes are traversed against each other. Nodes whose rare
+   tokens are shared by more than :data:`WIDE` classes are not paired up by
+   token but form families, whose trees are traversed as a whole.
 
 Groups of any size are dealt out in chunks of :data:`CHUNK` sets, so no task
 holds more than two chunks of one; the links between chunks are found in steps
@@ -49,6 +51,8 @@ N_GRAM = 5
 CHUNK = 4096
 #: Rare tokens that two sets must share, if they have so many.
 NEED = 12
+#: A token of more classes than this makes their nodes a family.
+WIDE = 64
 #: Buckets in which tokens are counted, and pieces in which counts travel.
 BUCKETS, PIECES = 1 << 22, 16
 #: Bits of the filter of candidates.
@@ -187,27 +191,52 @@ def rare_tokens(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return _rows(docs).mapInArrow(run, "token long, node long, n int")
 
 
-def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For ``nodes(node, doc_id)``: node, n, m0.., tokens (as one doc_id has them)."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.col("node").bitwiseXOR(F.col("doc_id")), F.lit(FILTER_BITS))
+def _filter(nodes: DataFrame, key: Column) -> np.ndarray:
+    """A bitmap of hashed keys, 1 MB however many there are."""
+    bit = F.pmod(key, F.lit(FILTER_BITS))
     words = nodes.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[[r.word for r in words]] = [r.bits for r in words]
-    shipped = spark.sparkContext.broadcast(table)
+    return table
+
+
+def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % FILTER_BITS
+    return table[at >> 6] >> (at & 63) & 1 == 1
+
+
+def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For ``nodes(node, doc_id)``: node, n, m0.., tokens (as one doc_id has
+    them). Rows that only pass the filter stay while they are few: they link
+    with nothing."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter(nodes, F.col("node").bitwiseXOR(F.col("doc_id"))))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
         for batch in rows:
             for ids, sets, nodes in _sets(batch):
-                at = [-1 if node is None else (node ^ doc) % FILTER_BITS for node, doc in zip(nodes, ids.to_pylist())]
-                keep = [i for i, k in enumerate(at) if k >= 0 and int(bits[k >> 6]) >> (k & 63) & 1]
+                some = [i for i, node in enumerate(nodes) if node is not None]
+                keys = np.array([nodes[i] for i in some], np.int64) ^ np.array(ids.to_pylist(), np.int64)[some]
+                keep = [i for i, good in zip(some, _passes(shipped.value, keys).tolist()) if good]
                 if keep:
                     kept = [sets[i] for i in keep]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), *_columns(kept, [nodes[i] for i in keep]), pa.array([s.tobytes() for s in kept], pa.binary())], [*_NODE, "tokens"])
 
     few = _rows(docs).mapInArrow(run, f"{NODES}, tokens binary")
-    return stored(few.join(nodes, ["node", "doc_id"], "left_semi").drop("doc_id"), "candidates", compression="none")
+    if nodes.count() * 32 > FILTER_BITS:
+        few = few.join(nodes, ["node", "doc_id"], "left_semi")
+    return stored(few.drop("doc_id"), "candidates", compression="none")
+
+
+def _with_tokens(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``members`` (kept in a table, with a node) with the tokens of their nodes;
+    only sets that pass a filter of these nodes are shuffled."""
+    shipped = members.sparkSession.sparkContext.broadcast(_filter(members, F.col("node")))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield batch.filter(pa.array(_passes(shipped.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return members.join(candidates.select("node", "tokens").mapInArrow(run, "node long, tokens binary"), "node")
 
 
 def _grouped(members: DataFrame, keys: list[str], then: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -260,6 +289,11 @@ def _across(rows: list[tuple]) -> Iterator[tuple]:
     return ((x, classes.root(x)) for x in {r[0] for r in rows} if classes.root(x) != x)
 
 
+def _either(rows: list[tuple]) -> Iterator[tuple]:
+    """Members of two chunks of a family, or of one with itself."""
+    return _across(rows) if any(r[2] for r in rows) else _all([r[:2] for r in rows])
+
+
 def _chunks(n: str) -> Column:
     return F.ceil(F.col(n) / CHUNK).cast("int")
 
@@ -280,28 +314,61 @@ def classes(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     candidates = candidate_sets(docs, nodes)
 
     # blocks of one least token
-    blocks = candidates.groupBy("m0").agg(F.count("*").alias("size")).where("size > 1").select("m0", _chunks("size").alias("chunks"))
-    members = candidates.join(blocks, "m0").select("m0", _in_chunk(0, "chunks").alias("chunk"), F.col("node").alias("label"), "tokens")
+    large = candidates.groupBy("m0").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK).select("m0", _chunks("size").alias("chunks"))
+    members = candidates.join(F.broadcast(large), "m0", "left").select("m0", F.coalesce(_in_chunk(0, "chunks"), F.lit(0)).alias("chunk"), F.col("node").alias("label"), "tokens")
     found = _grouped(members, ["m0", "chunk"], _all).toDF("node", "root")
-    labels = stored(candidates.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+    nodes = candidates.select("node", "m1", "m2", "m3").distinct()
+    labels = stored(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "m1", "m2", "m3"), "labels")
 
     # blocks of more permutations that are not one class yet
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), F.col(f"m{k}").alias("least")) for k in (1, 2, 3)])).alias("b")
-    entries = candidates.select("node", each).select("node", "b.turn", "b.least").join(labels, "node")
+    entries = labels.select("node", "label", each).select("node", "label", "b.turn", "b.least")
     blocks = entries.groupBy("turn", "least").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("turn", "least", _chunks("size").alias("chunks"))
-    members = entries.join(blocks, ["turn", "least"]).select("node", "turn", "least", _in_chunk(1, "chunks").alias("chunk"), "label")
-    labels = _relabelled(labels, _grouped(members.join(candidates.select("node", "tokens"), "node").select("turn", "least", "chunk", "label", "tokens"), ["turn", "least", "chunk"], _all))
-
-    # classes that share a rare token
-    named = shared.join(labels, "node").groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed_ = named.groupBy("token").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("token")
-    named = stored(named.join(mixed_, "token", "left_semi"), "mixed-tokens")
-    a, b = (named.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "low", "high")]) for s in "ab")
+    members = stored(entries.join(blocks, ["turn", "least"]).select("node", "turn", "least", _in_chunk(1, "chunks").alias("chunk"), "label"), "members")
+    labels = _relabelled(labels.select("node", "label"), _grouped(_with_tokens(members, candidates).select("turn", "least", "chunk", "label", "tokens"), ["turn", "least", "chunk"], _all))
+
+    # classes that share a rare token; one that many of them share makes a family
+    named = shared.join(labels, "node")
+    spread = named.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    width = spread.groupBy("token").agg(F.count("*").alias("width")).where("width > 1")
+    spread = stored(spread.join(width, "token"), "mixed-tokens")
+    labels = _relabelled(labels, _family_links(named.join(width.where(F.col("width") > WIDE).select("token"), "token", "left_semi"), candidates))
+    return _relabelled(labels, _pair_links(spread.where(F.col("width") <= WIDE), labels, candidates))
+
+
+def _family_links(wide: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links among nodes that share a token with many classes.
+
+    All wide tokens of a node belong to one family, so each node is in one;
+    its family meets itself in pairs of chunks, whatever tokens are shared.
+    """
+    wide = stored(wide.select("token", "node", "label").distinct(), "wide-tokens")
+    if wide.isEmpty():
+        return wide.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    first = wide.groupBy("node").agg(F.min("token").alias("a"), F.first("label").alias("label"))
+    families = components(wide.join(first.select("node", "a"), "node").select("a", F.col("token").alias("b"))).toDF("a", "family")
+    members = first.join(families, "a", "left").select("node", "label", F.coalesce("family", "a").alias("family"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family", _chunks("size").alias("chunks"))
+    dealt = members.join(sizes, "family").withColumn("mine", _in_chunk(2, "chunks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    pairs = dealt.select("node", "label", "family", "mine", other).select("node", "label", "family", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+    members = stored(pairs, "family-members")
+    return _grouped(_with_tokens(members, candidates).select("family", "row", "col", "label", "tokens", "side"), ["family", "row", "col"], _either)
+
+
+def _pair_links(spread: DataFrame, labels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links between classes that share enough tokens, none of them wide. The
+    smaller class of a pair visits the larger one, its hub."""
+    a, b = (spread.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("label", "low", "high")]) for s in "ab")
     met = a.join(b, "token").where("label_a < label_b and 100 * high_a >= 80 * low_b and 100 * high_b >= 80 * low_a")
     met = met.groupBy("label_a", "label_b").agg(F.count("*").alias("k"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"))
-    pairs = stored(met.where(F.col("k") >= F.least(need(F.col("low_a")), need(F.col("low_b")))).select("label_a", "label_b"), "pairs")
+    met = met.where(F.col("k") >= F.least(need(F.col("low_a")), need(F.col("low_b"))))
+    was = spread.select("label").distinct()
+    now = was.join(labels.toDF("label", "now"), "label")  # a label is a node of its class
+    pairs = met.join(now.toDF("label_a", "now_a"), "label_a").join(now.toDF("label_b", "now_b"), "label_b").where("now_a <> now_b")
+    pairs = stored(pairs.select(F.least("now_a", "now_b").alias("label_a"), F.greatest("now_a", "now_b").alias("label_b")).distinct(), "pairs")
     if pairs.isEmpty():
-        return labels
+        return pairs.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     sizes = stored(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     sized = pairs.join(sizes.toDF("label_a", "size_a"), "label_a").join(sizes.toDF("label_b", "size_b"), "label_b")
     hub = F.col("size_a") >= F.col("size_b")
@@ -309,8 +376,8 @@ def classes(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     hubs = sides.groupBy("hub").agg(F.sum("size").alias("others")).join(sizes.toDF("hub", "size"), "hub").select("hub", _chunks("size").alias("rows"), _chunks("others").alias("cols"))
     mine = hubs.select(F.col("hub").alias("label"), "hub", "rows", "cols").join(labels, "label").select("hub", "node", "label", F.lit(0).alias("side"), _in_chunk(2, "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
     theirs = sides.select("hub", "label").join(hubs, "hub").join(labels, "label").select("hub", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), _in_chunk(3, "cols").alias("col"))
-    members = mine.unionByName(theirs).join(candidates.select("node", "tokens"), "node").select("hub", "row", "col", "label", "tokens", "side")
-    return _relabelled(labels, _grouped(members, ["hub", "row", "col"], _across))
+    members = stored(mine.unionByName(theirs), "hub-members")
+    return _grouped(_with_tokens(members, candidates).select("hub", "row", "col", "label", "tokens", "side"), ["hub", "row", "col"], _across)
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
