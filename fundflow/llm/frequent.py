@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from fundflow.llm.common import only
 from fundflow.llm.words import Counts, Texts, Words, batches
 
-#: What a task reports at most, and what the driver gets at most.
-TASK_WORDS, ALL_WORDS = 8_192, 65_536
+#: What a task reports at most, and what the driver gets at most; longer words
+#: (in bytes) are left to the workers, so a table has a bounded size.
+TASK_WORDS, ALL_WORDS, WORD_BYTES = 8_192, 65_536, 64
 
 
 def frequent_words(docs: DataFrame, spans: Callable[[Texts], Words], k: int = ALL_WORDS) -> list[bytes]:
@@ -29,7 +30,8 @@ def frequent_words(docs: DataFrame, spans: Callable[[Texts], Words], k: int = AL
         for batch in rows:
             for _, _, texts in batches(batch.column(0)):
                 counts.update(spans(texts))
-        words, n = counts.top(TASK_WORDS)
+        top = [(w, n) for w, n in zip(*counts.top(TASK_WORDS)) if len(w) <= WORD_BYTES]
+        words, n = [w for w, _ in top], [n for _, n in top]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
     parts = only(docs, "text").mapInArrow(run, "word binary, n long")
