@@ -51,8 +51,9 @@ def _ranked(hashes: DataFrame) -> DataFrame:
     """Dense ranks from 0 by position: ranks within ranges, plus what comes before."""
     parts = hashes.select("position", F.col("record_hash").alias("h")).repartitionByRange("position").withColumn("part", F.spark_partition_id())
     parts = stored(parts, "ranges")
+    # one row per partition: their running sum is as short as the list of partitions
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("a.part") > F.col("b.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("position")) - 1
     return parts.withColumn("i", inside).join(F.broadcast(before), "part").select((F.col("i") + F.col("before")).alias("rank"), "h")
 

@@ -45,18 +45,20 @@ def pagerank(transfers: DataFrame, rounds: int = 20, damping: float = 0.85) -> D
     return ranks.select("address", "score")
 
 
-def betweenness(transfers: DataFrame, sources_per_task: int = 64) -> DataFrame:
+def betweenness(transfers: DataFrame, sources_per_task: int = 64, most_edges: int = 1_000_000) -> DataFrame:
     """(address, score): share of shortest directed paths that run through it,
     unweighted, divided by (n - 1)(n - 2).
 
     Sources are dealt out to tasks, each of which searches from its own; the
-    contributions are added up. Every task holds the distinct edges, which must
-    fit a worker; larger graphs are cut to an area first (``reach``).
+    contributions are added up. Every task holds the distinct edges; more than
+    ``most_edges`` are refused, so cut larger graphs to an area (``subgraph``).
     """
     spark = ship(transfers.sparkSession)
     edges = transfers.where("from_address <> to_address").select("from_address", "to_address").distinct()
     nodes = transfers.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct()
-    table = edges.orderBy("from_address", "to_address").toPandas()
+    table = edges.orderBy("from_address", "to_address").limit(most_edges + 1).toPandas()
+    if len(table) > most_edges:
+        raise ValueError(f"more than {most_edges} edges")
     shipped, n = spark.sparkContext.broadcast(list(zip(table.from_address, table.to_address))), nodes.count()
 
     def run(parts):

@@ -185,3 +185,12 @@ def forensic_summary(transfers: DataFrame) -> DataFrame:
     people = addresses(transfers).agg(F.count("*").alias("address_count"))
     whole = transfers.agg(F.count("*").alias("transfer_count"), total(F.col("value_usd")).alias("value_usd"), F.countDistinct("chain").alias("chain_count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
     return whole.join(F.broadcast(people))
+
+
+def dataset_summary(transfers: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per chain: transfers, value, the largest, addresses, and transfers that
+    touch a mixer or a sanctioned address."""
+    bad = entities.where(F.col("entity_type").isin("mixer", "sanctioned")).select(F.col("address").alias("_bad")).distinct()
+    flagged = _touching(transfers, bad.withColumnRenamed("_bad", "_owner")).select("tx_hash", "from_address", "to_address").distinct().withColumn("_hit", F.lit(True))
+    rows = transfers.join(flagged, ["tx_hash", "from_address", "to_address"], "left")
+    return rows.groupBy("chain").agg(F.count("*").alias("tx_count"), total(F.col("value_usd")).alias("value_usd"), F.max("value_usd").alias("largest_usd"), F.countDistinct("from_address").alias("senders"), F.countDistinct("to_address").alias("receivers"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("flagged"))

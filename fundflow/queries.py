@@ -146,6 +146,10 @@ query("case_overview", f"""WITH {CASES}, {WALLETS}, p AS (SELECT case_id, count(
 SELECT case_id, case_number, status, coalesce(w, 0) AS wallet_count, coalesce(h, 0) AS high_risk, coalesce(q, 0) AS pending, coalesce(c, '') AS chains FROM cases LEFT JOIN p USING (case_id)""")(lambda s, d: wallets.case_overview(views.cases(s, d), views.wallets(s, d)).withColumn("chains", F.array_join("chains", ",")))
 query("investigation_summary", f"WITH {TRANSACTIONS} SELECT count(*) AS tx_count, CAST(sum(CAST(value AS HUGEINT)) AS VARCHAR) AS total_value, (SELECT count(*) FROM (SELECT from_address FROM transactions UNION SELECT to_address FROM transactions)) AS unique_addresses FROM transactions")(lambda s, d: wallets.investigation_summary(views.chain_transactions(s, d)))
 query("forensic_summary", f"WITH {TRANSFERS} SELECT count(*) AS transfer_count, {_SUM} AS value_usd, count(DISTINCT chain) AS chain_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, (SELECT count(*) FROM (SELECT from_address FROM transfers UNION SELECT to_address FROM transfers)) AS address_count FROM transfers")(lambda s, d: wallets.forensic_summary(_t(s, d)))
+query("dataset_summary", f"""WITH {TRANSFERS}, {ENTITIES}, b AS (SELECT address FROM entities WHERE entity_type IN ('mixer', 'sanctioned'))
+SELECT chain, count(*) AS tx_count, {_SUM} AS value_usd, max(value_usd) AS largest_usd, count(DISTINCT from_address) AS senders, count(DISTINCT to_address) AS receivers, count(*) FILTER (from_address IN (SELECT address FROM b) OR to_address IN (SELECT address FROM b)) AS flagged FROM transfers GROUP BY 1""")(
+    lambda s, d: wallets.dataset_summary(_t(s, d), views.entities(s, d))
+)
 
 # -- clusters and roles ---------------------------------------------------------
 query("cospend_edges", f"""WITH {COSPEND}, m AS (SELECT tx_hash, min(from_address) AS a FROM cospend GROUP BY 1 HAVING count(DISTINCT from_address) > 1)
