@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundflow.plans.shared import shared_dir, stored
+
+__all__ = ["Cache", "SPACE_CLASS", "WORD_PATTERN", "only", "partitions", "shared_dir", "stored"]
+
 #: Words are maximal runs of anything but these six characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder of the cluster.
-
-    The folder is read from ``spark.checkpoint.dir`` or the context; only a
-    session that names none (a test in local mode) gets one of its own.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        own = tempfile.mkdtemp(prefix="fundflow-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(base := f"file://{own}")
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
