@@ -5,6 +5,8 @@ anything. The words under a mask hash to a seed. Every seed of every benchmark
 item goes into a table; every position of every document is looked up in it
 with each mask, and around each hit document and item are laid side by side
 and compared word by word, so passages with substituted words are found too.
+The masks are chosen so that each passage that counts as found holds the words
+of at least one of them: tests go through all patterns of matching words.
 
 The benchmark is broadcast in blocks of at most :data:`BLOCK_BYTES` of text (a
 longer single item is a block of its own); each block is one more pass over
@@ -12,8 +14,9 @@ the documents, which are never shuffled.
 
 A verified overlap is the best run of an alignment (+1 a match, -2 a
 mismatch). An item counts as found in a document if the best run has at least
-:data:`LEAST` matching words, or, for items shorter than that, all but one in
-five of its words. Words are compared with A-Z lower-cased.
+:data:`LEAST` matching words, or if all but one in five of the words of the
+whole item match where it is laid; then the hit reaches from the first matching
+word to the last. Words are compared with A-Z lower-cased.
 
 Defined results: null or empty texts match nothing; items of fewer than
 :data:`SHORTEST` words are passages of nothing and match nothing; repeated
@@ -34,10 +37,23 @@ from pyspark.sql.types import StructType
 from fundflow.llm.common import only
 from fundflow.llm.words import Texts, Words, batches, mixed, ragged
 
-#: Positions that count, over ten to twelve words.
-MASKS = ("110110110111", "111010010111", "1110111011")
 SHORTEST = 5
 LEAST = 12
+#: Positions that count, for items of at least :data:`LEAST` words. The first
+#: that many matches of a run have at most five mismatches between them.
+MASKS = ("11101011", "11100100011", "1101100101", "1111001001", "11011000101", "10110111")
+#: For shorter items, by length: all words but one in five match.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111011", "11111"),
+    9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+}
+#: Words that are compared at once.
+COMPARED = 1 << 20
 BLOCK_BYTES = 16 << 20
 _MULTIPLIER = np.uint64(0x2545F4914F6CDD1D)
 HIT = "struct<item_id: bigint, n_matched: int, n_compared: int, start: bigint, stop: bigint>"
@@ -68,14 +84,17 @@ class Block:
     def __init__(self, ids: list, words: Words):
         self.ids, self.first, self.hashes = ids, words.first, words.hash
         sizes = np.diff(self.first)
-        self.masks = [*MASKS, *("1" * int(n) for n in np.unique(sizes[(sizes >= SHORTEST) & (sizes < max(map(len, MASKS)))]))]
+        lengths: dict[str, set[int]] = {}
+        for n in np.unique(np.minimum(sizes[sizes >= SHORTEST], LEAST)).tolist():
+            for mask in SHORT_MASKS.get(n, MASKS):
+                lengths.setdefault(mask, set()).add(n)
+        self.masks = list(lengths)
         self.tables = []
         for mask in self.masks:
             h = seeds(self.hashes, mask)
             at = np.flatnonzero(_inside(self.first, len(mask), len(self.hashes)))
-            if set(mask) == {"1"}:
-                item = np.searchsorted(self.first, at, "right") - 1
-                at = at[sizes[item] == len(mask)]
+            item = np.searchsorted(self.first, at, "right") - 1
+            at = at[np.isin(np.minimum(sizes[item], LEAST), list(lengths[mask]))]
             order = np.argsort(h[at], kind="stable")
             keys = h[at][order]
             maybe = np.zeros(1 << 20, bool)
@@ -98,11 +117,29 @@ class Block:
             found.append(np.stack([np.repeat(text, n), item, np.repeat(where, n) - (place - self.first[item])], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def likely(self, words: Words) -> np.ndarray:
+        """The hits where enough words of the item match at all."""
+        hits = self.hits(words)
+        text, item, at = hits.T
+        size = np.diff(self.first)[item]
+        a, b = np.maximum(at, words.first[text]), np.minimum(at + size, words.first[text + 1])
+        enough = np.minimum(LEAST, -(-4 * size // 5))
+        ends = np.cumsum(b - a)
+        good, i = np.zeros(len(hits), bool), 0
+        while i < len(hits):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COMPARED, "right")))
+            n = b[i:j] - a[i:j]
+            here = ragged(a[i:j], n)
+            same = words.hash[here] == self.hashes[here + np.repeat(self.first[item[i:j]] - at[i:j], n)]
+            good[i:j] = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n) >= enough[i:j]
+            i = j
+        return hits[good]
+
     def verified(self, texts: Texts) -> list[list[tuple]]:
         """Per text: (item_id, n_matched, n_compared, start, stop) of each item found."""
         words = Words(texts, lower=True)
         best: dict[tuple[int, int], tuple] = {}
-        for text, item, at in self.hits(words).tolist():
+        for text, item, at in self.likely(words).tolist():
             a, b = max(at, int(words.first[text])), min(at + int(self.first[item + 1] - self.first[item]), int(words.first[text + 1]))
             shift = int(self.first[item]) - at
             same = words.hash[a:b] == self.hashes[a + shift : b + shift]
@@ -112,7 +149,9 @@ class Block:
             start = int(np.argmin(total[: stop + 1]))
             matched = int(same[start:stop].sum())
             n = int(self.first[item + 1] - self.first[item])
-            if matched >= min(LEAST, -(-4 * n // 5)):
+            if matched < LEAST and 5 * int(same.sum()) >= 4 * n:
+                start, stop, matched = int(np.argmax(same)), len(same) - int(np.argmax(same[::-1])), int(same.sum())
+            if matched >= LEAST or 5 * matched >= 4 * n:
                 run = (matched, -(stop - start), -(a + start))
                 best[text, item] = max(best.get((text, item), run), run)
         out: list[list[tuple]] = [[] for _ in range(len(texts))]
