@@ -209,8 +209,8 @@ WHERE amount_inr > 0 AND value_usd > 0 AND abs(amount_inr - value_usd * 83) / (v
     lambda s, d: correlation.fiat_candidates(views.fiat_payments(s, d), _t(s, d)).select("payment_reference", "chain_tx", "amount_inr", "value_usd", "elapsed_seconds")
 )
 query("bridge_matches")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d)))
-query("bridge_matches_allowlist")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d), bridges=views.entities(s, d).where("entity_type = 'bridge'").select("address")))
-query("fiat_matches")(lambda s, d: correlation.fiat_matches(views.fiat_payments(s, d), _t(s, d)))
+query("bridge_matches_allowlist")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d), bridges=views.entities(s, d, whole=True).where("entity_type = 'bridge'").select("address")))
+query("fiat_matches")(lambda s, d: correlation.fiat_matches(views.fiat_payments(s, d, whole=True), _t(s, d)))
 
 # -- risk -----------------------------------------------------------------------------
 _ETH = "CAST(value AS DOUBLE) / 1e18"
@@ -243,7 +243,7 @@ SELECT address, round(risk_score, 6) AS risk_score, factor_count FROM r""")(lamb
 @query("risk_assessment_full")
 def _risk_full(s: SparkSession, d: str) -> DataFrame:
     """All twelve factors: with mixers within two hops and peel chains."""
-    t, e = _t(s, d), views.entities(s, d)
+    t, e = _t(s, d), views.entities(s, d, whole=True)
     mixers = graph.paths_to_entities(t, e.where("entity_type = 'mixer'").select(F.col("address").alias("start")), t.select(F.col("from_address").alias("address")).distinct().select("address", F.lit("w").alias("name"), F.lit("wallet").alias("entity_type"), F.lit("CONFIRMED").alias("confidence")), 2)
     peels = motifs.peel_chains(t, min_length=2).select(F.col("path")[0].alias("address"))
     return risk.assess(views.chain_transactions(s, d), AS_OF, entities=e, mixers=mixers.select("address", "hops"), peels=peels)
@@ -263,8 +263,8 @@ SELECT n AS address, name, entity_type, confidence, CAST(h AS INTEGER) AS hops,
 )
 query("mixer_interactions", f"""WITH RECURSIVE {_BOTH}, {ENTITIES}, r(n, h) AS (SELECT '{START}', 0 UNION SELECT e.b, r.h + 1 FROM r JOIN e ON e.a = r.n WHERE r.h < 3), m AS (SELECT n, min(h) AS h FROM r GROUP BY 1 HAVING min(h) > 0)
 SELECT name, CAST(h AS INTEGER) AS hops FROM m JOIN entities ON address = n WHERE entity_type = 'mixer' ORDER BY h, n LIMIT 10""")(lambda s, d: graph.paths_to_entities(_t(s, d), _start(s), views.entities(s, d), 3, ("mixer",), top=10).select("name", "hops"))
-query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 3))
-query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 3)))
+query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True), 3))
+query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True), 3)))
 query("busy_chains", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 300), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10)
 SELECT x.a || ',' || x.b || ',' || y.b AS addresses, round(x.v + y.v, 2) AS value_usd FROM e x JOIN e y ON x.b = y.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND x.v + y.v > 600 ORDER BY x.v + y.v DESC, 1 LIMIT 20""")(
     lambda s, d: graph.busy_chains(_t(s, d), 2, 10, 300.0).select(F.array_join("addresses", ",").alias("addresses"), _r("value_usd", 2))
