@@ -196,8 +196,8 @@ g AS (SELECT * FROM c WHERE {_SECS.format("t1", "t2")} <= 86400 QUALIFY row_numb
 SELECT a || ',' || b AS addresses, h1 || ',' || h2 AS tx_hashes, least(v1, v2) AS value_usd, {_SECS.format("t1", "t2")} AS span_seconds FROM g""")(
     lambda s, d: motifs.cycles(_t(s, d), 2).select(F.array_join("addresses", ",").alias("addresses"), F.array_join("tx_hashes", ",").alias("tx_hashes"), "value_usd", "span_seconds")
 )
-query("cycles_upto4")(lambda s, d: motifs.cycles(_t(s, d), 4))
-query("motif_counts")(lambda s, d: motifs.detect_motifs(_t(s, d), window_seconds=86400, min_mules=2, min_length=2, max_length=3).groupBy("motif").agg(F.count("*").alias("n"), total(F.col("value_usd")).alias("value_usd")))
+query("cycles_upto6")(lambda s, d: motifs.cycles(_t(s, d), 6))
+query("motif_counts")(lambda s, d: motifs.detect_motifs(_t(s, d), window_seconds=86400, min_mules=2, min_length=2, max_length=6).groupBy("motif").agg(F.count("*").alias("n"), total(F.col("value_usd")).alias("value_usd")))
 
 # -- correlation --------------------------------------------------------------------
 query("bridge_candidates", f"""WITH {TRANSFERS} SELECT a.tx_hash AS source_tx, b.tx_hash AS destination_tx, a.chain AS source_chain, b.chain AS destination_chain, a.value_usd, {_SECS.format("a.timestamp", "b.timestamp")} AS elapsed_seconds FROM transfers a JOIN transfers b ON a.chain <> b.chain
@@ -263,8 +263,8 @@ SELECT n AS address, name, entity_type, confidence, CAST(h AS INTEGER) AS hops,
 )
 query("mixer_interactions", f"""WITH RECURSIVE {_BOTH}, {ENTITIES}, r(n, h) AS (SELECT '{START}', 0 UNION SELECT e.b, r.h + 1 FROM r JOIN e ON e.a = r.n WHERE r.h < 3), m AS (SELECT n, min(h) AS h FROM r GROUP BY 1 HAVING min(h) > 0)
 SELECT name, CAST(h AS INTEGER) AS hops FROM m JOIN entities ON address = n WHERE entity_type = 'mixer' ORDER BY h, n LIMIT 10""")(lambda s, d: graph.paths_to_entities(_t(s, d), _start(s), views.entities(s, d), 3, ("mixer",), top=10).select("name", "hops"))
-query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True), 3))
-query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True), 3)))
+query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True)))
+query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True))))
 query("busy_chains", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 300), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10)
 SELECT x.a || ',' || x.b || ',' || y.b AS addresses, round(x.v + y.v, 2) AS value_usd FROM e x JOIN e y ON x.b = y.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND x.v + y.v > 600 ORDER BY x.v + y.v DESC, 1 LIMIT 20""")(
     lambda s, d: graph.busy_chains(_t(s, d), 2, 10, 300.0).select(F.array_join("addresses", ",").alias("addresses"), _r("value_usd", 2))

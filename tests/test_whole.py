@@ -35,3 +35,17 @@ def test_entities_beyond_the_first_hundred(spark, tables):
     assert core.queries()["attribution_summary"](spark, tables).collect()[0].total == 10
     flagged = {r.address for r in core.queries()["risk_assessment_full"](spark, tables).collect() if r.risk_score > 0}
     assert {hexed(203), hexed(206)} <= flagged
+
+
+def test_long_rings_and_far_services(spark, tmp_path):
+    """A ring of six addresses, then a chain of six hops to a service."""
+    ring = [(k, k % 6 + 1) for k in range(1, 7)]
+    chain = [(START, 301), *((300 + k, 301 + k) for k in range(1, 5)), (305, 210)]
+    events = [(i, (T0 + timedelta(seconds=60 * i)).replace(tzinfo=None), a, "click", 100.0, f'{{"k": {b}}}') for i, (a, b) in enumerate(ring + chain)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(210, "far", 0, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    q, d = core.queries(), str(tmp_path)
+    assert [r.addresses for r in q["cycles_upto6"](spark, d).collect()] == [[hexed(k) for k in range(1, 7)]]
+    assert {r.motif: r.n for r in q["motif_counts"](spark, d).collect()} == {"cycle": 1}
+    assert [(r.name, r.hops) for r in q["attributions"](spark, d).collect()] == [("far", 6)]
+    assert [(r.total, r.average_hops) for r in q["attribution_summary"](spark, d).collect()] == [(1, 6.0)]
