@@ -144,16 +144,17 @@ def _widest(flow: dict[tuple[str, str], float], source: str, sink: str) -> list[
     return None
 
 
-def max_flow(transfers: DataFrame, source: str, sink: str, max_nodes_hops: int = 12) -> DataFrame:
+def max_flow(transfers: DataFrame, source: str, sink: str) -> DataFrame:
     """One row: max_flow_usd, cut (edges whose freeze stops it, sorted),
     bottleneck_usd (least capacity on the cut) and up to five paths, widest
     first. Zero and empty arrays if nothing gets through.
 
-    Only edges on some path of at most ``max_nodes_hops`` hops from source to
-    sink are handed to one task; the rest can't carry flow between them.
+    Only edges that the source reaches and that lead to the sink, over any
+    number of hops, are handed to one task; the rest can't carry flow between
+    them.
     """
     kind = "max_flow_usd double, bottleneck_usd double, cut array<struct<from_address: string, to_address: string, capacity_usd: double>>, paths array<struct<path: array<string>, value_usd: double>>"
-    edges = between(flow_edges(transfers, hashes=False).select("from_address", "to_address", "capacity_usd"), source, sink, max_nodes_hops)
+    edges = between(flow_edges(transfers, hashes=False).select("from_address", "to_address", "capacity_usd"), source, sink)
 
     def solve(pdf):
         import pandas as pd

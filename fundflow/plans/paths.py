@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.plans.shared import stored
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:
-    """(start, address, hops): everything within ``max_hops`` of each start.
+def reach(edges: DataFrame, starts: DataFrame, max_hops: int | None, direction: str = "out") -> DataFrame:
+    """(start, address, hops): everything within ``max_hops`` of each start, or
+    everything that can be reached.
 
     ``edges(from_address, to_address)``, ``starts(start)``; ``direction`` is
     out, in or both. One join per hop; what was reached before is dropped by an
@@ -20,22 +23,24 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int, direction: str = "
     step = stored({"out": one, "in": two, "both": one.union(two)}[direction].distinct(), "steps")
     seen = stored(starts.select("start", F.col("start").alias("address"), F.lit(0).alias("hops")).distinct(), "reach")
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         found = front.join(step, F.col("address") == F.col("a")).select("start", F.col("b").alias("address")).distinct()
         front = stored(found.join(seen, ["start", "address"], "left_anti").withColumn("hops", F.lit(hop)), "reach")
         if front.isEmpty():
             break
         seen = seen.union(front)
+        if hop % 16 == 0:  # or the plan grows with the hops
+            seen = stored(seen, "reach")
     return seen
 
 
-def between(edges: DataFrame, source: str, sink: str, max_hops: int) -> DataFrame:
-    """The edges that lie on some walk from source to sink of so many hops."""
+def between(edges: DataFrame, source: str, sink: str) -> DataFrame:
+    """The edges that lie on some walk from source to sink."""
     spark = edges.sparkSession
     edges = stored(edges, "edges")
-    ahead = reach(edges, spark.createDataFrame([(source,)], "start string"), max_hops).select(F.col("address").alias("from_address"), F.col("hops").alias("h1"))
-    back = reach(edges, spark.createDataFrame([(sink,)], "start string"), max_hops, "in").select(F.col("address").alias("to_address"), F.col("hops").alias("h2"))
-    return edges.join(ahead, "from_address").join(back, "to_address").where(F.col("h1") + F.col("h2") + 1 <= max_hops).select(edges.columns)
+    ahead = reach(edges, spark.createDataFrame([(source,)], "start string"), None).select(F.col("address").alias("from_address"))
+    back = reach(edges, spark.createDataFrame([(sink,)], "start string"), None, "in").select(F.col("address").alias("to_address"))
+    return edges.join(ahead, "from_address").join(back, "to_address").select(edges.columns)
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:

@@ -117,7 +117,7 @@ p AS (SELECT [a, b] AS path, b AS node, w AS cost, c AS total_usd, c AS bottlene
 SELECT list_aggregate(path, 'string_agg', ',') AS path, CAST(hops AS INTEGER) AS hops, round(cost, 6) AS cost, total_usd, bottleneck_usd FROM p WHERE node = '0x' || lpad('3', 40, '0') ORDER BY p.cost, p.path LIMIT 1""")(
     lambda s, d: flow.weighted_path(_t(s, d), START, "0x" + "0" * 39 + "3").select(F.array_join("path", ",").alias("path"), "hops", _r("cost"), _r("total_usd", 2), "bottleneck_usd")
 )
-query("max_flow")(lambda s, d: flow.max_flow(_t(s, d), START, "0x" + "0" * 39 + "3", 4))
+query("max_flow")(lambda s, d: flow.max_flow(_t(s, d), START, "0x" + "0" * 39 + "3"))
 
 # -- wallets ------------------------------------------------------------------
 query("wallet_activity", f"""WITH {TRANSFERS}, l AS (SELECT from_address AS address, timestamp, value_usd AS sent, NULL AS received FROM transfers UNION ALL SELECT to_address, timestamp, NULL, value_usd FROM transfers)

@@ -5,7 +5,8 @@ from datetime import timedelta
 import pytest
 
 from fundflow import queries as core
-from helpers import T0
+from fundflow.operators import flow
+from helpers import T0, legs
 
 START = int(core.START, 16)
 hexed = lambda n, w=40: f"0x{n:0{w}x}"
@@ -49,3 +50,19 @@ def test_long_rings_and_far_services(spark, tmp_path):
     assert {r.motif: r.n for r in q["motif_counts"](spark, d).collect()} == {"cycle": 1}
     assert [(r.name, r.hops) for r in q["attributions"](spark, d).collect()] == [("far", 6)]
     assert [(r.total, r.average_hops) for r in q["attribution_summary"](spark, d).collect()] == [(1, 6.0)]
+
+
+def test_flow_over_many_hops(spark):
+    """A short way, and one of 18 hops that carries more."""
+    far = ["S", *(f"n{k:02d}" for k in range(17)), "T"]
+    rows = [("S", "a", 10, 0), ("a", "T", 10, 1), *((a, b, 70, k) for k, (a, b) in enumerate(zip(far, far[1:])))]
+    r = flow.max_flow(legs(spark, [*rows, ("T", "x", 5, 9), ("y", "S", 5, 9)]), "S", "T").collect()[0]
+    assert (r.max_flow_usd, [p.value_usd for p in r.paths], r.paths[0].path) == (80.0, [70.0, 10.0], far)
+    assert sum(c.capacity_usd for c in r.cut) == 80.0
+
+
+def test_query_of_flow_has_no_bound(spark, tmp_path):
+    way = [START, *range(301, 306), 3]
+    events = [(i, (T0 + timedelta(seconds=i)).replace(tzinfo=None), a, "click", 100.0, f'{{"k": {b}}}') for i, (a, b) in enumerate(zip(way, way[1:]))]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert core.queries()["max_flow"](spark, str(tmp_path)).collect()[0].max_flow_usd == 100.0
