@@ -6,19 +6,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder of the cluster.
 
-    The folder is read from ``spark.checkpoint.dir`` or the context; only a
-    session that names none (a test in local mode) gets one of its own.
+    The folder is read from ``spark.checkpoint.dir`` or the context. A session
+    that names none gets one of its own in local mode, as in tests; on a
+    cluster that is an error, as executors share no temporary folder.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         own = tempfile.mkdtemp(prefix="fundflow-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(base := f"file://{own}")
@@ -32,4 +38,16 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     and what was written survives the executors that wrote it."""
     path = shared_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing will read again; what isn't
+    one stays as it is."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
