@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.plans.shared import shared_dir, stored
+from fundflow.plans.shared import discard, shared_dir, stored
 
-__all__ = ["Cache", "SPACE_CLASS", "WORD_PATTERN", "only", "partitions", "shared_dir", "stored"]
+__all__ = ["Cache", "SPACE_CLASS", "WORD_PATTERN", "discard", "only", "packed", "partitions", "shared_dir", "stored", "unpacked"]
 
 #: Words are maximal runs of anything but these six characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -42,3 +42,25 @@ class Cache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def _place(columns: list[str], name: str) -> int:
+    if name not in columns:
+        raise ValueError(f"missing columns: {name}")
+    return columns.index(name)
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """``_row``, a struct of all columns, and these columns beside it. What else
+    is joined on can't clash with the table's own columns, see :func:`unpacked`."""
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return rows.select(F.struct(*rows.columns).alias("_row"), *[F.col(f"c{_place(df.columns, n)}").alias(n) for n in names])
+
+
+def unpacked(rows: DataFrame, columns: list[str], *more: Column, **other: Column) -> DataFrame:
+    """The columns of the table that :func:`packed` packed, some with other
+    values, and ``more`` after them (in place of columns of these names)."""
+    added = {rows.select(m).columns[0].lower() for m in more}
+    place = {_place(columns, n): c for n, c in other.items()}
+    own = [place.get(i, F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(columns) if c.lower() not in added]
+    return rows.select(*own, *more)

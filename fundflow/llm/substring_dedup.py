@@ -1,22 +1,32 @@
-"""Substring deduplication by hashing units of lines.
-
-Lines alone miss a passage that was pasted into the middle of one, so every
-line is cut further, at places that its words decide: before each word whose
-hash is less than those of the :data:`REACH` words on either side. The same
-passage is cut at the same places wherever it stands. Units are normalised to
-their lower-cased words, their digests are grouped over all documents, and
-every occurrence but the earliest (by doc_id, then offset) counts as repeated.
-Repeated units that touch form a span; spans of at least ``min_words`` words
-are removed. Offsets are code points of the original text: a span runs from
-its first unit to where the next one starts.
-
-A digest has 64 bits; a wrong span would need several units in a row to
-collide.
-
-Defined results: null and empty texts have no units; rows of one doc_id at one
-offset are one occurrence, so a repeated row isn't a repeat of itself; a null
-doc_id ranks first; a unit that a document repeats within itself counts; other
-columns are ignored by :func:`repeated_spans` and kept by :func:`without`.
+"""Substring deduplication by hashing lines, paragraphs and pieces of lines.
+
+Units are whole lines and paragraphs (lines between empty ones), and, for
+passages that were pasted into the middle of a line, windows of pieces. Every
+line is cut into pieces at places that its words decide: before each word
+whose hash is less than those of the :data:`REACH` words on either side, and
+after :data:`LONGEST` words without such a place. The same passage is cut at
+the same places wherever it stands. A window begins at each piece and has as
+many whole pieces as it takes to reach ``min_words`` words.
+
+Units are normalised to their lower-cased words. Their digests are counted
+over all documents; of the occurrences of a repeated one, the earliest (by
+doc_id, text, then offset) stays and the others are removed. Every word that is
+removed thus belongs to a run of words that stands, word for word and in one
+piece, in an earlier place. Removed units that touch form a span. Offsets are
+code points of the original text: a span runs from its first word to where the
+next one starts.
+
+A digest has 64 bits, over words of 64-bit hashes. Counting and the search for
+the earliest occurrence combine rows before they shuffle, so a passage that
+very many documents share costs each task one row.
+
+Defined results: null and empty texts have no units; rows of one doc_id and
+text are one document, so a repeated row isn't a repeat of itself, and rows of
+one doc_id with other texts are documents of their own; a null doc_id ranks
+first; a unit that a document repeats within itself counts, if it begins after
+the first occurrence ends; a text of any length is cut as a whole by the task
+that reads it; other columns are ignored by :func:`repeated_spans` and kept by
+:func:`without`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,22 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundflow.llm.common import only
+from fundflow.llm.common import only, packed, stored, unpacked
 from fundflow.llm.words import Texts, Words, batches, mixed
 
-REACH = 2
-#: Passages of over 50 words repeat with at least so many words of whole units.
+REACH, LONGEST = 2, 16
+#: Passages of over 50 words repeat with at least so many words of whole pieces.
 MIN_WORDS = 32
+#: Words that a whole line or paragraph must have. Lines of a dozen words (notices, headings) recur in half of all documents.
+MIN_LINE_WORDS = 20
 _M = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+UNITS = "digest long, doc_id long, version int, start int, stop int, word int, n_words int"
 
 
-def unit_starts(texts: Texts, words: Words) -> np.ndarray:
-    """The first words of all units."""
+def pieces(texts: Texts, words: Words) -> np.ndarray:
+    """The first words of all pieces."""
     h, n = words.hash, len(words)
     text = np.repeat(np.arange(len(texts)), np.diff(words.first))
     least = np.ones(n, bool)
@@ -49,71 +62,107 @@ def unit_starts(texts: Texts, words: Words) -> np.ndarray:
         least[k:] &= h[k:] < np.where(same, h[:-k], _LAST)
         least[:-k] &= h[:-k] < np.where(same, h[k:], _LAST)
     least[words.first[:-1][np.diff(words.first) > 0]] = True
-    ends = np.flatnonzero(texts.data == 0x0A)
-    after = np.searchsorted(words.starts, ends)
+    after = np.searchsorted(words.starts, np.flatnonzero(texts.data == 0x0A))
     least[after[after < n]] = True
-    return np.flatnonzero(least)
-
-
-def units(texts: Texts) -> tuple[np.ndarray, ...]:
-    """(text, digest, start, stop, words) of all units, in order."""
+    at = np.arange(n)
+    return np.flatnonzero((at - np.maximum.accumulate(np.where(least, at, 0))) % LONGEST == 0) if n else at
+
+
+def blocks(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of lines, and of paragraphs of several lines."""
+    begin = np.sort(np.concatenate([texts.offsets[:-1], np.flatnonzero(texts.data[:-8] == 0x0A) + 1]))
+    at = np.searchsorted(words.starts, begin)
+    a, b = at, np.append(at[1:], len(words))
+    line = np.flatnonzero(b > a)
+    if not len(line):
+        return line, line
+    text = np.searchsorted(words.first, a[line], "right")
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(line) > 1) | (np.diff(text) > 0)]))
+    tail = np.append(head[1:], len(line)) - 1
+    several = tail > head
+    return np.concatenate([a[line], a[line[head[several]]]]), np.concatenate([b[line], b[line[tail[several]]]])
+
+
+def windows(words: Words, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last) of the least run of pieces of
+    ``min_words`` words from each piece on, where its text has one."""
+    bounds = np.append(first, len(words))
+    stop = np.searchsorted(bounds, first + min_words)
+    end = words.first[np.searchsorted(words.first, first, "right")]  # of the text
+    good = stop < len(bounds)
+    good[good] = bounds[stop[good]] <= end[good]
+    return first[good], bounds[stop[good]]
+
+
+def units(texts: Texts, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, digest, start, stop, word, words) of all units."""
     words = Words(texts, lower=True)
     n = len(words)
-    first = unit_starts(texts, words)
-    bounds = np.append(first, n)
+    whole = np.stack(blocks(texts, words))
+    whole = whole[:, whole[1] - whole[0] >= min_line_words]
+    a, b = np.concatenate([np.stack(windows(words, pieces(texts, words), min_words)), whole], axis=1)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(n + 1, _M))
         back = np.cumprod(np.full(n + 1, _INVERSE))
         total = np.concatenate([[np.uint64(0)], np.cumsum(words.hash * powers[:n], dtype=np.uint64)])
-        size = np.diff(bounds)
-        digest = mixed((total[bounds[1:]] - total[first]) * back[first] + size.astype(np.uint64) * _M)
-    text = np.searchsorted(words.first, first, "right") - 1
+        digest = mixed((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * _M)
+    text = np.searchsorted(words.first, a, "right") - 1
     points = np.concatenate([[0], np.cumsum((texts.data[:-8] & 0xC0) != 0x80)])
     begin = points[texts.offsets]
-    start = points[words.starts[first]] - begin[text]
-    stop = start.copy()
-    stop[:-1] = start[1:]
-    last = np.ones(len(text), bool)
-    last[:-1] = text[1:] != text[:-1]
-    stop[last] = (begin[1:] - begin[:-1])[text[last]]
-    return text, digest, start, stop, size
+    next_word = np.append(points[words.starts], 0)
+    stop = np.where(b < words.first[text + 1], next_word[b], begin[text + 1]) - begin[text]
+    return text, digest, next_word[a] - begin[text], stop, a - words.first[text], b - a
+
+
+def version(text: Column) -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.hash(text)
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
+def unit_table(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    """Rows of :data:`UNITS`: ``word`` is the place of the first word in its text."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for a, b, texts in batches(batch.column(1)):
-                text, digest, start, stop, size = units(texts)
+            for a, b, texts in batches(batch.column(2)):
+                text, digest, *rest = units(texts, min_words, min_line_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.view(np.int64)), batch.column(0)[a:b].take(pa.array(text)), *[pa.array(x.astype(np.int32)) for x in (start, stop, size)]],
-                    ["digest", "doc_id", "start", "stop", "n_words"],
+                    [pa.array(digest.view(np.int64)), *[batch.column(i)[a:b].take(pa.array(text)) for i in (0, 1)], *[pa.array(x.astype(np.int32)) for x in rest]],
+                    ["digest", "doc_id", "version", "start", "stop", "word", "n_words"],
                 )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "digest long, doc_id long, start int, stop int, n_words int")
-
-
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed span: doc_id, start, stop, n_words, n_units, kept_in
-    (the documents that keep its units)."""
-    dealt = unit_table(docs).repartition("digest")
-    at = F.struct("doc_id", "start")
-    firsts = dealt.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("not (first <=> last)").select("digest", "first")
-    again = dealt.join(firsts.hint("shuffle_hash"), "digest").where(~at.eqNullSafe(F.col("first")))
-    order = Window.partitionBy("doc_id").orderBy("start")
-    marked = again.select("doc_id", "start", "stop", "n_words", F.col("first.doc_id").alias("kept")).distinct()
-    begins = F.coalesce(F.lag("stop").over(order) != F.col("start"), F.lit(True))
-    runs = marked.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(order))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_units"), F.sort_array(F.collect_set("kept")).alias("kept_in")
-    )
-    return spans.where(F.col("n_words") >= min_words).drop("run")
+    return only(docs, "doc_id", "text").select("doc_id", version(F.col("text")).alias("version"), "text").mapInArrow(run, UNITS)
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """One row per removed span: doc_id, version (of the text), start, stop,
+    n_words, n_units, kept_in (the documents that keep its units)."""
+    rows = unit_table(docs, min_words, min_line_words)
+    often = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    repeated = stored(rows.join(often.hint("shuffle_hash"), "digest"), "repeated-units")
+    firsts = repeated.groupBy("digest").agg(F.min(F.struct("doc_id", "version", "start", "stop")).alias("first"))
+    here = F.struct("doc_id", "version").eqNullSafe(F.struct("first.doc_id", "first.version"))
+    again = repeated.join(firsts.hint("shuffle_hash"), "digest").where(~here | (F.col("start") >= F.col("first.stop")))
+    marked = again.select("doc_id", "version", "start", "stop", "word", "n_words", F.col("first.doc_id").alias("kept")).distinct()
+    order = Window.partitionBy("doc_id", "version").orderBy("start", "stop")
+    reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marked.withColumn("begins", F.coalesce(reached < F.col("start"), F.lit(True))).withColumn("run", F.sum(F.col("begins").cast("int")).over(order))
+    return runs.groupBy("doc_id", "version", "run").agg(
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"),
+        F.count("*").alias("n_units"),
+        F.sort_array(F.collect_set("kept")).alias("kept_in"),
+    ).drop("run")
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans cut out of their texts."""
-    cut = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
-    both = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    piece = lambda c, i: F.substring(docs["text"], F.coalesce(F.get(F.col("_cut"), i - 1)["stop"], F.lit(0)) + 1, c["start"] - F.coalesce(F.get(F.col("_cut"), i - 1)["stop"], F.lit(0)))
-    rest = F.substring(docs["text"], F.element_at("_cut", -1)["stop"] + 1, F.length(docs["text"]))
-    text = F.when(F.col("_cut").isNull(), docs["text"]).otherwise(F.concat(F.array_join(F.transform("_cut", piece), ""), rest))
-    return both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    cut = spans.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
+    rows = packed(docs, "doc_id", "text")
+    both = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (version(F.col("text")) == F.col("_version")), "left")
+    before = lambda i: F.coalesce(F.get(F.col("_cut"), i - 1)["stop"], F.lit(0))
+    piece = lambda c, i: F.substring("text", before(i) + 1, c["start"] - before(i))
+    rest = F.substring("text", F.element_at("_cut", -1)["stop"] + 1, F.length("text"))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("_cut", piece), ""), rest))
+    return unpacked(both, docs.columns, text=text)

@@ -97,27 +97,6 @@ def test_passages_are_found_with_their_places(frame, odd, none):
     assert substring_dedup.repeated_spans(none).count() == 0
 
 
-def test_spans_against_a_plain_scan(frame, corpus):
-    import pyarrow as pa
-
-    from fundflow.llm.words import batches
-
-    seen, runs = {}, []
-    for doc, text in enumerate(corpus):
-        last = None
-        for _, _, t in batches(pa.array([text], pa.string())):
-            _, digest, start, stop, size = substring_dedup.units(t)
-            for g, a, b, n in zip(digest.tolist(), start.tolist(), stop.tolist(), size.tolist()):
-                if seen.setdefault(g, (doc, a)) != (doc, a):
-                    if last and last[2] == a:
-                        last[2], last[3] = b, last[3] + n
-                    else:
-                        runs.append(last := [doc, a, b, n])
-    want = {tuple(r) for r in runs if r[3] >= 32}
-    got = substring_dedup.repeated_spans(frame(corpus)).collect()
-    assert {(r.doc_id, r.start, r.stop, r.n_words) for r in got} == want and want
-
-
 def test_tree_prunes_no_link():
     import numpy as np
 
