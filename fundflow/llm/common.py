@@ -57,10 +57,12 @@ def packed(df: DataFrame, *names: str) -> DataFrame:
     return rows.select(F.struct(*rows.columns).alias("_row"), *[F.col(f"c{_place(df.columns, n)}").alias(n) for n in names])
 
 
-def unpacked(rows: DataFrame, columns: list[str], *more: Column, **other: Column) -> DataFrame:
-    """The columns of the table that :func:`packed` packed, some with other
-    values, and ``more`` after them (in place of columns of these names)."""
+def unpacked(rows: DataFrame, columns: list[str], *more: Column, without: tuple[str, ...] = (), **other: Column) -> DataFrame:
+    """The columns of the table that :func:`packed` packed, ``without`` some and
+    some with other values, and ``more`` after them (in place of columns of
+    these names)."""
     added = {rows.select(m).columns[0].lower() for m in more}
+    gone = {_place(columns, n) for n in without}
     place = {_place(columns, n): c for n, c in other.items()}
-    own = [place.get(i, F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(columns) if c.lower() not in added]
+    own = [place.get(i, F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(columns) if i not in gone and c.lower() not in added]
     return rows.select(*own, *more)

@@ -14,37 +14,80 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BITS = 1024
+BITS = 2048
 FAN = 8
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The OR of one bit for each token."""
+    flags = np.zeros(BITS, bool)
+    flags[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def unshared(bitmaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many tokens each set loses by sharing bits."""
+    return sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+
+
+def may_link(mine: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which pairs of nodes, given as (bitmaps, least sizes, greatest sizes,
+    most tokens lost) of either side, can hold sets that link."""
+    (am, al, ah, ae), (bm, bl, bh, be) = mine, theirs
+    shared = np.bitwise_count(am & bm).sum(axis=1, dtype=np.int64) + np.minimum(ae, be)
+    most = np.minimum(shared, np.minimum(ah, bh))
+    return (9 * most >= 4 * (al + bl)) & (100 * ah >= 80 * bl) & (100 * bh >= 80 * al)
+
+
 class Tree:
-    """``sets``: sorted distinct 64-bit tokens of each member."""
+    """Over members with these bitmaps, sizes and, for equal sizes, keys that
+    put alike ones side by side."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        # alike sets have alike smallest tokens and sizes
-        self.order = np.lexsort((np.array([s[0] for s in sets], np.uint64), sizes))
-        self.sets = [sets[i] for i in self.order.tolist()]
-        bitmaps = np.zeros((len(sets), BITS // 64), np.uint64)
-        for i, tokens in enumerate(self.sets):
-            flags = np.zeros(BITS, bool)
-            flags[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = True
-            bitmaps[i] = np.packbits(flags, bitorder="little").view(np.uint64)
-        size = sizes[self.order]
-        extra = size - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
-        self.levels = [(bitmaps, size, size, extra)]
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, keys: np.ndarray):
+        self.order = np.lexsort((keys, sizes))
+        bitmaps, size = bitmaps[self.order], sizes[self.order]
+        self.levels = [(bitmaps, size, size, unshared(bitmaps, size))]
         while len(self.levels[-1][1]) > 1:
             maps, low, high, extra = self.levels[-1]
             at = np.arange(0, len(low), FAN)
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
 
-    def may_link(self, level: int, mine: np.ndarray, other: Tree, theirs: np.ndarray) -> np.ndarray:
-        """Which pairs of nodes can hold sets that link."""
-        (am, al, ah, ae), (bm, bl, bh, be) = self.levels[level], other.levels[level]
-        shared = np.bitwise_count(am[mine] & bm[theirs]).sum(axis=1, dtype=np.int64) + np.minimum(ae[mine], be[theirs])
-        most = np.minimum(shared, np.minimum(ah[mine], bh[theirs]))
-        return (9 * most >= 4 * (al[mine] + bl[theirs])) & (100 * ah[mine] >= 80 * bl[theirs]) & (100 * bh[theirs] >= 80 * al[mine])
+    def nodes(self, level: int, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(x[which] for x in self.levels[level])
+
+    def deepened(self, level: int) -> None:
+        """The root repeated, up to this level."""
+        while len(self.levels) <= level:
+            self.levels.append(self.levels[-1])
+
+
+class SetTree(Tree):
+    """``sets``: sorted distinct 64-bit tokens of each member."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        super().__init__(np.stack([bitmap(t) for t in sets]), sizes, np.array([t[0] for t in sets], np.uint64))
+        self.sets = [sets[i] for i in self.order.tolist()]
+
+
+def possible(bitmaps: np.ndarray, sizes: np.ndarray, keys: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which members have another one, of another label, with which they may link."""
+    tree = Tree(bitmaps, sizes, keys)
+    label, found = labels[tree.order], np.zeros(len(sizes), bool)
+    side = np.arange(len(sizes) - 1)
+    near = (label[1:] != label[:-1]) & may_link(tree.nodes(0, side), tree.nodes(0, side + 1))
+    found[1:] |= near
+    found[:-1] |= near
+    rest = np.flatnonzero(~found)
+    if len(rest):
+        few = Tree(*(x[tree.order][rest] for x in (bitmaps, sizes, keys)))
+        mine = rest[few.order]
+        for i, j in pairs(few, tree, label[mine], label):
+            if label[mine[i]] != label[j]:
+                found[mine[i]] = found[j] = True
+    out = np.zeros(len(sizes), bool)
+    out[tree.order] = found
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -62,8 +105,7 @@ def pairs(one: Tree, two: Tree, roots: np.ndarray, others: np.ndarray) -> Iterat
     differed when this began; ``one`` may be ``two``."""
     level = max(len(one.levels), len(two.levels)) - 1
     for tree in (one, two):
-        while len(tree.levels) <= level:
-            tree.levels.append(tree.levels[-1])
+        tree.deepened(level)
     spans = [_spans(one, roots), _spans(two, others)]
     start = np.zeros((1, 2), np.int64)
     stack = [(level, start)]
@@ -73,7 +115,7 @@ def pairs(one: Tree, two: Tree, roots: np.ndarray, others: np.ndarray) -> Iterat
         a, b = nodes.T
         one_class = (alow[a] == ahigh[a]) & (blow[b] == bhigh[b]) & (alow[a] == blow[b])
         nodes = nodes[~one_class]
-        nodes = nodes[one.may_link(level, nodes[:, 0], two, nodes[:, 1])]
+        nodes = nodes[may_link(one.nodes(level, nodes[:, 0]), two.nodes(level, nodes[:, 1]))]
         if level == 0:
             yield from map(tuple, nodes.tolist())
             continue
@@ -127,7 +169,7 @@ class Classes:
 
 def link_all(sets: list[np.ndarray], labels: list[int]) -> Classes:
     """Joins the labels of all sets that link."""
-    classes, tree = Classes(), Tree(sets)
+    classes, tree = Classes(), SetTree(sets)
     label = [labels[i] for i in tree.order.tolist()]
     for i in range(1, len(sets)):
         if classes.root(label[i - 1]) != classes.root(label[i]) and linked(tree.sets[i - 1], tree.sets[i]):
@@ -141,7 +183,7 @@ def link_all(sets: list[np.ndarray], labels: list[int]) -> Classes:
 
 def link_across(sets: list[np.ndarray], labels: list[int], other_sets: list[np.ndarray], other_labels: list[int]) -> Classes:
     """Joins the labels of sets of one side that link with sets of the other."""
-    classes, one, two = Classes(), Tree(sets), Tree(other_sets)
+    classes, one, two = Classes(), SetTree(sets), SetTree(other_sets)
     label, other = [labels[i] for i in one.order.tolist()], [other_labels[i] for i in two.order.tolist()]
     for i, j in pairs(one, two, np.array(label, np.int64), np.array(other, np.int64)):
         if classes.root(label[i]) != classes.root(other[j]) and linked(one.sets[i], two.sets[j]):
