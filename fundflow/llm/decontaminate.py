@@ -8,9 +8,11 @@ and compared word by word, so passages with substituted words are found too.
 The masks are chosen so that each passage that counts as found holds the words
 of at least one of them: tests go through all patterns of matching words.
 
-The benchmark is broadcast in blocks of at most :data:`BLOCK_BYTES` of text (a
-longer single item is a block of its own); each block is one more pass over
-the documents, which are never shuffled.
+The benchmark is broadcast in blocks of at most :data:`BLOCK_CHARS` of text (a
+longer single item is a block of its own), whose tables of seeds take about 25
+times as much memory. One block is one pass over the documents, which aren't
+shuffled. Where there are more, each block has its pass, whose hits are written
+down, by digest of the text, before the next block is built and shipped.
 
 A verified overlap is the best run of an alignment (+1 a match, -2 a
 mismatch). An item counts as found in a document if the best run has at least
@@ -21,20 +23,24 @@ word to the last. Words are compared with A-Z lower-cased.
 Defined results: null or empty texts match nothing; items of fewer than
 :data:`SHORTEST` words are passages of nothing and match nothing; repeated
 items are found each by each (item_id decides ties); repeated documents are
-judged each; other columns are kept.
+judged each, by their texts alone, so doc_ids may repeat or be null; a text of
+any length is searched whole; other columns are kept, whatever their names,
+except that ``hits`` replaces a column of that name in :func:`with_hits`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from fundflow.llm.common import only
+from fundflow.llm.common import only, stored
 from fundflow.llm.words import Texts, Words, batches, mixed, ragged
 
 SHORTEST = 5
@@ -54,9 +60,11 @@ SHORT_MASKS = {
 }
 #: Words that are compared at once.
 COMPARED = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_CHARS = 4 << 20
 _MULTIPLIER = np.uint64(0x2545F4914F6CDD1D)
-HIT = "struct<item_id: bigint, n_matched: int, n_compared: int, start: bigint, stop: bigint>"
+_FIELDS = ("item_id", "n_matched", "n_compared", "start", "stop")
+_KIND = pa.list_(pa.struct([(f, pa.int32() if f.startswith("n_") else pa.int64()) for f in _FIELDS]))
+HITS = ArrayType(StructType([StructField(f, IntegerType() if f.startswith("n_") else LongType()) for f in _FIELDS]))
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -177,7 +185,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
 
     for row in only(benchmark, "item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = row.text or ""
-        if held and size + len(text) > BLOCK_BYTES // 4:
+        if held and size + len(text) > BLOCK_CHARS:
             yield block()
             ids.clear()
             held.clear()
@@ -189,26 +197,56 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield block()
 
 
+def _found(block: Broadcast, texts: pa.Array) -> pa.Array:
+    """The hits of each text."""
+    found = [[dict(zip(_FIELDS, h)) for h in hits] for _, _, part in batches(texts) for hits in block.value.verified(part)]
+    return pa.array(found, _KIND)
+
+
+def _with_block(rows: DataFrame, text: str, block: Broadcast) -> DataFrame:
+    """``rows`` and their hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _found(block, batch.column(batch.schema.get_field_index(text)))], [*batch.schema.names, "hits"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("hits", HITS)]))
+
+
+def _with_blocks(rows: DataFrame, text: str, items: Iterator[Block]) -> DataFrame:
+    """The same for any number of blocks."""
+    sc, passes = rows.sparkSession.sparkContext, None
+    digest = [F.xxhash64(F.lit(k), text).alias(f"v{k}") for k in (0, 1)]
+    for block in items:
+        shipped = sc.broadcast(block)
+        hits = _with_block(rows.select(text, *digest), text, shipped).where(F.size("hits") > 0).select("v0", "v1", "hits")
+        one = stored(hits.dropDuplicates(["v0", "v1"]), "benchmark-hits")
+        shipped.destroy()
+        passes = one if passes is None else passes.unionByName(one)
+    of = passes.groupBy("v0", "v1").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    none = F.array().cast(HITS)
+    return rows.withColumns(dict(zip(("v0", "v1"), digest))).join(of, ["v0", "v1"], "left").drop("v0", "v1").withColumn("hits", F.coalesce("hits", none))
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The columns of ``docs`` as c0, c1, ... with ``hits``, and the place of the text."""
+    place = docs.columns.index(only(docs, "text").columns[0])
+    rows, text = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{place}"
+    items = blocks(benchmark)
+    first, second = next(items, None), next(items, None)
+    if first is None:
+        return rows.withColumn("hits", F.array().cast(HITS)), place
+    if second is None:
+        return _with_block(rows, text, docs.sparkSession.sparkContext.broadcast(first)), place
+    return _with_blocks(rows, text, chain((first, second), items)), place
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (text only if asked) and ``hits``: an array of
     item_id, n_matched, n_compared, start and stop (in code points)."""
-    spark = docs.sparkSession
-    names = [c for c in docs.columns if c.lower() != "hits"]
-    docs = only(docs, *names).withColumn("hits", F.expr(f"cast(array() as array<{HIT}>)"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_matched", pa.int32()), ("n_compared", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-    for block in blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(rows: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for batch in rows:
-                at, found = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1).to_pylist()
-                for a, b, texts in batches(batch.column(at)):
-                    for i, hits in enumerate(shipped.value.verified(texts), a):
-                        found[i] += [dict(zip(("item_id", "n_matched", "n_compared", "start", "stop"), h)) for h in hits]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], batch.schema.names)
-
-        docs = docs.mapInArrow(run, StructType(docs.schema.fields))
-    return docs if keep_text else docs.drop("text")
+    rows, place = _searched(docs, benchmark)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != "hits" and (keep_text or i != place)]
+    return rows.select(*own, "hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,4 +256,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    return with_hits(docs, benchmark, keep_text=True).where(F.size("hits") == 0).drop("hits")
+    rows, _ = _searched(docs, benchmark)
+    return rows.where(F.size("hits") == 0).drop("hits").toDF(*docs.columns)

@@ -8,11 +8,16 @@ training texts. Workers score batches of texts by matrix products.
 
 Training uses at most :data:`PER_LANGUAGE` texts of each language, those with
 the smallest hashes of doc_id, and :data:`LANDMARKS` landmarks of them in all;
-this is the only sample. Whole texts are scored, every one.
+this is the only sample. Only texts with a letter and of at most
+:data:`TRAIN_CHARS` code points are learned from, one of each doc_id and
+language; where there are very many languages each gets fewer, so that
+:data:`TRAIN_TEXTS` bounds what the driver fetches. Whole texts are scored,
+every one, whatever their length.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
-0; without a training text everything is. Repeated rows are scored each; ties
-of scores go to the language that sorts first; other columns are ignored.
+0; without a training text everything is. Repeated rows, and rows of one doc_id
+with other texts, are scored each; ties of scores go to the language that sorts
+first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fundflow.llm.common import only
 
-PER_LANGUAGE = 300
+PER_LANGUAGE, TRAIN_TEXTS, TRAIN_CHARS = 300, 30_000, 100_000
 LANDMARKS = 128
 #: Letters with a code of their own, beside "no letter" and "another letter".
 LETTERS = 62
@@ -138,16 +143,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Model | None:
-    """``docs(doc_id, text, lang)``: learns from rows that aren't held out."""
+def sample(docs: DataFrame) -> DataFrame:
+    """The training texts: lang, doc_id, text."""
     rows = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAIN_CHARS)).withColumn("version", F.xxhash64("text"))
+    languages = max(1, rows.select(F.count_distinct("lang")).first()[0])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
-    found = rows.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).where("text is not null").select("lang", "doc_id", "text").collect()
-    found.sort(key=lambda r: (r.lang, r.doc_id, r.text))
-    if not any(c.isalpha() for r in found for c in r.text):
-        return None
-    return Model([r.text for r in found], [r.lang for r in found])
+    near = rows.select("lang", "doc_id", "version").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= max(1, min(PER_LANGUAGE, TRAIN_TEXTS // languages)))
+    picked = near.groupBy("lang", "doc_id").agg(F.min("version").alias("version"))
+    if languages <= TRAIN_TEXTS:
+        picked = F.broadcast(picked)  # at most TRAIN_TEXTS rows
+    return rows.join(picked, ["lang", "doc_id", "version"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame) -> Model | None:
+    """``docs(doc_id, text, lang)``: learns from rows that aren't held out."""
+    found = sample(docs).orderBy("lang", "doc_id").limit(TRAIN_TEXTS).collect()
+    found.sort(key=lambda r: (r.lang, r.doc_id))
+    return Model([r.text for r in found], [r.lang for r in found]) if found else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

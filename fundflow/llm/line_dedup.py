@@ -3,15 +3,16 @@
 Every line is reduced to a 128-bit hash of its key (the line without white
 space at its ends, A-Z lower-cased). The hashes are range-partitioned together
 with a cell of documents and sorted by document and position, so that a hash's
-first occurrence comes first; a very common line is dealt out over
-:data:`CELLS` ranges and its cells are added up afterwards. What comes back per
-document is a compressed bitmap of the lines to keep, never text.
+first occurrence comes first; a very common line is dealt out over its cells,
+each of about :data:`CELL_DOCS` documents, which are added up afterwards. What
+comes back per document is a compressed bitmap of the lines to keep, never text.
 
 Defined results: a null or empty text is one empty line; an empty key is never
 a duplicate; rows with the same doc_id and text count as one document and get
 the same bitmap; rows with the same doc_id and other texts are documents of
-their own; null doc_ids are ids like any other. Other columns pass through
-:func:`without_lines` as they are.
+their own; null doc_ids are ids like any other; a text of any length is split
+as a whole. Other columns pass through :func:`without_lines` as they are, but
+for columns named ``n_lines`` or ``n_dropped``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundflow.llm.common import only, stored
+from fundflow.llm.common import only, packed, stored, unpacked
 
-#: Ranges over which one hash's documents are dealt.
-CELLS = 64
-#: Repeated lines up to this number (24 bytes each) are broadcast; more are joined by shuffle.
+#: Documents of a hash that share a range, and the least number of cells.
+CELL_DOCS, CELLS = 50_000, 64
+#: So many repeated lines (24 bytes each) are broadcast. Where there are more,
+#: these are the most frequent ones and the rest is joined by shuffle.
 BROADCAST_LINES = 200_000
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -62,7 +64,8 @@ def _version() -> Column:
 def first_occurrences(hashes: DataFrame) -> DataFrame:
     """Per hash: a, b, n_docs, first (doc_id, version, pos)."""
     at = F.posexplode("hashes").alias("pos", "hash")
-    occurrences = hashes.select("doc_id", "version", F.pmod(F.xxhash64("doc_id", "version"), F.lit(CELLS)).alias("cell"), at).where("hash is not null")
+    cells = max(CELLS, hashes.count() // CELL_DOCS)
+    occurrences = hashes.select("doc_id", "version", F.pmod(F.xxhash64("doc_id", "version"), F.lit(cells)).alias("cell"), at).where("hash is not null")
     lines = occurrences.select(F.col("hash.a"), F.col("hash.b"), "cell", "doc_id", "version", "pos")
     dealt = lines.repartitionByRange("a", "b", "cell").sortWithinPartitions("a", "b", "cell", "doc_id", "version", "pos")
     # equal (hash, cell) rows share a partition and arrive by document and position
@@ -80,10 +83,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int, keep_first: bool = False) -> Da
     """
     hashes = line_hashes(only(docs, "doc_id", "text"))
     repeated = stored(first_occurrences(hashes).where(F.col("n_docs") >= min_docs), "repeated-lines")
-    if repeated.count() <= BROADCAST_LINES:
-        repeated = F.broadcast(repeated)
     lines = hashes.select("doc_id", "version", F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
-    gone = lines.join(repeated, (F.col("hash.a") == F.col("a")) & (F.col("hash.b") == F.col("b")))
+    same = (F.col("hash.a") == F.col("a")) & (F.col("hash.b") == F.col("b"))
+    if repeated.count() <= BROADCAST_LINES:
+        gone = lines.join(F.broadcast(repeated), same)
+    else:
+        # fewer than BROADCAST_LINES lines can have more than this share of all documents' lines
+        hot = F.col("n_docs") > repeated.agg(F.sum("n_docs")).first()[0] / BROADCAST_LINES
+        gone = lines.join(F.broadcast(repeated.where(hot)), same).unionByName(lines.join(repeated.where(~hot), same))
     if keep_first:
         gone = gone.where(~F.struct("doc_id", "version", "pos").eqNullSafe(F.col("first")))
     words = gone.groupBy("doc_id", "version", F.expr("pos div 64").alias("word")).agg(F.bit_or(_bit(F.col("pos"))).alias("bits"))
@@ -93,18 +100,19 @@ def keep_bitmaps(docs: DataFrame, min_docs: int, keep_first: bool = False) -> Da
     )
 
 
-def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the text that its bitmap keeps; n_lines, n_dropped beside."""
-    keyed = bitmaps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "n_dropped", "keep").hint("shuffle_hash")
-    both = docs.join(keyed, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
-    lines = lines_of(docs["text"])
+def without_lines(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with the text that its bitmap keeps; n_lines, n_dropped beside
+    if ``counts``."""
+    keyed = bitmaps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("n_dropped").alias("_dropped"), "keep").hint("shuffle_hash")
+    both = packed(docs, "doc_id", "text").join(keyed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
+    lines = lines_of(F.col("text"))
     last = (F.size(lines) - 1).cast("long")
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(last / 64)), lambda k: F.coalesce(F.col("keep")[k], F.lit(-1).cast("long")))
     kept = _with(dense, lambda bits: F.array_join(F.filter(lines, lambda line, i: F.get(bits, F.floor(i / 64).cast("int")).bitwiseAND(_bit(i)) != 0), "\n"))
-    rest = [docs[c] for c in docs.columns if c != "text"]
-    return both.select(*rest, F.when(F.col("keep").isNull(), docs["text"]).otherwise(kept).alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"))
+    beside = [F.size(lines).cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0).cast("long")).alias("n_dropped")] if counts else []
+    return unpacked(both, docs.columns, *beside, text=F.when(F.col("keep").isNull(), F.col("text")).otherwise(kept))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int, keep_first: bool = False, counts: bool = True) -> DataFrame:
     """``docs`` without its repeated lines, with n_lines and n_dropped."""
-    return without_lines(docs, keep_bitmaps(docs, min_docs, keep_first))
+    return without_lines(docs, keep_bitmaps(docs, min_docs, keep_first), counts)

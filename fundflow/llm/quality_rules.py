@@ -2,11 +2,14 @@
 
 :func:`ledger` reads every text once, measures it and sets one bit per rule
 that fails. A policy is a version's mask of rules; verdicts of any policy, and
-ablations of its rules, come from the bits alone.
+ablations of its rules, come from the bits alone. :func:`kept_ledger` stores
+the ledger, so that any number of policies and ablations read it and no text.
 
 Defined results: a null text is an empty one (no words, so the base fails);
 rows that repeat are judged each; an empty table gives an empty ledger. All
-other columns pass through unless they have a ledger column's name.
+other columns pass through, whatever their names, unless they have a ledger
+column's name, which the ledger's own replaces. A text of any length is judged
+as a whole.
 
 The measures are per text. The rules compare shares, so texts of any length
 are judged alike; windows of eight words are compared by 64-bit hashes.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundflow.llm.common import SPACE_CLASS, only
+from fundflow.llm.common import SPACE_CLASS, packed, stored, unpacked
 
 WINDOW = 8
 SYMBOLS = "[^#*$%&|<>]+"
@@ -89,13 +92,27 @@ def measures(text: Column) -> Column:
     )
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """Packed rows with the measures and failure_bits."""
+    measured = packed(docs, "text").select("_row", measures(F.col("text")).alias("_m"))
+    flat = measured.select("_row", "_m.w.*", "_m.l.*", "_m.n_symbols", "_m.n_capitals")
+    bits = sum((F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(RULES.values())), F.lit(0).cast("long"))
+    return flat.withColumn("failure_bits", bits)
+
+
 def ledger(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per row: its columns (text only if asked), the measures, failure_bits."""
-    keep = [c for c in docs.columns if (keep_text or c != "text") and c.lower() not in {*MEASURES, "failure_bits"}]
-    measured = only(docs, *dict.fromkeys([*keep, "text"])).select(*[F.col(f"`{c}`") for c in keep], measures(F.col("text")).alias("_m"))
-    flat = measured.select(*[F.col(f"`{c}`") for c in keep], "_m.w.*", "_m.l.*", "_m.n_symbols", "_m.n_capitals")
-    bits = sum((F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, rule in enumerate(RULES.values())), F.lit(0).cast("long"))
-    return flat.select(*[F.col(f"`{c}`") for c in keep], *MEASURES, bits.alias("failure_bits"))
+    return unpacked(_judged(docs), docs.columns, *map(F.col, (*MEASURES, "failure_bits")), without=() if keep_text else ("text",))
+
+
+def passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of ``docs``, as they are, that the policy doesn't reject."""
+    return unpacked(_judged(docs).where(~fails(POLICIES[policy])), docs.columns)
+
+
+def kept_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs``, without their texts, as a table in the shared folder."""
+    return stored(ledger(docs), "quality-ledger")
 
 
 def fails(rules: tuple[str, ...]) -> Column:

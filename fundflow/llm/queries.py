@@ -44,7 +44,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality_rules.ledger(only(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    entries = quality_rules.kept_ledger(only(_table(spark, sf_dir, "documents"), "doc_id", "text"))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality_rules.fails(quality_rules.BASE).alias("base_failed"),
@@ -53,6 +53,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, from the stored ledger."""
+    return quality_rules.ablations(quality_rules.kept_ledger(only(_table(spark, sf_dir, "documents"), "doc_id", "text")), POLICY)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "quality_rule_ablations": quality_rule_ablations,
     }
 
 
@@ -108,7 +114,7 @@ SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped,
 FROM lines LEFT JOIN gone g USING (key) GROUP BY doc_id
 """
 
-OP4_SQL = f"""
+_LEDGER = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_WORDS} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT doc_id, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
@@ -120,12 +126,22 @@ m AS (SELECT w.doc_id, len(ws) AS n_words, length(list_aggregate(list_append(ws,
   coalesce(rep.n, 0) AS n_repeat_words, coalesce(pair.n, 0) AS n_stutter, length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS n_capitals
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN pair USING (doc_id)),
 b AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality_rules.RULES.values()))} AS bits FROM m)
+"""
+
+OP4_SQL = f"""{_LEDGER}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (bits & {quality_rules.mask(*quality_rules.BASE)}) <> 0 AS base_failed,
   (bits & {quality_rules.mask(*quality_rules.POLICIES[POLICY])}) = 0 AS kept, bits::BIGINT AS failure_bits
 FROM b
 """
 
+_MASK = quality_rules.mask(*quality_rules.POLICIES[POLICY])
+ABLATIONS_SQL = f"""{_LEDGER}, r(rule, bit) AS (VALUES {", ".join(f"('{r}', {quality_rules.mask(r)})" for r in quality_rules.POLICIES[POLICY])})
+SELECT rule, count(*) FILTER ((bits & bit) <> 0) AS n_failed, count(*) FILTER ((bits & {_MASK}) = bit) AS n_only,
+  count(*) FILTER ((bits & {_MASK} & ~bit) <> 0) AS n_rejected_without
+FROM b, r GROUP BY rule
+"""
+
 
 OP2_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -161,4 +177,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard_join": OP2_SQL,
         "op3_chat_format": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
+        "quality_rule_ablations": ABLATIONS_SQL,
     }

@@ -63,10 +63,48 @@ def test_one_of_each_group_stays(frame, corpus, odd, none):
     assert kept == set(components(sets))
     rows = jaccard_join.near_duplicates(odd).collect()
     assert len(rows) == 11 and {r.component_id for r in rows if r.doc_id is None} == {None}
-    assert jaccard_join.without_near_duplicates(odd).columns == odd.columns
+    left = jaccard_join.without_near_duplicates(odd)
+    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 5, 6, 7, 8]
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_rows_without_ids_and_ids_of_several_texts(frame):
+    """Clean rows stay: those of a reused id, and those without an id that no other row copies."""
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    texts, ids = [a, a, b, c, c, d, e, e, "", "", " "], [5, None, None, None, None, 7, 7, 7, None, None, 8]
+    docs = frame(texts, ids)
+    got = sorted(((r.doc_id or 0), r.text) for r in jaccard_join.without_near_duplicates(docs).collect())
+    assert got == sorted([(5, a), (0, b), (0, c), (7, d), (7, e), (0, ""), (0, ""), (8, " ")])
+    found = sorted(((r.doc_id or 0), r.component_id or 0) for r in jaccard_join.near_duplicates(docs).collect())
+    assert found == sorted([(5, 5), (0, 5), *[(0, 0)] * 5, *[(7, 7)] * 3, (8, 8)])
+    wide = docs.toDF("doc_id", "text", "TEXT", "node", "version")
+    left = jaccard_join.without_near_duplicates(wide)
+    assert left.columns == wide.columns and left.count() == 8
+
+
+def test_columns_that_clash(frame):
+    """User columns pass, whatever their names; the counts replace columns of theirs."""
+    docs = frame([f"Common\nown {i}" for i in range(3)])
+    wide = docs.toDF("doc_id", "text", "keep", "TEXT", "n_lines")
+    rows = line_dedup.dedup_lines(wide, 2)
+    assert rows.columns == ["doc_id", "text", "keep", "TEXT", "n_lines", "n_dropped"]
+    assert {tuple(r)[1:] for r in rows.collect()} == {(f"own {i}", "en", "src0", 2, 1) for i in range(3)}
+    odd = docs.toDF("doc_id", "text", "_id", "_version", "version")
+    assert {tuple(r)[1:3] for r in line_dedup.dedup_lines(odd, 2).collect()} == {(f"own {i}", "en") for i in range(3)}
+
+
+def test_many_repeated_lines(frame, monkeypatch):
+    """Beyond the broadcast, all but the most frequent lines are joined by shuffle."""
+    rng = random.Random(13)
+    lines = [f"line {i}" for i in range(30)]
+    texts = ["\n".join(rng.sample(lines, 6) + ["everywhere"]) for _ in range(40)]
+    want = {tuple(r) for r in line_dedup.dedup_lines(frame(texts), 9, keep_first=True).collect()}
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 3)
+    monkeypatch.setattr(line_dedup, "CELL_DOCS", 1)
+    assert {tuple(r) for r in line_dedup.dedup_lines(frame(texts), 9, keep_first=True).collect()} == want
+
+
 def test_lines(frame, odd, none):
     texts = [f"Common line\nown line {i}\n\n \tCOMMON LINE " for i in range(12)] + ["rare", None, "", "common line"]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(texts), 10).collect()}

@@ -103,3 +103,69 @@ def test_leaks_against_a_plain_search(spark, frame, odd, none):
         assert texts[r.doc_id][r.start : r.stop].lower().split()[0] in items[r.item_id].split()
     assert decontaminate.clean(odd, bench).count() == 11 and decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(frame(texts), bench.limit(0)).count() == 0
+
+
+def test_hits_of_several_blocks_and_clashing_columns(spark, frame, monkeypatch):
+    """A benchmark beyond a block has the same hits; user columns pass as they are."""
+    rng = random.Random(31)
+    items = [prose(rng, rng.randrange(8, 30)) for _ in range(40)]
+    texts = [f"{prose(rng, 20)} {rng.choice(items)} {prose(rng, 9)} {rng.choice(items)}" if i % 3 else prose(rng, 40) for i in range(60)]
+    bench, docs = spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), frame(texts + texts[:9], [*range(60), *[None] * 9])
+    wide = docs.toDF("doc_id", "text", "hits", "TEXT", "v0")
+    want = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=str)
+    kept = sorted(map(tuple, decontaminate.clean(wide, bench).collect()), key=str)
+    assert len(want) > 60 and decontaminate.clean(wide, bench).columns == wide.columns and {r[1] for r in kept} == set(texts[::3])
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 600)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=str) == want
+    assert sorted(map(tuple, decontaminate.clean(wide, bench).collect()), key=str) == kept
+
+
+def test_ledger_of_clashing_columns(frame):
+    docs = frame(["one two three", "word " * 40]).toDF("doc_id", "text", "TEXT", "n_words", "_m")
+    rows = quality_rules.ledger(docs, keep_text=True).collect()
+    assert {(r[0], r[1], r[2], r.n_words) for r in rows} == {(0, "one two three", "en", 3), (1, "word " * 40, "en", 40)}
+    assert quality_rules.passing(docs, "v2").columns == docs.columns and quality_rules.passing(docs, "v2").count() == 0
+
+
+def test_kernel_and_ridge_against_a_plain_version():
+    """Scores by sets of n-grams, an inverse square root of the landmarks' kernel
+    and the normal equations, each written out."""
+    import numpy as np
+
+    rng = random.Random(32)
+    texts = [" ".join("".join(rng.choices(a, k=rng.randrange(2, 7))) for _ in range(rng.randrange(3, 12))) + rng.choice(["", "!", " 12"]) for a in ("abcde", "cdefgé", "ghijkaß") for _ in range(30)]
+    langs = [y for y in ("x", "y", "z") for _ in range(30)]
+    model = language_id.Model(texts, langs)
+    letters = set(model.grams.letters)
+
+    def grams(text):
+        seq = [c if c in letters else "?" if c.isalpha() else " " for c in text.lower()]
+        return {tuple(seq[i : i + n]) for n in (1, 2, 3) for i in range(len(seq) - n + 1)} - {(" ",) * n for n in (1, 2, 3)}
+
+    kernel = lambda xs, ys: np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in ys] for a in xs])
+    sets = [grams(t) for t in texts]
+    share = language_id.LANDMARKS // 3
+    marks = [s for y in "xyz" for s in [g for g, z in zip(sets, langs) if z == y][:share]]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    good = values > 1e-6 * values.max()
+    z = np.hstack([kernel(sets, marks) @ vectors[:, good] @ np.diag(values[good] ** -0.5), np.ones((len(sets), 1))])
+    y = np.array([[1.0 if k == c else -1.0 for c in "xyz"] for k in langs])
+    w = np.linalg.inv(z.T @ z + language_id.RIDGE * len(z) * np.eye(z.shape[1])) @ z.T @ y
+    new = [" ".join("".join(rng.choices("abcdefghijé", k=4)) for _ in range(6)) for _ in range(40)]
+    zn = np.hstack([kernel([grams(t) for t in new], marks) @ vectors[:, good] @ np.diag(values[good] ** -0.5), np.ones((len(new), 1))])
+    odds = np.exp(language_id.SHARPNESS * (zn @ w))
+    odds /= odds.sum(axis=1, keepdims=True)
+    names, scores = model.predict(new)
+    sure = np.sort(odds, axis=1)[:, -1] - np.sort(odds, axis=1)[:, -2] > 0.01
+    assert [n for n, s in zip(names, sure) if s] == ["xyz"[i] for i, s in zip(odds.argmax(axis=1), sure) if s] and sure.sum() > 20
+    assert np.abs(np.array(scores) - odds.max(axis=1)).max() < 0.01
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Many rows of one doc_id give one text; texts without a letter don't use the quota up."""
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 5)
+    rows = [(1, f"text number {i}", "xx") for i in range(400)] + [(i, None if i % 2 else "12", "yy") for i in range(300)] + [(1000 + i, f"word {i}", "yy") for i in range(40)] + [(2000, "a" * (language_id.TRAIN_CHARS + 1), "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs).collect()
+    by = {y: [r for r in got if r.lang == y] for y in ("xx", "yy", "zz")}
+    assert len(by["xx"]) <= 1 and len(by["yy"]) == 5 and all("word" in r.text for r in by["yy"]) and not by["zz"]
