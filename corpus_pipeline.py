@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundflow.llm import bpe_codec, decontaminate, jaccard_join, line_dedup, quality_rules
-from fundflow.llm.common import stored
+from fundflow.llm.common import discard, packed, stored, unpacked
 from fundflow.shipping import ship
 
 MIN_DOCS = 10
@@ -23,14 +23,13 @@ POLICY = "v2"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    judged = quality_rules.ledger(docs, keep_text=True)
-    return judged.where(~quality_rules.fails(quality_rules.POLICIES[POLICY])).select(docs.columns)
+    return quality_rules.passing(docs, POLICY)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of :data:`MIN_DOCS` or more documents go; n_chars follows."""
-    kept = line_dedup.dedup_lines(docs, MIN_DOCS)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    kept = line_dedup.dedup_lines(docs, MIN_DOCS, counts=False)
+    return unpacked(packed(kept, "text"), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +65,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs, f"pipeline-{name}")
+            discard(before)
     return docs
