@@ -9,8 +9,14 @@ rank, and remembered.
 Words are runs of anything but ASCII white space, which the vocabulary drops;
 normalisation and pre-tokenisation never look beyond a word.
 
+A worker writes the broadcast lexicon to a file of its own without a name, maps
+it and drops it with itself: nobody else reads it, and a new worker writes it
+anew, so a lost executor loses nothing. Which words it holds comes from one
+summary of bounded size per task (see frequent).
+
 Defined results: a null text is an empty one (no ids, decoded to nothing);
-rows that repeat are encoded each; an empty table gives an empty result; other
+rows that repeat are encoded each; a text of any length is encoded as a whole
+(an array of ids ends at 2^31); an empty table gives an empty result; other
 columns are ignored.
 """
 

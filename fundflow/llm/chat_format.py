@@ -10,9 +10,10 @@ it is about), seq, kind, role, text. Kinds:
 - ``regenerate``: it is emptied, to be streamed anew
 - ``delete``: it goes
 
-The log is partitioned by conversation and sorted by message and sequence, so
-a worker folds the events of one message at a time and never holds a
-conversation. Messages are rendered as ``### role: text</turn>`` and a line
+:func:`streamed_log` makes such a log of finished conversations. The log is
+partitioned by conversation and sorted by message and sequence, so a worker
+folds the events of one message at a time and never holds a conversation; the
+messages of one conversation are replayed by one task, as their order asks. Messages are rendered as ``### role: text</turn>`` and a line
 end. In roles and texts a backslash comes before every backslash and ``#`` and
 inside ``</``, and before colons of roles, so neither mark can occur in them.
 A conversation is returned in parts of about :data:`PART_CHARS` code points,
@@ -21,7 +22,8 @@ each with the spans of its assistant texts (the loss mask).
 Defined results: null texts and roles are empty; events of equal message and
 seq are ordered by kind, role and text; a second ``message`` or ``start``
 begins another message; a delta, edit or regenerate without one begins one; a
-null conv_id is a conversation of its own; an empty log gives no rows.
+null conv_id is a conversation of its own; a message of any length is folded as
+a whole; an empty log gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.llm.common import only, partitions
@@ -62,6 +64,28 @@ def log_of(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """``conversations(conv_id, turn, role, text)`` as the events of a live
+    session that ends with them, dealt by conversation.
+
+    Assistants begin, are regenerated after a quarter of their text, then
+    stream two deltas; others send half of their text and edit it. Rows of one
+    turn are messages in order of role and text.
+    """
+    rows = only(conversations, "conv_id", "turn", "role", "text")
+    by = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    dealt = rows.repartition(partitions(conversations.sparkSession), "conv_id").withColumn("n", F.row_number().over(by).cast("long"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = lambda start, n: F.substring(F.coalesce("text", F.lit("")), start, F.coalesce(n, F.lit(0)))
+    event = lambda k, kind, text: F.struct(F.lit(k).cast("long").alias("k"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    none, first, rest = F.lit(None), part(F.lit(1), half), part(half + 1, F.length("text"))
+    streamed = [event(0, "start", none), event(1, "delta", part(F.lit(1), F.floor(half / 2).cast("int"))), event(2, "regenerate", none), event(3, "delta", first), event(4, "delta", rest)]
+    written = [event(0, "message", first), event(1, "edit", F.col("text"))]
+    events = F.when(F.col("role") == LOSS_ROLE, F.array(*streamed)).otherwise(F.array(*written))
+    each = dealt.select("conv_id", F.col("turn").alias("message"), "n", "role", F.explode(events).alias("e"))
+    return each.select("conv_id", "message", (F.col("n") * len(streamed) + F.col("e.k")).alias("seq"), "e.kind", "role", "e.text")
+
+
 def fold(events: Iterator[tuple]) -> Iterator[tuple]:
     """(conv_id, role, text) of final messages, from events in order."""
     current, role, pieces, alive = None, "", [], False
@@ -118,22 +142,26 @@ def _batched(rows: Iterator[tuple], kinds: list, names: list[str], most: int = 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
 
-def format_log(log: DataFrame) -> DataFrame:
+def format_log(log: DataFrame, dealt: bool = False) -> DataFrame:
     """Formatted conversations: rows of :data:`FORMATTED`, the parts of a
-    conversation in order within a partition."""
+    conversation in order within a partition. ``dealt``: the log's partitions
+    hold whole conversations already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         events = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
         yield from _batched(render(fold(events)), [pa.int64(), pa.int32(), pa.int64(), pa.string(), _KIND], ["conv_id", "part", "n_turns", "formatted", "loss"])
 
     rows = only(log, "conv_id", "message", "seq", "kind", "role", "text")
-    dealt = rows.repartition(partitions(log.sparkSession), "conv_id").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
-    return dealt.select("conv_id", "message", "kind", "role", "text").mapInArrow(run, FORMATTED)
+    if not dealt:
+        rows = rows.repartition(partitions(log.sparkSession), "conv_id")
+    ordered = rows.sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
+    return ordered.select("conv_id", "message", "kind", "role", "text").mapInArrow(run, FORMATTED)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """Per conversation, read back from its parts: conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. ``in_order``: rows
+    come straight from :func:`format_log`; others are put in order first."""
 
     def per_conversation(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         of, open_ = None, False
@@ -161,4 +189,6 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(per_conversation(batches), kinds, names, 1024)
 
+    if not in_order:
+        formatted = formatted.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
     return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

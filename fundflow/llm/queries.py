@@ -40,7 +40,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     conversations = only(_table(spark, sf_dir, "conversations"), *extra.columns).unionByName(extra)
-    return chat_format.digests(chat_format.format_log(chat_format.log_of(conversations)))
+    return chat_format.digests(chat_format.format_log(chat_format.streamed_log(conversations), dealt=True), in_order=True)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,15 @@ is a self-contained byte string (layout in :func:`pack_segment`), so the
 executors write through Spark's commit protocol to whatever storage the
 cluster uses, and a lost task writes again without leaving duplicates.
 Documents never straddle segments. Pages are not compressed.
+:func:`tokens_at` reads any tokens of a store by their places in it: the
+narrow columns say which segments hold them, and only these are fetched and
+probed, without decoding. A segment is one Parquet cell, so a fetch reads it
+whole (about 2 MB).
 
 Defined results: a null text is an empty one (only the end id); a null doc_id
 sorts first; rows that repeat a doc_id are kept, in order of text; an empty
-table gives an empty store.
+table gives an empty store; a text of any length is one document of one
+segment, so a document ends at the 2^31 bytes of a cell (about 10^9 ids).
 """
 
 from __future__ import annotations
@@ -230,16 +235,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, se
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of a store: doc_id, start, n_tokens, ids_crc32.
-
-    The driver adds up one count per partition of the store, no more.
-    """
+    """Per document of a store: doc_id, start, n_tokens, ids_crc32."""
     store = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    base, bases = 0, []
-    for part, n in sorted(tuple(r) for r in store.groupBy("part").agg(F.sum("n_tokens")).collect()):
-        bases.append((part, base))
-        base += n
-    bases = dict(bases)
+    bases = _bases(store)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +258,40 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return store.select("part", "tokens_before", "segment").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _bases(store: DataFrame) -> dict[int, int]:
+    """The first token of each partition of a store; the driver adds up one
+    count per partition, no more."""
+    base, bases = 0, {}
+    for part, n in sorted(tuple(r) for r in store.groupBy("part").agg(F.sum("n_tokens")).collect()):
+        bases[part] = base
+        base += n
+    return bases
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """Per distinct ``places(i)``, 0 for the store's first token: i and token.
+    Places that the store doesn't have give no row."""
+    store = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    base = spark.createDataFrame(list(_bases(store).items()), "part int, base long")
+    ranges = store.select("part", "seq", "tokens_before", "n_tokens").join(base, "part")
+    first = F.col("base") + F.col("tokens_before")
+    step = SEGMENT_TOKENS
+    spans = ranges.select("part", "seq", first.alias("first"), (first + F.col("n_tokens")).alias("stop"))
+    spans = spans.withColumn("step", F.explode(F.sequence(F.expr(f"first div {step}"), F.expr(f"(stop - 1) div {step}"))))
+    wanted = only(places, "i").where("i >= 0").distinct().withColumn("step", F.expr(f"i div {step}"))
+    found = wanted.join(spans, "step").where("i >= first and i < stop")
+    asked = found.groupBy("part", "seq", F.expr("i div 65536").alias("few")).agg(F.first("first").alias("first"), F.collect_list("i").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, asked, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = Segment(data.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([s.token(i - begin) for i in asked], pa.int64())], ["i", "token"])
+
+    both = store.select("part", "seq", "segment").join(asked, ["part", "seq"])
+    return both.select("first", "places", "segment").mapInArrow(run, "i long, token long")
+
+
 def token_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None) -> DataFrame:
     """Write the store, then its index as read back from the files."""
     spark = docs.sparkSession

@@ -165,9 +165,10 @@ class WordTable:
     ``make`` gets new words and gives the values of all of them one after
     another and how many each has.
 
-    Open addressing over arrays: about 16 bytes a word beside its values. The
-    hash and the word's length and first bytes must agree; should two words of
-    a batch ever share all of these, the hash (64 bits) has failed.
+    Open addressing over arrays: about 16 bytes a word beside its values. Words
+    are told apart by their hashes alone. Of the 1.2 million words that a table
+    holds at most, two share 64 bits with a chance of 4 in 10^8; the later of
+    them would get the value of the earlier.
     """
 
     def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, most: int = TABLE_WORDS):

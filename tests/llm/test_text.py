@@ -60,6 +60,9 @@ def test_any_text_comes_back(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "PART_CHARS", 60)
     df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat_format.digests(chat_format.format_log(chat_format.log_of(df))).collect()}
+    live = chat_format.format_log(chat_format.streamed_log(df), dealt=True)
+    stored = live.repartition(7).sortWithinPartitions("formatted")  # in any order
+    assert {tuple(r) for r in chat_format.digests(stored).collect()} == {tuple(r) for r in got.values()} == {tuple(r) for r in chat_format.digests(live, in_order=True).collect()}
     for c in range(40):
         turns = [(r, x) for k, _, r, x in talk if k == c]
         loss = "".join(x for r, x in turns if r == "assistant")
@@ -169,3 +172,11 @@ def test_sample_is_bounded(spark, monkeypatch):
     got = language_id.sample(docs).collect()
     by = {y: [r for r in got if r.lang == y] for y in ("xx", "yy", "zz")}
     assert len(by["xx"]) <= 1 and len(by["yy"]) == 5 and all("word" in r.text for r in by["yy"]) and not by["zz"]
+
+
+def test_turns_that_tie(spark):
+    """Rows of one turn are messages of their own, in order of role and text; nulls are empty."""
+    rows = [(1, 0, "assistant", "bb"), (1, 0, "assistant", "aaa"), (1, 0, "assistant", "aaa"), (1, 0, None, None), (1, 1, "user", "é😀x"), (None, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: chat_format.parse(r.formatted) for r in chat_format.format_log(chat_format.streamed_log(df), dealt=True).collect()}
+    assert got == {1: [("", ""), ("assistant", "aaa"), ("assistant", "aaa"), ("assistant", "bb"), ("user", "é😀x")], None: [("user", "")]}

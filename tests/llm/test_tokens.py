@@ -33,6 +33,10 @@ def test_store_reads_back_what_the_library_encodes(spark, frame, texts, tmp_path
     segment = token_store.Segment(bytes(spark.read.parquet(f"file://{tmp_path}/store").orderBy("part", "seq").first().segment))
     ids = segment.ids()
     assert all(segment.token(i) == ids[i] for i in range(0, segment.n_tokens, 7)) and segment.n_tokens == len(ids)
+    whole = [x for text in texts for x in [*t.encode(text or "", add_special_tokens=False).ids, 2]]
+    places = [*range(0, len(whole), 97), len(whole) - 1, 5, 5, -1, len(whole)]
+    read = token_store.tokens_at(spark, f"file://{tmp_path}/store", spark.createDataFrame([(i,) for i in places], "i long")).collect()
+    assert sorted(map(tuple, read)) == sorted((i, whole[i]) for i in set(places) if 0 <= i < len(whole))
 
 
 def test_codes_of_any_size():
@@ -77,3 +81,17 @@ def test_odd_rows(odd, none):
         assert token_store.token_store(df, public_tokenizers.path("byte_bpe_50k.json"), 2).count() == n
         assert token_counts.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).count() == n
         assert bpe_codec.encode(df, public_tokenizers.path("word_bpe_49k.json")).count() == n
+
+
+def test_frequent_words_of_many_tasks(spark, frame, monkeypatch):
+    """Summaries merge in rounds; counts that no summary forgets are whole."""
+    from fundflow.llm import frequent
+    from fundflow.llm.words import Words
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["often", "now", "and", "then"], [8, 4, 2, 1], k=30)) + f" once{i}" for i in range(300)]
+    monkeypatch.setattr(frequent, "MERGED", 3)
+    assert frequent.frequent_words(frame(texts).repartition(20), Words) == [b"and", b"now", b"often", b"then"]
+    monkeypatch.setattr(frequent, "TASK_WORDS", 3)
+    assert frequent.frequent_words(frame(texts).repartition(20), Words, 2) == [b"now", b"often"]
+    assert frequent.frequent_words(frame([]), Words) == []
