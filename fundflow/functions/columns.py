@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,16 @@ def proximity(deviation: Column, limit: float) -> Column:
     if limit <= 0:
         return F.when(deviation <= 0, 1.0).otherwise(0.0)
     return F.greatest(F.lit(0.0), 1 - deviation / limit)
+
+
+def band(value: Column, share: float) -> Column:
+    """Numbers that values share or neighbour if the greater of two is at most
+    ``1 / (1 - share)`` times the less; one band for all from a share of 1 on."""
+    if share >= 1:
+        return F.lit(0).cast("long")
+    return F.floor(F.log(value) / (max(-math.log1p(-max(share, 0.0)), 1e-9) * (1 + 1e-6)))
+
+
+def around(number: Column) -> Column:
+    """A band and its neighbours."""
+    return F.array(number - 1, number, number + 1)

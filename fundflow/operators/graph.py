@@ -12,7 +12,7 @@ from fundflow.functions.columns import cents, confidence_rank
 from fundflow.operators.flow import projection_edges
 from fundflow.plans.components import components
 from fundflow.plans.paths import reach, shortest_paths
-from fundflow.plans.shared import stored
+from fundflow.plans.shared import discard, stored
 from fundflow.shipping import ship
 
 
@@ -21,28 +21,32 @@ def pagerank(transfers: DataFrame, rounds: int = 20, damping: float = 0.85) -> D
     score on by value; by number of edges if none of its edges has value; to
     everyone if it has no edge. Scores add up to 1.
 
-    A round is one join on the sender and one sum by receiver; lineage is cut
-    every few rounds.
+    A round is one join on the sender and one sum by receiver, written down. An
+    address without edges has one to a node of no name, so what it passes to
+    everyone comes out of the same sum; the driver gets that one number.
     """
     edges = projection_edges(transfers)
     nodes = stored(transfers.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct(), "rank-nodes")
     out = edges.groupBy("from_address").agg(F.sum(cents(F.col("value_usd"))).cast("double").alias("v"), F.count("*").alias("k"))
     weight = F.when(F.col("v") > 0, F.greatest(F.col("value_usd"), F.lit(0.0)) / F.col("v")).otherwise(1 / F.col("k"))
     flow = stored(edges.join(out, "from_address").select("from_address", "to_address", weight.alias("w")).where("w > 0"), "rank-flow")
-    sinks = nodes.join(flow.select(F.col("from_address").alias("address")).distinct(), "address", "left_anti").withColumn("sink", F.lit(True))
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
-    nodes = stored(nodes.join(sinks, "address", "left").select("address", F.coalesce("sink", F.lit(False)).alias("sink")), "rank-nodes")
-    ranks = nodes.withColumn("score", F.lit(1.0 / n))
-    for k in range(rounds):
-        given = ranks.join(flow, F.col("address") == F.col("from_address")).groupBy("to_address").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)).alias("loose"))
-        score = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        ranks = nodes.join(given, F.col("address") == F.col("to_address"), "left").join(F.broadcast(loose)).select("address", "sink", score.alias("score"))
-        if k % 4 == 3 or k == rounds - 1:
-            ranks = stored(ranks, "ranks")
-    return ranks.select("address", "score")
+    sinks = nodes.join(flow.select(F.col("from_address").alias("address")).distinct(), "address", "left_anti")
+    nobody = ""
+    steps = stored(flow.unionByName(sinks.select(F.col("address").alias("from_address"), F.lit(nobody).alias("to_address"), F.lit(1.0).alias("w"))), "rank-steps")
+    ranks, given = nodes.withColumn("score", F.lit(1.0 / n)), None
+    for _ in range(rounds):
+        passed = ranks.join(steps, F.col("address") == F.col("from_address")).groupBy("to_address").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
+        before, given = given, stored(passed, "ranks")
+        if before is not None:
+            discard(before)
+        loose = given.where(F.col("to_address") == nobody).first()
+        score = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + (loose.got if loose else 0.0) / n)
+        ranks = nodes.join(given, F.col("address") == F.col("to_address"), "left").select("address", score.alias("score"))
+    discard(flow)
+    return ranks
 
 
 def betweenness(transfers: DataFrame, sources_per_task: int = 64, most_edges: int = 1_000_000) -> DataFrame:

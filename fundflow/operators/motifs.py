@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundflow.functions.columns import cents, clamp, seconds
+from fundflow.functions.columns import around, band, cents, clamp, seconds
 from fundflow.operators.flow import movements
 from fundflow.plans.shared import stored
 
-# Bounds on what one edge, chain or ring may bring.
+# Bounds on what one edge, chain or ring may bring, as defaults
+# of parameters; None takes a bound off. Scores' weights below are fixed values too.
 TX_PER_EDGE, CHAIN_DEPTH, CYCLE_STARTS = 8, 64, 8
 CEILING = 0.95
 MOTIFS = ("fan_out_fan_in", "peel_chain", "cycle")
@@ -38,26 +41,44 @@ def _fan_paths(transfers: DataFrame, min_mules: int) -> DataFrame:
     return a.join(b, "mule").where("source <> sink")
 
 
-def mule_hops(transfers: DataFrame, window_seconds: int = 1800, min_mules: int = 3, value_tolerance: float = 0.25) -> DataFrame:
+def timed_hops(transfers: DataFrame, window_seconds: int, value_tolerance: float, tx_per_edge: int | None) -> DataFrame:
     """Per source, mule and sink the best pair of hops: the second within the
     window after the first, of nearly its value; least gap, then deviation,
-    then hash. The first eight transfers of an edge count."""
-    order = Window.partitionBy("from_address", "to_address").orderBy("timestamp", "tx_hash")
-    legs = movements(transfers).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TX_PER_EDGE)
-    a = legs.select(F.col("from_address").alias("source"), F.col("to_address").alias("mule"), F.col("tx_hash").alias("hash_in"), F.col("value_usd").alias("value_in"), F.col("timestamp").alias("at_in"))
-    b = legs.select(F.col("from_address").alias("mule"), F.col("to_address").alias("sink"), F.col("tx_hash").alias("hash_out"), F.col("value_usd").alias("value_out"), F.col("timestamp").alias("at_out"))
-    paths = _fan_paths(transfers, min_mules)
-    wide = paths.groupBy("source", "sink").agg(F.count("*").alias("n")).where(F.col("n") >= min_mules).select("source", "sink")
+    then hash.
+
+    Hops are joined on the mule, a time bucket as wide as the window and a band
+    of values as wide as the tolerance, so a busy mule's hops meet only those
+    that can match.
+    """
+    legs = movements(transfers)
+    if tx_per_edge is not None:
+        order = Window.partitionBy("from_address", "to_address").orderBy("timestamp", "tx_hash")
+        legs = legs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tx_per_edge)
+    bucket = F.floor(F.unix_micros("timestamp") / (max(1, window_seconds) * 1_000_000))
+    keys = F.explode(F.array(bucket, bucket + 1)).alias("_bucket"), around(band(F.col("value_usd"), value_tolerance)).alias("_bands")
+    a = legs.select(F.col("from_address").alias("source"), F.col("to_address").alias("mule"), F.col("tx_hash").alias("hash_in"), F.col("value_usd").alias("value_in"), F.col("timestamp").alias("at_in"), *keys).withColumn("_band", F.explode("_bands")).drop("_bands")
+    b = legs.select(F.col("from_address").alias("mule"), F.col("to_address").alias("sink"), F.col("tx_hash").alias("hash_out"), F.col("value_usd").alias("value_out"), F.col("timestamp").alias("at_out"), bucket.alias("_bucket"), band(F.col("value_usd"), value_tolerance).alias("_band"))
     gap, off = seconds(F.col("at_in"), F.col("at_out")), F.abs(F.col("value_out") - F.col("value_in")) / F.col("value_in")
-    pairs = paths.join(wide, ["source", "sink"]).join(a, ["source", "mule"]).join(b, ["mule", "sink"])
-    pairs = pairs.withColumn("gap", gap).withColumn("deviation", off).where((F.col("gap") >= 0) & (F.col("gap") <= window_seconds) & (F.col("deviation") <= value_tolerance))
-    best = Window.partitionBy("source", "mule", "sink").orderBy("gap", "deviation", "hash_out", "hash_in")
-    return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    pairs = a.join(b, ["mule", "_bucket", "_band"]).drop("_bucket", "_band").where("source <> sink").withColumn("gap", gap).withColumn("deviation", off)
+    pairs = pairs.where((F.col("gap") >= 0) & (F.col("gap") <= window_seconds) & (F.col("deviation") <= value_tolerance))
+    best = F.min(F.struct("gap", "deviation", "hash_out", "hash_in", "value_in", "value_out", "at_in", "at_out")).alias("best")
+    return pairs.groupBy("source", "mule", "sink").agg(best).select("source", "mule", "sink", "best.*")
+
+
+def mule_hops(transfers: DataFrame, window_seconds: int = 1800, min_mules: int = 3, value_tolerance: float = 0.25, tx_per_edge: int | None = TX_PER_EDGE) -> DataFrame:
+    """The :func:`timed_hops` between ends that enough mules connect, at
+    whatever time. The first ``tx_per_edge`` transfers of an edge count."""
+    hops = stored(timed_hops(transfers, window_seconds, value_tolerance, tx_per_edge), "timed-hops")
+    edges = movements(transfers).select("from_address", "to_address").distinct()
+    ends = hops.select("source", "sink").distinct()
+    paths = ends.join(edges.toDF("source", "mule"), "source").join(edges.toDF("mule", "sink"), ["mule", "sink"])
+    wide = paths.groupBy("source", "sink").agg(F.count("*").alias("n")).where(F.col("n") >= min_mules).select("source", "sink")
+    return hops.join(wide, ["source", "sink"])
 
 
-def fan_out_fan_in(transfers: DataFrame, window_seconds: int = 1800, min_mules: int = 3, value_tolerance: float = 0.25) -> DataFrame:
+def fan_out_fan_in(transfers: DataFrame, window_seconds: int = 1800, min_mules: int = 3, value_tolerance: float = 0.25, tx_per_edge: int | None = TX_PER_EDGE) -> DataFrame:
     """Fans whose legs fall into one burst (no gap longer than the window)."""
-    hops = mule_hops(transfers, window_seconds, min_mules, value_tolerance)
+    hops = stored(timed_hops(transfers, window_seconds, value_tolerance, tx_per_edge), "timed-hops")
     enough = hops.groupBy("source", "sink").count().where(F.col("count") >= min_mules).select("source", "sink")
     hops = stored(hops.join(enough, ["source", "sink"]), "mule-hops")
     events = hops.select("source", "sink", "mule", F.explode(F.array(F.struct(F.col("at_in").alias("at"), F.col("hash_in").alias("hash")), F.struct(F.col("at_out").alias("at"), F.col("hash_out").alias("hash")))).alias("e")).select("source", "sink", "mule", "e.at", "e.hash")
@@ -82,12 +103,13 @@ def fan_out_fan_in(transfers: DataFrame, window_seconds: int = 1800, min_mules:
     )
 
 
-def peel_chains(transfers: DataFrame, min_length: int = 3, peel_ratio_max: float = 0.4, window_seconds: int = 86400) -> DataFrame:
+def peel_chains(transfers: DataFrame, min_length: int = 3, peel_ratio_max: float = 0.4, window_seconds: int = 86400, max_depth: int | None = CHAIN_DEPTH) -> DataFrame:
     """Corridors in which every hop forwards most of what came and shaves a
     slice off to a side address; chains within others are left out.
 
     All walks advance together, one join per hop: the onward transfer is the
-    largest, the peel the largest that is small enough (hash decides ties).
+    largest, the peel the largest that is small enough (hash decides ties). A
+    chain is cut after ``max_depth`` hops.
     """
     legs = stored(movements(transfers).select("tx_hash", "from_address", "to_address", "value_usd", "timestamp"), "legs")
     out = legs.select(F.col("from_address").alias("node"), F.struct("value_usd", "tx_hash", F.col("to_address").alias("to"), F.col("timestamp").alias("at")).alias("next"))
@@ -98,7 +120,7 @@ def peel_chains(transfers: DataFrame, min_length: int = 3, peel_ratio_max: float
         F.array(F.struct("tx_hash", "value_usd", "timestamp")).alias("forwards"), F.expr("cast(array() as array<struct<tx_hash: string, value_usd: double, timestamp: timestamp, to: string, ratio: double>>)").alias("peels"),
     )
     walks, ended = stored(walks, "walks"), []
-    for _ in range(CHAIN_DEPTH):
+    for _ in count() if max_depth is None else range(max_depth):
         options = walks.join(out, "node").where((F.col("next.at") >= F.col("clock")) & (seconds(F.col("began"), F.col("next.at")) <= window_seconds) & ~F.array_contains("visited", F.col("next.to")))
         small = F.col("next.value_usd") / F.col("held") <= peel_ratio_max
         key = [c for c in walks.columns if c in ("entry", "node", "began")]
@@ -141,11 +163,11 @@ def peel_chains(transfers: DataFrame, min_length: int = 3, peel_ratio_max: float
     )
 
 
-def cycles(transfers: DataFrame, max_length: int = 6, window_seconds: int = 86400) -> DataFrame:
+def cycles(transfers: DataFrame, max_length: int = 6, window_seconds: int = 86400, max_starts: int | None = CYCLE_STARTS) -> DataFrame:
     """Rings that close forward in time within the window.
 
-    A ring starts at its least address. From each of the first eight transfers
-    of its first hop, every later hop takes the earliest transfer that follows;
+    A ring starts at its least address. From each of the first ``max_starts``
+    transfers of its first hop, every later hop takes the earliest transfer that follows;
     the first start that closes in time counts. Walks advance one hop per join
     and die when the window is over, so no list of all rings is ever made.
     """
@@ -153,7 +175,7 @@ def cycles(transfers: DataFrame, max_length: int = 6, window_seconds: int = 8640
     legs = stored(movements(transfers).select("from_address", "to_address", "tx_hash", "value_usd", "timestamp").withColumn("n", F.row_number().over(order)), "ring-legs")
     hop = F.struct(F.col("timestamp").alias("at"), F.col("tx_hash").alias("hash"), F.col("value_usd").alias("value"), F.col("n").alias("n"))
     edges = legs.select(F.col("from_address").alias("node"), F.col("to_address").alias("to"), hop.alias("hop"))
-    walks = legs.where((F.col("to_address") > F.col("from_address")) & (F.col("n") <= CYCLE_STARTS)).select(
+    walks = legs.where((F.col("to_address") > F.col("from_address")) & (F.lit(True) if max_starts is None else F.col("n") <= max_starts)).select(
         F.col("from_address").alias("start"), F.col("to_address").alias("node"), F.col("n").alias("k"), F.array("from_address", "to_address").alias("path"), F.array(hop).alias("hops")
     )
     walks, closed = stored(walks, "ring-walks"), []

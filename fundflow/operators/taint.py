@@ -3,13 +3,15 @@
 A ledger is replayed in order of time (timestamp, tx_hash, from, to, value),
 which no aggregate can express. What can't matter is dropped first: only
 addresses within ``max_hops`` of a source can hold taint, so only transfers
-that touch one of them are kept; those fall into connected components, and one
-task replays one component.
+that touch one of them are kept; those fall into connected components. A task
+streams the transfers of its components, in order, and holds what each address
+of the current one owns, never the transfers.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,27 +68,48 @@ class _Purse:
         return min(carried, value)
 
 
-def _replay(rows: pd.DataFrame, model: str, max_hops: int, least: float) -> pd.DataFrame:
-    fifo, purses = model == FIFO, {}
-    for r in rows[rows.seed].sort_values("to_address").itertuples():
-        purse = purses.setdefault(r.to_address, _Purse())
-        purse.take_in(r.value_usd, r.value_usd, fifo)
-        purse.hops = 0
-    moves = rows[~rows.seed].sort_values(["timestamp", "tx_hash", "from_address", "to_address", "value_usd"])
-    for a, b, value in zip(moves.from_address, moves.to_address, moves.value_usd):
-        payer, payee = purses.setdefault(a, _Purse()), purses.setdefault(b, _Purse())
-        carried = payer.pay_out(value, fifo)
-        passed = carried if payer.hops is not None and payer.hops < max_hops else 0.0
-        payee.take_in(value, passed, fifo)
+class _Ledger:
+    """The purses of one component."""
+
+    def __init__(self, model: str, max_hops: int):
+        self.fifo, self.model, self.max_hops, self.purses = model == FIFO, model, max_hops, defaultdict(_Purse)
+
+    def plant(self, who: str, value: float) -> None:
+        self.purses[who].take_in(value, value, self.fifo)
+        self.purses[who].hops = 0
+
+    def move(self, a: str, b: str, value: float) -> None:
+        payer, payee = self.purses[a], self.purses[b]
+        carried = payer.pay_out(value, self.fifo)
+        passed = carried if payer.hops is not None and payer.hops < self.max_hops else 0.0
+        payee.take_in(value, passed, self.fifo)
         if passed > EPSILON:
             payee.hops = payer.hops + 1 if payee.hops is None else min(payee.hops, payer.hops + 1)
-    out = []
-    for who, p in purses.items():
-        dirty = min(p.dirty_received, p.received)
-        if p.hops is not None and dirty >= least:
-            ratio = dirty / p.received if p.received > EPSILON else 0.0
-            out.append((who, min(1.0, max(0.0, ratio)), dirty, p.received, p.hops, model))
-    return pd.DataFrame(out, columns=["address", "taint_ratio", "tainted_value_usd", "received_value_usd", "hops", "model"])
+
+    def results(self, least: float) -> Iterator[tuple]:
+        for who, p in self.purses.items():
+            dirty = min(p.dirty_received, p.received)
+            if p.hops is not None and dirty >= least:
+                ratio = dirty / p.received if p.received > EPSILON else 0.0
+                yield who, min(1.0, max(0.0, ratio)), dirty, p.received, p.hops, self.model
+
+
+def _replay(frames: Iterator[pd.DataFrame], model: str, max_hops: int, least: float) -> Iterator[pd.DataFrame]:
+    """Rows (root, seed, from, to, value) in order, seeds of a root first."""
+    root, ledger, names = None, None, ["address", "taint_ratio", "tainted_value_usd", "received_value_usd", "hops", "model"]
+    for frame in frames:
+        out: list[tuple] = []
+        for of, seed, a, b, value in zip(frame.root, frame.seed, frame.from_address, frame.to_address, frame.value_usd):
+            if of != root or ledger is None:
+                out += ledger.results(least) if ledger else ()
+                root, ledger = of, _Ledger(model, max_hops)
+            if seed:
+                ledger.plant(b, value)
+            else:
+                ledger.move(a, b, value)
+        yield pd.DataFrame(out, columns=names)
+    if ledger:
+        yield pd.DataFrame(list(ledger.results(least)), columns=names)
 
 
 def propagate(transfers: DataFrame, sources: DataFrame, model: str = HAIRCUT, max_hops: int = 6, min_taint_usd: float = 1.0) -> DataFrame:
@@ -105,7 +128,9 @@ def propagate(transfers: DataFrame, sources: DataFrame, model: str = HAIRCUT, ma
     planted = seeds.join(roots, F.col("address") == F.col("_node"), "left").select(
         F.coalesce("root", "address").alias("root"), F.lit("").alias("tx_hash"), F.lit("").alias("from_address"), F.col("address").alias("to_address"), F.col("amount_usd").alias("value_usd"), F.lit(None).cast("timestamp").alias("timestamp"), F.lit(True).alias("seed")
     )
-    return rows.unionByName(planted).groupBy("root").applyInPandas(lambda pdf: _replay(pdf, model, max_hops, min_taint_usd), RESULT)
+    parts = int(transfers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.unionByName(planted).repartition(parts, "root").sortWithinPartitions("root", F.desc("seed"), "timestamp", "tx_hash", "from_address", "to_address", "value_usd")
+    return dealt.select("root", "seed", "from_address", "to_address", "value_usd").mapInPandas(lambda frames: _replay(frames, model, max_hops, min_taint_usd), RESULT)
 
 
 def default_sources(transfers: DataFrame, wallets: DataFrame, top: int = 3) -> DataFrame:

@@ -61,17 +61,17 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int, direction
     return seen
 
 
-def cheapest(edges: DataFrame, source: str, target: str, most_rounds: int = 64) -> DataFrame:
+def cheapest(edges: DataFrame, source: str, target: str) -> DataFrame:
     """The cheapest path (path, hops, cost, total_usd, bottleneck_usd) by weight.
 
-    Rounds of relaxation: labels that got cheaper are extended by one edge; a
-    label that costs more than the target's is dropped.
+    Rounds of relaxation, until nothing gets cheaper: labels that did are
+    extended by one edge; a label that costs more than the target's is dropped.
     """
     spark = edges.sparkSession
     first = spark.createDataFrame([(source, 0.0, [source], 0.0, float("inf"))], "address string, cost double, path array<string>, total_usd double, bottleneck_usd double")
     best, edges = stored(first, "cheapest"), stored(edges, "edges")
     front = best
-    for _ in range(most_rounds):
+    while not front.isEmpty():
         label = F.struct("cost", "path", "total_usd", "bottleneck_usd")
         grown = front.join(edges, F.col("address") == F.col("from_address")).where(~F.array_contains("path", F.col("to_address"))).select(
             F.col("to_address").alias("address"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("to_address")).alias("path"),
@@ -82,7 +82,5 @@ def cheapest(edges: DataFrame, source: str, target: str, most_rounds: int = 64)
         bound = best.where(F.col("address") == target).agg(F.min("cost").alias("bound"))
         better = grown.join(old, "address", "left").join(F.broadcast(bound)).where("old is null or cost < old or (cost = old and path < old_path)").where("bound is null or cost <= bound")
         front = stored(better.select(best.columns), "cheapest")
-        if front.isEmpty():
-            break
         best = stored(best.join(front.select("address"), "address", "left_anti").select(front.columns).union(front), "cheapest")
     return best.where(F.col("address") == target).select("path", (F.size("path") - 1).alias("hops"), "cost", "total_usd", "bottleneck_usd")
