@@ -5,14 +5,14 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.functions.columns import positive, total, value_weight
 from fundflow.plans.paths import between
 from fundflow.shipping import ship
 
-#: Paths into which a flow is decomposed at most (the report's length).
+#: Paths into which a flow is decomposed by default (the report's length).
 MOST_PATHS = 5
 EPSILON = 1e-9
 
@@ -50,8 +50,17 @@ def temporal_flow(transfers: DataFrame, unit: str = "day", address: str | None =
         rows = rows.where(F.col("timestamp") >= F.lit(start))
     if end is not None:
         rows = rows.where(F.col("timestamp") <= F.lit(end))
-    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("timestamp", "tx_hash"))), 1, samples), lambda x: x["tx_hash"])
-    return rows.groupBy(F.date_trunc(unit, "timestamp").alias("bucket"), "from_address").agg(F.count("*").alias("tx_count"), total(F.coalesce("value_usd", F.lit(0.0))).alias("value_usd"), first.alias("sample_hashes"))
+    rows = rows.withColumn("bucket", F.date_trunc(unit, "timestamp"))
+    counts = rows.groupBy("bucket", "from_address").agg(F.count("*").alias("tx_count"), total(F.coalesce("value_usd", F.lit(0.0))).alias("value_usd"))
+    return counts.join(first_hashes(rows, ["bucket", "from_address"], samples).withColumnRenamed("hashes", "sample_hashes"), ["bucket", "from_address"])
+
+
+def first_hashes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Per group, ``hashes`` of its first transfers; no more than ``most`` of a
+    group leave a task."""
+    order = Window.partitionBy(*keys).orderBy("timestamp", "tx_hash")
+    few = rows.select(*keys, "timestamp", "tx_hash").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return few.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "tx_hash"))), lambda x: x["tx_hash"]).alias("hashes"))
 
 
 def timeline(transfers: DataFrame, unit: str = "day") -> DataFrame:
@@ -144,10 +153,10 @@ def _widest(flow: dict[tuple[str, str], float], source: str, sink: str) -> list[
     return None
 
 
-def max_flow(transfers: DataFrame, source: str, sink: str) -> DataFrame:
+def max_flow(transfers: DataFrame, source: str, sink: str, most_paths: int | None = MOST_PATHS) -> DataFrame:
     """One row: max_flow_usd, cut (edges whose freeze stops it, sorted),
-    bottleneck_usd (least capacity on the cut) and up to five paths, widest
-    first. Zero and empty arrays if nothing gets through.
+    bottleneck_usd (least capacity on the cut) and up to ``most_paths`` paths
+    (None: all), widest first. Zero and empty arrays if nothing gets through.
 
     Only edges that the source reaches and that lead to the sink, over any
     number of hops, are handed to one task; the rest can't carry flow between
@@ -166,7 +175,7 @@ def max_flow(transfers: DataFrame, source: str, sink: str) -> DataFrame:
         cut = sorted((a, b, c) for (a, b), c in capacity.items() if a in near and b not in near)
         net = {(a, b): f - flow.get((b, a), 0.0) for (a, b), f in flow.items()}
         paths = []
-        while len(paths) < MOST_PATHS and (path := _widest(net, source, sink)):
+        while (most_paths is None or len(paths) < most_paths) and (path := _widest(net, source, sink)):
             width = min(net[e] for e in zip(path, path[1:]))
             for e in zip(path, path[1:]):
                 net[e] -= width

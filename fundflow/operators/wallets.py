@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.functions.columns import cents, positive, seconds, total
+from fundflow.operators.flow import first_hashes
 
 
 # -- scans ---------------------------------------------------------------
@@ -110,15 +111,18 @@ def degrees(transfers: DataFrame) -> DataFrame:
     return legs.groupBy("address").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
 
 
-def entity_exposure(transfers: DataFrame, entities: DataFrame) -> DataFrame:
-    """Per labelled service: wallets that dealt with it, transactions, value."""
+def entity_exposure(transfers: DataFrame, entities: DataFrame, samples: int = 20) -> DataFrame:
+    """Per labelled service: wallets that dealt with it, transactions, value,
+    and the first few wallets."""
     sides = [transfers.select("tx_hash", "value_usd", F.col(a).alias("address"), F.col(b).alias("other")) for a, b in (("from_address", "to_address"), ("to_address", "from_address"))]
     met = sides[0].unionByName(sides[1])
     found = entities.select("name", "entity_type", "address").join(met, "address", "left")
-    return found.groupBy("name", "entity_type").agg(
-        F.countDistinct("other").alias("wallet_count"), F.countDistinct("tx_hash").alias("tx_count"), F.coalesce(total(F.col("value_usd")), F.lit(0.0)).alias("value_usd"),
-        F.slice(F.sort_array(F.collect_set("other")), 1, 20).alias("sample_wallets"),
-    )
+    counts = found.groupBy("name", "entity_type").agg(F.countDistinct("other").alias("wallet_count"), F.countDistinct("tx_hash").alias("tx_count"), F.coalesce(total(F.col("value_usd")), F.lit(0.0)).alias("value_usd"))
+    first = Window.partitionBy("name", "entity_type").orderBy("other")
+    few = found.select("name", "entity_type", "other").where("other is not null").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= samples)
+    listed = few.groupBy(F.col("name").alias("_name"), F.col("entity_type").alias("_type")).agg(F.sort_array(F.collect_list("other")).alias("sample_wallets"))
+    both = counts.join(listed, F.col("name").eqNullSafe(F.col("_name")) & F.col("entity_type").eqNullSafe(F.col("_type")), "left")
+    return both.select(*counts.columns, F.coalesce("sample_wallets", F.expr("cast(array() as array<string>)")).alias("sample_wallets"))
 
 
 # -- patterns ------------------------------------------------------------
@@ -128,9 +132,10 @@ def repeated_amounts(transfers: DataFrame, hours: int = 24, least: int = 3, top:
     value = F.round("value_usd") if rounded else F.col("value_usd")
     ends = transfers.groupBy("chain").agg(F.max("timestamp").alias("end"))
     recent = transfers.join(F.broadcast(ends), "chain").where(F.col("timestamp") >= F.col("end") - F.expr(f"interval {hours} hours"))
-    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("timestamp", "tx_hash"))), 1, 5), lambda x: x["tx_hash"])
-    groups = recent.groupBy("chain", "from_address", value.alias("amount")).agg(F.count("*").alias("repeats"), first.alias("tx_hashes")).where(F.col("repeats") >= least)
-    return groups.orderBy(F.desc("repeats"), F.desc("amount"), "from_address", "chain").limit(top)
+    recent, keys = recent.withColumn("amount", value), ["chain", "from_address", "amount"]
+    groups = recent.groupBy(*keys).agg(F.count("*").alias("repeats")).where(F.col("repeats") >= least).orderBy(F.desc("repeats"), F.desc("amount"), "from_address", "chain").limit(top)
+    listed = first_hashes(recent.join(F.broadcast(groups.select(*keys)), keys, "left_semi"), keys, 5)
+    return groups.join(listed.withColumnRenamed("hashes", "tx_hashes"), keys).orderBy(F.desc("repeats"), F.desc("amount"), "from_address", "chain")
 
 
 def rapid_movements(transfers: DataFrame, max_seconds: int = 300) -> DataFrame:

@@ -30,11 +30,11 @@ TRANSACTIONS = f"""transactions AS (SELECT {_HEX.format("event_id", 64)} AS tx_h
   CASE WHEN event_id % 7 = 0 THEN 'USDC' WHEN event_id % 7 = 1 AND event_id % 2 = 0 THEN 'SCAMCOIN' END AS token_symbol,
   CASE event_type WHEN 'purchase' THEN 'bridgeOut' WHEN 'click' THEN 'transfer' WHEN 'signup' THEN 'swap' END AS method FROM events)"""
 COSPEND = f"""cospend AS (SELECT {_HEX.format("l_orderkey", 64)} AS tx_hash, {_HEX.format("l_partkey", 40)} AS from_address, {_HEX.format("l_suppkey + 1000000", 40)} AS to_address,
-  l_extendedprice AS value_usd, l_shipdate AS timestamp FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01')"""
+  l_extendedprice AS value_usd, l_shipdate AS timestamp FROM lineitem)"""
 PAYMENTS = f"""payments AS (SELECT 'UPI' || event_id AS reference_id, 'payer-' || user_id AS payer_account, 'payee-' || json_extract_string(props, '$.k') AS payee_account,
-  round(value * (82 + event_id % 4), 2) AS amount_inr, ts + to_seconds(event_id % 1300 - 600) AS timestamp FROM events WHERE event_id % 10 = 0)"""
+  round(value * (82 + event_id % 4), 2) AS amount_inr, ts + to_seconds(event_id % 1300 - 600) AS timestamp FROM events)"""
 ENTITIES = f"""entities AS (SELECT s_name AS name, CASE s_suppkey % 10 WHEN 0 THEN 'exchange' WHEN 1 THEN 'exchange' WHEN 2 THEN 'exchange' WHEN 3 THEN 'mixer' WHEN 4 THEN 'bridge' WHEN 5 THEN 'defi' WHEN 6 THEN 'sanctioned' WHEN 7 THEN 'gambling' ELSE 'merchant' END AS entity_type,
-  {_HEX.format("s_suppkey", 40)} AS address, CASE s_suppkey % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'HIGH_CONFIDENCE' ELSE 'PROBABLE' END AS confidence FROM supplier WHERE s_suppkey < 100)"""
+  {_HEX.format("s_suppkey", 40)} AS address, CASE s_suppkey % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'HIGH_CONFIDENCE' ELSE 'PROBABLE' END AS confidence FROM supplier)"""
 WALLETS = f"""wallets AS (SELECT o_orderkey AS wallet_id, o_custkey AS case_id, {_HEX.format("o_orderkey % 150", 40)} AS address, CASE WHEN o_orderkey % 4 = 0 THEN 'Polygon' ELSE 'Ethereum' END AS chain,
   CASE o_orderstatus WHEN 'F' THEN 'attributed' WHEN 'O' THEN 'unattributed' ELSE 'pending' END AS attribution_status, CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS DOUBLE) AS risk_score, o_orderdate AS created_at FROM orders)"""
 CASES = """cases AS (SELECT c_custkey AS case_id, 'TRX-2024' || lpad(CAST(c_custkey % 1231 AS VARCHAR), 4, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS case_number, 'Case of ' || c_name AS title, lower(c_mktsegment) AS crime_type,
@@ -127,20 +127,23 @@ SELECT address, coalesce(s.n, 0) AS sent_count, coalesce(s.v, 0) AS sent_usd, co
 query("wallet_degree", f"""WITH {TRANSFERS}, e AS (SELECT DISTINCT from_address, to_address FROM transfers WHERE from_address <> to_address), l AS (SELECT from_address AS address, 0 AS i, 1 AS o FROM e UNION ALL SELECT to_address, 1, 0 FROM e)
 SELECT address, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM l GROUP BY 1""")(lambda s, d: wallets.degrees(_t(s, d)))
 query("entity_exposure", f"""WITH {TRANSFERS}, {ENTITIES}, m AS (SELECT tx_hash, value_usd, from_address AS address, to_address AS other FROM transfers UNION ALL SELECT tx_hash, value_usd, to_address, from_address FROM transfers)
-SELECT name, entity_type, count(DISTINCT other) AS wallet_count, count(DISTINCT tx_hash) AS tx_count, coalesce({_SUM}, 0) AS value_usd FROM entities LEFT JOIN m USING (address) GROUP BY 1, 2""")(lambda s, d: wallets.entity_exposure(_t(s, d), views.entities(s, d)).drop("sample_wallets"))
+SELECT name, entity_type, count(DISTINCT other) AS wallet_count, count(DISTINCT tx_hash) AS tx_count, coalesce({_SUM}, 0) AS value_usd, coalesce(list_aggregate(list_sort(list(DISTINCT other) FILTER (other IS NOT NULL))[1:20], 'string_agg', ','), '') AS sample_wallets FROM entities LEFT JOIN m USING (address) GROUP BY 1, 2""")(lambda s, d: wallets.entity_exposure(_t(s, d), views.entities(s, d)).withColumn("sample_wallets", F.array_join("sample_wallets", ",")))
 query("entity_enrichment", f"WITH {TRANSFERS}, {ENTITIES} SELECT t.tx_hash, e.name, e.entity_type FROM transfers t LEFT JOIN entities e ON t.to_address = e.address")(
-    lambda s, d: _t(s, d).join(F.broadcast(views.entities(s, d).select(F.col("address").alias("to_address"), "name", "entity_type")), "to_address", "left").select("tx_hash", "name", "entity_type")
+    lambda s, d: _t(s, d).join(views.entities(s, d).select(F.col("address").alias("to_address"), "name", "entity_type"), "to_address", "left").select("tx_hash", "name", "entity_type")
 )
-query("repeated_amounts", f"""WITH {TRANSFERS}, z AS (SELECT chain, max(timestamp) AS e FROM transfers GROUP BY 1)
-SELECT t.chain, from_address, round(value_usd) AS amount, count(*) AS repeats, list_aggregate(list(tx_hash ORDER BY timestamp, tx_hash)[1:5], 'string_agg', ',') AS tx_hashes FROM transfers t JOIN z USING (chain) WHERE timestamp >= e - INTERVAL 720 HOURS
-GROUP BY 1, 2, 3 HAVING count(*) >= 3 ORDER BY repeats DESC, amount DESC, from_address, chain LIMIT 20""")(lambda s, d: wallets.repeated_amounts(_t(s, d), hours=720, rounded=True).withColumn("tx_hashes", F.array_join("tx_hashes", ",")))
+for _name, _amount, _rounded in (("repeated_amounts", "round(value_usd)", True), ("repeated_exact_amounts", "value_usd", False)):
+    query(_name, f"""WITH {TRANSFERS}, z AS (SELECT chain, max(timestamp) AS e FROM transfers GROUP BY 1)
+SELECT t.chain, from_address, {_amount} AS amount, count(*) AS repeats, list_aggregate(list(tx_hash ORDER BY timestamp, tx_hash)[1:5], 'string_agg', ',') AS tx_hashes FROM transfers t JOIN z USING (chain) WHERE timestamp >= e - INTERVAL 720 HOURS
+GROUP BY 1, 2, 3 HAVING count(*) >= {3 if _rounded else 2} ORDER BY repeats DESC, amount DESC, from_address, chain LIMIT 20""")(
+        lambda s, d, r=_rounded: wallets.repeated_amounts(_t(s, d), hours=720, least=3 if r else 2, rounded=r).withColumn("tx_hashes", F.array_join("tx_hashes", ","))
+    )
 query("rapid_movement", f"""WITH {TRANSFERS} SELECT a.from_address AS w1, a.to_address AS w2, b.to_address AS w3, a.tx_hash AS tx1, b.tx_hash AS tx2, a.value_usd AS value1, b.value_usd AS value2, {_SECS.format("a.timestamp", "b.timestamp")} AS seconds
 FROM transfers a JOIN transfers b ON a.to_address = b.from_address WHERE a.from_address <> b.to_address AND a.tx_hash <> b.tx_hash AND {_SECS.format("a.timestamp", "b.timestamp")} BETWEEN 0 AND 300""")(lambda s, d: wallets.rapid_movements(_t(s, d)))
 query("balance_violations", f"""WITH {TRANSFERS}, l AS (SELECT asset, to_address AS address, CAST(value_usd AS DECIMAL(38,2)) AS v FROM transfers UNION ALL SELECT asset, from_address, -CAST(value_usd AS DECIMAL(38,2)) FROM transfers)
 SELECT address, asset, CAST(sum(v) AS DOUBLE) AS balance_usd FROM l GROUP BY 1, 2 HAVING sum(v) < 0""")(lambda s, d: wallets.balance_violations(_t(s, d)))
 query("case_risk_summary", f"""WITH {WALLETS} SELECT case_id, count(*) AS wallet_count, count(*) FILTER (risk_score >= 75) AS critical, count(*) FILTER (risk_score >= 40 AND risk_score < 75) AS medium, count(*) FILTER (risk_score >= 20 AND risk_score < 40) AS low, count(*) FILTER (risk_score < 20) AS minimal,
-count(*) FILTER (attribution_status = 'attributed') AS attributed, list_aggregate(list(wallet_id ORDER BY risk_score DESC, wallet_id)[1:5], 'string_agg', ',') AS worst_wallets FROM wallets GROUP BY 1""")(
-    lambda s, d: wallets.case_risk(views.wallets(s, d)).drop("average_risk").withColumn("worst_wallets", F.array_join(F.col("worst_wallets").cast("array<string>"), ","))
+count(*) FILTER (attribution_status = 'attributed') AS attributed, round(CAST(sum(CAST(coalesce(risk_score, 0) AS DECIMAL(38,2))) AS DOUBLE) / count(*), 1) AS average_risk, list_aggregate(list(wallet_id ORDER BY risk_score DESC, wallet_id)[1:5], 'string_agg', ',') AS worst_wallets FROM wallets GROUP BY 1""")(
+    lambda s, d: wallets.case_risk(views.wallets(s, d)).withColumn("worst_wallets", F.array_join(F.col("worst_wallets").cast("array<string>"), ","))
 )
 query("case_overview", f"""WITH {CASES}, {WALLETS}, p AS (SELECT case_id, count(*) AS w, count(*) FILTER (risk_score >= 75) AS h, string_agg(DISTINCT chain, ',' ORDER BY chain) AS c, count(*) FILTER (attribution_status = 'pending') AS q FROM wallets GROUP BY 1)
 SELECT case_id, case_number, status, coalesce(w, 0) AS wallet_count, coalesce(h, 0) AS high_risk, coalesce(q, 0) AS pending, coalesce(c, '') AS chains FROM cases LEFT JOIN p USING (case_id)""")(lambda s, d: wallets.case_overview(views.cases(s, d), views.wallets(s, d)).withColumn("chains", F.array_join("chains", ",")))
@@ -161,11 +164,22 @@ c AS (SELECT *, count(*) OVER (PARTITION BY a ORDER BY t RANGE BETWEEN INTERVAL
 p AS (SELECT *, max(n) OVER (PARTITION BY a ORDER BY t RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOURS FOLLOWING) AS m FROM c) SELECT DISTINCT a, b FROM p WHERE m >= 2""")(
     lambda s, d: clusters.gas_funding_links(_t(s, d), 86400, 2, 500.0)
 )
-query("clusters", f"""WITH RECURSIVE {COSPEND}, m AS (SELECT tx_hash, min(from_address) AS a FROM cospend GROUP BY 1 HAVING count(DISTINCT from_address) > 1), l AS (SELECT DISTINCT m.a, c.from_address AS b FROM cospend c JOIN m USING (tx_hash) WHERE c.from_address <> m.a),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), k AS (SELECT x AS node, min(y) AS root FROM r GROUP BY 1),
-t AS (SELECT DISTINCT c.tx_hash, c.from_address, c.to_address, c.rid, c.value_usd, k.root FROM (SELECT *, row_number() OVER () AS rid FROM cospend) c JOIN k ON k.node IN (c.from_address, c.to_address))
-SELECT 'cluster:' || root AS cluster_id, root, string_agg(node, ',' ORDER BY node) AS members, count(*) AS member_count, (SELECT {_SUM} FROM t WHERE t.root = k.root) AS total_value_usd FROM k GROUP BY root""")(
-    lambda s, d: clusters.build_clusters(views.cospend_transfers(s, d), gas_funding=False).drop("heuristics").withColumn("members", F.array_join("members", ","))
+# every node takes its neighbours' least root until none is less
+_COMPONENTS = """e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), k(node, root) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY 1
+  UNION SELECT e.b, min(k.root) FROM k JOIN e ON e.a = k.node JOIN recurring.k AS z ON z.node = e.b WHERE k.root < z.root GROUP BY e.b)"""
+_CLUSTERS = f"""n AS (SELECT *, row_number() OVER () AS rid FROM moved), t AS (SELECT rid, value_usd, root FROM n JOIN k ON node = from_address UNION SELECT rid, value_usd, root FROM n JOIN k ON node = to_address),
+v AS (SELECT root, {_SUM} AS total_value_usd FROM t GROUP BY 1), h AS (SELECT root, string_agg(DISTINCT heuristic, ',' ORDER BY heuristic) AS heuristics FROM l JOIN k ON node = a GROUP BY 1)
+SELECT 'cluster:' || root AS cluster_id, root, string_agg(node, ',' ORDER BY node) AS members, count(*) AS member_count, any_value(heuristics) AS heuristics, any_value(total_value_usd) AS total_value_usd FROM k JOIN h USING (root) JOIN v USING (root) GROUP BY root"""
+_flat = lambda df: df.withColumn("members", F.array_join("members", ",")).withColumn("heuristics", F.array_join("heuristics", ","))
+query("clusters", f"""WITH RECURSIVE {COSPEND}, moved AS MATERIALIZED (SELECT * FROM cospend), m AS (SELECT tx_hash, min(from_address) AS a FROM moved GROUP BY 1 HAVING count(DISTINCT from_address) > 1),
+l AS MATERIALIZED (SELECT DISTINCT m.a, c.from_address AS b, 'cospend' AS heuristic FROM moved c JOIN m USING (tx_hash) WHERE c.from_address <> m.a), {_COMPONENTS}, {_CLUSTERS}""")(
+    lambda s, d: _flat(clusters.build_clusters(views.cospend_transfers(s, d), gas_funding=False))
+)
+query("clusters_by_gas_funding", f"""WITH RECURSIVE {TRANSFERS}, moved AS MATERIALIZED (SELECT * FROM transfers), f AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY to_address ORDER BY timestamp, tx_hash) = 1), o AS (SELECT from_address AS x, min(timestamp) AS t FROM moved GROUP BY 1),
+g AS (SELECT f.from_address AS a, f.to_address AS b, f.timestamp AS t FROM f LEFT JOIN o ON o.x = f.to_address WHERE f.value_usd <= 500 AND f.from_address <> f.to_address AND (o.t IS NULL OR o.t >= f.timestamp)),
+c AS (SELECT *, count(*) OVER (PARTITION BY a ORDER BY t RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM g), p AS (SELECT *, max(n) OVER (PARTITION BY a ORDER BY t RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOURS FOLLOWING) AS m FROM c),
+l AS MATERIALIZED (SELECT DISTINCT a, b, 'gas_funding' AS heuristic FROM p WHERE m >= 2), {_COMPONENTS}, {_CLUSTERS}""")(
+    lambda s, d: _flat(clusters.build_clusters(_t(s, d), window_seconds=86400, min_children=2, max_funding_usd=500.0))
 )
 _ROLE = f"""{TRANSFERS}, real AS (SELECT * FROM transfers WHERE from_address <> to_address), l AS (SELECT to_address AS address, from_address AS other, 1 AS i, value_usd, timestamp FROM real UNION ALL SELECT from_address, to_address, 0, value_usd, timestamp FROM real),
 f AS (SELECT address, count(DISTINCT other) FILTER (i = 1) AS in_degree, count(DISTINCT other) FILTER (i = 0) AS out_degree, coalesce(CAST(sum(CAST(value_usd AS DECIMAL(38,2))) FILTER (i = 1) AS DOUBLE), 0) AS value_in_usd, coalesce(CAST(sum(CAST(value_usd AS DECIMAL(38,2))) FILTER (i = 0) AS DOUBLE), 0) AS value_out_usd,
@@ -175,8 +189,20 @@ x AS (SELECT f.*, coalesce(rt, 0) AS round_trip, hold_seconds, CASE WHEN value_i
 query("wallet_role_features", f"WITH {_ROLE} SELECT address, in_degree, out_degree, CAST(round_trip AS BIGINT) AS round_trip, value_in_usd, value_out_usd, active_seconds, hold_seconds, round(fwd, 6) AS forwarded_ratio FROM x")(
     lambda s, d: clusters.role_features(_t(s, d)).select("address", "in_degree", "out_degree", "round_trip", "value_in_usd", "value_out_usd", "active_seconds", "hold_seconds", _r("forwarded_ratio"))
 )
-query("wallet_role", f"""WITH {_ROLE} SELECT address, CASE WHEN in_degree >= 5 AND out_degree >= 5 THEN 'mixer' WHEN in_degree >= 3 AND out_degree = 1 AND fwd >= 0.7 THEN 'exchange_deposit' WHEN out_degree >= 5 AND out_degree >= 3 * greatest(in_degree, 1) THEN 'distributor'
-WHEN in_degree > 0 AND out_degree > 0 AND out_degree <= 3 AND fwd >= 0.7 AND hold_seconds <= 86400 THEN 'mule' WHEN in_degree > 0 AND fwd < 0.3 THEN 'holder' ELSE 'unknown' END AS role FROM x""")(lambda s, d: clusters.wallet_roles(_t(s, d)).select("address", "role"))
+_up = lambda *parts: "round(least(1.0, greatest(0.0, " + " + ".join([parts[0], *[f"greatest(0.0, {p})" for p in parts[1:]]]) + ")), 2)"
+_RULES = (
+    ("in_degree >= 5 AND out_degree >= 5", "mixer", "fan_in_and_fan_out", _up("0.55", "least(in_degree, out_degree) / 40", "round_trip / 20")),
+    ("in_degree >= 3 AND out_degree = 1 AND fwd >= 0.7", "exchange_deposit", "sweeps_to_single_sink", _up("0.55", "in_degree / 40", "fwd / 10")),
+    ("out_degree >= 5 AND out_degree >= 3 * greatest(in_degree, 1)", "distributor", "fan_out", _up("0.55", "out_degree / 50", "fwd / 10")),
+    ("in_degree > 0 AND out_degree > 0 AND out_degree <= 3 AND fwd >= 0.7 AND hold_seconds <= 86400", "mule", "pass_through", _up("0.5", "fwd / 5", "(86400 - hold_seconds) / 864000")),
+    ("in_degree > 0 AND fwd < 0.3", "holder", "retains_balance", _up("0.5", "0.3 - fwd")),
+)
+_by_rule = lambda k, otherwise: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k] if k == 3 else repr(r[k])}" for r in _RULES) + f" ELSE {otherwise} END"
+query("wallet_role", f"""WITH {_ROLE}, y AS (SELECT *, CASE WHEN active_seconds > 0 THEN value_out_usd / (active_seconds / 3600) ELSE value_out_usd END AS velocity FROM x)
+SELECT address, {_by_rule(1, "'unknown'")} AS role, CAST({_by_rule(3, "0.2")} AS DOUBLE) AS confidence, concat_ws('; ', printf('in_degree=%d', in_degree), printf('out_degree=%d', out_degree), printf('forwarded_ratio=%.2f', fwd::DOUBLE),
+  printf('value_in_usd=%.2f', value_in_usd::DOUBLE), printf('velocity_usd_per_hour=%.2f', velocity::DOUBLE), 'hold_seconds=' || CAST(floor(hold_seconds) AS BIGINT), CASE WHEN round_trip > 0 THEN 'round_trip_counterparties=' || CAST(round_trip AS BIGINT) END, {_by_rule(2, "NULL")}) AS signals FROM y""")(
+    lambda s, d: clusters.wallet_roles(_t(s, d)).withColumn("signals", F.array_join("signals", "; "))
+)
 
 # -- motifs -----------------------------------------------------------------------
 query("fan_pairs", f"""WITH {MOVES}, e AS (SELECT DISTINCT from_address AS a, to_address AS b FROM moves) SELECT x.a AS source, y.b AS sink, count(*) AS n_mules FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b AND x.a IN (SELECT a FROM e GROUP BY 1 HAVING count(*) >= 3) AND y.b IN (SELECT b FROM e GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1, 2 HAVING count(*) >= 3""")(
@@ -200,17 +226,17 @@ query("cycles_upto6")(lambda s, d: motifs.cycles(_t(s, d), 6))
 query("motif_counts")(lambda s, d: motifs.detect_motifs(_t(s, d), window_seconds=86400, min_mules=2, min_length=2, max_length=6).groupBy("motif").agg(F.count("*").alias("n"), total(F.col("value_usd")).alias("value_usd")))
 
 # -- correlation --------------------------------------------------------------------
-query("bridge_candidates", f"""WITH {TRANSFERS} SELECT a.tx_hash AS source_tx, b.tx_hash AS destination_tx, a.chain AS source_chain, b.chain AS destination_chain, a.value_usd, {_SECS.format("a.timestamp", "b.timestamp")} AS elapsed_seconds FROM transfers a JOIN transfers b ON a.chain <> b.chain
-WHERE a.value_usd > 0 AND b.value_usd > 0 AND {_SECS.format("a.timestamp", "b.timestamp")} BETWEEN 0 AND 3600 AND abs(b.value_usd - a.value_usd) / a.value_usd * 100 <= 2""")(
-    lambda s, d: correlation.bridge_candidates(_t(s, d), _t(s, d)).select("source_tx", "destination_tx", "source_chain", "destination_chain", "value_usd", "elapsed_seconds")
-)
-query("fiat_candidates", f"""WITH {TRANSFERS}, {PAYMENTS} SELECT reference_id AS payment_reference, tx_hash AS chain_tx, amount_inr, value_usd, {_SECS.format("p.timestamp", "t.timestamp")} AS elapsed_seconds FROM payments p JOIN transfers t ON t.timestamp BETWEEN p.timestamp - INTERVAL 600 SECONDS AND p.timestamp + INTERVAL 600 SECONDS
-WHERE amount_inr > 0 AND value_usd > 0 AND abs(amount_inr - value_usd * 83) / (value_usd * 83) * 100 <= 5""")(
-    lambda s, d: correlation.fiat_candidates(views.fiat_payments(s, d), _t(s, d)).select("payment_reference", "chain_tx", "amount_inr", "value_usd", "elapsed_seconds")
-)
+_prox = lambda x, limit: f"greatest(0.0, 1 - {x} / {limit})"
+_SURE = "round(least(1.0, greatest(0.0, 0.4 * {0} + 0.6 * {1})), 4)"
+query("bridge_candidates", f"""WITH {TRANSFERS}, p AS (SELECT a.tx_hash AS source_tx, b.tx_hash AS destination_tx, a.chain AS source_chain, b.chain AS destination_chain, a.from_address AS source_address, b.to_address AS destination_address, a.value_usd, {_SECS.format("a.timestamp", "b.timestamp")} AS elapsed_seconds,
+  abs(b.value_usd - a.value_usd) / a.value_usd * 100 AS delta FROM transfers a JOIN transfers b ON a.chain <> b.chain AND b.timestamp BETWEEN a.timestamp AND a.timestamp + INTERVAL 3600 SECONDS WHERE a.value_usd > 0 AND b.value_usd > 0)
+SELECT * EXCLUDE (delta), round(delta, 4) AS value_delta_pct, {_SURE.format(_prox("elapsed_seconds", 3600), _prox("delta", 2))} AS confidence FROM p WHERE delta <= 2""")(lambda s, d: correlation.bridge_candidates(_t(s, d), _t(s, d)).drop("bridge_address"))
+query("fiat_candidates", f"""WITH {TRANSFERS}, {PAYMENTS}, p AS (SELECT reference_id AS payment_reference, payer_account, payee_account, tx_hash AS chain_tx, to_address AS crypto_address, amount_inr, value_usd, {_SECS.format("p.timestamp", "t.timestamp")} AS elapsed_seconds, abs(amount_inr - value_usd * 83) / (value_usd * 83) * 100 AS delta
+  FROM payments p JOIN transfers t ON t.timestamp BETWEEN p.timestamp - INTERVAL 600 SECONDS AND p.timestamp + INTERVAL 600 SECONDS WHERE amount_inr > 0 AND value_usd > 0)
+SELECT * EXCLUDE (delta), round(amount_inr / value_usd, 4) AS implied_rate, {_SURE.format(_prox("abs(elapsed_seconds)", 600), _prox("delta", 5))} AS confidence FROM p WHERE delta <= 5""")(lambda s, d: correlation.fiat_candidates(views.fiat_payments(s, d), _t(s, d)))
 query("bridge_matches")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d)))
-query("bridge_matches_allowlist")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d), bridges=views.entities(s, d, whole=True).where("entity_type = 'bridge'").select("address")))
-query("fiat_matches")(lambda s, d: correlation.fiat_matches(views.fiat_payments(s, d, whole=True), _t(s, d)))
+query("bridge_matches_allowlist")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d), bridges=views.entities(s, d).where("entity_type = 'bridge'").select("address")))
+query("fiat_matches")(lambda s, d: correlation.fiat_matches(views.fiat_payments(s, d), _t(s, d)))
 
 # -- risk -----------------------------------------------------------------------------
 _ETH = "CAST(value AS DOUBLE) / 1e18"
@@ -243,7 +269,7 @@ SELECT address, round(risk_score, 6) AS risk_score, factor_count FROM r""")(lamb
 @query("risk_assessment_full")
 def _risk_full(s: SparkSession, d: str) -> DataFrame:
     """All twelve factors: with mixers within two hops and peel chains."""
-    t, e = _t(s, d), views.entities(s, d, whole=True)
+    t, e = _t(s, d), views.entities(s, d)
     mixers = graph.paths_to_entities(t, e.where("entity_type = 'mixer'").select(F.col("address").alias("start")), t.select(F.col("from_address").alias("address")).distinct().select("address", F.lit("w").alias("name"), F.lit("wallet").alias("entity_type"), F.lit("CONFIRMED").alias("confidence")), 2)
     peels = motifs.peel_chains(t, min_length=2).select(F.col("path")[0].alias("address"))
     return risk.assess(views.chain_transactions(s, d), AS_OF, entities=e, mixers=mixers.select("address", "hops"), peels=peels)
@@ -263,8 +289,24 @@ SELECT n AS address, name, entity_type, confidence, CAST(h AS INTEGER) AS hops,
 )
 query("mixer_interactions", f"""WITH RECURSIVE {_BOTH}, {ENTITIES}, r(n, h) AS (SELECT '{START}', 0 UNION SELECT e.b, r.h + 1 FROM r JOIN e ON e.a = r.n WHERE r.h < 3), m AS (SELECT n, min(h) AS h FROM r GROUP BY 1 HAVING min(h) > 0)
 SELECT name, CAST(h AS INTEGER) AS hops FROM m JOIN entities ON address = n WHERE entity_type = 'mixer' ORDER BY h, n LIMIT 10""")(lambda s, d: graph.paths_to_entities(_t(s, d), _start(s), views.entities(s, d), 3, ("mixer",), top=10).select("name", "hops"))
-query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True)))
-query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d, whole=True))))
+query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d)))
+query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
+_NEAR = f"""{_BOTH}, {ENTITIES}, p(n, h, path) AS (SELECT '{START}', 0, ['{START}'] UNION ALL SELECT e.b, p.h + 1, list_append(p.path, e.b) FROM p JOIN e ON e.a = p.n WHERE p.h < 2 AND NOT list_contains(p.path, e.b)),
+b AS (SELECT n, h, path FROM p WHERE h > 0 QUALIFY row_number() OVER (PARTITION BY n ORDER BY h, path) = 1),
+q AS (SELECT address, name, entity_type, confidence AS listed, h AS hops, list_aggregate(path, 'string_agg', ',') AS path FROM b JOIN entities ON address = n WHERE entity_type IN ('exchange', 'bridge', 'defi') QUALIFY row_number() OVER (ORDER BY h, address, name) <= 20),
+k AS (SELECT *, CASE WHEN hops = 1 OR listed = 'CONFIRMED' AND hops <= 2 THEN 'direct' WHEN entity_type = 'defi' THEN 'heuristic' ELSE 'indirect' END AS kind FROM q),
+c AS (SELECT *, CASE listed WHEN 'CONFIRMED' THEN CASE WHEN hops <= 2 AND kind = 'direct' THEN 'CONFIRMED' WHEN hops <= 4 THEN 'HIGH_CONFIDENCE' ELSE 'PROBABLE' END WHEN 'HIGH_CONFIDENCE' THEN CASE WHEN hops <= 3 THEN 'HIGH_CONFIDENCE' ELSE 'PROBABLE' END
+  WHEN 'PROBABLE' THEN CASE WHEN hops <= 2 THEN 'PROBABLE' ELSE 'UNKNOWN' END ELSE 'UNKNOWN' END AS sure FROM k),
+s AS (SELECT *, least(1, greatest(0, CASE sure WHEN 'CONFIRMED' THEN 1.0 WHEN 'HIGH_CONFIDENCE' THEN 0.85 WHEN 'PROBABLE' THEN 0.65 ELSE 0.3 END::DOUBLE * greatest(0, 1 - (hops - 1) * 0.1::DOUBLE) * CASE kind WHEN 'direct' THEN 1.0 WHEN 'indirect' THEN 0.8 ELSE 0.4 END::DOUBLE * (0.7::DOUBLE + 0.3::DOUBLE * least(1, hops / 10)))) AS score FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, hops, address, name) AS rank FROM s QUALIFY rank <= 10)"""
+query("attributions_two_hops", f"""WITH RECURSIVE {_NEAR} SELECT CAST(rank AS INTEGER) AS rank, address, name, entity_type, kind AS attribution_type, sure AS confidence, round(score, 6) AS confidence_score, CAST(hops AS INTEGER) AS hops, path,
+  'on_chain_path,entity_registry' || CASE WHEN listed = 'CONFIRMED' THEN ',manual_verification' ELSE '' END AS evidence FROM r""")(
+    lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2).drop("start").withColumn("confidence_score", F.round("confidence_score", 6)).withColumn("path", F.array_join("path", ",")).withColumn("evidence", F.array_join("evidence", ","))
+)
+query("attribution_summary_two_hops", f"""WITH RECURSIVE {_NEAR} SELECT count(*) AS total, (SELECT name FROM r WHERE rank = 1) AS nearest, round(max(score), 6) AS highest_score, round(avg(hops), 6) AS average_hops,
+  count(*) FILTER (entity_type = 'exchange') AS exchange_count, count(*) FILTER (entity_type = 'bridge') AS bridge_count, count(*) FILTER (entity_type = 'defi') AS defi_count, count(*) FILTER (entity_type = 'mixer') AS mixer_count FROM r HAVING count(*) > 0""")(
+    lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2)).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
+)
 query("busy_chains", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 300), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10)
 SELECT x.a || ',' || x.b || ',' || y.b AS addresses, round(x.v + y.v, 2) AS value_usd FROM e x JOIN e y ON x.b = y.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND x.v + y.v > 600 ORDER BY x.v + y.v DESC, 1 LIMIT 20""")(
     lambda s, d: graph.busy_chains(_t(s, d), 2, 10, 300.0).select(F.array_join("addresses", ",").alias("addresses"), _r("value_usd", 2))
@@ -298,7 +340,12 @@ def _utxo(s: SparkSession, d: str) -> DataFrame:
     return legs.withColumn("value", F.col("value").cast("long"))
 
 
-query("nl_classify", None)(lambda s, d: router.classify(views.table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")).drop("text"))
+_said = lambda p, flags="i": f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}', '{flags}')"
+_kind_sql = "CASE " + " ".join(f"WHEN {' OR '.join(_said(p) for p in ps)} THEN '{k}'" for k, ps in router.KINDS.items()) + f" ELSE '{router.FALLBACK}' END"
+# this engine's patterns know no look-ahead: what follows is a group of its own
+_name_sql = {k: f"nullif(regexp_extract(text, '{p.removeprefix('(?i)').replace('(?![a-f0-9])', '([^a-fA-F0-9]|$)')}', 1, 'i'), '')" for k, p in router.NAMED.items()}
+_name_sql["chain"] = f"upper({_name_sql['chain']}[1]) || lower({_name_sql['chain']}[2:])"
+query("nl_classify", f"SELECT conv_id, turn, {_kind_sql} AS kind, {', '.join(f'{v} AS {k}' for k, v in _name_sql.items())} FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')")(lambda s, d: router.classify(views.table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")).drop("text"))
 query("chains", "SELECT * FROM (VALUES (1::BIGINT, 'Ethereum', 'ETH'), (137, 'Polygon', 'MATIC'), (56, 'BSC', 'BNB'), (42161, 'Arbitrum', 'ETH'), (10, 'Optimism', 'ETH'), (8453, 'Base', 'ETH')) t(chain_id, name, symbol)")(lambda s, d: chains.chains(s))
 
 # -- evidence ------------------------------------------------------------------------------
@@ -308,7 +355,8 @@ query("evidence_hashes", f"WITH {TRANSACTIONS} SELECT block_number AS position,
 _hashes = lambda s, d: evidence.plain_hashes(views.chain_transactions(s, d), ["tx_hash", "from_address", "to_address", "value"]).select(F.col("block_number").alias("position"), "record_hash")
 query("merkle_root", f"""WITH RECURSIVE {TRANSACTIONS}, h0 AS (SELECT list(sha256(tx_hash || '|' || from_address || '|' || to_address || '|' || value) ORDER BY block_number) AS l FROM transactions),
 r(l) AS (SELECT l FROM h0 UNION ALL SELECT list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1]))) FROM r WHERE len(l) > 1) SELECT l[1] AS merkle_root FROM r WHERE len(l) = 1""")(lambda s, d: evidence.merkle_root(_hashes(s, d)))
-query("evidence_chain")(lambda s, d: evidence.hash_chain(_hashes(s, d)))
+query("evidence_chain", f"""WITH RECURSIVE {TRANSACTIONS}, h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY block_number) AS i, block_number AS position, sha256(tx_hash || '|' || from_address || '|' || to_address || '|' || value) AS record_hash FROM transactions),
+r(i, link) AS (SELECT 0::BIGINT, sha256('') UNION ALL SELECT h.i, sha256(r.link || h.record_hash) FROM r JOIN h ON h.i = r.i + 1) SELECT position, record_hash, link, '' AS chain FROM h JOIN r USING (i)""")(lambda s, d: evidence.hash_chain(_hashes(s, d)))
 
 
 @query("evidence_records")
@@ -350,7 +398,10 @@ SELECT tx_hash, block_number, value_usd, (SELECT CAST(sum(v) AS DOUBLE) FROM l)
 query("case_narrative", f"WITH {WALLETS} SELECT case_id, count(*) AS wallet_count, count(*) FILTER (attribution_status = 'attributed') AS attributed, count(*) FILTER (risk_score >= 75) AS critical, count(*) FILTER (risk_score >= 50 AND risk_score < 75) AS high, count(*) FILTER (risk_score >= 25 AND risk_score < 50) AS medium, count(*) FILTER (risk_score < 25) AS low FROM wallets GROUP BY 1")(
     lambda s, d: store.narrative(views.wallets(s, d))
 )
-query("compare_wallets")(lambda s, d: store.compare_wallets(wallets.wallet_stats(_t(s, d)), START, "0x" + "0" * 39 + "3"))
+query("compare_wallets", f"""WITH {TRANSFERS}, s AS (SELECT from_address AS address, count(DISTINCT tx_hash) AS n, {_SUM} AS v FROM transfers GROUP BY 1), g AS (SELECT to_address AS address, count(DISTINCT tx_hash) AS n, {_SUM} AS v FROM transfers GROUP BY 1),
+w AS (SELECT address, coalesce(s.n, 0)::DOUBLE AS sent_count, coalesce(s.v, 0)::DOUBLE AS sent_usd, coalesce(g.n, 0)::DOUBLE AS received_count, coalesce(g.v, 0)::DOUBLE AS received_usd FROM s FULL JOIN g USING (address)),
+u AS (UNPIVOT (SELECT * FROM w WHERE address IN ('{START}', '0x' || lpad('3', 40, '0'))) ON sent_count, sent_usd, received_count, received_usd INTO NAME measure VALUE v)
+SELECT measure, max(v) FILTER (address = '{START}') AS left_value, max(v) FILTER (address <> '{START}') AS right_value FROM u GROUP BY 1""")(lambda s, d: store.compare_wallets(wallets.wallet_stats(_t(s, d)), START, "0x" + "0" * 39 + "3"))
 
 
 # -- raw sources over derived rows -------------------------------------------------------------

@@ -69,9 +69,9 @@ def chain_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cospend_transfers(spark: SparkSession, sf_dir: str, before: str = "1995-02-01") -> DataFrame:
+def cospend_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions of several senders: an order's parts pay its suppliers."""
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))
+    rows = table(spark, sf_dir, "lineitem")
     return normalized(
         rows.select(
             hex_id(F.col("l_orderkey"), 64).alias("tx_hash"),
@@ -83,10 +83,9 @@ def cospend_transfers(spark: SparkSession, sf_dir: str, before: str = "1995-02-0
     )
 
 
-def fiat_payments(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Bank-rail payments, some minutes apart from the events: of every tenth
-    one, as the SQL of the queries has it, or of each."""
-    e = table(spark, sf_dir, "events").where("true" if whole else "event_id % 10 = 0")
+def fiat_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank-rail payments, one some minutes apart from each event."""
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.concat(F.lit("UPI"), F.col("event_id").cast("string")).alias("reference_id"),
         F.concat(F.lit("payer-"), F.col("user_id").cast("string")).alias("payer_account"),
@@ -97,11 +96,10 @@ def fiat_payments(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
     )
 
 
-def entities(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Labelled services: suppliers own the receiving wallets of their number;
-    the first hundred, as the SQL of the queries has it, or all."""
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled services: suppliers own the receiving wallets of their number."""
     kind = F.col("s_suppkey") % 10
-    s = table(spark, sf_dir, "supplier").where("true" if whole else "s_suppkey < 100")
+    s = table(spark, sf_dir, "supplier")
     return s.select(
         F.col("s_name").alias("name"),
         F.when(kind.isin(0, 1, 2), "exchange").when(kind == 3, "mixer").when(kind == 4, "bridge").when(kind == 5, "defi").when(kind == 6, "sanctioned").when(kind == 7, "gambling").otherwise("merchant").alias("entity_type"),
