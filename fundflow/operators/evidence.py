@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from fundflow.plans.shared import stored
 from fundflow.shipping import ship
 
 EMPTY = hashlib.sha256(b"").hexdigest()
+DECLARATION = "%s certifies that the %d records of case %s were produced by this system in the ordinary course; Merkle root %s, chain tip %s, at %s."
 
 
 def record_hashes(records: DataFrame) -> DataFrame:
@@ -86,3 +88,41 @@ def verify(certified: DataFrame, current: DataFrame) -> DataFrame:
     a, b = certified.select("position", F.col("record_hash").alias("certified")), current.select("position", F.col("record_hash").alias("current"))
     both = a.join(b, "position", "full").where(~F.col("certified").eqNullSafe(F.col("current")))
     return both.withColumn("problem", F.when(F.col("current").isNull(), "missing").when(F.col("certified").isNull(), "added").otherwise("changed"))
+
+
+def certificate(hashes: DataFrame, case_number: str, officer: str, at: datetime) -> DataFrame:
+    """One row that certifies ``hashes(position, record_hash)``: certificate_id,
+    case_number, officer, generated_at, record_count, merkle_root, chain_tip and
+    declaration. The id follows from the records, so that the same ones always
+    have the same."""
+    root = merkle_root(hashes).select("merkle_root")
+    last = hash_chain(hashes).agg(F.count("*").alias("record_count"), F.max_by("link", "position").alias("tip"))
+    text = F.format_string(DECLARATION, F.lit(officer), F.col("record_count"), F.lit(case_number), F.col("merkle_root"), F.col("chain_tip"), F.lit(f"{at:%Y-%m-%dT%H:%M:%S}Z"))
+    row = root.join(last).select("merkle_root", "record_count", F.coalesce("tip", F.lit(EMPTY)).alias("chain_tip"))
+    return row.select(
+        F.concat(F.lit(f"TRX-S63-{at:%Y%m%d}-"), F.upper(F.substring("merkle_root", 1, 10))).alias("certificate_id"), F.lit(case_number).alias("case_number"), F.lit(officer).alias("officer"),
+        F.lit(f"{at:%Y-%m-%dT%H:%M:%S}Z").alias("generated_at"), "record_count", "merkle_root", "chain_tip", text.alias("declaration"),
+    )
+
+
+def verify_certificate(certified: DataFrame, chain: DataFrame, records: DataFrame) -> DataFrame:
+    """What differs between a certificate, its ``chain(position, record_hash,
+    link)`` and the ``records(position, record_hash)`` at hand: problem,
+    position, certified, found. No row: the evidence is untouched.
+
+    Problems: changed, missing or added (by position), record_count,
+    merkle_root, chain (the first position from which links differ), chain_tip,
+    declaration (the document itself was edited).
+    """
+    own, said = chain.select("position", "record_hash"), certified.first()
+    now = stored(hash_chain(records).select("position", "record_hash", "link"), "chain-now")
+    fresh = certificate(now, said.case_number, said.officer, datetime.strptime(said.generated_at, "%Y-%m-%dT%H:%M:%SZ"))
+    each = verify(own, now).select("problem", "position", "certified", F.col("current").alias("found"))
+    links = chain.select("position", F.col("link").alias("certified")).join(now.select("position", F.col("link").alias("found")), "position", "full").where(~F.col("certified").eqNullSafe(F.col("found")))
+    broken = links.agg(F.min("position").alias("position")).where("position is not null").select(F.lit("chain").alias("problem"), "position", F.lit(None).cast("string").alias("certified"), F.lit(None).cast("string").alias("found"))
+    both = certified.select(F.struct("record_count", "merkle_root", "chain_tip").alias("a"), "declaration", "officer", "case_number", "generated_at").join(fresh.select(F.struct("record_count", "merkle_root", "chain_tip").alias("b")))
+    whole = [F.struct(F.lit(c).alias("problem"), F.lit(None).cast("long").alias("position"), F.col(f"a.{c}").cast("string").alias("certified"), F.col(f"b.{c}").cast("string").alias("found")) for c in ("record_count", "merkle_root", "chain_tip")]
+    due = F.format_string(DECLARATION, F.col("officer"), F.col("a.record_count"), F.col("case_number"), F.col("a.merkle_root"), F.col("a.chain_tip"), F.col("generated_at"))
+    whole.append(F.struct(F.lit("declaration").alias("problem"), F.lit(None).cast("long").alias("position"), F.col("declaration").alias("certified"), due.alias("found")))
+    sums = both.select(F.inline(F.array(*whole))).where("certified <> found")
+    return each.unionByName(broken).unionByName(sums)

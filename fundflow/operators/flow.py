@@ -52,6 +52,8 @@ def temporal_flow(transfers: DataFrame, unit: str = "day", address: str | None =
         rows = rows.where(F.col("timestamp") <= F.lit(end))
     rows = rows.withColumn("bucket", F.date_trunc(unit, "timestamp"))
     counts = rows.groupBy("bucket", "from_address").agg(F.count("*").alias("tx_count"), total(F.coalesce("value_usd", F.lit(0.0))).alias("value_usd"))
+    if samples < 1:
+        return counts.withColumn("sample_hashes", F.expr("cast(array() as array<string>)"))
     return counts.join(first_hashes(rows, ["bucket", "from_address"], samples).withColumnRenamed("hashes", "sample_hashes"), ["bucket", "from_address"])
 
 

@@ -200,6 +200,34 @@ def trace(transfers: DataFrame, start: str, max_hops: int = 3, min_value_usd: fl
     return edges.join(seen.select(F.col("address").alias("from_address"), (F.col("hops") + 1).alias("hop")), "from_address").select("hop", "from_address", "to_address", "tx_count", "value_usd")
 
 
+def traced_paths(transfers: DataFrame, start: str, max_hops: int = 5, min_value_usd: float = 0.0) -> DataFrame:
+    """The paths of :func:`trace`: path, length and value of the edges on it, one
+    to everything in reach (the shortest, the one that sorts first)."""
+    moved = transfers.where(F.col("value_usd") >= min_value_usd)
+    paths = shortest_paths(moved.where("from_address <> to_address"), transfers.sparkSession.createDataFrame([(start,)], "start string"), max_hops).where("hops > 0")
+    hops = paths.select("address", "path", "hops", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("i", "from_address"))
+    steps = hops.withColumn("to_address", F.get("path", F.col("i") + 1)).join(projection_edges(moved), ["from_address", "to_address"])
+    return steps.groupBy("address").agg(F.first("path").alias("path"), F.first("hops").alias("length"), F.sum(cents(F.col("value_usd"))).cast("double").alias("value_usd"))
+
+
+def hop_levels(transfers: DataFrame, start: str, max_hops: int | None = None) -> DataFrame:
+    """(address, hops, directed): levels along the transfers, and against them
+    for what only a walk in either direction reaches."""
+    starts = transfers.sparkSession.createDataFrame([(start,)], "start string")
+    ahead = reach(transfers, starts, max_hops).select("address", "hops", F.lit(True).alias("directed"))
+    either = reach(transfers, starts, max_hops, "both").select("address", "hops", F.lit(False).alias("directed"))
+    return ahead.unionByName(either.join(ahead, "address", "left_anti"))
+
+
+def node_projection(transfers: DataFrame, wallets: DataFrame) -> DataFrame:
+    """Nodes per chain: address, label and risk_score of the wallet (null if
+    none), tx_count of the transfers that touch it."""
+    ends = transfers.select("chain", F.explode(F.array_distinct(F.array("from_address", "to_address"))).alias("address"))
+    counts = ends.groupBy("chain", "address").agg(F.count("*").alias("n"))
+    known = wallets.groupBy("chain", F.lower("address").alias("address")).agg(F.max("label").alias("label"), F.max("risk_score").alias("risk_score"))
+    return known.join(counts, ["chain", "address"], "full").select("chain", "address", "label", "risk_score", F.coalesce("n", F.lit(0)).alias("tx_count"))
+
+
 def busy_chains(transfers: DataFrame, min_hops: int = 3, least_sent: int = 10, min_value: float = 0.0, top: int = 20) -> DataFrame:
     """Directed simple paths of ``min_hops`` transfers' edges, each above a
     value, from wallets of many transfers; the most valuable first."""

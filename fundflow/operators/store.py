@@ -32,6 +32,34 @@ def upsert_entities(known: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
+def upsert_transactions(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Transactions by (tx_hash, chain): facts of the chain stay as first seen,
+    value_usd and metadata are replaced where the new row has them, the mark
+    is_suspicious always."""
+    both = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).withColumn("tx_hash", F.lower("tx_hash"))
+    keys, marked = ("tx_hash", "chain"), ("value_usd", "metadata")
+    latest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("_new", F.col(c)))).alias(c)
+    rest = [c for c in known.columns if c not in (*keys, *marked, "is_suspicious")]
+    first = F.min_by(F.struct(*rest), F.struct("_new", *rest)).alias("_first")
+    merged = both.groupBy(*keys).agg(first, *map(latest, marked), F.max_by("is_suspicious", F.struct("_new", "is_suspicious")).alias("is_suspicious"))
+    return merged.select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in known.columns])
+
+
+def wallet_links(wallets: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Once each: which known wallet sent or received which transaction of its
+    chain (address, chain, tx_hash, direction)."""
+    own = wallets.select(F.lower("address").alias("address"), "chain").distinct()
+    ends = F.array(F.struct(F.lower("from_address").alias("address"), F.lit("sent").alias("direction")), F.struct(F.lower("to_address").alias("address"), F.lit("received").alias("direction")))
+    return transactions.select(F.lower("tx_hash").alias("tx_hash"), "chain", F.inline(ends)).join(own, ["address", "chain"], "left_semi").select("address", "chain", "tx_hash", "direction").distinct()
+
+
+def entity_links(wallets: DataFrame, entities: DataFrame) -> DataFrame:
+    """Once each: which known wallet belongs to which entity of its chain, and
+    how surely (address, chain, name, confidence)."""
+    own = wallets.select(F.lower("address").alias("address"), "chain").distinct()
+    return entities.select(F.lower("address").alias("address"), "chain", "name", "confidence").join(own, ["address", "chain"], "left_semi").distinct()
+
+
 def update_risk(wallets: DataFrame, scores: DataFrame) -> DataFrame:
     """``wallets`` with the ``scores(address, risk_score)`` that there are."""
     new = scores.groupBy(F.lower("address").alias("_a")).agg(F.max("risk_score").alias("_r"))

@@ -41,10 +41,17 @@ def evidence_rows(transactions: DataFrame) -> DataFrame:
     return transactions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def wallet_transactions(transactions: DataFrame, address: str, page: int = 1, page_size: int = 20) -> DataFrame:
-    """A page of what an address sent or got, latest block first; with total
-    and total_pages of all."""
-    mine = transactions.where((F.lower("from_address") == address.lower()) | (F.lower("to_address") == address.lower()))
+def of_wallet(transactions: DataFrame, address: str, wallet_id=None) -> DataFrame:
+    """What an address sent or got (addresses are in lower case), or what is
+    filed under the wallet."""
+    mine = (F.col("from_address") == address.lower()) | (F.col("to_address") == address.lower())
+    return transactions.where(mine if wallet_id is None else mine | (F.col("wallet_id") == wallet_id))
+
+
+def wallet_transactions(transactions: DataFrame, address: str, page: int = 1, page_size: int = 20, wallet_id=None) -> DataFrame:
+    """A page of :func:`of_wallet`, latest block first; with total and
+    total_pages of all."""
+    mine = of_wallet(transactions, address, wallet_id)
     count = mine.agg(F.count("*").alias("total"), F.floor((F.count("*") + page_size - 1) / page_size).alias("total_pages"))
     return mine.orderBy(F.desc("block_number"), "tx_hash").offset((page - 1) * page_size).limit(page_size).join(F.broadcast(count))
 
@@ -84,9 +91,13 @@ def addresses(transfers: DataFrame) -> DataFrame:
     return transfers.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct()
 
 
-def activity(transfers: DataFrame) -> DataFrame:
+def activity(transfers: DataFrame, wallets: DataFrame | None = None) -> DataFrame:
     """Per address: first and last seen, sent and received, transfers (a
-    transfer counts for both of its ends)."""
+    transfer counts for both of its ends); with ``wallets(address, case_id)``
+    also the cases that it belongs to."""
+    if wallets is not None:
+        of = wallets.groupBy("address").agg(F.sort_array(F.collect_set("case_id")).alias("cases"))
+        return activity(transfers).join(of, "address", "left")
     legs = transfers.select("timestamp", F.explode(F.array(
         F.struct(F.col("from_address").alias("address"), cents(F.col("value_usd")).alias("sent"), F.lit(None).cast("decimal(38,2)").alias("received")),
         F.struct(F.col("to_address").alias("address"), F.lit(None).cast("decimal(38,2)").alias("sent"), cents(F.col("value_usd")).alias("received")),
@@ -149,12 +160,16 @@ def rapid_movements(transfers: DataFrame, max_seconds: int = 300) -> DataFrame:
     return a.join(b, ["w2", "b"]).where((F.col("w1") != F.col("w3")) & (F.col("tx1") != F.col("tx2")) & (gap >= 0) & (gap <= max_seconds)).select("w1", "w2", "w3", "tx1", "tx2", "value1", "value2", gap.alias("seconds"))
 
 
-def balance_violations(transfers: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    """Addresses per asset whose receipts and opening don't cover their spends."""
-    legs = transfers.select("asset", F.explode(F.array(F.struct(F.col("to_address").alias("address"), cents(F.col("value_usd")).alias("v")), F.struct(F.col("from_address").alias("address"), (-cents(F.col("value_usd"))).alias("v")))).alias("l")).select("asset", "l.*")
+def balance_violations(transfers: DataFrame, opening: DataFrame | None = None, by: tuple[str, ...] = (), fee: str | None = None) -> DataFrame:
+    """Addresses per asset (and per other columns, as the case) whose receipts
+    and opening don't cover their spends and, if there is such a column, fees."""
+    keys, out = [*by, "asset"], cents(F.col("value_usd"))
+    spent = out + F.coalesce(cents(F.col(fee)), F.lit(0)) if fee else out
+    ends = F.array(F.struct(F.col("to_address").alias("address"), out.cast("decimal(38,2)").alias("v")), F.struct(F.col("from_address").alias("address"), (-spent).cast("decimal(38,2)").alias("v")))
+    legs = transfers.select(*keys, F.explode(ends).alias("l")).select(*keys, "l.*")
     if opening is not None:
-        legs = legs.unionByName(opening.select("asset", "address", cents(F.col("amount_usd")).alias("v")))
-    return legs.groupBy("address", "asset").agg(F.sum("v").alias("balance")).where("balance < 0").select("address", "asset", F.col("balance").cast("double").alias("balance_usd"))
+        legs = legs.unionByName(opening.select(*keys, "address", cents(F.col("amount_usd")).alias("v")))
+    return legs.groupBy("address", *keys).agg(F.sum("v").alias("balance")).where("balance < 0").select("address", *keys, F.col("balance").cast("double").alias("balance_usd"))
 
 
 # -- roll-ups ------------------------------------------------------------

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundflow.functions import codecs
 from fundflow.functions.columns import total
-from fundflow.operators import attribution, clusters, correlation, evidence, flow, graph, motifs, risk, router, store, taint, wallets
+from fundflow.operators import assistant, attribution, clusters, correlation, evidence, flow, forensics, graph, motifs, risk, router, store, taint, wallets
 from fundflow.shipping import ship
 from fundflow.sources import chains, views
 from fundflow.streaming import alerts
@@ -460,6 +461,151 @@ def _addresses(s: SparkSession, d: str) -> DataFrame:
     return a.select("address", codecs.checksum_address_udf("address").alias("checksum"), codecs.is_bitcoin_udf("address").alias("bitcoin"), codecs.is_tron_udf("address").alias("tron"))
 
 
+# -- more sources ------------------------------------------------------------------------------
+_TRON = lambda n: F.concat(F.lit("41"), F.lpad(F.lower(F.hex(n)), 40, "0"))
+
+
+@query("tron_native", """SELECT 't' || event_id AS tx_hash, event_id AS block_number, event_id % 3 <> 0 AS ok, CASE WHEN event_id % 4 = 1 THEN 'transfer' ELSE 'TransferContract' END AS method, CAST(event_id * 1000 AS VARCHAR) AS raw_value,
+CASE WHEN event_id % 8 = 1 THEN CAST(event_id * 1000 AS DOUBLE) ELSE event_id * 1000 / 1e6 END AS value, event_id % 8 <> 1 AS decimals_known, CASE WHEN event_id % 4 <> 1 THEN 'TRX' WHEN event_id % 8 = 5 THEN 'USDT' END AS asset FROM events WHERE event_id % 4 < 2""")
+def _tron_native(s: SparkSession, d: str) -> DataFrame:
+    """Payments of TRX and calls of a token's transfer; other contracts and empty entries don't count."""
+    e, k = views.table(s, d, "events"), F.col("event_id")
+    data = F.concat(F.lit("a9059cbb"), F.lpad(F.lower(F.hex("user_id")), 64, "0"), F.lpad(F.lower(F.hex(k * 1000)), 64, "0"))
+    value = F.struct(_TRON(F.col("user_id")).alias("owner_address"), _TRON(k).alias("to_address"), (k * 1000).alias("amount"), data.alias("data"), _TRON(F.when(k % 8 == 5, 7).otherwise(8).cast("long")).alias("contract_address"))
+    kind = F.when(k % 4 == 0, "TransferContract").when(k % 4 == 1, "TriggerSmartContract").otherwise("VoteWitnessContract")
+    contracts = F.when(k % 4 == 3, F.array().cast("array<struct<type: string, parameter: struct<value: struct<owner_address: string, to_address: string, amount: bigint, data: string, contract_address: string>>>>")).otherwise(F.array(F.struct(kind.alias("type"), F.struct(value.alias("value")).alias("parameter"))))
+    rows = e.select(
+        F.concat(F.lit("t"), k.cast("string")).alias("txID"), k.alias("blockNumber"), F.unix_millis(F.col("ts").cast("timestamp")).alias("block_timestamp"), F.array(F.struct(F.when(k % 3 == 0, "REVERT").otherwise("SUCCESS").alias("contractRet"))).alias("ret"),
+        F.struct(F.lit(None).cast("long").alias("timestamp"), contracts.alias("contract")).alias("raw_data"),
+    )
+    known = s.createDataFrame([(codecs.tron_address(f"{7:040x}"), "USDT", 6)], "address string, symbol string, decimals int")
+    return chains.tron_native(rows, known).select("tx_hash", "block_number", "ok", "method", "raw_value", "value", "decimals_known", "asset")
+
+
+query("erc20_transfers", "SELECT 'h' || event_id AS tx_hash FROM events WHERE event_id % 3 = 1")(
+    lambda s, d: chains.asset_transfers(views.table(s, d, "events").select(
+        F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("hash"), F.lit("a").alias("from"), F.lit("b").alias("to"), "value", F.lit("TOK").alias("asset"), F.lit("0x1").alias("blockNum"), F.lit("").alias("blockTimestamp"),
+        F.when(F.col("event_id") % 3 == 0, "external").when(F.col("event_id") % 3 == 1, "erc20").otherwise("erc721").alias("category"),
+    ), categories=("erc20",)).select("tx_hash")
+)
+query("transactions_of_logs", f"""WITH {TRANSFERS}, h AS (SELECT tx_hash, block_number FROM transfers WHERE block_number % 2 = 0 ORDER BY 2, 1 LIMIT 100 OFFSET 100)
+SELECT tx_hash, CASE WHEN block_number % 3 = 0 THEN NULL ELSE '0xa9059cbb' END AS method FROM transfers WHERE tx_hash IN (SELECT tx_hash FROM h)""")(
+    lambda s, d: chains.transactions_of_logs(_t(s, d).where("block_number % 2 = 0").unionByName(_t(s, d).where("block_number % 4 = 0")), _t(s, d).withColumn("input", F.when(F.col("block_number") % 3 == 0, "0x").otherwise("0xa9059cbb00000000")), page=2).select("tx_hash", "method")
+)
+query("account_page", f"WITH {TRANSFERS} SELECT tx_hash, timestamp FROM transfers WHERE from_address = '{START}' ORDER BY timestamp DESC, tx_hash LIMIT 20 OFFSET 40")(
+    lambda s, d: chains.page_of(wallets.of_wallet(_t(s, d), START).where(F.col("from_address") == START), [F.desc("timestamp"), "tx_hash"], 3, 20).select("tx_hash", "timestamp")
+)
+query("wallet_scan", f"WITH {TRANSFERS} SELECT tx_hash FROM transfers WHERE '{START}' IN (from_address, to_address) OR block_number % 97 = 5")(lambda s, d: wallets.of_wallet(_t(s, d).withColumn("wallet_id", F.col("block_number") % 97), START, 5).select("tx_hash"))
+query("utxo_fees", "WITH i AS (SELECT l_orderkey AS txid, sum(CAST(l_quantity AS BIGINT) * 1000) - sum(CAST(l_quantity AS BIGINT) * 990) AS d FROM lineitem GROUP BY 1) SELECT txid, CAST(CASE WHEN txid % 5 = 0 THEN 77 ELSE greatest(d, 0) END AS BIGINT) AS fee FROM i")(
+    lambda s, d: chains.utxo_fees(views.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("txid")).agg(
+        F.collect_list(F.struct((F.col("l_quantity").cast("long") * 1000).alias("value"))).alias("inputs"), F.collect_list(F.struct((F.col("l_quantity").cast("long") * 990).alias("value"))).alias("outputs")
+    ).withColumn("fee", F.when(F.col("txid") % 5 == 0, F.lit(77).cast("long"))))
+)
+query("address_legs", f"""WITH {TRANSFERS} SELECT tx_hash, CASE WHEN block_number % 10 = 0 THEN 0 ELSE block_number END AS block_number FROM transfers WHERE '{START}' IN (from_address, to_address) AND (block_number % 10 = 0 OR block_number BETWEEN 100 AND 8000) ORDER BY 2 DESC, 1 LIMIT 25 OFFSET 25""")(
+    lambda s, d: chains.address_legs(_t(s, d).select(F.col("tx_hash").alias("txid"), "from_address", "to_address", F.col("value_usd").alias("value"), F.lit(0).alias("leg_index"), F.when(F.col("block_number") % 10 == 0, F.lit(0)).otherwise(F.col("block_number")).cast("long").alias("block_number")), START, 100, 8000, 2, 25).select(F.col("txid").alias("tx_hash"), "block_number")
+)
+query("call_transfers", "SELECT 'c' || event_id AS tx_hash, CAST(event_id * 7 AS VARCHAR) AS value FROM events WHERE event_id % 3 = 0")(
+    lambda s, d: chains.call_transfers(views.table(s, d, "events").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("tx_hash"), F.concat(F.when(F.col("event_id") % 3 == 0, "a9059cbb").otherwise("23b872dd"), F.lpad(F.hex("user_id"), 64, "0"), F.lpad(F.hex(F.col("event_id") * 7), 64, "0")).alias("data"))).select("tx_hash", "value")
+)
+query("chain_resolve", f"WITH {WALLETS} SELECT wallet_id, CASE chain WHEN 'Polygon' THEN 137 WHEN 'Ethereum' THEN 1 END::BIGINT AS chain_id, CASE chain WHEN 'Polygon' THEN 'MATIC' ELSE 'ETH' END AS native_symbol, chain AS chain_name FROM wallets")(
+    lambda s, d: chains.chain_info(chains.resolve_chains(views.wallets(s, d)).drop("native_symbol")).select("wallet_id", "chain_id", "native_symbol", "chain_name")
+)
+query("evm_addresses", f"WITH {TRANSFERS}, a AS (SELECT from_address AS address FROM transfers UNION SELECT to_address FROM transfers) SELECT address, 1 AS chain_id FROM a UNION ALL SELECT 'x' || address, NULL FROM a")(
+    lambda s, d: wallets.addresses(_t(ship(s), d)).unionByName(wallets.addresses(_t(s, d)).select(F.concat(F.lit("x"), "address").alias("address"))).select("address", chains.detect_chain(F.col("address")).alias("chain_id"))
+)
+query("bitcoin_amounts", "SELECT event_id, rtrim(rtrim(CAST(CAST(event_id * 12345 AS DECIMAL(30,8)) / 100000000 AS DECIMAL(30,8))::VARCHAR, '0'), '.') AS btc FROM events")(lambda s, d: views.table(s, d, "events").select("event_id", chains.bitcoins(F.col("event_id") * 12345).alias("btc")))
+query("nonces_and_blocks", f"""WITH {TRANSFERS} SELECT tx_hash, row_number() OVER (PARTITION BY chain, from_address ORDER BY timestamp, tx_hash) - 1 AS nonce, CAST(18900000 + round_even((epoch_us(timestamp) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / 12, 0) AS BIGINT) AS block FROM transfers""")(
+    lambda s, d: chains.nonces(_t(s, d)).select("tx_hash", "nonce", chains.block_at(F.col("timestamp"), 18_900_000, "2024-01-01 00:00:00", 12.0).alias("block"))
+)
+
+# -- merges and listings of the graph ----------------------------------------------------------
+_runs = lambda s, d: views.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+_RUNS = "runs AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders)"
+query("list_investigations", f"WITH {_RUNS} SELECT run_id, status FROM runs WHERE status IN ('completed', 'failed') ORDER BY created_at DESC, run_id LIMIT 20 OFFSET 20")(lambda s, d: wallets.listed(_runs(s, d), {"status": "completed,failed"}, {"status": ("running", "completed", "failed")}, page=2).select("run_id", "status"))
+query("list_reports", "SELECT p_partkey AS report_id, p_name AS title FROM part WHERE lower(p_name) LIKE '%a%' ORDER BY p_size DESC, p_partkey LIMIT 50")(
+    lambda s, d: wallets.listed(views.table(s, d, "part").select(F.col("p_partkey").alias("report_id"), F.col("p_name").alias("title"), F.col("p_size").alias("created_at")), {}, search=(("title",), "A"), page_size=50).select("report_id", "title")
+)
+query("upsert_transactions", f"""WITH {TRANSFERS} SELECT tx_hash, chain, CASE WHEN block_number % 3 = 0 AND block_number % 2 = 0 THEN 1.5 ELSE value_usd END AS value_usd, block_number % 3 = 0 AS is_suspicious, block_number FROM transfers""")(
+    lambda s, d: store.upsert_transactions(
+        _t(s, d).select("tx_hash", "chain", "block_number", "value_usd", F.lit("m").alias("metadata"), F.lit(False).alias("is_suspicious")),
+        _t(s, d).where("block_number % 3 = 0").select(F.upper("tx_hash").alias("tx_hash"), "chain", F.lit(-1).cast("long").alias("block_number"), F.when(F.col("block_number") % 2 == 0, 1.5).alias("value_usd"), F.lit(None).cast("string").alias("metadata"), F.lit(True).alias("is_suspicious")),
+    ).select("tx_hash", "chain", "value_usd", "is_suspicious", "block_number")
+)
+query("wallet_links", f"""WITH {TRANSFERS}, {WALLETS}, l AS (SELECT from_address AS address, chain, tx_hash, 'sent' AS direction FROM transfers UNION SELECT to_address, chain, tx_hash, 'received' FROM transfers) SELECT * FROM l WHERE (address, chain) IN (SELECT address, chain FROM wallets)""")(lambda s, d: store.wallet_links(views.wallets(s, d), _t(s, d)))
+query("entity_links", f"WITH {ENTITIES}, {WALLETS} SELECT DISTINCT address, 'Ethereum' AS chain, name, confidence FROM entities WHERE address IN (SELECT address FROM wallets WHERE chain = 'Ethereum')")(lambda s, d: store.entity_links(views.wallets(s, d), views.entities(s, d)))
+query("node_projection", f"""WITH {TRANSFERS}, {WALLETS}, l AS (SELECT chain, from_address AS address FROM transfers UNION ALL SELECT chain, to_address FROM transfers WHERE to_address <> from_address), c AS (SELECT chain, address, count(*) AS n FROM l GROUP BY 1, 2), w AS (SELECT chain, address, max(risk_score) AS risk_score FROM wallets GROUP BY 1, 2)
+SELECT chain, address, risk_score, coalesce(n, 0) AS tx_count FROM w FULL JOIN c USING (chain, address)""")(lambda s, d: graph.node_projection(_t(s, d), views.wallets(s, d).withColumn("label", F.lit(None).cast("string"))).drop("label"))
+query("hop_levels", f"""WITH RECURSIVE {_BOTH}, o AS (SELECT DISTINCT from_address AS a, to_address AS b FROM transfers), f(n, h) AS (SELECT '{START}', 0 UNION SELECT o.b, f.h + 1 FROM f JOIN o ON o.a = f.n WHERE f.h < 3), g(n, h) AS (SELECT '{START}', 0 UNION SELECT e.b, g.h + 1 FROM g JOIN e ON e.a = g.n WHERE g.h < 3),
+d AS (SELECT n, min(h) AS h FROM f GROUP BY 1), u AS (SELECT n, min(h) AS h FROM g GROUP BY 1) SELECT n AS address, CAST(h AS INTEGER) AS hops, true AS directed FROM d UNION ALL SELECT n, CAST(h AS INTEGER), false FROM u WHERE n NOT IN (SELECT n FROM d)""")(lambda s, d: graph.hop_levels(_t(s, d), START, 3))
+query("traced_paths", f"""WITH RECURSIVE {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE value_usd >= 100 AND from_address <> to_address GROUP BY 1, 2),
+p(n, h, path, v) AS (SELECT '{START}', 0, ['{START}'], 0::DOUBLE UNION ALL SELECT e.b, p.h + 1, list_append(p.path, e.b), p.v + e.v FROM p JOIN e ON e.a = p.n WHERE p.h < 2 AND NOT list_contains(p.path, e.b))
+SELECT list_aggregate(path, 'string_agg', ',') AS path, CAST(h AS INTEGER) AS length, round(v, 2) AS value_usd FROM p WHERE h > 0 QUALIFY row_number() OVER (PARTITION BY n ORDER BY h, path) = 1""")(lambda s, d: graph.traced_paths(_t(s, d), START, 2, 100.0).select(F.array_join("path", ",").alias("path"), "length", _r("value_usd", 2)))
+query("wallet_activity_cases", f"""WITH {WALLETS}, {TRANSFERS}, l AS (SELECT from_address AS address FROM transfers UNION ALL SELECT to_address FROM transfers), w AS (SELECT address, list_aggregate(list_sort(list(DISTINCT case_id)), 'string_agg', ',') AS cases FROM wallets GROUP BY 1)
+SELECT address, count(*) AS tx_count, any_value(cases) AS cases FROM l LEFT JOIN w USING (address) GROUP BY 1""")(lambda s, d: wallets.activity(_t(s, d), views.wallets(s, d)).select("address", "tx_count", F.array_join(F.col("cases").cast("array<string>"), ",").alias("cases")))
+query("balance_violations_by_case", f"""WITH {TRANSFERS}, t AS (SELECT *, block_number % 5 AS case_id, CASE WHEN block_number % 2 = 0 THEN 0.25 END AS fee FROM transfers), l AS (SELECT case_id, asset, to_address AS address, CAST(value_usd AS DECIMAL(38,2)) AS v FROM t UNION ALL SELECT case_id, asset, from_address, -CAST(value_usd AS DECIMAL(38,2)) - CAST(coalesce(fee, 0) AS DECIMAL(38,2)) FROM t)
+SELECT address, case_id, asset, CAST(sum(v) AS DOUBLE) AS balance_usd FROM l GROUP BY 1, 2, 3 HAVING sum(v) < 0""")(
+    lambda s, d: wallets.balance_violations(_t(s, d).withColumn("case_id", F.col("block_number") % 5).withColumn("fee", F.when(F.col("block_number") % 2 == 0, 0.25)), by=("case_id",), fee="fee")
+)
+
+# -- certificates, dashboard, questions --------------------------------------------------------
+_AT = datetime(2024, 3, 1, 12, 0, 0)
+_CERTIFIED = f"""{TRANSACTIONS}, h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY block_number) AS i, block_number AS position, sha256(tx_hash || '|' || from_address || '|' || to_address || '|' || value) AS record_hash FROM transactions),
+c(i, link) AS (SELECT 0::BIGINT, sha256('') UNION ALL SELECT h.i, sha256(c.link || h.record_hash) FROM c JOIN h ON h.i = c.i + 1),
+m(l) AS (SELECT list(record_hash ORDER BY i) FROM h UNION ALL SELECT list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1]))) FROM m WHERE len(l) > 1)"""
+query("certificate", f"""WITH RECURSIVE {_CERTIFIED}, z AS (SELECT (SELECT count(*) FROM h) AS record_count, (SELECT l[1] FROM m WHERE len(l) = 1) AS merkle_root, (SELECT link FROM c ORDER BY i DESC LIMIT 1) AS chain_tip)
+SELECT 'TRX-S63-20240301-' || upper(merkle_root[:10]) AS certificate_id, 'TRX-1' AS case_number, 'An Officer' AS officer, '2024-03-01T12:00:00Z' AS generated_at, record_count, merkle_root, chain_tip,
+  printf('An Officer certifies that the %d records of case TRX-1 were produced by this system in the ordinary course; Merkle root %s, chain tip %s, at 2024-03-01T12:00:00Z.', record_count, merkle_root, chain_tip) AS declaration FROM z""")(
+    lambda s, d: evidence.certificate(_hashes(s, d), "TRX-1", "An Officer", _AT)
+)
+
+
+@query("certificate_problems", f"""WITH RECURSIVE {_CERTIFIED}, f AS (SELECT min(position) AS p FROM h WHERE position % 1000 = 7), n AS (SELECT count(*) AS n FROM h)
+SELECT 'changed' AS problem, position FROM h WHERE position % 1000 = 7 UNION ALL SELECT 'added', 10000000 UNION ALL SELECT 'chain', p FROM f UNION ALL SELECT unnest(['record_count', 'merkle_root', 'chain_tip']), NULL""")
+def _problems(s: SparkSession, d: str) -> DataFrame:
+    """Some records were changed and one was added after they were certified."""
+    was = _hashes(s, d)
+    now = was.withColumn("record_hash", F.when(F.col("position") % 1000 == 7, F.sha2("record_hash", 256)).otherwise(F.col("record_hash"))).unionByName(s.createDataFrame([(10_000_000, "0" * 64)], "position long, record_hash string"))
+    return evidence.verify_certificate(evidence.certificate(was, "TRX-1", "An Officer", _AT), evidence.hash_chain(was), now).select("problem", "position")
+
+
+query("forensic_summary_full")(lambda s, d: forensics.summary(_t(s, d), views.wallets(s, d)))
+query("pattern_counts", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 0), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10),
+p AS (SELECT x.v + y.v + w.v AS v FROM e x JOIN e y ON x.b = y.a JOIN e w ON y.b = w.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND w.b NOT IN (x.a, x.b) ORDER BY v DESC LIMIT 20), z AS (SELECT chain, max(timestamp) AS e FROM transfers GROUP BY 1),
+r AS (SELECT count(*) AS n, round(value_usd) AS v FROM transfers t JOIN z USING (chain) WHERE timestamp >= e - INTERVAL 24 HOURS GROUP BY t.chain, from_address, round(value_usd) HAVING count(*) >= 3 ORDER BY 1 DESC, 2 DESC LIMIT 20),
+m AS (SELECT least(a.value_usd, b.value_usd) AS v FROM transfers a JOIN transfers b ON a.to_address = b.from_address WHERE a.from_address <> b.to_address AND a.tx_hash <> b.tx_hash AND {_SECS.format("a.timestamp", "b.timestamp")} BETWEEN 0 AND 300),
+u AS (SELECT 'peel_chain' AS pattern, v FROM p UNION ALL SELECT 'round_amount', n * v FROM r UNION ALL SELECT 'rapid_movement', v FROM m) SELECT pattern, count(*) AS n, round(max(v), 2) AS most_usd FROM u GROUP BY 1""")(lambda s, d: assistant.pattern_counts(_t(s, d)).withColumn("most_usd", F.round("most_usd", 2)))
+ASKED = (
+    "How risky is wallet {0}?", "Where did the money of {0} flow to?", "Who owns the address {0}?", "When was the last transaction of {0}, as a timeline of its transactions?", "Compare wallet {0} and wallet {1} please",
+    "Summary of case TRX-20240001-0001", "Which exchange is {0} attributed to?", "Show suspicious patterns like structuring", "12 + 34 = ?",
+)
+
+
+def _tables(s: SparkSession, d: str) -> assistant.Tables:
+    return assistant.Tables(_t(s, d), views.chain_transactions(s, d), views.wallets(s, d), views.cases(s, d), views.entities(s, d), AS_OF)
+
+
+def _questions(s: SparkSession, *texts: str) -> DataFrame:
+    """Each text about wallets 0 to 19."""
+    who = lambda i: f"0x{i:040x}"
+    return s.createDataFrame([(1000 * k + i, t.format(who(i), who(i + 1))) for k, t in enumerate(texts) for i in range(20)], "id long, text string")
+
+
+query("assistant_answers")(lambda s, d: assistant.answers(_questions(s, *ASKED), _tables(s, d)))
+_WHO = "who AS (SELECT i AS id, '0x' || lpad(lower(to_hex(i)), 40, '0') AS address FROM range(20) t(i))"
+query("assistant_risk", f"""WITH {_FACTORS}, {_WHO}, r AS (SELECT address, least(sum(score * weight) / sum(weight) * 1.1, max(score), 100) AS risk, string_agg(factor, ', ' ORDER BY weight DESC, factor DESC) AS names FROM f WHERE score > 0 GROUP BY 1)
+SELECT id, 'risk_summary' AS kind, q.address AS target, CASE WHEN risk IS NULL THEN 'No risk factor of wallet ' || q.address || '.' ELSE 'Wallet ' || q.address || ' has a risk of ' || printf('%.1f', round(risk, 1)) || ' of 100 (' || CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 40 THEN 'medium' WHEN risk >= 5 THEN 'low' ELSE 'info' END || '): ' || names || '.' END AS answer,
+  CASE WHEN risk IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence FROM who q LEFT JOIN r USING (address)""")(lambda s, d: assistant.answers(_questions(s, ASKED[0]), _tables(s, d)))
+query("assistant_entities", f"""WITH {ENTITIES}, {WALLETS}, {_WHO}, e AS (SELECT DISTINCT ON (address) address, name, entity_type, confidence FROM entities ORDER BY address, name), w AS (SELECT address, count(*) AS n, max(risk_score) AS risk FROM wallets GROUP BY 1)
+SELECT id, 'entity_lookup' AS kind, q.address AS target, CASE WHEN name IS NOT NULL THEN q.address || ' belongs to ' || name || ' (' || entity_type || ', ' || confidence || ').' WHEN n IS NOT NULL THEN q.address || ' is a wallet without a known owner, in ' || n || ' cases, with a risk of up to ' || printf('%.0f', risk) || '.' ELSE 'Nothing is known of ' || q.address || '.' END AS answer,
+  CASE WHEN name IS NULL AND n IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence FROM who q LEFT JOIN e USING (address) LEFT JOIN w USING (address)""")(lambda s, d: assistant.answers(_questions(s, ASKED[2]), _tables(s, d)))
+query("assistant_timeline", f"""WITH {TRANSFERS}, {_WHO}, b AS (SELECT from_address AS address, date_trunc('day', timestamp) AS day, count(*) AS n FROM transfers GROUP BY 1, 2), p AS (SELECT address, sum(n)::BIGINT AS n, count(*) AS days, max(n) AS most, arg_max(day, n * 100000 - datediff('day', DATE '1970-01-01', day::DATE)) AS peak FROM b GROUP BY 1)
+SELECT id, 'timeline' AS kind, q.address AS target, 'Wallet ' || q.address || CASE WHEN n IS NULL THEN ': no transfers.' ELSE ': ' || n || ' transfers on ' || days || ' days, most on ' || strftime(peak, '%Y-%m-%d') || ' (' || most || ').' END AS answer, CASE WHEN n IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence FROM who q LEFT JOIN p USING (address)""")(
+    lambda s, d: assistant.answers(_questions(s, ASKED[3]), _tables(s, d))
+)
+query("assistant_comparison", f"""WITH {TRANSFERS}, {_WHO}, w AS (SELECT address, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT from_address AS address, CAST(value_usd AS DECIMAL(38,2)) AS v FROM transfers UNION ALL SELECT to_address, CAST(value_usd AS DECIMAL(38,2)) FROM transfers) GROUP BY 1), o AS (SELECT id, address, '0x' || lpad(lower(to_hex(id + 1)), 40, '0') AS other FROM who)
+SELECT id, 'comparison' AS kind, o.address AS target, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'Name two wallets that have transfers.' ELSE o.address || ' moved ' || printf('%.2f', a.v) || ' USD, ' || other || ' ' || printf('%.2f', b.v) || ' USD.' END AS answer, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence
+FROM o LEFT JOIN w a ON a.address = o.address LEFT JOIN w b ON b.address = other""")(lambda s, d: assistant.answers(_questions(s, ASKED[4]), _tables(s, d)))
+
 # -- streaming (batch twins) ------------------------------------------------------------------
 query("watchlist_alerts", f"""WITH {TRANSFERS}, {ENTITIES}, w AS (SELECT address AS watched, entity_type AS label FROM entities WHERE entity_type IN ('mixer', 'sanctioned'))
 SELECT tx_hash, watched, label, CASE WHEN watched = from_address THEN 'sent' ELSE 'received' END AS side FROM transfers JOIN w ON watched IN (from_address, to_address) WHERE value_usd >= 50""")(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundflow.functions.codecs import hex_to_decimal_udf, tron_address_udf
+from fundflow.functions.codecs import hex_to_decimal_udf, is_evm_udf, tron_address_udf, tron_form_udf
 from fundflow.shipping import ship
 
 # Chains by id.
@@ -21,6 +21,99 @@ def chains(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CHAINS), "chain_id long, name string, symbol string")
 
 
+def resolve_chains(rows: DataFrame, name: str = "chain") -> DataFrame:
+    """``rows`` with chain_id and native symbol of their chain's name, null for others."""
+    known = chains(rows.sparkSession).select("chain_id", F.col("name").alias("_name"), F.col("symbol").alias("native_symbol"))
+    return rows.join(F.broadcast(known), F.col(name) == F.col("_name"), "left").drop("_name")
+
+
+def chain_info(rows: DataFrame, chain_id: str = "chain_id") -> DataFrame:
+    """``rows`` with name and native symbol of their chain id, null for others."""
+    known = chains(rows.sparkSession).select(F.col("chain_id").alias("_id"), F.col("name").alias("chain_name"), F.col("symbol").alias("native_symbol"))
+    return rows.join(F.broadcast(known), F.col(chain_id) == F.col("_id"), "left").drop("_id")
+
+
+def detect_chain(address: Column) -> Column:
+    """1 for valid hex addresses, which alone name no chain; null for others."""
+    return F.when(is_evm_udf(address), F.lit(1))
+
+
+def bitcoins(satoshis: Column) -> Column:
+    """Exact, without zeros at the end."""
+    text = (satoshis.cast("decimal(30,0)") / F.lit(100_000_000).cast("decimal(10,0)")).cast("decimal(38,8)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+
+def block_at(at: Column, anchor_block: int, anchor_time: str, block_seconds: float) -> Column:
+    """The block of a time, counted from a known one at a steady pace."""
+    drift = (F.unix_micros(at) - F.unix_micros(F.lit(anchor_time).cast("timestamp"))) / 1e6 / block_seconds
+    return (F.lit(anchor_block) + F.bround(drift)).cast("long")
+
+
+def nonces(transactions: DataFrame) -> DataFrame:
+    """``transactions`` with the running number of each sender on its chain."""
+    order = Window.partitionBy("chain", "from_address").orderBy("timestamp", "tx_hash")
+    return transactions.withColumn("nonce", F.row_number().over(order) - 1)
+
+
+def page_of(rows: DataFrame, order: list[Column | str], page: int = 1, page_size: int = 100) -> DataFrame:
+    """One page of rows in order, from 1 on; none beyond the last."""
+    return rows.orderBy(*order).offset((max(page, 1) - 1) * page_size).limit(page_size)
+
+
+def address_legs(legs: DataFrame, address: str, start_block: int = 0, end_block: int | None = None, page: int = 1, page_size: int = 100) -> DataFrame:
+    """A page of the UTXO legs ``(txid, from_address, to_address, value,
+    leg_index, block_number)`` that touch an address within a window of blocks;
+    legs without a block are not confirmed yet and always count."""
+    mine = in_blocks(legs, start_block, end_block).where(F.lit(address).isin(F.col("from_address"), F.col("to_address")))
+    return page_of(mine, [F.desc("block_number"), "txid", "leg_index"], page, page_size)
+
+
+def transactions_of_logs(logs: DataFrame, transactions: DataFrame, page: int = 1, page_size: int = 100) -> DataFrame:
+    """The transactions behind token logs ``(tx_hash, block_number)``: each hash
+    once, a page of them, with what is known of it and the method that its
+    input calls."""
+    hashes = logs.where("tx_hash <> ''").groupBy("tx_hash").agg(F.min("block_number").alias("_block"))
+    few = page_of(hashes, ["_block", "tx_hash"], page, page_size)
+    return with_method(transactions.join(F.broadcast(few.select("tx_hash")), "tx_hash", "left_semi"))
+
+
+def with_method(transactions: DataFrame) -> DataFrame:
+    """``method``: the selector (ten characters) at the head of ``input``, null
+    for plain payments."""
+    return transactions.withColumn("method", F.when(F.length("input") >= 10, F.substring("input", 1, 10)))
+
+
+def tron_native(entries: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """Native transactions as transfers: the first contract of each entry, if it
+    pays TRX or calls a token's transfer.
+
+    ``entries(txID, blockNumber, block_timestamp, ret array<struct<contractRet>>,
+    raw_data struct<timestamp, contract array<struct<type, parameter
+    struct<value struct<owner_address, to_address, amount, data,
+    contract_address>>>>>)``; ``tokens(address, symbol, decimals)``.
+    """
+    ship(entries.sparkSession)
+    tokens = entries.sparkSession.createDataFrame([], "address string, symbol string, decimals int") if tokens is None else tokens
+    first = F.get(F.col("raw_data.contract"), F.lit(0))
+    rows = entries.select(
+        F.col("txID").alias("tx_hash"), F.coalesce(F.col("blockNumber").cast("long"), F.lit(0)).alias("block_number"), F.timestamp_millis(F.coalesce("block_timestamp", "raw_data.timestamp")).alias("timestamp"),
+        (F.coalesce(F.get(F.col("ret"), F.lit(0))["contractRet"], F.lit("SUCCESS")) == "SUCCESS").alias("ok"), first["type"].alias("type"), first["parameter"]["value"].alias("v"),
+    )
+    paid = rows.where("type = 'TransferContract'").select(
+        "tx_hash", "block_number", "timestamp", "ok", tron_form_udf("v.owner_address").alias("from_address"), tron_form_udf("v.to_address").alias("to_address"),
+        F.coalesce(F.col("v.amount").cast("string"), F.lit("0")).alias("raw_value"), F.lit(None).cast("string").alias("token_address"), F.lit("TRX").alias("asset"), F.lit(6).alias("decimals"), F.lit("TransferContract").alias("method"),
+    )
+    called = rows.where("type = 'TriggerSmartContract'").withColumn("d", F.regexp_replace(F.lower("v.data"), "^0x", "")).where(F.col("d").startswith(TRANSFER_SELECTOR) & (F.length("d") >= 136))
+    known = tokens.select(F.col("address").alias("_token"), F.col("symbol").alias("asset"), "decimals")
+    called = called.withColumn("token_address", tron_form_udf("v.contract_address")).join(known, F.col("token_address") == F.col("_token"), "left").select(
+        "tx_hash", "block_number", "timestamp", "ok", tron_form_udf("v.owner_address").alias("from_address"), tron_address_udf(F.substring("d", 9, 64)).alias("to_address"),
+        hex_to_decimal_udf(F.substring("d", 73, 64)).alias("raw_value"), "token_address", "asset", "decimals", F.lit("transfer").alias("method"),
+    )
+    both = paid.unionByName(called)
+    return both.select(*[c for c in both.columns if c != "decimals"], units(F.col("raw_value"), F.col("decimals")).alias("value"), F.col("decimals").isNotNull().alias("decimals_known"))
+
+
 def utxo_legs(transactions: DataFrame) -> DataFrame:
     """Account-style legs of UTXO transactions.
 
@@ -61,7 +154,7 @@ def trc20_legs(entries: DataFrame, tokens: DataFrame | None = None) -> DataFrame
     come from ``tokens(address, decimals)``, else values stay raw."""
     tokens = entries.sparkSession.createDataFrame([], "address string, decimals int") if tokens is None else tokens
     known = tokens.select(F.col("address").alias("_token"), F.col("decimals").alias("_decimals"))
-    rows = entries.join(F.broadcast(known), F.col("token_info.address") == F.col("_token"), "left")
+    rows = entries.join(known, F.col("token_info.address") == F.col("_token"), "left")
     return rows.select(
         F.col("transaction_id").alias("tx_hash"), F.col("from").alias("from_address"), F.col("to").alias("to_address"), units(F.col("value"), F.coalesce("token_info.decimals", "_decimals")).alias("value"),
         F.timestamp_millis("block_timestamp").alias("timestamp"), F.lit("Tron").alias("chain"), F.col("token_info.symbol").alias("asset"), F.col("token_info.address").alias("token_address"),
@@ -86,11 +179,14 @@ def in_blocks(rows: DataFrame, start: int | None, end: int | None) -> DataFrame:
     return rows.where(none | keep)
 
 
-def asset_transfers(entries: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+def asset_transfers(entries: DataFrame, prices: DataFrame | None = None, categories: tuple[str, ...] = ()) -> DataFrame:
     """``entries(hash, from, to, value, asset, blockNum, blockTimestamp,
-    category)`` of an indexer: hex blocks, ISO times; priced if asked."""
+    category)`` of an indexer: hex blocks, ISO times; priced if asked; of these
+    categories only, if any (``erc20``: token transfers)."""
+    if categories:
+        entries = entries.where(F.col("category").isin(*categories))
     prices = entries.sparkSession.createDataFrame([], "asset string, usd double") if prices is None else prices
-    rows = entries.join(F.broadcast(prices.withColumnRenamed("asset", "_asset")), F.col("asset") == F.col("_asset"), "left")
+    rows = entries.join(prices.withColumnRenamed("asset", "_asset"), F.col("asset") == F.col("_asset"), "left")
     return rows.select(
         F.col("hash").alias("tx_hash"), F.col("from").alias("from_address"), F.col("to").alias("to_address"), F.col("value").cast("double").alias("value"), (F.col("value") * F.col("usd")).alias("value_usd"),
         F.conv(F.regexp_replace("blockNum", "^0x", ""), 16, 10).cast("long").alias("block_number"), F.try_to_timestamp("blockTimestamp").alias("timestamp"), "asset", "category",
