@@ -8,14 +8,13 @@ import pytest
 from fundflow import queries as core
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUICK = ("flow_edges", "timeline_stats", "wallet_stats", "rapid_movement", "case_risk_summary", "wallet_role", "bridge_candidates", "risk_score", "k_hop_neighbors", "evidence_hashes", "session_velocity", "mule_hops")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "supplier", "orders", "lineitem", "events"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = core.queries()[name](spark, SF)
     cols = sorted(df.columns)
