@@ -49,52 +49,53 @@ def pagerank(transfers: DataFrame, rounds: int = 20, damping: float = 0.85) -> D
     return ranks
 
 
-def betweenness(transfers: DataFrame, sources_per_task: int = 64, most_edges: int = 1_000_000) -> DataFrame:
+def betweenness(transfers: DataFrame, pairs_per_batch: int = 200_000_000) -> DataFrame:
     """(address, score): share of shortest directed paths that run through it,
     unweighted, divided by (n - 1)(n - 2).
 
-    Sources are dealt out to tasks, each of which searches from its own; the
-    contributions are added up. Every task holds the distinct edges; more than
-    ``most_edges`` are refused, so cut larger graphs to an area (``subgraph``).
+    All addresses are sources, in batches of so many that a batch reaches no
+    more than ``pairs_per_batch`` (source, address) pairs. A batch searches
+    level by level, counting shortest ways, and adds up shares on the way back:
+    joins on the address and sums by pair, each level a table.
     """
-    spark = ship(transfers.sparkSession)
-    edges = transfers.where("from_address <> to_address").select("from_address", "to_address").distinct()
-    nodes = transfers.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct()
-    table = edges.orderBy("from_address", "to_address").limit(most_edges + 1).toPandas()
-    if len(table) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
-    shipped, n = spark.sparkContext.broadcast(list(zip(table.from_address, table.to_address))), nodes.count()
-
-    def run(parts):
-        nxt = defaultdict(list)
-        for a, b in shipped.value:
-            nxt[a].append(b)
-        total: dict[str, float] = defaultdict(float)
-        for pdf in parts:
-            for s in pdf.address:
-                far, ways, order, before, queue = {s: 0}, defaultdict(float, {s: 1.0}), [], defaultdict(list), deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in nxt[v]:
-                        if w not in far:
-                            far[w] = far[v] + 1
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                share: dict[str, float] = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += ways[v] / ways[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"address": list(total), "part": list(total.values())})
-
-    parts = nodes.repartition(max(1, n // sources_per_task)).mapInPandas(run, "address string, part double")
+    edges = stored(transfers.where("from_address <> to_address").select("from_address", "to_address").distinct(), "between-edges")
+    nodes = stored(transfers.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct(), "between-nodes")
+    n = nodes.count()
+    batches, found = -(-n * n // pairs_per_batch) if n else 0, None
+    for k in range(batches):
+        sources = nodes.where(F.pmod(F.xxhash64("address"), F.lit(batches)) == k)
+        part = stored(_dependencies(edges, sources), "between-batch")
+        found = part if found is None else found.unionByName(part)
     scale = (n - 1) * (n - 2) if n > 2 else 1
-    found = parts.groupBy("address").agg((F.sum("part") / scale).alias("score"))
-    return nodes.join(found, "address", "left").select("address", F.coalesce("score", F.lit(0.0)).alias("score"))
+    if found is None:
+        return nodes.withColumn("score", F.lit(0.0))
+    total = found.groupBy("address").agg((F.sum("share") / scale).alias("score"))
+    return nodes.join(total, "address", "left").select("address", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(address, share): what shortest paths from the sources pass through it."""
+    level = stored(sources.select(F.col("address").alias("source"), "address", F.lit(1.0).alias("ways")), "between-level")
+    levels, seen = [level], level.select("source", "address")
+    while True:
+        ahead = level.join(edges, F.col("address") == F.col("from_address")).groupBy("source", F.col("to_address").alias("address")).agg(F.sum("ways").alias("ways"))
+        level = stored(ahead.join(seen, ["source", "address"], "left_anti"), "between-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.union(level.select("source", "address"))
+        if len(levels) % 16 == 0:  # or the plan grows with the levels
+            seen = stored(seen, "between-seen")
+    passed = None
+    share = levels[-1].withColumn("share", F.lit(0.0))
+    for here in reversed(levels[:-1]):
+        own = share.groupBy("address").agg(F.sum("share").alias("share"))
+        passed = own if passed is None else passed.unionByName(own)
+        below = share.select("source", F.col("address").alias("to_address"), ((1 + F.col("share")) / F.col("ways")).alias("each")).join(edges, "to_address")
+        back = below.join(here.withColumnRenamed("address", "from_address"), ["source", "from_address"]).groupBy("source", F.col("from_address").alias("address")).agg(F.sum(F.col("each") * F.col("ways")).alias("share"))
+        share = stored(here.join(back, ["source", "address"], "left").select("source", "address", "ways", F.coalesce("share", F.lit(0.0)).alias("share")), "between-share")
+    own = share.where("source <> address").groupBy("address").agg(F.sum("share").alias("share"))
+    return own if passed is None else passed.unionByName(own)
 
 
 def _louvain(edges: list[tuple[str, str, float]]) -> dict[str, str]:

@@ -67,3 +67,36 @@ def test_risk_of_mixers(spark):
     assert get(mixers=m)["me"][0] <= 95 and risk.factors(_tx(spark, 1), "2030-01-01", mixers=m).where("factor = 'mixer_interaction'").first().score == 95
     one = risk.factors(_tx(spark, 1), "2030-01-01", mixers=far, entities=defi).where("address = 'me'").collect()
     assert [(r.factor, r.score, r.severity) for r in one] == [("mixer_interaction", 8.0, "low")]
+
+
+def test_betweenness_against_every_shortest_path(spark):
+    """Small random graphs, all shortest paths listed; one batch and several."""
+    import random
+    from collections import defaultdict, deque
+
+    rng = random.Random(3)
+    names = [f"n{i:02d}" for i in range(14)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(34)} - {(x, x) for x in names}
+    nxt, nodes = defaultdict(list), sorted({x for e in edges for x in e})
+    for a, b in sorted(edges):
+        nxt[a].append(b)
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        ways, queue = {s: [[s]]}, deque([s])
+        while queue:
+            v = queue.popleft()
+            for w in nxt[v]:
+                if w not in ways:
+                    ways[w] = []
+                    queue.append(w)
+                if not ways[w] or len(ways[w][0]) == len(ways[v][0]) + 1:
+                    ways[w] += [[*p, w] for p in ways[v]]
+        for t, paths in ways.items():
+            for p in paths if t != s else ():
+                for v in p[1:-1]:
+                    want[v] += 1 / len(paths)
+    scale = (len(nodes) - 1) * (len(nodes) - 2)
+    t = legs(spark, [(a, b, 1, i) for i, (a, b) in enumerate(sorted(edges))])
+    for pairs in (10**6, 60):
+        got = {r.address: r.score for r in graph.betweenness(t, pairs).collect()}
+        assert set(got) == set(nodes) and all(abs(got[v] - want[v] / scale) < 1e-9 for v in nodes)
