@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundflow.llm.common import only, packed, stored, unpacked
+from fundflow.llm.common import discard, only, packed, stored, unpacked
 from fundflow.llm.words import Texts, Words, batches, mixed
 
 REACH, LONGEST = 2, 16
@@ -138,8 +138,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words:
     """One row per removed span: doc_id, version (of the text), start, stop,
     n_words, n_units, kept_in (the documents that keep its units)."""
     rows = unit_table(docs, min_words, min_line_words)
-    often = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    often = stored(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated-digests")
     repeated = stored(rows.join(often.hint("shuffle_hash"), "digest"), "repeated-units")
+    discard(often)
     firsts = repeated.groupBy("digest").agg(F.min(F.struct("doc_id", "version", "start", "stop")).alias("first"))
     here = F.struct("doc_id", "version").eqNullSafe(F.struct("first.doc_id", "first.version"))
     again = repeated.join(firsts.hint("shuffle_hash"), "digest").where(~here | (F.col("start") >= F.col("first.stop")))
