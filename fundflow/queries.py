@@ -215,7 +215,18 @@ hops AS (SELECT i.from_address AS source, i.to_address AS mule, o.to_address AS
 FROM legs i JOIN legs o ON i.to_address = o.from_address JOIN w ON w.source = i.from_address AND w.sink = o.to_address WHERE i.n <= 8 AND o.n <= 8 AND {_SECS.format("i.timestamp", "o.timestamp")} BETWEEN 0 AND 86400 AND abs(o.value_usd - i.value_usd) / i.value_usd <= 0.25
 QUALIFY row_number() OVER (PARTITION BY i.from_address, i.to_address, o.to_address ORDER BY gap, deviation, o.tx_hash, i.tx_hash) = 1)"""
 query("mule_hops", f"WITH {_HOPS} SELECT source, mule, sink, hash_in, hash_out, gap, round(deviation, 6) AS deviation FROM hops")(lambda s, d: motifs.mule_hops(_t(s, d), 86400, 2).select("source", "mule", "sink", "hash_in", "hash_out", "gap", _r("deviation")))
-query("fan_out_fan_in")(lambda s, d: motifs.fan_out_fan_in(_t(s, d), 86400, 2))
+_score = lambda a, x, b, y, c, z: f"round(0.95 * ({a} * {x} + {b} * {y} + {c} * {z}), 3)"
+_unit = lambda x: f"least(1.0, greatest(0.0, {x}))"
+_TIMED = _HOPS[: _HOPS.index(", e AS (SELECT DISTINCT")] + ", hops AS (SELECT " + _HOPS[_HOPS.index("hops AS (SELECT ") + len("hops AS (SELECT ") :].replace("i.tx_hash AS hash_in", "i.tx_hash AS hash_in, i.value_usd AS value_in, o.value_usd AS value_out, i.timestamp AS at_in, o.timestamp AS at_out").replace(" JOIN w ON w.source = i.from_address AND w.sink = o.to_address WHERE", " WHERE i.from_address <> o.to_address AND")
+query("fan_out_fan_in", f"""WITH {_TIMED}, h AS MATERIALIZED (SELECT * FROM hops QUALIFY count(*) OVER (PARTITION BY source, sink) >= 2), ev AS (SELECT source, sink, mule, at_in AS moment, hash_in AS hash FROM h UNION ALL SELECT source, sink, mule, at_out, hash_out FROM h),
+c AS (SELECT *, CASE WHEN {_SECS.format("lag(moment) OVER o", "moment")} > 86400 THEN 1 ELSE 0 END AS cut FROM ev WINDOW o AS (PARTITION BY source, sink ORDER BY moment, hash, mule)), n AS (SELECT *, sum(cut) OVER (PARTITION BY source, sink ORDER BY moment, hash, mule ROWS UNBOUNDED PRECEDING) AS run FROM c),
+m AS (SELECT source, sink, run, mule FROM n GROUP BY ALL HAVING count(*) = 2),
+f AS (SELECT source, sink, run, list(mule ORDER BY mule) AS mules, count(*) AS mule_count, CAST(sum(CAST(value_in AS DECIMAL(38,2))) AS DOUBLE) AS fan_out_usd, CAST(sum(CAST(value_out AS DECIMAL(38,2))) AS DOUBLE) AS fan_in_usd, avg(deviation) AS dev, max(gap) AS max_hop_seconds, {_SECS.format("min(at_in)", "max(at_out)")} AS span,
+  list_sort(list_distinct(flatten(list([hash_in, hash_out])))) AS hs FROM m JOIN h USING (source, sink, mule) GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT 'fan_out_fan_in' AS motif, source, sink, list_aggregate(mules, 'string_agg', ',') AS mules, source || ',' || list_aggregate(mules, 'string_agg', ',') || ',' || sink AS addresses, list_aggregate(hs, 'string_agg', ',') AS tx_hashes, fan_out_usd AS value_usd, fan_out_usd, fan_in_usd, mule_count, max_hop_seconds, span AS span_seconds,
+  round(dev, 4) AS mean_value_deviation, {_score(0.45, _unit("mule_count / 4"), 0.35, _unit("1 - dev / 0.25"), 0.20, _unit("1 - span / 86400"))} AS confidence FROM f""")(
+    lambda s, d: motifs.fan_out_fan_in(_t(s, d), 86400, 2).withColumns({c: F.array_join(c, ",") for c in ("addresses", "tx_hashes", "mules")})
+)
 query("peel_chains")(lambda s, d: motifs.peel_chains(_t(s, d), min_length=2))
 query("cycles_len2", f"""WITH {_LEGS}, c AS (SELECT x.from_address AS a, x.to_address AS b, x.n AS k, x.tx_hash AS h1, x.value_usd AS v1, x.timestamp AS t1, y.tx_hash AS h2, y.value_usd AS v2, y.timestamp AS t2 FROM legs x JOIN legs y ON x.to_address = y.from_address AND y.to_address = x.from_address
   WHERE x.from_address < x.to_address AND x.n <= 8 AND y.timestamp >= x.timestamp QUALIFY row_number() OVER (PARTITION BY x.from_address, x.to_address, x.n ORDER BY y.timestamp, y.tx_hash) = 1),
@@ -223,7 +234,13 @@ g AS (SELECT * FROM c WHERE {_SECS.format("t1", "t2")} <= 86400 QUALIFY row_numb
 SELECT a || ',' || b AS addresses, h1 || ',' || h2 AS tx_hashes, least(v1, v2) AS value_usd, {_SECS.format("t1", "t2")} AS span_seconds FROM g""")(
     lambda s, d: motifs.cycles(_t(s, d), 2).select(F.array_join("addresses", ",").alias("addresses"), F.array_join("tx_hashes", ",").alias("tx_hashes"), "value_usd", "span_seconds")
 )
-query("cycles_upto6")(lambda s, d: motifs.cycles(_t(s, d), 6))
+query("cycles_upto6", f"""WITH RECURSIVE {_LEGS}, g AS MATERIALIZED (SELECT * FROM legs), r(start, node, k, path, t0, t1, hashes, vals) AS (SELECT from_address, to_address, n, [from_address, to_address], timestamp, timestamp, [tx_hash], [value_usd] FROM g WHERE to_address > from_address AND n <= 8
+  UNION ALL SELECT r.start, l.to_address, r.k, list_append(r.path, l.to_address), r.t0, l.timestamp, list_append(r.hashes, l.tx_hash), list_append(r.vals, l.value_usd) FROM r JOIN g l ON l.from_address = r.node
+  WHERE r.node <> r.start AND l.timestamp >= r.t1 AND {_SECS.format("r.t0", "l.timestamp")} <= 86400 AND (l.to_address = r.start OR (len(r.path) < 6 AND l.to_address > r.start AND NOT list_contains(r.path, l.to_address)))
+  QUALIFY row_number() OVER (PARTITION BY r.start, r.path, r.k, l.to_address ORDER BY l.timestamp, l.tx_hash) = 1),
+z AS (SELECT *, len(path) - 1 AS length, {_SECS.format("t0", "t1")} AS span, list_min(vals) / list_max(vals) AS keep FROM r WHERE node = start QUALIFY row_number() OVER (PARTITION BY path ORDER BY k) = 1)
+SELECT 'cycle' AS motif, list_aggregate(path[:length], 'string_agg', ',') AS addresses, list_aggregate(hashes, 'string_agg', ',') AS tx_hashes, list_min(vals) AS value_usd, {_score(0.40, _unit("keep"), 0.35, _unit("1 - span / 86400"), 0.25, _unit("3.0::DOUBLE / length"))} AS confidence, span AS span_seconds,
+  CAST(length AS INTEGER) AS length, round(keep, 4) AS retention, list_max(vals) AS max_hop_usd FROM z""")(lambda s, d: motifs.cycles(_t(s, d), 6).withColumn("addresses", F.array_join("addresses", ",")).withColumn("tx_hashes", F.array_join("tx_hashes", ",")))
 query("motif_counts")(lambda s, d: motifs.detect_motifs(_t(s, d), window_seconds=86400, min_mules=2, min_length=2, max_length=6).groupBy("motif").agg(F.count("*").alias("n"), total(F.col("value_usd")).alias("value_usd")))
 
 # -- correlation --------------------------------------------------------------------
@@ -235,9 +252,26 @@ SELECT * EXCLUDE (delta), round(delta, 4) AS value_delta_pct, {_SURE.format(_pro
 query("fiat_candidates", f"""WITH {TRANSFERS}, {PAYMENTS}, p AS (SELECT reference_id AS payment_reference, payer_account, payee_account, tx_hash AS chain_tx, to_address AS crypto_address, amount_inr, value_usd, {_SECS.format("p.timestamp", "t.timestamp")} AS elapsed_seconds, abs(amount_inr - value_usd * 83) / (value_usd * 83) * 100 AS delta
   FROM payments p JOIN transfers t ON t.timestamp BETWEEN p.timestamp - INTERVAL 600 SECONDS AND p.timestamp + INTERVAL 600 SECONDS WHERE amount_inr > 0 AND value_usd > 0)
 SELECT * EXCLUDE (delta), round(amount_inr / value_usd, 4) AS implied_rate, {_SURE.format(_prox("abs(elapsed_seconds)", 600), _prox("delta", 5))} AS confidence FROM p WHERE delta <= 5""")(lambda s, d: correlation.fiat_candidates(views.fiat_payments(s, d), _t(s, d)))
-query("bridge_matches")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d)))
-query("bridge_matches_allowlist")(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d), bridges=views.entities(s, d).where("entity_type = 'bridge'").select("address")))
-query("fiat_matches")(lambda s, d: correlation.fiat_matches(views.fiat_payments(s, d), _t(s, d)))
+
+
+def _greedy(ctes: str, candidates: str, left: str, right: str, rounds: int = 24) -> str:
+    """SQL of the assignment: in each round the candidates that lead on both sides."""
+    best = lambda c: f"row_number() OVER (PARTITION BY {c} ORDER BY confidence DESC, {left}, {right}) = 1"
+    out = [f"c0 AS MATERIALIZED ({candidates})"]
+    for i in range(rounds):
+        out.append(f"t{i} AS MATERIALIZED (SELECT * FROM c{i} QUALIFY {best(left)} AND {best(right)})")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} WHERE {left} NOT IN (SELECT {left} FROM t{i}) AND {right} NOT IN (SELECT {right} FROM t{i}))")
+    return f"WITH {ctes}, {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(rounds))
+
+
+_BRIDGES = f"""b AS MATERIALIZED (SELECT a.chain AS source_chain, a.tx_hash AS source_tx, a.from_address AS source_address, b.chain AS destination_chain, b.tx_hash AS destination_tx, b.to_address AS destination_address, a.value_usd, a.to_address AS bridge,
+  {_SECS.format("a.timestamp", "b.timestamp")} AS elapsed_seconds, abs(b.value_usd - a.value_usd) / a.value_usd * 100 AS delta FROM transfers a JOIN transfers b ON a.chain <> b.chain AND b.timestamp BETWEEN a.timestamp AND a.timestamp + INTERVAL 3600 SECONDS WHERE a.value_usd > 0 AND b.value_usd > 0)"""
+_BRIDGED = f"SELECT * EXCLUDE (delta, bridge), round(delta, 4) AS value_delta_pct, {_SURE.format(_prox('elapsed_seconds', 3600), _prox('delta', 2))} AS confidence, {{0}} AS bridge_address FROM b WHERE delta <= 2{{1}}"
+query("bridge_matches", _greedy(f"{TRANSFERS}, {_BRIDGES}", _BRIDGED.format("NULL::VARCHAR", ""), "source_tx", "destination_tx"))(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d)))
+query("bridge_matches_allowlist", _greedy(f"{TRANSFERS}, {ENTITIES}, {_BRIDGES}", _BRIDGED.format("bridge", " AND bridge IN (SELECT address FROM entities WHERE entity_type = 'bridge')"), "source_tx", "destination_tx"))(lambda s, d: correlation.bridge_matches(_t(s, d), _t(s, d), bridges=views.entities(s, d).where("entity_type = 'bridge'").select("address")))
+query("fiat_matches", _greedy(f"""{TRANSFERS}, {PAYMENTS}, p AS (SELECT reference_id AS payment_reference, payer_account, payee_account, tx_hash AS chain_tx, to_address AS crypto_address, amount_inr, value_usd, {_SECS.format("p.timestamp", "t.timestamp")} AS elapsed_seconds, abs(amount_inr - value_usd * 83) / (value_usd * 83) * 100 AS delta
+  FROM payments p JOIN transfers t ON t.timestamp BETWEEN p.timestamp - INTERVAL 600 SECONDS AND p.timestamp + INTERVAL 600 SECONDS WHERE amount_inr > 0 AND value_usd > 0)""",
+    f"SELECT * EXCLUDE (delta), round(amount_inr / value_usd, 4) AS implied_rate, {_SURE.format(_prox('abs(elapsed_seconds)', 600), _prox('delta', 5))} AS confidence FROM p WHERE delta <= 5", "payment_reference", "chain_tx"))(lambda s, d: correlation.fiat_matches(views.fiat_payments(s, d), _t(s, d)))
 
 # -- risk -----------------------------------------------------------------------------
 _ETH = "CAST(value AS DOUBLE) / 1e18"
@@ -290,8 +324,6 @@ SELECT n AS address, name, entity_type, confidence, CAST(h AS INTEGER) AS hops,
 )
 query("mixer_interactions", f"""WITH RECURSIVE {_BOTH}, {ENTITIES}, r(n, h) AS (SELECT '{START}', 0 UNION SELECT e.b, r.h + 1 FROM r JOIN e ON e.a = r.n WHERE r.h < 3), m AS (SELECT n, min(h) AS h FROM r GROUP BY 1 HAVING min(h) > 0)
 SELECT name, CAST(h AS INTEGER) AS hops FROM m JOIN entities ON address = n WHERE entity_type = 'mixer' ORDER BY h, n LIMIT 10""")(lambda s, d: graph.paths_to_entities(_t(s, d), _start(s), views.entities(s, d), 3, ("mixer",), top=10).select("name", "hops"))
-query("attributions")(lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d)))
-query("attribution_summary")(lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 _NEAR = f"""{_BOTH}, {ENTITIES}, p(n, h, path) AS (SELECT '{START}', 0, ['{START}'] UNION ALL SELECT e.b, p.h + 1, list_append(p.path, e.b) FROM p JOIN e ON e.a = p.n WHERE p.h < 2 AND NOT list_contains(p.path, e.b)),
 b AS (SELECT n, h, path FROM p WHERE h > 0 QUALIFY row_number() OVER (PARTITION BY n ORDER BY h, path) = 1),
 q AS (SELECT address, name, entity_type, confidence AS listed, h AS hops, list_aggregate(path, 'string_agg', ',') AS path FROM b JOIN entities ON address = n WHERE entity_type IN ('exchange', 'bridge', 'defi') QUALIFY row_number() OVER (ORDER BY h, address, name) <= 20),
@@ -300,14 +332,20 @@ c AS (SELECT *, CASE listed WHEN 'CONFIRMED' THEN CASE WHEN hops <= 2 AND kind =
   WHEN 'PROBABLE' THEN CASE WHEN hops <= 2 THEN 'PROBABLE' ELSE 'UNKNOWN' END ELSE 'UNKNOWN' END AS sure FROM k),
 s AS (SELECT *, least(1, greatest(0, CASE sure WHEN 'CONFIRMED' THEN 1.0 WHEN 'HIGH_CONFIDENCE' THEN 0.85 WHEN 'PROBABLE' THEN 0.65 ELSE 0.3 END::DOUBLE * greatest(0, 1 - (hops - 1) * 0.1::DOUBLE) * CASE kind WHEN 'direct' THEN 1.0 WHEN 'indirect' THEN 0.8 ELSE 0.4 END::DOUBLE * (0.7::DOUBLE + 0.3::DOUBLE * least(1, hops / 10)))) AS score FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, hops, address, name) AS rank FROM s QUALIFY rank <= 10)"""
-query("attributions_two_hops", f"""WITH RECURSIVE {_NEAR} SELECT CAST(rank AS INTEGER) AS rank, address, name, entity_type, kind AS attribution_type, sure AS confidence, round(score, 6) AS confidence_score, CAST(hops AS INTEGER) AS hops, path,
-  'on_chain_path,entity_registry' || CASE WHEN listed = 'CONFIRMED' THEN ',manual_verification' ELSE '' END AS evidence FROM r""")(
-    lambda s, d: attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2).drop("start").withColumn("confidence_score", F.round("confidence_score", 6)).withColumn("path", F.array_join("path", ",")).withColumn("evidence", F.array_join("evidence", ","))
-)
-query("attribution_summary_two_hops", f"""WITH RECURSIVE {_NEAR} SELECT count(*) AS total, (SELECT name FROM r WHERE rank = 1) AS nearest, round(max(score), 6) AS highest_score, round(avg(hops), 6) AS average_hops,
-  count(*) FILTER (entity_type = 'exchange') AS exchange_count, count(*) FILTER (entity_type = 'bridge') AS bridge_count, count(*) FILTER (entity_type = 'defi') AS defi_count, count(*) FILTER (entity_type = 'mixer') AS mixer_count FROM r HAVING count(*) > 0""")(
-    lambda s, d: attribution.summary(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2)).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
-)
+_STEPS = f"{_BOTH}, {ENTITIES}, p0 AS (SELECT '{START}' AS n, 0 AS h, ['{START}'] AS path), " + ", ".join(
+    f"p{i} AS MATERIALIZED (SELECT e.b AS n, {i} AS h, list_append(min(p.path), e.b) AS path FROM p{i - 1} p JOIN e ON e.a = p.n WHERE e.b NOT IN ({' UNION ALL '.join(f'SELECT n FROM p{j}' for j in range(i))}) GROUP BY e.b)" for i in range(1, 7)
+)
+_FAR = f"{_STEPS}, b AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(1, 7))}), q AS (" + _NEAR.split("q AS (", 1)[1]
+_ATTRIBUTED = """SELECT CAST(rank AS INTEGER) AS rank, address, name, entity_type, kind AS attribution_type, sure AS confidence, round(score, 6) AS confidence_score, CAST(hops AS INTEGER) AS hops, path,
+  'on_chain_path,entity_registry' || CASE WHEN listed = 'CONFIRMED' THEN ',manual_verification' ELSE '' END AS evidence FROM r"""
+_SUMMED = """SELECT count(*) AS total, (SELECT name FROM r WHERE rank = 1) AS nearest, round(max(score), 6) AS highest_score, round(avg(hops), 6) AS average_hops, count(*) FILTER (entity_type = 'exchange') AS exchange_count,
+  count(*) FILTER (entity_type = 'bridge') AS bridge_count, count(*) FILTER (entity_type = 'defi') AS defi_count, count(*) FILTER (entity_type = 'mixer') AS mixer_count FROM r HAVING count(*) > 0"""
+_listed = lambda df: df.drop("start").withColumn("confidence_score", F.round("confidence_score", 6)).withColumn("path", F.array_join("path", ",")).withColumn("evidence", F.array_join("evidence", ","))
+_summed = lambda df: attribution.summary(df).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
+query("attributions", f"WITH {_FAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
+query("attribution_summary", f"WITH {_FAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
+query("attributions_two_hops", f"WITH RECURSIVE {_NEAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2)))
+query("attribution_summary_two_hops", f"WITH RECURSIVE {_NEAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2)))
 query("busy_chains", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 300), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10)
 SELECT x.a || ',' || x.b || ',' || y.b AS addresses, round(x.v + y.v, 2) AS value_usd FROM e x JOIN e y ON x.b = y.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND x.v + y.v > 600 ORDER BY x.v + y.v DESC, 1 LIMIT 20""")(
     lambda s, d: graph.busy_chains(_t(s, d), 2, 10, 300.0).select(F.array_join("addresses", ",").alias("addresses"), _r("value_usd", 2))
@@ -317,7 +355,14 @@ w AS MATERIALIZED (SELECT e.a, e.b, CASE WHEN o.v > 0 THEN e.v / o.v ELSE 1.0 /
     f", r{i} AS MATERIALIZED (SELECT z.x, z.sink, z.n, 0.15 / z.n + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(s), 0) FROM r{i - 1} WHERE sink) / z.n) AS s FROM z LEFT JOIN (SELECT w.b, sum(r.s * w.w) AS got FROM r{i - 1} r JOIN w ON w.a = r.x GROUP BY 1) g ON g.b = z.x)" for i in range(1, 21)
 )
 query("pagerank", f"WITH {_RANK} SELECT x AS address, round(s, 9) AS score FROM r20")(lambda s, d: graph.pagerank(_t(s, d)).select("address", _r("score", 9)))
-query("betweenness")(lambda s, d: graph.betweenness(_t(s, d)))
+_LEVELS = 6
+_SEARCH = f"""{TRANSFERS}, e AS MATERIALIZED (SELECT DISTINCT from_address AS a, to_address AS b FROM transfers WHERE from_address <> to_address), n AS MATERIALIZED (SELECT from_address AS v FROM transfers UNION SELECT to_address FROM transfers), l0 AS MATERIALIZED (SELECT v AS s, v, 1::DOUBLE AS w FROM n), """ + ", ".join(
+    [f"l{i} AS MATERIALIZED (SELECT x.s, e.b AS v, sum(x.w) AS w FROM l{i - 1} x JOIN e ON e.a = x.v WHERE {' AND '.join(f'(x.s, e.b) NOT IN (SELECT (s, v) FROM l{j})' for j in range(i))} GROUP BY 1, 2)" for i in range(1, _LEVELS + 1)]
+    + [f"d{_LEVELS} AS (SELECT s, v, w, 0::DOUBLE AS d FROM l{_LEVELS})"]
+    + [f"d{i} AS MATERIALIZED (SELECT h.s, h.v, h.w, coalesce(sum(h.w * (1 + x.d) / x.w), 0) AS d FROM l{i} h LEFT JOIN e ON e.a = h.v LEFT JOIN d{i + 1} x ON x.s = h.s AND x.v = e.b GROUP BY 1, 2, 3)" for i in range(_LEVELS - 1, 0, -1)]
+)
+query("betweenness", f"""WITH {_SEARCH}, u AS ({' UNION ALL '.join(f'SELECT v, d FROM d{i}' for i in range(1, _LEVELS + 1))})
+SELECT n.v AS address, round(coalesce(sum(d), 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS score FROM n LEFT JOIN u USING (v) GROUP BY 1""")(lambda s, d: graph.betweenness(_t(s, d)).select("address", _r("score", 9)))
 query("communities")(lambda s, d: graph.communities(_t(s, d), views.wallets(s, d)))
 
 # -- taint ------------------------------------------------------------------------------
@@ -360,7 +405,7 @@ query("evidence_chain", f"""WITH RECURSIVE {TRANSACTIONS}, h AS MATERIALIZED (SE
 r(i, link) AS (SELECT 0::BIGINT, sha256('') UNION ALL SELECT h.i, sha256(r.link || h.record_hash) FROM r JOIN h ON h.i = r.i + 1) SELECT position, record_hash, link, '' AS chain FROM h JOIN r USING (i)""")(lambda s, d: evidence.hash_chain(_hashes(s, d)))
 
 
-@query("evidence_records")
+@query("evidence_records", f"""WITH {TRANSACTIONS} SELECT block_number AS position, tx_hash AS record_id, sha256('{{"payload":{{"from_address":"' || from_address || '","to_address":"' || to_address || '","value":"' || value || '"}},"record_id":"' || tx_hash || '","record_type":"transaction","source":"' || chain || '"}}') AS record_hash FROM transactions""")
 def _records(s: SparkSession, d: str) -> DataFrame:
     t = views.chain_transactions(s, d)
     return evidence.record_hashes(t.select(F.col("block_number").alias("position"), F.col("tx_hash").alias("record_id"), F.lit("transaction").alias("record_type"), F.col("chain").alias("source"), F.to_json(F.struct("from_address", "to_address", "value")).alias("payload")))
