@@ -218,30 +218,48 @@ query("mule_hops", f"WITH {_HOPS} SELECT source, mule, sink, hash_in, hash_out,
 _score = lambda a, x, b, y, c, z: f"round(0.95 * ({a} * {x} + {b} * {y} + {c} * {z}), 3)"
 _unit = lambda x: f"least(1.0, greatest(0.0, {x}))"
 _TIMED = _HOPS[: _HOPS.index(", e AS (SELECT DISTINCT")] + ", hops AS (SELECT " + _HOPS[_HOPS.index("hops AS (SELECT ") + len("hops AS (SELECT ") :].replace("i.tx_hash AS hash_in", "i.tx_hash AS hash_in, i.value_usd AS value_in, o.value_usd AS value_out, i.timestamp AS at_in, o.timestamp AS at_out").replace(" JOIN w ON w.source = i.from_address AND w.sink = o.to_address WHERE", " WHERE i.from_address <> o.to_address AND")
-query("fan_out_fan_in", f"""WITH {_TIMED}, h AS MATERIALIZED (SELECT * FROM hops QUALIFY count(*) OVER (PARTITION BY source, sink) >= 2), ev AS (SELECT source, sink, mule, at_in AS moment, hash_in AS hash FROM h UNION ALL SELECT source, sink, mule, at_out, hash_out FROM h),
+_FANS = f"""{_TIMED}, h AS MATERIALIZED (SELECT * FROM hops QUALIFY count(*) OVER (PARTITION BY source, sink) >= 2), ev AS (SELECT source, sink, mule, at_in AS moment, hash_in AS hash FROM h UNION ALL SELECT source, sink, mule, at_out, hash_out FROM h),
 c AS (SELECT *, CASE WHEN {_SECS.format("lag(moment) OVER o", "moment")} > 86400 THEN 1 ELSE 0 END AS cut FROM ev WINDOW o AS (PARTITION BY source, sink ORDER BY moment, hash, mule)), n AS (SELECT *, sum(cut) OVER (PARTITION BY source, sink ORDER BY moment, hash, mule ROWS UNBOUNDED PRECEDING) AS run FROM c),
 m AS (SELECT source, sink, run, mule FROM n GROUP BY ALL HAVING count(*) = 2),
 f AS (SELECT source, sink, run, list(mule ORDER BY mule) AS mules, count(*) AS mule_count, CAST(sum(CAST(value_in AS DECIMAL(38,2))) AS DOUBLE) AS fan_out_usd, CAST(sum(CAST(value_out AS DECIMAL(38,2))) AS DOUBLE) AS fan_in_usd, avg(deviation) AS dev, max(gap) AS max_hop_seconds, {_SECS.format("min(at_in)", "max(at_out)")} AS span,
-  list_sort(list_distinct(flatten(list([hash_in, hash_out])))) AS hs FROM m JOIN h USING (source, sink, mule) GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+  list_sort(list_distinct(flatten(list([hash_in, hash_out])))) AS hs FROM m JOIN h USING (source, sink, mule) GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
+query("fan_out_fan_in", f"""WITH {_FANS}
 SELECT 'fan_out_fan_in' AS motif, source, sink, list_aggregate(mules, 'string_agg', ',') AS mules, source || ',' || list_aggregate(mules, 'string_agg', ',') || ',' || sink AS addresses, list_aggregate(hs, 'string_agg', ',') AS tx_hashes, fan_out_usd AS value_usd, fan_out_usd, fan_in_usd, mule_count, max_hop_seconds, span AS span_seconds,
   round(dev, 4) AS mean_value_deviation, {_score(0.45, _unit("mule_count / 4"), 0.35, _unit("1 - dev / 0.25"), 0.20, _unit("1 - span / 86400"))} AS confidence FROM f""")(
     lambda s, d: motifs.fan_out_fan_in(_t(s, d), 86400, 2).withColumns({c: F.array_join(c, ",") for c in ("addresses", "tx_hashes", "mules")})
 )
-query("peel_chains")(lambda s, d: motifs.peel_chains(_t(s, d), min_length=2))
+# a walk's next step: of what leaves in time, the largest goes on and the largest slice is peeled
+_PEELS = f"""{MOVES}, og AS MATERIALIZED (SELECT from_address AS node, {{'v': value_usd, 'h': tx_hash, 't': to_address, 'm': timestamp}} AS x FROM moves), pw(entry, node, held, clock, began, path, visited, fwd, peels) AS (
+  SELECT tx_hash, to_address, value_usd, timestamp, timestamp, [from_address, to_address], [from_address, to_address], [{{'v': value_usd, 'h': tx_hash, 't': to_address, 'm': timestamp}}], CAST([] AS STRUCT(v DOUBLE, h VARCHAR, t VARCHAR, m TIMESTAMP, r DOUBLE)[]) FROM moves
+  UNION ALL SELECT entry, f.t, f.v, f.m, began, list_append(path, f.t), visited || [f.t, p.t], list_append(fwd, f), list_append(peels, {{'v': p.v, 'h': p.h, 't': p.t, 'm': p.m, 'r': p.v / held}})
+  FROM (SELECT *, list_max(list_filter(opts, lambda o: o.v / held <= 0.4 AND o.h <> f.h)) AS p FROM (SELECT *, list_max(opts) AS f FROM (
+    SELECT w.entry, w.held, w.began, w.path, w.visited, w.fwd, w.peels, list(o.x) AS opts FROM pw w JOIN og o ON o.node = w.node WHERE len(w.peels) < 64 AND o.x.m >= w.clock AND {_SECS.format("w.began", "o.x.m")} <= 86400 AND NOT list_contains(w.visited, o.x.t) GROUP BY ALL))
+    WHERE len(opts) >= 2 AND f.v / held >= 0.6) WHERE p IS NOT NULL),
+pc AS MATERIALIZED (SELECT *, list_transform(fwd, lambda f: f.h) AS hashes, len(peels) AS links FROM pw QUALIFY row_number() OVER (PARTITION BY entry ORDER BY len(peels) DESC) = 1 AND len(peels) >= 2),
+pi AS (SELECT DISTINCT x.entry FROM pc x JOIN (SELECT unnest(hashes) AS hop, hashes, links FROM pc) y ON x.entry = y.hop WHERE y.links > x.links AND list_has_all(y.hashes, x.hashes)),
+pk AS (SELECT *, list_sum(list_transform(peels, lambda p: p.r)) / links AS mean, list_transform(fwd, lambda f: f.m) || list_transform(peels, lambda p: p.m) AS times FROM pc WHERE entry NOT IN (SELECT entry FROM pi))"""
+_PEEL_SPAN = _SECS.format("list_min(times)", "list_max(times)")
+query("peel_chains", f"""WITH RECURSIVE {_PEELS} SELECT 'peel_chain' AS motif, list_aggregate(path, 'string_agg', ',') || ',' || list_aggregate(list_sort(list_distinct(list_transform(peels, lambda p: p.t))), 'string_agg', ',') AS addresses,
+  list_aggregate(list_sort(list_distinct(hashes || list_transform(peels, lambda p: p.h))), 'string_agg', ',') AS tx_hashes, fwd[1].v AS value_usd, {_score(0.45, _unit("links / 4"), 0.35, _unit("1 - mean / 0.4"), 0.20, _unit(f"1 - {_PEEL_SPAN} / 86400"))} AS confidence, {_PEEL_SPAN} AS span_seconds,
+  CAST(links AS INTEGER) AS links, list_aggregate(path, 'string_agg', ',') AS path, round(mean, 4) AS mean_peel_ratio, fwd[-1].v AS residual_usd, round(list_sum(list_transform(peels, lambda p: p.v)), 6) AS peeled_usd FROM pk""")(
+    lambda s, d: motifs.peel_chains(_t(s, d), min_length=2).withColumns({c: F.array_join(c, ",") for c in ("addresses", "tx_hashes", "path")}).withColumn("peeled_usd", F.round("peeled_usd", 6))
+)
 query("cycles_len2", f"""WITH {_LEGS}, c AS (SELECT x.from_address AS a, x.to_address AS b, x.n AS k, x.tx_hash AS h1, x.value_usd AS v1, x.timestamp AS t1, y.tx_hash AS h2, y.value_usd AS v2, y.timestamp AS t2 FROM legs x JOIN legs y ON x.to_address = y.from_address AND y.to_address = x.from_address
   WHERE x.from_address < x.to_address AND x.n <= 8 AND y.timestamp >= x.timestamp QUALIFY row_number() OVER (PARTITION BY x.from_address, x.to_address, x.n ORDER BY y.timestamp, y.tx_hash) = 1),
 g AS (SELECT * FROM c WHERE {_SECS.format("t1", "t2")} <= 86400 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY k) = 1)
 SELECT a || ',' || b AS addresses, h1 || ',' || h2 AS tx_hashes, least(v1, v2) AS value_usd, {_SECS.format("t1", "t2")} AS span_seconds FROM g""")(
     lambda s, d: motifs.cycles(_t(s, d), 2).select(F.array_join("addresses", ",").alias("addresses"), F.array_join("tx_hashes", ",").alias("tx_hashes"), "value_usd", "span_seconds")
 )
-query("cycles_upto6", f"""WITH RECURSIVE {_LEGS}, g AS MATERIALIZED (SELECT * FROM legs), r(start, node, k, path, t0, t1, hashes, vals) AS (SELECT from_address, to_address, n, [from_address, to_address], timestamp, timestamp, [tx_hash], [value_usd] FROM g WHERE to_address > from_address AND n <= 8
+_RINGS = f"""{_LEGS}, g AS MATERIALIZED (SELECT * FROM legs), r(start, node, k, path, t0, t1, hashes, vals) AS (SELECT from_address, to_address, n, [from_address, to_address], timestamp, timestamp, [tx_hash], [value_usd] FROM g WHERE to_address > from_address AND n <= 8
   UNION ALL SELECT r.start, l.to_address, r.k, list_append(r.path, l.to_address), r.t0, l.timestamp, list_append(r.hashes, l.tx_hash), list_append(r.vals, l.value_usd) FROM r JOIN g l ON l.from_address = r.node
   WHERE r.node <> r.start AND l.timestamp >= r.t1 AND {_SECS.format("r.t0", "l.timestamp")} <= 86400 AND (l.to_address = r.start OR (len(r.path) < 6 AND l.to_address > r.start AND NOT list_contains(r.path, l.to_address)))
   QUALIFY row_number() OVER (PARTITION BY r.start, r.path, r.k, l.to_address ORDER BY l.timestamp, l.tx_hash) = 1),
-z AS (SELECT *, len(path) - 1 AS length, {_SECS.format("t0", "t1")} AS span, list_min(vals) / list_max(vals) AS keep FROM r WHERE node = start QUALIFY row_number() OVER (PARTITION BY path ORDER BY k) = 1)
+z AS (SELECT *, len(path) - 1 AS length, {_SECS.format("t0", "t1")} AS span, list_min(vals) / list_max(vals) AS keep FROM r WHERE node = start QUALIFY row_number() OVER (PARTITION BY path ORDER BY k) = 1)"""
+query("cycles_upto6", f"""WITH RECURSIVE {_RINGS}
 SELECT 'cycle' AS motif, list_aggregate(path[:length], 'string_agg', ',') AS addresses, list_aggregate(hashes, 'string_agg', ',') AS tx_hashes, list_min(vals) AS value_usd, {_score(0.40, _unit("keep"), 0.35, _unit("1 - span / 86400"), 0.25, _unit("3.0::DOUBLE / length"))} AS confidence, span AS span_seconds,
   CAST(length AS INTEGER) AS length, round(keep, 4) AS retention, list_max(vals) AS max_hop_usd FROM z""")(lambda s, d: motifs.cycles(_t(s, d), 6).withColumn("addresses", F.array_join("addresses", ",")).withColumn("tx_hashes", F.array_join("tx_hashes", ",")))
-query("motif_counts")(lambda s, d: motifs.detect_motifs(_t(s, d), window_seconds=86400, min_mules=2, min_length=2, max_length=6).groupBy("motif").agg(F.count("*").alias("n"), total(F.col("value_usd")).alias("value_usd")))
+query("motif_counts", f"""WITH RECURSIVE {_FANS}, {_RINGS.removeprefix(_LEGS + ", ")}, {_PEELS.removeprefix(MOVES + ", ")}, shapes AS (SELECT 'fan_out_fan_in' AS motif, fan_out_usd AS v FROM f UNION ALL SELECT 'peel_chain', fwd[1].v FROM pk UNION ALL SELECT 'cycle', list_min(vals) FROM z)
+SELECT motif, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(38,2))) AS DOUBLE) AS value_usd FROM shapes GROUP BY 1""")(lambda s, d: motifs.detect_motifs(_t(s, d), window_seconds=86400, min_mules=2, min_length=2, max_length=6).groupBy("motif").agg(F.count("*").alias("n"), total(F.col("value_usd")).alias("value_usd")))
 
 # -- correlation --------------------------------------------------------------------
 _prox = lambda x, limit: f"greatest(0.0, 1 - {x} / {limit})"
