@@ -94,6 +94,7 @@ def _sure(base: float, *boosts: Column) -> Column:
 def wallet_roles(transfers: DataFrame) -> DataFrame:
     """address, role, confidence, signals: the first rule that holds."""
     i, o, fwd, hold = (F.col(c) for c in ("in_degree", "out_degree", "forwarded_ratio", "hold_seconds"))
+    # Thresholds, bases and boosts of each role, and the names of signals
     rules = [
         ("mixer", "fan_in_and_fan_out", (i >= 5) & (o >= 5), _sure(0.55, F.least(i, o) / 40, F.col("round_trip") / 20)),
         ("exchange_deposit", "sweeps_to_single_sink", (i >= 3) & (o == 1) & (fwd >= 0.7), _sure(0.55, i / 40, fwd / 10)),

@@ -18,6 +18,7 @@ CEILING = 0.95
 MOTIFS = ("fan_out_fan_in", "peel_chain", "cycle")
 
 
+# CEILING, and the weights that each shape gives its three parts.
 def _score(a: float, x: Column, b: float, y: Column, c: float, z: Column) -> Column:
     return F.round(CEILING * (a * x + b * y + c * z), 3)
 

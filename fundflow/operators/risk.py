@@ -7,7 +7,7 @@ taken at a given moment, never at "now".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.functions.columns import seconds
@@ -36,6 +36,8 @@ INFRASTRUCTURE_TYPES = ("defi", "exchange", "bridge", "merchant")
 INFRASTRUCTURE_NAMES = ("uniswap", "sushiswap", "curve", "aave", "binance", "kraken", "coinbase", "router", "exchange", "dex")
 BRIDGED = ("USDC", "USDT", "WETH", "MATIC")
 BOOST = 1.1
+#: Transactions closer than this are rapid.
+RAPID_SECONDS = 300
 
 
 def severity(score: Column) -> Column:
@@ -57,19 +59,30 @@ def wallet_legs(transactions: DataFrame) -> DataFrame:
 
 
 def measures(transactions: DataFrame) -> DataFrame:
-    """Per wallet: what the transaction factors look at."""
+    """Per wallet: what the transaction factors look at. Sums alone, so a wallet
+    of very many transactions is no task of its own."""
     legs = wallet_legs(transactions).withColumn("eth", ether(F.col("value")))
-    gap = seconds(F.lag("timestamp").over(Window.partitionBy("address").orderBy("timestamp", "tx_hash")), F.col("timestamp"))
-    legs = legs.withColumn("gap", gap)
     symbol = F.upper(F.coalesce("token_symbol", F.lit("")))
     shady = F.coalesce(F.col("token_address") != "", F.lit(False)) & ((symbol == "") | (F.length(symbol) > 10) | symbol.contains("SCAM") | symbol.contains("FAKE"))
     count = lambda c, n: F.count_if(F.coalesce(c, F.lit(False))).alias(n)
-    return legs.groupBy("address").agg(
+    per = legs.groupBy("address").agg(
         F.count("*").alias("tx_count"), F.min("timestamp").alias("first_seen"),
-        count((F.col("eth") >= 1) & (F.col("eth") == F.floor("eth")), "round_count"), count(F.col("gap") < 300, "rapid_count"), count(F.col("eth") >= 100, "large_count"), F.max("eth").alias("max_eth"),
+        count((F.col("eth") >= 1) & (F.col("eth") == F.floor("eth")), "round_count"), count(F.col("eth") >= 100, "large_count"), F.max("eth").alias("max_eth"),
         count(symbol.isin(*BRIDGED) & F.lower("method").contains("bridge"), "bridge_count"), count((F.col("method") != "") & (F.col("method") != "transfer"), "contract_count"),
         count(shady, "shady_count"), count((F.col("eth") > 0) & (F.col("eth") <= 0.0001), "dust_count"),
     )
+    return per.join(_rapid(legs), "address", "left").withColumn("rapid_count", F.coalesce("rapid_count", F.lit(0)))
+
+
+def _rapid(legs: DataFrame) -> DataFrame:
+    """(address, rapid_count): transactions less than :data:`RAPID_SECONDS` after
+    the one before. In a bucket of that width all but the first are; the first
+    is compared with the last of the bucket before."""
+    at = F.unix_micros("timestamp")
+    buckets = legs.where("timestamp is not null").groupBy("address", F.floor(at / (RAPID_SECONDS * 1_000_000)).alias("bucket")).agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    before = buckets.select("address", (F.col("bucket") + 1).alias("bucket"), F.col("last").alias("before"))
+    near = F.coalesce(seconds(F.col("before"), F.col("first")) < RAPID_SECONDS, F.lit(False)).cast("long")
+    return buckets.join(before, ["address", "bucket"], "left").groupBy("address").agg(F.sum(F.col("n") - 1 + near).alias("rapid_count"))
 
 
 def factors(transactions: DataFrame, as_of, entities: DataFrame | None = None, mixers: DataFrame | None = None, peels: DataFrame | None = None) -> DataFrame:
