@@ -188,3 +188,10 @@ def max_flow(transfers: DataFrame, source: str, sink: str, most_paths: int | Non
     ship(edges.sparkSession)
     none = edges.sparkSession.createDataFrame([(None, None, None)], edges.schema)
     return edges.unionByName(none).groupBy(F.lit(0).alias("g")).applyInPandas(solve, kind)
+
+
+def cut_edges(transfers: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges of a :func:`max_flow` result's cut as :func:`flow_edges` has
+    them: value, weight, counts, times and hashes."""
+    cut = found.select(F.inline("cut")).select("from_address", "to_address")
+    return flow_edges(transfers.join(cut, ["from_address", "to_address"], "left_semi"))

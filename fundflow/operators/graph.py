@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fundflow.functions.columns import cents, confidence_rank
 from fundflow.operators.flow import projection_edges
+from fundflow.operators.wallets import degrees
 from fundflow.plans.components import components
 from fundflow.plans.paths import reach, shortest_paths
 from fundflow.plans.shared import discard, stored
@@ -98,6 +99,11 @@ def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return own if passed is None else passed.unionByName(own)
 
 
+def centrality(transfers: DataFrame) -> DataFrame:
+    """Per address: PageRank, betweenness and degrees side by side."""
+    return pagerank(transfers).withColumnRenamed("score", "pagerank").join(betweenness(transfers).withColumnRenamed("score", "betweenness"), "address").join(degrees(transfers), "address", "left").fillna(0, ["in_degree", "out_degree", "degree"])
+
+
 def _louvain(edges: list[tuple[str, str, float]]) -> dict[str, str]:
     """Communities by greedy modularity in a fixed order; names are least members."""
     weight: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))

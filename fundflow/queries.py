@@ -119,6 +119,7 @@ SELECT list_aggregate(path, 'string_agg', ',') AS path, CAST(hops AS INTEGER) AS
     lambda s, d: flow.weighted_path(_t(s, d), START, "0x" + "0" * 39 + "3").select(F.array_join("path", ",").alias("path"), "hops", _r("cost"), _r("total_usd", 2), "bottleneck_usd")
 )
 query("max_flow")(lambda s, d: flow.max_flow(_t(s, d), START, "0x" + "0" * 39 + "3"))
+query("max_flow_cut")(lambda s, d: flow.cut_edges(_t(s, d), flow.max_flow(_t(s, d), START, "0x" + "0" * 39 + "3")))
 
 # -- wallets ------------------------------------------------------------------
 query("wallet_activity", f"""WITH {TRANSFERS}, l AS (SELECT from_address AS address, timestamp, value_usd AS sent, NULL AS received FROM transfers UNION ALL SELECT to_address, timestamp, NULL, value_usd FROM transfers)
@@ -362,6 +363,9 @@ _listed = lambda df: df.drop("start").withColumn("confidence_score", F.round("co
 _summed = lambda df: attribution.summary(df).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
 query("attributions", f"WITH {_FAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("attribution_summary", f"WITH {_FAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
+query("shortest_path_to_vasp", f"WITH {_STEPS}, b AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(1, 7))}) SELECT address, name, CAST(h AS INTEGER) AS hops, list_aggregate(path, 'string_agg', ',') AS path FROM b JOIN entities ON address = n WHERE entity_type = 'exchange' ORDER BY h, address, name LIMIT 1")(
+    lambda s, d: graph.paths_to_entities(_t(s, d), _start(s), views.entities(s, d), 6, ("exchange",), top=1).select("address", "name", "hops", F.array_join("path", ",").alias("path"))
+)
 query("attributions_two_hops", f"WITH RECURSIVE {_NEAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2)))
 query("attribution_summary_two_hops", f"WITH RECURSIVE {_NEAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d), 2)))
 query("busy_chains", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 300), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10)
@@ -372,7 +376,8 @@ _RANK = f"""{TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM}
 w AS MATERIALIZED (SELECT e.a, e.b, CASE WHEN o.v > 0 THEN e.v / o.v ELSE 1.0 / o.k END AS w FROM e JOIN o USING (a)), z AS MATERIALIZED (SELECT x, x NOT IN (SELECT a FROM w) AS sink, (SELECT count(*) FROM n) AS n FROM n), r0 AS (SELECT x, sink, n, 1.0::DOUBLE / n AS s FROM z)""" + "".join(
     f", r{i} AS MATERIALIZED (SELECT z.x, z.sink, z.n, 0.15 / z.n + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(s), 0) FROM r{i - 1} WHERE sink) / z.n) AS s FROM z LEFT JOIN (SELECT w.b, sum(r.s * w.w) AS got FROM r{i - 1} r JOIN w ON w.a = r.x GROUP BY 1) g ON g.b = z.x)" for i in range(1, 21)
 )
-query("pagerank", f"WITH {_RANK} SELECT x AS address, round(s, 9) AS score FROM r20")(lambda s, d: graph.pagerank(_t(s, d)).select("address", _r("score", 9)))
+_ranked = f"WITH {_RANK} SELECT x AS address, round(s, 9) AS score FROM r20"
+query("pagerank", _ranked)(lambda s, d: graph.pagerank(_t(s, d)).select("address", _r("score", 9)))
 _LEVELS = 6
 _SEARCH = f"""{TRANSFERS}, e AS MATERIALIZED (SELECT DISTINCT from_address AS a, to_address AS b FROM transfers WHERE from_address <> to_address), n AS MATERIALIZED (SELECT from_address AS v FROM transfers UNION SELECT to_address FROM transfers), l0 AS MATERIALIZED (SELECT v AS s, v, 1::DOUBLE AS w FROM n), """ + ", ".join(
     [f"l{i} AS MATERIALIZED (SELECT x.s, e.b AS v, sum(x.w) AS w FROM l{i - 1} x JOIN e ON e.a = x.v WHERE {' AND '.join(f'(x.s, e.b) NOT IN (SELECT (s, v) FROM l{j})' for j in range(i))} GROUP BY 1, 2)" for i in range(1, _LEVELS + 1)]
@@ -381,6 +386,11 @@ _SEARCH = f"""{TRANSFERS}, e AS MATERIALIZED (SELECT DISTINCT from_address AS a,
 )
 query("betweenness", f"""WITH {_SEARCH}, u AS ({' UNION ALL '.join(f'SELECT v, d FROM d{i}' for i in range(1, _LEVELS + 1))})
 SELECT n.v AS address, round(coalesce(sum(d), 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS score FROM n LEFT JOIN u USING (v) GROUP BY 1""")(lambda s, d: graph.betweenness(_t(s, d)).select("address", _r("score", 9)))
+query("centrality", f"""WITH {_SEARCH.removeprefix(TRANSFERS + ", ")}, u AS ({' UNION ALL '.join(f'SELECT v, d FROM d{i}' for i in range(1, _LEVELS + 1))}), c AS (SELECT n.v AS address, round(coalesce(sum(d), 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS betweenness FROM n LEFT JOIN u USING (v) GROUP BY 1),
+g AS (SELECT v AS address, CAST(count(*) FILTER (i = 1) AS BIGINT) AS in_degree, CAST(count(*) FILTER (i = 0) AS BIGINT) AS out_degree FROM (SELECT a AS v, 0 AS i FROM e UNION ALL SELECT b, 1 FROM e) GROUP BY 1),
+k AS ({_ranked}) SELECT address, k.score AS pagerank, betweenness, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree FROM c JOIN k USING (address) LEFT JOIN g USING (address)""".replace("WITH ", f"WITH {TRANSFERS}, ", 1))(
+    lambda s, d: graph.centrality(_t(s, d)).withColumn("pagerank", F.round("pagerank", 9)).withColumn("betweenness", F.round("betweenness", 9))
+)
 query("communities")(lambda s, d: graph.communities(_t(s, d), views.wallets(s, d)))
 
 # -- taint ------------------------------------------------------------------------------

@@ -88,6 +88,8 @@ def test_bounds_of_shapes_can_be_lifted(spark):
     best = lambda most: motifs.mule_hops(t, 1800, 1, tx_per_edge=most).first().hash_in
     assert best(motifs.TX_PER_EDGE) == "a07" and best(None) == "a11"
     many = legs(spark, [e for i in range(7) for e in (("s", f"m{i}", 10, 0), (f"m{i}", "t", 10, 1))])
+    cut = flow.cut_edges(many, flow.max_flow(many, "s", "t")).collect()
+    assert len(cut) == 7 and all(r.tx_count == 1 and len(r.tx_hashes) == 1 and r.capacity_usd == 10 for r in cut)
     assert len(flow.max_flow(many, "s", "t").first().paths) == 5 and len(flow.max_flow(many, "s", "t", None).first().paths) == 7
 
 
