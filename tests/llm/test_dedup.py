@@ -48,9 +48,12 @@ def corpus():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_against_all_pairs(frame, corpus, small, monkeypatch):
-    if small:  # families, chunks and hubs at a size that a test can hold
+    if small:  # families, chunks, hubs and salts at a size that a test can hold
         monkeypatch.setattr(jaccard_join, "WIDE", 2)
         monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+        monkeypatch.setattr(jaccard_join, "HOT", 1)
+        monkeypatch.setattr(jaccard_join, "SKETCHES", 5)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_BLOCKS", 2)
     sets = shingle_sets(corpus)
     want = {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, components(sets)))}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(corpus)).collect()}
