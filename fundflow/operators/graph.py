@@ -22,9 +22,10 @@ def pagerank(transfers: DataFrame, rounds: int = 20, damping: float = 0.85) -> D
     score on by value; by number of edges if none of its edges has value; to
     everyone if it has no edge. Scores add up to 1.
 
-    A round is one join on the sender and one sum by receiver, written down. An
-    address without edges has one to a node of no name, so what it passes to
-    everyone comes out of the same sum; the driver gets that one number.
+    A round is one join on the sender and one sum by receiver, written down;
+    edges and addresses are dealt by sender once and kept so, and only scores
+    are shuffled. An address without edges has one to a node of no name, so what
+    it passes to everyone comes out of the same sum; the driver gets that number.
     """
     edges = projection_edges(transfers)
     nodes = stored(transfers.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct(), "rank-nodes")
@@ -36,7 +37,9 @@ def pagerank(transfers: DataFrame, rounds: int = 20, damping: float = 0.85) -> D
         return nodes.withColumn("score", F.lit(0.0))
     sinks = nodes.join(flow.select(F.col("from_address").alias("address")).distinct(), "address", "left_anti")
     nobody = ""
-    steps = stored(flow.unionByName(sinks.select(F.col("address").alias("from_address"), F.lit(nobody).alias("to_address"), F.lit(1.0).alias("w"))), "rank-steps")
+    steps = flow.unionByName(sinks.select(F.col("address").alias("from_address"), F.lit(nobody).alias("to_address"), F.lit(1.0).alias("w")))
+    parts = int(transfers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps, nodes = steps.repartition(parts, "from_address").persist(), nodes.repartition(parts, "address").persist()
     ranks, given = nodes.withColumn("score", F.lit(1.0 / n)), None
     for _ in range(rounds):
         passed = ranks.join(steps, F.col("address") == F.col("from_address")).groupBy("to_address").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
@@ -46,8 +49,11 @@ def pagerank(transfers: DataFrame, rounds: int = 20, damping: float = 0.85) -> D
         loose = given.where(F.col("to_address") == nobody).first()
         score = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + (loose.got if loose else 0.0) / n)
         ranks = nodes.join(given, F.col("address") == F.col("to_address"), "left").select("address", score.alias("score"))
-    discard(flow)
-    return ranks
+    out = stored(ranks, "ranks")
+    steps.unpersist()
+    nodes.unpersist()
+    discard(flow, *[given] if given is not None else [])
+    return out
 
 
 def betweenness(transfers: DataFrame, pairs_per_batch: int = 200_000_000) -> DataFrame:
