@@ -9,9 +9,9 @@ rank, and remembered.
 Words are runs of anything but ASCII white space, which the vocabulary drops;
 normalisation and pre-tokenisation never look beyond a word.
 
-A worker writes the broadcast lexicon to a file of its own without a name, maps
-it and drops it with itself: nobody else reads it, and a new worker writes it
-anew, so a lost executor loses nothing. Which words it holds comes from one
+A worker maps the broadcast lexicon from a file in its own memory, which goes
+with it: nobody else reads it, and a new worker writes it anew, so a lost
+executor loses nothing. Which words it holds comes from one
 summary of bounded size per task (see frequent).
 
 Defined results: a null text is an empty one (no ids, decoded to nothing);
@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import mmap
+import os
 import re
 import struct
-import tempfile
 import unicodedata
 from collections.abc import Iterator
 
@@ -103,13 +103,13 @@ def compile_lexicon(words: list[bytes], ids: np.ndarray, lengths: np.ndarray) ->
 
 
 class Lexicon:
-    """A compiled lexicon, mapped from a file without a name."""
+    """A compiled lexicon, mapped from a file in memory, in no folder."""
 
     def __init__(self, data: bytes):
-        self.file = tempfile.TemporaryFile()
-        self.file.write(data)
-        self.file.flush()
-        mapped = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+        with open(os.memfd_create("lexicon"), "w+b") as file:
+            file.write(data)
+            file.flush()
+            mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         magic, n_arcs, n_states, n_words = HEAD.unpack_from(mapped)
         if magic != MAGIC:
             raise ValueError("not a lexicon")
