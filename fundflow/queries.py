@@ -320,7 +320,6 @@ query("risk_score", f"""WITH {_FACTORS}, r AS (SELECT address, least(sum(score *
 SELECT address, round(risk_score, 6) AS risk_score, factor_count FROM r""")(lambda s, d: risk.assess(views.chain_transactions(s, d), AS_OF, entities=views.entities(s, d)).select("address", _r("risk_score"), "factor_count"))
 
 
-@query("risk_assessment_full")
 def _risk_full(s: SparkSession, d: str) -> DataFrame:
     """All twelve factors: with mixers within two hops and peel chains."""
     t, e = _t(s, d), views.entities(s, d)
@@ -329,6 +328,17 @@ def _risk_full(s: SparkSession, d: str) -> DataFrame:
     return risk.assess(views.chain_transactions(s, d), AS_OF, entities=e, mixers=mixers.select("address", "hops"), peels=peels)
 
 
+def _full_sql() -> str:
+    infra = "coalesce(kind, '') IN ('defi', 'exchange', 'bridge', 'merchant')"
+    return f"""WITH RECURSIVE {_FACTORS}, {MOVES}, {_BOTH.removeprefix(TRANSFERS + ", ")}, {_PEELS.removeprefix(MOVES + ", ")},
+x1 AS (SELECT t.address AS s, e.b AS w FROM entities t JOIN e ON e.a = t.address WHERE entity_type = 'mixer'), x2 AS (SELECT DISTINCT x1.s, e.b AS w FROM x1 JOIN e ON e.a = x1.w WHERE e.b <> x1.s),
+near AS (SELECT w AS address, min(h) AS hops FROM (SELECT w, 1 AS h FROM x1 UNION ALL SELECT w, 2 FROM x2) WHERE w IN (SELECT from_address FROM transfers) GROUP BY 1),
+more AS (SELECT * FROM f UNION ALL SELECT j.address, 'mixer_interaction', CAST(CASE WHEN {infra} THEN CASE hops WHEN 1 THEN 15 WHEN 2 THEN 8 ELSE 0 END ELSE CASE hops WHEN 1 THEN 95 WHEN 2 THEN 50 ELSE 0 END END AS DOUBLE), {risk.WEIGHTS["mixer_interaction"]}::DOUBLE FROM j LEFT JOIN near USING (address)
+  UNION ALL SELECT address, 'peel_chain', 85::DOUBLE, {risk.WEIGHTS["peel_chain"]}::DOUBLE FROM j WHERE address IN (SELECT path[1] FROM pk)),
+r AS (SELECT address, least(sum(score * weight) / sum(weight) * 1.1, max(score), 100) AS risk_score, count(*) AS factor_count, string_agg(factor, ',' ORDER BY weight DESC, factor DESC) AS factors FROM more WHERE score > 0 GROUP BY 1)
+SELECT address, round(risk_score, 6) AS risk_score, factor_count, factors, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 5 THEN 'low' ELSE 'info' END AS severity FROM r"""
+
+
 # -- graph ----------------------------------------------------------------------------
 _BOTH = f"{TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b FROM transfers WHERE from_address <> to_address UNION SELECT to_address, from_address FROM transfers WHERE from_address <> to_address)"
 query("k_hop_neighbors", f"WITH RECURSIVE {_BOTH}, r(n, h) AS (SELECT '{START}', 0 UNION SELECT e.b, r.h + 1 FROM r JOIN e ON e.a = r.n WHERE r.h < 2) SELECT n AS address, CAST(min(h) AS INTEGER) AS hops FROM r GROUP BY 1")(lambda s, d: graph.neighborhood(_t(s, d), _start(s), 2))
@@ -361,6 +371,7 @@ _SUMMED = """SELECT count(*) AS total, (SELECT name FROM r WHERE rank = 1) AS ne
   count(*) FILTER (entity_type = 'bridge') AS bridge_count, count(*) FILTER (entity_type = 'defi') AS defi_count, count(*) FILTER (entity_type = 'mixer') AS mixer_count FROM r HAVING count(*) > 0"""
 _listed = lambda df: df.drop("start").withColumn("confidence_score", F.round("confidence_score", 6)).withColumn("path", F.array_join("path", ",")).withColumn("evidence", F.array_join("evidence", ","))
 _summed = lambda df: attribution.summary(df).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
+query("risk_assessment_full", _full_sql())(lambda s, d: _risk_full(s, d).withColumn("factors", F.array_join("factors", ",")).withColumn("risk_score", F.round("risk_score", 6)))
 query("attributions", f"WITH {_FAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("attribution_summary", f"WITH {_FAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("shortest_path_to_vasp", f"WITH {_STEPS}, b AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(1, 7))}) SELECT address, name, CAST(h AS INTEGER) AS hops, list_aggregate(path, 'string_agg', ',') AS path FROM b JOIN entities ON address = n WHERE entity_type = 'exchange' ORDER BY h, address, name LIMIT 1")(
