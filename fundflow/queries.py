@@ -256,7 +256,8 @@ _RINGS = f"""{_LEGS}, g AS MATERIALIZED (SELECT * FROM legs), r(start, node, k,
   WHERE r.node <> r.start AND l.timestamp >= r.t1 AND {_SECS.format("r.t0", "l.timestamp")} <= 86400 AND (l.to_address = r.start OR (len(r.path) < 6 AND l.to_address > r.start AND NOT list_contains(r.path, l.to_address)))
   QUALIFY row_number() OVER (PARTITION BY r.start, r.path, r.k, l.to_address ORDER BY l.timestamp, l.tx_hash) = 1),
 z AS (SELECT *, len(path) - 1 AS length, {_SECS.format("t0", "t1")} AS span, list_min(vals) / list_max(vals) AS keep FROM r WHERE node = start QUALIFY row_number() OVER (PARTITION BY path ORDER BY k) = 1)"""
-query("cycles_upto6", f"""WITH RECURSIVE {_RINGS}
+query("cycles_upto6")(lambda s, d: motifs.cycles(_t(s, d), 6))
+query("cycles_upto6_joined", f"""WITH RECURSIVE {_RINGS}
 SELECT 'cycle' AS motif, list_aggregate(path[:length], 'string_agg', ',') AS addresses, list_aggregate(hashes, 'string_agg', ',') AS tx_hashes, list_min(vals) AS value_usd, {_score(0.40, _unit("keep"), 0.35, _unit("1 - span / 86400"), 0.25, _unit("3.0::DOUBLE / length"))} AS confidence, span AS span_seconds,
   CAST(length AS INTEGER) AS length, round(keep, 4) AS retention, list_max(vals) AS max_hop_usd FROM z""")(lambda s, d: motifs.cycles(_t(s, d), 6).withColumn("addresses", F.array_join("addresses", ",")).withColumn("tx_hashes", F.array_join("tx_hashes", ",")))
 query("motif_counts", f"""WITH RECURSIVE {_FANS}, {_RINGS.removeprefix(_LEGS + ", ")}, {_PEELS.removeprefix(MOVES + ", ")}, shapes AS (SELECT 'fan_out_fan_in' AS motif, fan_out_usd AS v FROM f UNION ALL SELECT 'peel_chain', fwd[1].v FROM pk UNION ALL SELECT 'cycle', list_min(vals) FROM z)
