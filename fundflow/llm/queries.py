@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import bpe_codec, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, token_counts, token_store
+from fundflow.llm import bpe_codec, chat_format, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, token_counts, token_store
 from fundflow.llm.common import only
 from fundflow.shipping import ship
 
@@ -83,6 +83,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_filter_audit": op11_filter_audit,
         "quality_rule_ablations": quality_rule_ablations,
     }
 
@@ -170,6 +175,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+#: One row per part, order and step, from the distinct sets of failures of each part.
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, {_WORDS} AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS bits
+  FROM w LEFT JOIN y ON w.doc_id = y.doc_id),
+g AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, bits),
+l(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, c, bit, coalesce(sum(bit) OVER (PARTITION BY filter_order ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o) x JOIN l ON l.c = substr(filter_order, step::INT, 1)),
+r AS (SELECT part, filter_order, step, c, sum(n) FILTER ((bits & (before | bit)) = 0) AS kept, sum(n) FILTER ((bits & before) = 0 AND (bits & bit) <> 0) AS removed,
+  sum(n) FILTER ((bits & before) <> 0 AND (bits & bit) <> 0) AS redundant, sum(n) FILTER (bits = bit) AS unique_fails,
+  sum(good) FILTER ((bits & before) = 0 AND (bits & bit) <> 0) AS good_lost, sum(toxic) FILTER ((bits & before) = 0 AND (bits & bit) <> 0) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, c, before, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, c), 0)::BIGINT AS shapley
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -177,5 +207,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard_join": OP2_SQL,
         "op3_chat_format": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
+        "op11_filter_audit": OP11_SQL,
         "quality_rule_ablations": ABLATIONS_SQL,
     }
