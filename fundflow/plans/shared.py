@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,22 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_made: dict[str, object] = {}
+
+
+def _delete(sc, path: str) -> None:
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _leave_nothing() -> None:
+    """Delete what the application has left in the shared folder, on any file
+    system, unless the session is gone already."""
+    for path, sc in _made.items():
+        if sc._jsc is not None:
+            with contextlib.suppress(Exception):  # at exit nobody can act on it
+                _delete(sc, path)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -30,7 +47,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(base := f"file://{own}")
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = sc
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`shared_dir`."""
+    _delete(spark.sparkContext, path)
+    _made.pop(path, None)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -48,6 +73,4 @@ def discard(*tables: DataFrame) -> None:
     one stays as it is."""
     for df in tables:
         if path := _paths.pop(df, None):
-            sc = df.sparkSession.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
