@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.plans.shared import discard, shared_dir, stored
+from fundflow.plans.shared import discard, remove, shared_dir, stored
 
-__all__ = ["Cache", "SPACE_CLASS", "WORD_PATTERN", "discard", "only", "packed", "partitions", "shared_dir", "stored", "unpacked"]
+__all__ = ["Cache", "SPACE_CLASS", "WORD_PATTERN", "discard", "only", "packed", "partitions", "remove", "shared_dir", "stored", "unpacked"]
 
 #: Words are maximal runs of anything but these six characters.
 SPACE_CLASS = r"\x20\x09-\x0D"

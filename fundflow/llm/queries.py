@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import bpe_codec, chat_format, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, token_counts, token_store
+from fundflow.llm import bpe_codec, chat_format, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, token_counts, token_store, warc
 from fundflow.llm.common import only
 from fundflow.shipping import ship
 
@@ -87,6 +87,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.archived(_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
         "op11_filter_audit": op11_filter_audit,
+        "op12_warc": op12_warc,
         "quality_rule_ablations": quality_rule_ablations,
     }
 
@@ -200,6 +205,16 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 FROM r
 """
 
+_DIGIT = "(('0x' || substr(h, 5 * g + 1, 5))::INT >> {shift}) & 31"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ({_DIGIT.format(shift=s)}), 1)" for s in (15, 10, 5, 0))
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, list_aggregate(list_transform(range(0, 8), lambda g: {_BASE32}), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to,
+  CASE WHEN page_id > first THEN NULL ELSE true END AS intact
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -208,5 +223,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
         "op11_filter_audit": OP11_SQL,
+        "op12_warc": OP12_SQL,
         "quality_rule_ablations": ABLATIONS_SQL,
     }
