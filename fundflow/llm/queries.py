@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundflow.llm import bpe_codec, chat_format, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, token_counts, token_store, warc
+from fundflow.llm import bpe_codec, chat_format, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, quality_rules, ranked_search, substring_dedup, token_counts, token_store, warc
 from fundflow.llm.common import only
 from fundflow.shipping import ship
 
@@ -91,6 +91,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.archived(_table(spark, sf_dir, "pages")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontaminate": op10_decontaminate,
         "op11_filter_audit": op11_filter_audit,
         "op12_warc": op12_warc,
+        "op13_ranked_search": op13_ranked_search,
         "quality_rule_ablations": quality_rule_ablations,
     }
 
@@ -215,6 +220,20 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, list_aggregate(list_trans
 FROM p
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS ts FROM documents),
+c AS MATERIALIZED (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -224,5 +243,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": OP4_SQL,
         "op11_filter_audit": OP11_SQL,
         "op12_warc": OP12_SQL,
+        "op13_ranked_search": OP13_SQL,
         "quality_rule_ablations": ABLATIONS_SQL,
     }
