@@ -156,6 +156,19 @@ def postings(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
     return stored(only(docs, "doc_id", "text").mapInArrow(run, POSTINGS), "search-postings", **_LARGE_ROWS)
 
 
+def by_impact(lengths: np.ndarray, firsts: np.ndarray, doc: np.ndarray, tf: np.ndarray, n_docs: int, n_terms: int) -> list[np.ndarray]:
+    """groups, impacts, firsts and docs of :data:`INDEX`."""
+    m = 25 + (75 * lengths * n_docs) // n_terms if n_terms else lengths
+    impact = (1_000_000_000 * tf) // (1000 * tf + 8 * m[doc])
+    term = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    order = np.lexsort((doc, -impact, term))
+    doc, impact, term = doc[order], impact[order], term[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (term[1:] != term[:-1]) | (impact[1:] != impact[:-1])
+    at = np.flatnonzero(new)
+    return [np.searchsorted(term[at], np.arange(len(firsts))).astype("<i8"), impact[at].astype("<i8"), np.append(at, len(doc)).astype("<i8"), doc.astype("<i4")]
+
+
 def impact_index(found: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """Rows of :data:`INDEX` in the shared folder, a shard each, of :func:`postings`.
 
@@ -163,22 +176,11 @@ def impact_index(found: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     by descending impact, the documents of group g ``firsts[g] .. firsts[g + 1]``.
     """
 
-    def grouped(lengths: np.ndarray, firsts: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> list[np.ndarray]:
-        m = 25 + (75 * lengths * n_docs) // n_terms if n_terms else lengths
-        impact = (1_000_000_000 * tf) // (1000 * tf + 8 * m[doc])
-        term = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        order = np.lexsort((doc, -impact, term))
-        doc, impact, term = doc[order], impact[order], term[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (term[1:] != term[:-1]) | (impact[1:] != impact[:-1])
-        at = np.flatnonzero(new)
-        return [np.searchsorted(term[at], np.arange(len(firsts))).astype("<i8"), impact[at].astype("<i8"), np.append(at, len(doc)).astype("<i8"), doc.astype("<i4")]
-
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for i in range(batch.num_rows):
                 lengths, terms, firsts, doc, tf = (batch.column(c)[i].as_py() for c in range(1, 6))
-                cells = grouped(_i64(lengths), _i64(firsts), _i32(doc), _i64(tf))
+                cells = by_impact(_i64(lengths), _i64(firsts), _i32(doc), _i64(tf), n_docs, n_terms)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], *[pa.array([c], pa.binary()) for c in (terms, *[x.tobytes() for x in cells])]], [f.split()[0] for f in INDEX.split(", ")])
 
     return stored(found.select("doc_ids", "lengths", "terms", "firsts", "docs", "tfs").mapInArrow(run, INDEX), "search-index", **_LARGE_ROWS)
