@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from fundflow.llm import substring_dedup
 from conftest import prose
 
@@ -114,3 +116,29 @@ def test_clashing_columns(spark, frame):
     left = substring_dedup.without(wide, substring_dedup.repeated_spans(wide))
     rows = {r[0]: r for r in left.collect()}
     assert left.columns == wide.columns and len(rows[1][1]) < len(rows[0][1]) - 150 and rows[1][2] == "en"
+
+
+def test_texts_of_one_id_and_32_bit_hash(spark, frame):
+    """Texts that Spark's hash() doesn't tell apart are cut by their own spans alone."""
+    rng = random.Random(27)
+    passage, clean = prose(rng, 60), prose(rng, 80)
+    tail = F.concat(F.lit(f"{prose(rng, 5)} {passage} "), F.col("id").cast("string"))
+    pasted = spark.range(150_000).select(tail.alias("p")).withColumn("h", F.hash("p"))
+    alone = spark.range(150_000).select(F.concat(F.lit(f"{clean} "), F.col("id").cast("string")).alias("c")).withColumn("h", F.hash("c"))
+    pair = pasted.join(alone, "h").first()
+    for ids in ([1, 5, 5], [1, None, None]):
+        docs = frame([passage, pair.p, pair.c], ids)
+        left = [r.text for r in substring_dedup.without(docs, substring_dedup.repeated_spans(docs)).collect()]
+        assert pair.c in left
+        assert (passage in left and pair.p not in left) if ids[1] else (pair.p in left) != (passage in left)
+
+
+def test_frequent_passages_are_salted_and_broadcast(spark, frame, monkeypatch):
+    rng = random.Random(28)
+    hot, rare = prose(rng, 60), [prose(rng, 60) for _ in range(20)]
+    texts = [f"{prose(rng, 20)}\n{hot}\n{prose(rng, 5)}\n{rare[i % 20] if i < 40 else ''}" for i in range(150)]
+    rows = lambda: sorted(map(tuple, substring_dedup.repeated_spans(frame(texts)).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(substring_dedup, "BROADCAST_FIRSTS", 20)
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    assert rows() == want and {r[0] for r in want} == set(range(1, 150))
