@@ -76,3 +76,47 @@ def plain(rows, sources, model, horizon):
         if passed > 1e-9:
             hops[b] = min(hops.get(b, 99), hops[a] + 1)
     return {a: (v, hops.get(a)) for a, v in dirty.items()}
+
+
+@pytest.mark.parametrize("model", ["haircut", "fifo"])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_a_component_beyond_a_task(spark, monkeypatch, model, seed):
+    """Periods of a few transfers, each in components, give what one task does:
+    overdrawn and empty purses, equal times, a hot address."""
+    rng = random.Random(seed)
+    rows = [(f"w{rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 7])}", f"w{rng.choice([0, 0, 1, 2, 3, 4, 8, 9])}", rng.choice([1, 5, 50, 400, 0.01]), i // 3) for i in range(90)]
+    rows = [r for r in rows if r[0] != r[1]]
+    sources = {"w0": 300.0, "w3": 120.0, "gone": 7.0}
+    want = plain(rows, sources, model, 4)
+    for most in (10**6, 40):
+        monkeypatch.setattr(taint, "TASK_ROWS", most)
+        got = run(spark, rows, sources, model, max_hops=4, min_taint_usd=0.001)
+        assert set(got) == {a for a, v in want.items() if v[1] is not None and v[0] >= 0.001}
+        assert all(abs(got[a].tainted_value_usd - want[a][0]) < 1e-6 and got[a].hops == want[a][1] for a in got)
+
+
+def test_periods_and_roots_are_parts(spark, monkeypatch):
+    """Of a chain of stars no task gets more than the bound."""
+    most, sizes = 20, []
+    monkeypatch.setattr(taint, "TASK_ROWS", most)
+    solve = taint._period
+
+    def watched(rows, state, roots, *rest):
+        counted = rows if roots is None else rows.join(roots, rows.from_address == roots.node)
+        sizes.append(rows.count() if roots is None else counted.groupBy("root").count().agg({"count": "max"}).first()[0])
+        return solve(rows, state, roots, *rest)
+
+    monkeypatch.setattr(taint, "_period", watched)
+    rows = [(f"h{k}", f"m{k}_{i}", 10, 100 * k + i) for k in range(3) for i in range(20)] + [(f"m{k}_{i}", f"h{k + 1}", 10, 100 * k + 50 + i) for k in range(3) for i in range(20)]
+    got = run(spark, rows, {"h0": 200.0}, "fifo")
+    assert len(sizes) > 3 and max(sizes) <= most and got["h3"].tainted_value_usd == pytest.approx(200) and got["h3"].hops == 6
+
+
+def test_fifo_pieces_tile_lots(spark):
+    """A spend lies over the lots that it consumes; what no lot funds has no piece."""
+    rows = [("x", "a", 10, 0), ("x", "a", 20, 1), ("a", "b", 15, 2), ("a", "c", 40, 3), ("x", "a", 5, 4), ("a", "d", 5, 5)]
+    moves = taint.numbered(legs(spark, rows).select(*taint.ORDER).coalesce(1), *taint.ORDER)
+    seeds = spark.createDataFrame([], "address string, amount_usd double, lot long")
+    value = {r.at: r.value_usd for r in moves.collect()}
+    found = {(r.to_address, value[r.lot], round(r.share, 9)) for r in taint.pieces(taint.accounts(moves, seeds)).collect()}
+    assert found == {("b", 10.0, 1.0), ("b", 20.0, 0.25), ("c", 20.0, 0.75), ("d", 5.0, 1.0)}
