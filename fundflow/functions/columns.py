@@ -14,7 +14,7 @@ CONFIDENCE = ("CONFIRMED", "HIGH_CONFIDENCE", "PROBABLE", "UNKNOWN")
 def address(c: Column) -> Column:
     """Hex addresses are trimmed and lower-cased, all others only trimmed."""
     bare = F.trim(c)
-    return F.when(bare.rlike("^0[xX]"), F.lower(bare)).otherwise(bare)
+    return F.when(bare.startswith("0x") | bare.startswith("0X"), F.lower(bare)).otherwise(bare)
 
 
 def confidence_rank(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundflow.plans.shared import stored
+from fundflow.plans.shared import discard, stored
 
 #: Rows of a slice share the upper bits of their number.
 _SLICE_BITS = 33
@@ -15,8 +15,11 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``at``, a number that ascends in this order, in the shared
     folder. Numbers of one range of the order share all but their last 33 bits."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(rows, "unnumbered")  # ranges are sampled, which would compute them twice
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return stored(dealt.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    out = stored(dealt.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    discard(rows)
+    return out
 
 
 def running(events: DataFrame, key: str, value: str, also: str | None = None) -> DataFrame:

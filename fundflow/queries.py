@@ -407,9 +407,49 @@ query("communities")(lambda s, d: graph.communities(_t(s, d), views.wallets(s, d
 
 # -- taint ------------------------------------------------------------------------------
 _seed = lambda s: s.createDataFrame([(START, 5000.0)], "address string, amount_usd double")
-query("taint_haircut")(lambda s, d: taint.propagate(_t(s, d), _seed(s), taint.HAIRCUT))
-query("taint_fifo")(lambda s, d: taint.propagate(_t(s, d), _seed(s), taint.FIFO))
-query("taint_summary")(lambda s, d: taint.summary(taint.propagate(_t(s, d), taint.default_sources(_t(s, d), views.wallets(s, d)))))
+_MODEL = {
+    # haircut: a share of what the sender holds; FIFO: shares of the lots that a spend lies over, lots standing in order of time
+    taint.HAIRCUT: ("""e AS MATERIALIZED (SELECT n, i.i AS a, j.i AS b, CASE WHEN balance > 1e-9 THEN least(1.0::DOUBLE, (-amount)::DOUBLE / balance::DOUBLE) ELSE 0::DOUBLE END AS share FROM own JOIN ids i ON i.address = own.address JOIN ids j ON j.address = own.other WHERE amount < 0)""",
+        "list_resize([]::DOUBLE[], 1, 0)", "CASE WHEN held[e.a] > 1e-9 THEN held[e.a] * share ELSE 0 END", "lots"),
+    taint.FIFO: ("""lot AS (SELECT address, n, amount, received AS lo, received + amount AS hi FROM own WHERE amount > 0), spend AS (SELECT address, other, n, received - balance AS lo, received - balance + least(-amount, balance) AS hi FROM own WHERE amount < 0),
+piece AS (SELECT s.n, l.n + (SELECT count(*) FROM seeds) AS lot, (least(s.hi, l.hi) - greatest(s.lo, l.lo))::DOUBLE / l.amount::DOUBLE AS share FROM spend s JOIN lot l ON l.address = s.address AND l.lo < s.hi AND s.lo < l.hi),
+e AS MATERIALIZED (SELECT s.n, i.i AS a, j.i AS b, list({'lot': lot, 'share': share} ORDER BY lot) FILTER (WHERE lot IS NOT NULL) AS pieces FROM spend s JOIN ids i ON i.address = s.address JOIN ids j ON j.address = s.other LEFT JOIN piece p ON p.n = s.n GROUP BY ALL)""",
+        "(SELECT list(amount ORDER BY address DESC) FROM seeds)", "coalesce(list_sum(list_transform(pieces, lambda p: p.share * lots[p.lot])), 0)", "list_append(lots, passed)"),
+}
+
+
+def _taint_sql(model: str, seeds: str, out: str, max_hops: int = 6) -> str:
+    """One step of the recursion for every transfer, in order; lists by address."""
+    steps, lots, moved, then = _MODEL[model]
+    return f"""WITH RECURSIVE {MOVES}, {seeds}, m AS (SELECT from_address, to_address, value_usd, row_number() OVER (ORDER BY timestamp, tx_hash, from_address, to_address, value_usd) AS n FROM moves),
+leg AS (SELECT from_address AS address, to_address AS other, n, -CAST(value_usd AS DECIMAL(38,10)) AS amount FROM m UNION ALL SELECT to_address, from_address, n, CAST(value_usd AS DECIMAL(38,10)) FROM m
+  UNION ALL SELECT address, NULL, 1 - row_number() OVER (ORDER BY address), CAST(amount AS DECIMAL(38,10)) FROM seeds),
+ran AS (SELECT *, sum(amount) OVER w - amount AS before, sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) OVER w - CASE WHEN amount > 0 THEN amount ELSE 0 END AS received FROM leg WINDOW w AS (PARTITION BY address ORDER BY n)),
+own AS MATERIALIZED (SELECT address, other, n, amount, received, before - least(0, min(before) OVER (PARTITION BY address ORDER BY n)) AS balance FROM ran),
+ids AS MATERIALIZED (SELECT address, row_number() OVER (ORDER BY address) AS i, sum(amount) FILTER (WHERE amount > 0) AS received, coalesce(sum(amount) FILTER (WHERE other IS NULL), 0)::DOUBLE AS planted FROM leg GROUP BY address), {steps},
+r(n, held, got, hops, lots) AS (SELECT 0::BIGINT, list(planted ORDER BY i), list(planted ORDER BY i), list(CASE WHEN planted > 0 THEN 0 ELSE 1000000 END ORDER BY i), {lots} FROM ids
+  UNION ALL SELECT n, list_transform(held, lambda x, i: CASE WHEN i = a THEN x - moved WHEN i = b THEN x + passed ELSE x END), list_transform(got, lambda x, i: CASE WHEN i = b THEN x + passed ELSE x END),
+  list_transform(hops, lambda x, i: CASE WHEN i = b AND passed > 1e-9 THEN least(x, hops[a] + 1) ELSE x END), {then} FROM (SELECT *, CASE WHEN hops[a] < {max_hops} THEN moved ELSE 0 END AS passed
+  FROM (SELECT e.n, e.a, e.b, held, got, hops, lots, {moved} AS moved FROM r JOIN e ON e.n = r.n + 1) x) y),
+f AS (SELECT got, hops FROM r ORDER BY n DESC LIMIT 1), result AS (SELECT address, least(got[i], received::DOUBLE) AS tainted, received::DOUBLE AS received, hops[i] AS hops FROM ids, f WHERE hops[i] < 1000000 AND least(got[i], received::DOUBLE) >= 1)
+{out}"""
+
+
+_PLANTED = f"seeds AS (SELECT '{START}' AS address, 5000.0::DOUBLE AS amount)"
+_TAINTED = "SELECT address, round(tainted / received, 6) AS taint_ratio, round(tainted, 4) AS tainted_value_usd, round(received, 4) AS received_value_usd, hops::INT AS hops, '{}' AS model FROM result"
+
+
+def _tainted(s: SparkSession, d: str, model: str) -> DataFrame:
+    found = taint.propagate(_t(s, d), _seed(s), model)
+    return found.withColumns({"taint_ratio": F.round("taint_ratio", 6), "tainted_value_usd": F.round("tainted_value_usd", 4), "received_value_usd": F.round("received_value_usd", 4)})
+
+
+query("taint_haircut", _taint_sql(taint.HAIRCUT, _PLANTED, _TAINTED.format("haircut")))(lambda s, d: _tainted(s, d, taint.HAIRCUT))
+query("taint_fifo", _taint_sql(taint.FIFO, _PLANTED, _TAINTED.format("fifo")))(lambda s, d: _tainted(s, d, taint.FIFO))
+_RISKIEST = f"""{WALLETS}, worst AS (SELECT address, max(risk_score) AS risk FROM wallets GROUP BY 1 ORDER BY risk DESC, address LIMIT 3),
+seeds AS (SELECT address, coalesce((SELECT sum(value_usd) FROM transfers WHERE from_address = address), (SELECT sum(value_usd) FROM transfers WHERE to_address = address)) AS amount FROM worst)"""
+query("taint_summary", _taint_sql(taint.HAIRCUT, _RISKIEST, """SELECT address, round(tainted / received, 6) AS taint_ratio, round(tainted / received * 100, 2) AS taint_percent, round(tainted, 2) AS tainted_value_usd, round(received, 2) AS received_value_usd, hops::INT AS hops, 'haircut' AS model
+FROM result ORDER BY tainted DESC, address LIMIT 20"""))(lambda s, d: taint.summary(taint.propagate(_t(s, d), taint.default_sources(_t(s, d), views.wallets(s, d)))))
 query("default_taint_sources", f"""WITH {TRANSFERS}, {WALLETS}, w AS (SELECT address, max(risk_score) AS r FROM wallets GROUP BY 1 ORDER BY r DESC, address LIMIT 3)
 SELECT address, round(coalesce((SELECT sum(value_usd) FROM transfers WHERE from_address = address), (SELECT sum(value_usd) FROM transfers WHERE to_address = address)), 2) AS amount_usd FROM w""")(lambda s, d: taint.default_sources(_t(s, d), views.wallets(s, d)).select("address", _r("amount_usd", 2)))
 
