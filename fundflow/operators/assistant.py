@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.functions.columns import CONFIDENCE, address
-from fundflow.operators import attribution, flow, graph, risk, router, wallets
+from fundflow.operators import attribution, flow, graph, motifs, risk, router, wallets
 from fundflow.plans.shared import stored
 
 SURE, LIKELY, _, NONE = CONFIDENCE[1], CONFIDENCE[2], CONFIDENCE[2], CONFIDENCE[3]
@@ -35,8 +35,9 @@ class Tables:
     as_of: str
 
 
-def _said(rows: DataFrame, target: str, known: Column, answer: Column, otherwise: Column, sure: str = SURE) -> DataFrame:
-    return rows.select("id", "kind", F.col(target).cast("string").alias("target"), F.when(known, answer).otherwise(otherwise).alias("answer"), F.when(known, sure).otherwise(NONE).alias("confidence"))
+def _said(rows: DataFrame, target: str | Column, known: Column, answer: Column, otherwise: Column, sure: str = SURE, unsure: str | Column = NONE) -> DataFrame:
+    target = F.col(target) if isinstance(target, str) else target
+    return rows.select("id", "kind", target.cast("string").alias("target"), F.when(known, answer).otherwise(otherwise).alias("answer"), F.when(known, sure).otherwise(unsure).alias("confidence"))
 
 
 def _text(pattern: str, *columns: Column) -> Column:
@@ -52,12 +53,29 @@ def resolved(questions: DataFrame, t: Tables) -> DataFrame:
     return named.withColumn("address", F.coalesce(address(F.col("address")), "_sender", "_owner")).drop("_tx", "_sender", "_wallet", "_owner")
 
 
+def wallet_risk(t: Tables, max_hops: int = 2) -> DataFrame:
+    """Every wallet's score of all twelve factors: with mixers within
+    ``max_hops`` and the origins of peel chains."""
+    starts = t.entities.where("entity_type = 'mixer'").select(F.col("address").alias("start"))
+    senders = t.transfers.select(F.col("from_address").alias("address")).distinct().select("address", F.lit("w").alias("name"), F.lit("wallet").alias("entity_type"), F.lit(CONFIDENCE[0]).alias("confidence"))
+    mixers = graph.paths_to_entities(t.transfers, starts, senders, max_hops).select("address", "hops")
+    peels = motifs.peel_chains(t.transfers, min_length=2).select(F.col("path")[0].alias("address"))
+    return risk.assess(t.transactions, t.as_of, entities=t.entities, mixers=mixers, peels=peels)
+
+
 def risk_summary(questions: DataFrame, t: Tables) -> DataFrame:
-    """The score and factors of a wallet."""
-    scores = risk.assess(t.transactions, t.as_of, entities=t.entities).select("address", "risk_score", "severity", "factors")
-    rows = questions.join(scores, "address", "left")
-    said = _text("Wallet %s has a risk of %.1f of 100 (%s): %s.", F.col("address"), F.round("risk_score", 1), F.col("severity"), F.array_join("factors", ", "))
-    return _said(rows, "address", F.col("risk_score").isNotNull(), said, F.when(F.col("address").isNull(), "Name a wallet or a transaction.").otherwise(_text("No risk factor of wallet %s.", F.col("address"))))
+    """The score and factors of a wallet; of a case that is named without one,
+    how its wallets spread over the bands of risk."""
+    scores = wallet_risk(t).select("address", "risk_score", "severity", "factors")
+    per = t.cases.join(wallets.case_risk(t.wallets), "case_id", "left").select("case_number", F.lit(True).alias("filed"), "wallet_count", "average_risk", "critical", "medium", "low", "attributed")
+    rows = questions.join(scores, "address", "left").join(per, "case_number", "left")
+    wallet, case = F.col("risk_score").isNotNull(), F.col("address").isNull() & F.col("filed")
+    of_wallet = _text("Wallet %s has a risk of %.1f of 100 (%s): %s.", F.col("address"), F.round("risk_score", 1), F.col("severity"), F.array_join("factors", ", "))
+    of_case = F.when(F.col("wallet_count").isNull(), _text("Case %s has no wallets.", F.col("case_number"))).otherwise(
+        _text("Case %s has %d wallets with an average risk of %.1f: %d critical, %d medium, %d low; %d are attributed.", *[F.col(c) for c in ("case_number", "wallet_count", "average_risk", "critical", "medium", "low", "attributed")])
+    )
+    nothing = F.when(F.col("address").isNotNull(), _text("No risk factor of wallet %s.", F.col("address"))).when(F.col("case_number").isNotNull(), _text("There is no case %s.", F.col("case_number"))).otherwise("Name a wallet, a transaction or a case.")
+    return _said(rows, F.coalesce("address", "case_number"), F.coalesce(wallet | case, F.lit(False)), F.when(wallet, of_wallet).otherwise(of_case), nothing)
 
 
 def attributions(questions: DataFrame, t: Tables) -> DataFrame:
@@ -83,14 +101,36 @@ def pattern_counts(transfers: DataFrame) -> DataFrame:
     return patterns(transfers).groupBy("pattern").agg(F.count("*").alias("n"), F.max("value_usd").alias("most_usd"))
 
 
+def _listed(found: DataFrame, *by: str) -> DataFrame:
+    """Per group: total, the counts of each pattern as text, the largest one."""
+    per = found.groupBy(*by, "pattern").agg(F.count("*").alias("n"), F.max("value_usd").alias("most_usd"))
+    name = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    counts = F.transform(F.sort_array(F.collect_list(F.struct("pattern", "n"))), lambda c: F.concat(c["n"].cast("string"), F.lit(" "), name(c["pattern"])))  # one of each pattern
+    return per.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_join(counts, ", ").alias("counts"), name(F.max_by("pattern", F.struct("most_usd", "pattern"))).alias("top"), F.max("most_usd").alias("most"))
+
+
+def case_patterns(found: DataFrame, cases: DataFrame, wallets: DataFrame) -> DataFrame:
+    """The patterns that a wallet of a case takes part in: case_number, pattern,
+    value_usd. ``found`` are rows of :func:`patterns` with an ``n``umber each."""
+    own = cases.select("case_id", "case_number").join(wallets.select("case_id", "address").distinct(), "case_id").select("case_number", "address")
+    members = found.select("n", "pattern", "value_usd", F.explode(F.array_distinct("addresses")).alias("address"))
+    return members.join(own, "address").select("case_number", "n", "pattern", "value_usd").distinct().drop("n")
+
+
 def pattern_detection(questions: DataFrame, t: Tables) -> DataFrame:
-    """How many of each pattern there are, and the most valuable one."""
-    by = pattern_counts(t.transfers)
-    whole = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.sort_array(F.collect_list(F.struct("pattern", "n"))).alias("counts"), F.max_by("pattern", F.struct("most_usd", "pattern")).alias("top"), F.max("most_usd").alias("most"))
-    rows = questions.join(F.broadcast(whole))  # one row
-    listed = F.array_join(F.transform("counts", lambda c: F.concat(c["n"].cast("string"), F.lit(" "), F.replace(c["pattern"], F.lit("_"), F.lit(" ")))), ", ")
-    said = _text("%d suspicious patterns: %s. The largest is a %s of %.2f USD.", F.col("total"), listed, F.replace("top", F.lit("_"), F.lit(" ")), F.col("most"))
-    return _said(rows, "chain", F.col("total") > 0, said, F.lit("No suspicious pattern in the transfers."))
+    """How many of each pattern there are, and the most valuable one; of those
+    that wallets of the case take part in, if one is named."""
+    found = stored(patterns(t.transfers).withColumn("n", F.monotonically_increasing_id()), "patterns")
+    asked = t.cases.join(questions.select("case_number").distinct(), "case_number", "left_semi")
+    per = _listed(case_patterns(found, asked, t.wallets), "case_number")
+    every = _listed(found).withColumn("case_number", F.lit(""))
+    filed = asked.select("case_number", F.lit(True).alias("filed"))
+    rows = questions.withColumn("_of", F.coalesce("case_number", F.lit(""))).join(per.unionByName(every).withColumnRenamed("case_number", "_of"), "_of", "left").join(filed, "case_number", "left")
+    where = F.when(F.col("case_number").isNull(), "").otherwise(F.concat(F.lit(" with wallets of case "), "case_number"))
+    said = _text("%d suspicious patterns%s: %s. The largest is a %s of %.2f USD.", F.col("total"), where, F.col("counts"), F.col("top"), F.col("most"))
+    unknown = F.col("case_number").isNotNull() & F.col("filed").isNull()
+    none = F.when(unknown, _text("There is no case %s.", F.col("case_number"))).otherwise(F.concat(F.lit("No suspicious pattern"), where, F.lit(".")))
+    return _said(rows, F.coalesce("case_number", "chain"), F.coalesce(F.col("total") > 0, F.lit(False)), said, none, unsure=F.when(unknown, NONE).otherwise(LIKELY))
 
 
 def fund_flow(questions: DataFrame, t: Tables) -> DataFrame:
@@ -114,13 +154,13 @@ def entity_lookup(questions: DataFrame, t: Tables) -> DataFrame:
 
 
 def case_overview(questions: DataFrame, t: Tables) -> DataFrame:
-    """A case's state and wallets, or how many cases there are."""
+    """A case's state and wallets; without a case, how many cases there are."""
     per = wallets.case_overview(t.cases, t.wallets).select("case_number", "status", "wallet_count", "high_risk")
     total = t.cases.agg(F.count("*").alias("cases"), F.count_if(F.col("status") == "open").alias("open"))
     rows = questions.join(per, "case_number", "left").join(F.broadcast(total))  # one row
     one = _text("Case %s is %s: %d wallets, %d of high risk.", F.col("case_number"), F.col("status"), F.col("wallet_count"), F.col("high_risk"))
-    known = F.col("status").isNotNull() | F.col("case_number").isNull()
-    return _said(rows, "case_number", known, F.when(F.col("status").isNotNull(), one).otherwise(_text("%d cases, %d of them open.", F.col("cases"), F.col("open"))), _text("There is no case %s.", F.col("case_number")))
+    ask = _text("Name a case; there are %d, %d of them open.", F.col("cases"), F.col("open"))
+    return _said(rows, "case_number", F.col("status").isNotNull(), one, F.when(F.col("case_number").isNull(), ask).otherwise(_text("There is no case %s.", F.col("case_number"))))
 
 
 def timeline(questions: DataFrame, t: Tables) -> DataFrame:
@@ -146,9 +186,9 @@ def comparison(questions: DataFrame, t: Tables) -> DataFrame:
 
 
 def general(questions: DataFrame, t: Tables) -> DataFrame:
-    """What can be asked."""
+    """What can be asked, where nothing that is known was."""
     can = ", ".join(k.replace("_", " ") for k in router.KINDS)
-    return _said(questions, "chain", F.lit(True), F.lit(f"Questions of these kinds are answered: {can}."), F.lit(""), LIKELY)
+    return _said(questions, "chain", F.lit(False), F.lit(""), F.lit(f"Questions of these kinds are answered: {can}."))
 
 
 HANDLERS: dict[str, Callable[[DataFrame, Tables], DataFrame]] = {
@@ -159,10 +199,9 @@ HANDLERS: dict[str, Callable[[DataFrame, Tables], DataFrame]] = {
 
 def answers(questions: DataFrame, t: Tables) -> DataFrame:
     """``questions(id, text)`` -> id, kind, target, answer, confidence. A
-    question without any letter is general."""
-    kinds = router.classify(questions)
-    kind = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"), F.col("kind")).otherwise("general")
-    asked = stored(resolved(kinds.withColumn("kind", kind), t), "questions")
+    question that matches no pattern is general."""
+    kinds = router.classify(questions, otherwise="general")
+    asked = stored(resolved(kinds, t), "questions")
     out = None
     for name in [r.kind for r in asked.select("kind").distinct().orderBy("kind").collect()]:
         said = HANDLERS[name](asked.where(F.col("kind") == name), t).select(*ANSWER)

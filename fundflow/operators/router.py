@@ -27,8 +27,9 @@ NAMED = {
 FALLBACK = "case_overview"
 
 
-def question_kind(text: Column) -> Column:
-    out = F.lit(FALLBACK)
+def question_kind(text: Column, otherwise: str | None = FALLBACK) -> Column:
+    """The kind of a question, ``otherwise`` where no pattern matches."""
+    out = F.lit(otherwise).cast("string")
     for kind, patterns in reversed(KINDS.items()):
         out = F.when(F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False)), kind).otherwise(out)
     return out
@@ -43,5 +44,5 @@ def named_things(text: Column) -> list[Column]:
     return out
 
 
-def classify(questions: DataFrame, text: str = "text") -> DataFrame:
-    return questions.select("*", question_kind(F.col(text)).alias("kind"), *named_things(F.col(text)))
+def classify(questions: DataFrame, text: str = "text", otherwise: str | None = FALLBACK) -> DataFrame:
+    return questions.select("*", question_kind(F.col(text), otherwise).alias("kind"), *named_things(F.col(text)))

@@ -321,15 +321,15 @@ query("risk_score", f"""WITH {_FACTORS}, r AS (SELECT address, least(sum(score *
 SELECT address, round(risk_score, 6) AS risk_score, factor_count FROM r""")(lambda s, d: risk.assess(views.chain_transactions(s, d), AS_OF, entities=views.entities(s, d)).select("address", _r("risk_score"), "factor_count"))
 
 
-def _risk_full(s: SparkSession, d: str) -> DataFrame:
-    """All twelve factors: with mixers within two hops and peel chains."""
-    t, e = _t(s, d), views.entities(s, d)
-    mixers = graph.paths_to_entities(t, e.where("entity_type = 'mixer'").select(F.col("address").alias("start")), t.select(F.col("from_address").alias("address")).distinct().select("address", F.lit("w").alias("name"), F.lit("wallet").alias("entity_type"), F.lit("CONFIRMED").alias("confidence")), 2)
-    peels = motifs.peel_chains(t, min_length=2).select(F.col("path")[0].alias("address"))
-    return risk.assess(views.chain_transactions(s, d), AS_OF, entities=e, mixers=mixers.select("address", "hops"), peels=peels)
+def _tables(s: SparkSession, d: str) -> assistant.Tables:
+    return assistant.Tables(_t(s, d), views.chain_transactions(s, d), views.wallets(s, d), views.cases(s, d), views.entities(s, d), AS_OF)
+
 
+_BANDS = "CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 5 THEN 'low' ELSE 'info' END"
 
-def _full_sql() -> str:
+
+def _full_sql(out: str) -> str:
+    """All twelve factors: with mixers within two hops and peel chains."""
     infra = "coalesce(kind, '') IN ('defi', 'exchange', 'bridge', 'merchant')"
     return f"""WITH RECURSIVE {_FACTORS}, {MOVES}, {_BOTH.removeprefix(TRANSFERS + ", ")}, {_PEELS.removeprefix(MOVES + ", ")},
 x1 AS (SELECT t.address AS s, e.b AS w FROM entities t JOIN e ON e.a = t.address WHERE entity_type = 'mixer'), x2 AS (SELECT DISTINCT x1.s, e.b AS w FROM x1 JOIN e ON e.a = x1.w WHERE e.b <> x1.s),
@@ -337,7 +337,7 @@ near AS (SELECT w AS address, min(h) AS hops FROM (SELECT w, 1 AS h FROM x1 UNIO
 more AS (SELECT * FROM f UNION ALL SELECT j.address, 'mixer_interaction', CAST(CASE WHEN {infra} THEN CASE hops WHEN 1 THEN 15 WHEN 2 THEN 8 ELSE 0 END ELSE CASE hops WHEN 1 THEN 95 WHEN 2 THEN 50 ELSE 0 END END AS DOUBLE), {risk.WEIGHTS["mixer_interaction"]}::DOUBLE FROM j LEFT JOIN near USING (address)
   UNION ALL SELECT address, 'peel_chain', 85::DOUBLE, {risk.WEIGHTS["peel_chain"]}::DOUBLE FROM j WHERE address IN (SELECT path[1] FROM pk)),
 r AS (SELECT address, least(sum(score * weight) / sum(weight) * 1.1, max(score), 100) AS risk_score, count(*) AS factor_count, string_agg(factor, ',' ORDER BY weight DESC, factor DESC) AS factors FROM more WHERE score > 0 GROUP BY 1)
-SELECT address, round(risk_score, 6) AS risk_score, factor_count, factors, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 5 THEN 'low' ELSE 'info' END AS severity FROM r"""
+{out}"""
 
 
 # -- graph ----------------------------------------------------------------------------
@@ -372,7 +372,7 @@ _SUMMED = """SELECT count(*) AS total, (SELECT name FROM r WHERE rank = 1) AS ne
   count(*) FILTER (entity_type = 'bridge') AS bridge_count, count(*) FILTER (entity_type = 'defi') AS defi_count, count(*) FILTER (entity_type = 'mixer') AS mixer_count FROM r HAVING count(*) > 0"""
 _listed = lambda df: df.drop("start").withColumn("confidence_score", F.round("confidence_score", 6)).withColumn("path", F.array_join("path", ",")).withColumn("evidence", F.array_join("evidence", ","))
 _summed = lambda df: attribution.summary(df).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
-query("risk_assessment_full", _full_sql())(lambda s, d: _risk_full(s, d).withColumn("factors", F.array_join("factors", ",")).withColumn("risk_score", F.round("risk_score", 6)))
+query("risk_assessment_full", _full_sql(f"SELECT address, round(risk_score, 6) AS risk_score, factor_count, factors, {_BANDS} AS severity FROM r"))(lambda s, d: assistant.wallet_risk(_tables(s, d)).withColumn("factors", F.array_join("factors", ",")).withColumn("risk_score", F.round("risk_score", 6)))
 query("attributions", f"WITH {_FAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("attribution_summary", f"WITH {_FAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("shortest_path_to_vasp", f"WITH {_STEPS}, b AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(1, 7))}) SELECT address, name, CAST(h AS INTEGER) AS hops, list_aggregate(path, 'string_agg', ',') AS path FROM b JOIN entities ON address = n WHERE entity_type = 'exchange' ORDER BY h, address, name LIMIT 1")(
@@ -694,32 +694,30 @@ def _problems(s: SparkSession, d: str) -> DataFrame:
 
 
 query("forensic_summary_full")(lambda s, d: forensics.summary(_t(s, d), views.wallets(s, d)))
-query("pattern_counts", f"""WITH {TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 0), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10),
-p AS (SELECT x.v + y.v + w.v AS v FROM e x JOIN e y ON x.b = y.a JOIN e w ON y.b = w.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND w.b NOT IN (x.a, x.b) ORDER BY v DESC LIMIT 20), z AS (SELECT chain, max(timestamp) AS e FROM transfers GROUP BY 1),
-r AS (SELECT count(*) AS n, round(value_usd) AS v FROM transfers t JOIN z USING (chain) WHERE timestamp >= e - INTERVAL 24 HOURS GROUP BY t.chain, from_address, round(value_usd) HAVING count(*) >= 3 ORDER BY 1 DESC, 2 DESC LIMIT 20),
-m AS (SELECT least(a.value_usd, b.value_usd) AS v FROM transfers a JOIN transfers b ON a.to_address = b.from_address WHERE a.from_address <> b.to_address AND a.tx_hash <> b.tx_hash AND {_SECS.format("a.timestamp", "b.timestamp")} BETWEEN 0 AND 300),
-u AS (SELECT 'peel_chain' AS pattern, v FROM p UNION ALL SELECT 'round_amount', n * v FROM r UNION ALL SELECT 'rapid_movement', v FROM m) SELECT pattern, count(*) AS n, round(max(v), 2) AS most_usd FROM u GROUP BY 1""")(lambda s, d: assistant.pattern_counts(_t(s, d)).withColumn("most_usd", F.round("most_usd", 2)))
+_PATTERNS = f"""{TRANSFERS}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS v FROM transfers WHERE from_address <> to_address GROUP BY 1, 2 HAVING {_SUM} > 0), k AS (SELECT from_address FROM transfers GROUP BY 1 HAVING count(*) > 10),
+p AS (SELECT [x.a, x.b, y.b, w.b] AS who, x.v + y.v + w.v AS v FROM e x JOIN e y ON x.b = y.a JOIN e w ON y.b = w.a WHERE x.a IN (SELECT from_address FROM k) AND y.b <> x.a AND w.b NOT IN (x.a, x.b) ORDER BY v DESC, who LIMIT 20), z AS (SELECT chain, max(timestamp) AS e FROM transfers GROUP BY 1),
+r AS (SELECT [from_address] AS who, count(*) AS n, round(value_usd) AS v FROM transfers t JOIN z USING (chain) WHERE timestamp >= e - INTERVAL 24 HOURS GROUP BY t.chain, from_address, round(value_usd) HAVING count(*) >= 3 ORDER BY n DESC, v DESC, from_address, t.chain LIMIT 20),
+m AS (SELECT [a.from_address, a.to_address, b.to_address] AS who, least(a.value_usd, b.value_usd) AS v FROM transfers a JOIN transfers b ON a.to_address = b.from_address WHERE a.from_address <> b.to_address AND a.tx_hash <> b.tx_hash AND {_SECS.format("a.timestamp", "b.timestamp")} BETWEEN 0 AND 300),
+u AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM (SELECT 'peel_chain' AS pattern, v, who FROM p UNION ALL SELECT 'round_amount', n * v, who FROM r UNION ALL SELECT 'rapid_movement', v, who FROM m))"""
+query("pattern_counts", f"WITH {_PATTERNS} SELECT pattern, count(*) AS n, round(max(v), 2) AS most_usd FROM u GROUP BY 1")(lambda s, d: assistant.pattern_counts(_t(s, d)).withColumn("most_usd", F.round("most_usd", 2)))
 ASKED = (
     "How risky is wallet {0}?", "Where did the money of {0} flow to?", "Who owns the address {0}?", "When was the last transaction of {0}, as a timeline of its transactions?", "Compare wallet {0} and wallet {1} please",
-    "Summary of case TRX-20240001-0001", "Which exchange is {0} attributed to?", "Show suspicious patterns like structuring", "12 + 34 = ?",
+    "Case {2}: a summary", "Which exchange is {0} attributed to?", "Show suspicious patterns like structuring", "12 + 34 = ?", "What is the risk of the wallets of case {2}?", "Any structuring in case {2}?", "Please sing me a song",
 )
 
 
-def _tables(s: SparkSession, d: str) -> assistant.Tables:
-    return assistant.Tables(_t(s, d), views.chain_transactions(s, d), views.wallets(s, d), views.cases(s, d), views.entities(s, d), AS_OF)
-
-
 def _questions(s: SparkSession, *texts: str) -> DataFrame:
     """Each text about wallets 0 to 19."""
     who = lambda i: f"0x{i:040x}"
-    return s.createDataFrame([(1000 * k + i, t.format(who(i), who(i + 1))) for k, t in enumerate(texts) for i in range(20)], "id long, text string")
+    return s.createDataFrame([(1000 * k + i, t.format(who(i), who(i + 1), f"TRX-2024{i + 1:04d}-{i + 1:04d}")) for k, t in enumerate(texts) for i in range(20)], "id long, text string")
 
 
-query("assistant_answers")(lambda s, d: assistant.answers(_questions(s, *ASKED), _tables(s, d)))
-_WHO = "who AS (SELECT i AS id, '0x' || lpad(lower(to_hex(i)), 40, '0') AS address FROM range(20) t(i))"
-query("assistant_risk", f"""WITH {_FACTORS}, {_WHO}, r AS (SELECT address, least(sum(score * weight) / sum(weight) * 1.1, max(score), 100) AS risk, string_agg(factor, ', ' ORDER BY weight DESC, factor DESC) AS names FROM f WHERE score > 0 GROUP BY 1)
-SELECT id, 'risk_summary' AS kind, q.address AS target, CASE WHEN risk IS NULL THEN 'No risk factor of wallet ' || q.address || '.' ELSE 'Wallet ' || q.address || ' has a risk of ' || printf('%.1f', round(risk, 1)) || ' of 100 (' || CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 40 THEN 'medium' WHEN risk >= 5 THEN 'low' ELSE 'info' END || '): ' || names || '.' END AS answer,
-  CASE WHEN risk IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence FROM who q LEFT JOIN r USING (address)""")(lambda s, d: assistant.answers(_questions(s, ASKED[0]), _tables(s, d)))
+_WHO = "who AS (SELECT i AS id, '0x' || lpad(lower(to_hex(i)), 40, '0') AS address, 'TRX-2024' || lpad((i + 1)::VARCHAR, 4, '0') || '-' || lpad((i + 1)::VARCHAR, 4, '0') AS case_number FROM range(20) t(i))"
+_SURE = "CASE WHEN {} THEN 'HIGH_CONFIDENCE' ELSE 'UNKNOWN' END AS confidence"
+query("assistant_risk", _full_sql(f""", {_WHO} SELECT id, 'risk_summary' AS kind, q.address AS target, CASE WHEN risk_score IS NULL THEN 'No risk factor of wallet ' || q.address || '.'
+  ELSE 'Wallet ' || q.address || ' has a risk of ' || printf('%.1f', round(risk_score, 1)) || ' of 100 (' || {_BANDS} || '): ' || replace(factors, ',', ', ') || '.' END AS answer, {_SURE.format("risk_score IS NOT NULL")} FROM who q LEFT JOIN r USING (address)"""))(
+    lambda s, d: assistant.answers(_questions(s, ASKED[0]), _tables(s, d))
+)
 query("assistant_entities", f"""WITH {ENTITIES}, {WALLETS}, {_WHO}, e AS (SELECT DISTINCT ON (address) address, name, entity_type, confidence FROM entities ORDER BY address, name), w AS (SELECT address, count(*) AS n, max(risk_score) AS risk FROM wallets GROUP BY 1)
 SELECT id, 'entity_lookup' AS kind, q.address AS target, CASE WHEN name IS NOT NULL THEN q.address || ' belongs to ' || name || ' (' || entity_type || ', ' || confidence || ').' WHEN n IS NOT NULL THEN q.address || ' is a wallet without a known owner, in ' || n || ' cases, with a risk of up to ' || printf('%.0f', risk) || '.' ELSE 'Nothing is known of ' || q.address || '.' END AS answer,
   CASE WHEN name IS NULL AND n IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence FROM who q LEFT JOIN e USING (address) LEFT JOIN w USING (address)""")(lambda s, d: assistant.answers(_questions(s, ASKED[2]), _tables(s, d)))
@@ -731,6 +729,36 @@ query("assistant_comparison", f"""WITH {TRANSFERS}, {_WHO}, w AS (SELECT address
 SELECT id, 'comparison' AS kind, o.address AS target, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'Name two wallets that have transfers.' ELSE o.address || ' moved ' || printf('%.2f', a.v) || ' USD, ' || other || ' ' || printf('%.2f', b.v) || ' USD.' END AS answer, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'UNKNOWN' ELSE 'HIGH_CONFIDENCE' END AS confidence
 FROM o LEFT JOIN w a ON a.address = o.address LEFT JOIN w b ON b.address = other""")(lambda s, d: assistant.answers(_questions(s, ASKED[4]), _tables(s, d)))
 
+_REACHED = f"""{_BOTH}, {ENTITIES}, {_WHO}, g(s, n, h) AS (SELECT address, address, 0 FROM who UNION SELECT g.s, e.b, g.h + 1 FROM g JOIN e ON e.a = g.n WHERE g.h < 6), reached AS MATERIALIZED (SELECT s, n, min(h) AS h FROM g GROUP BY 1, 2 HAVING min(h) > 0)"""
+_COUNTED = "string_agg(c || ' ' || replace(pattern, '_', ' '), ', ' ORDER BY pattern) AS listed, sum(c)::BIGINT AS c, replace(arg_max(pattern, {'m': m, 'p': pattern}), '_', ' ') AS top, max(m) AS m"
+_SAID = {
+    "assistant_fund_flow": (1, f"""WITH RECURSIVE {_REACHED}, near AS (SELECT s AS address, arg_min(name, {{'h': h, 'n': name}}) AS name, min(h) AS h FROM reached JOIN entities ON address = n WHERE entity_type IN ('exchange', 'bridge') GROUP BY 1),
+w AS (SELECT address, count(DISTINCT tx_hash) FILTER (WHERE o) AS sent, coalesce(sum(v) FILTER (WHERE o), 0) AS sent_usd, count(DISTINCT tx_hash) FILTER (WHERE NOT o) AS got, coalesce(sum(v) FILTER (WHERE NOT o), 0) AS got_usd
+  FROM (SELECT from_address AS address, tx_hash, true AS o, CAST(value_usd AS DECIMAL(38,2)) AS v FROM transfers UNION ALL SELECT to_address, tx_hash, false, CAST(value_usd AS DECIMAL(38,2)) FROM transfers) GROUP BY 1)
+SELECT id, 'fund_flow' AS kind, q.address AS target, CASE WHEN sent IS NULL THEN 'No transfer of wallet ' || q.address || '.' ELSE 'Wallet ' || q.address || ' sent ' || printf('%.2f', sent_usd::DOUBLE) || ' USD in ' || sent || ' transactions and got ' || printf('%.2f', got_usd::DOUBLE) || ' USD in ' || got || '. '
+  || CASE WHEN name IS NULL THEN 'No exchange or bridge within reach.' ELSE 'Nearest service: ' || name || ', ' || h || ' hops away.' END END AS answer, {_SURE.format("sent IS NOT NULL")} FROM who q LEFT JOIN w USING (address) LEFT JOIN near USING (address)"""),
+    "assistant_cases": (5, f"""WITH {CASES}, {WALLETS}, {_WHO}, w AS (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE risk_score >= 75) AS high FROM wallets GROUP BY 1)
+SELECT id, 'case_overview' AS kind, q.case_number AS target, CASE WHEN status IS NULL THEN 'There is no case ' || q.case_number || '.' ELSE 'Case ' || q.case_number || ' is ' || status || ': ' || coalesce(n, 0) || ' wallets, ' || coalesce(high, 0) || ' of high risk.' END AS answer, {_SURE.format("status IS NOT NULL")}
+FROM who q LEFT JOIN cases c USING (case_number) LEFT JOIN w USING (case_id)"""),
+    "assistant_attributions": (6, f"""WITH RECURSIVE {_REACHED}, q AS (SELECT s, address, name, entity_type, confidence AS listed, h AS hops FROM reached JOIN entities ON address = n WHERE entity_type IN ('exchange', 'bridge', 'defi') QUALIFY row_number() OVER (PARTITION BY s ORDER BY h, address, name) <= 20),
+{"k AS (" + _NEAR.split("k AS (", 1)[1].split("r AS (SELECT *, row_number()", 1)[0].rstrip().rstrip(",")}, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, hops, address, name) AS rank FROM s QUALIFY rank <= 10), t AS (SELECT s AS address, count(*) AS n, arg_min(name, rank) AS first, max(score) AS best FROM r GROUP BY 1)
+SELECT id, 'attribution' AS kind, q.address AS target, CASE WHEN n IS NULL THEN 'No known service within reach of wallet ' || q.address || '.' ELSE 'Wallet ' || q.address || ' leads to ' || n || ' services, first of all ' || first || ' (score ' || printf('%.2f', best) || ').' END AS answer, {_SURE.format("n IS NOT NULL")} FROM who q LEFT JOIN t USING (address)"""),
+    "assistant_patterns": (7, f"""WITH {_PATTERNS}, {_WHO}, o AS (SELECT pattern, count(*) AS c, max(v) AS m FROM u GROUP BY 1), l AS (SELECT {_COUNTED} FROM o)
+SELECT id, 'pattern_detection' AS kind, NULL::VARCHAR AS target, coalesce(c || ' suspicious patterns: ' || listed || '. The largest is a ' || top || ' of ' || printf('%.2f', m) || ' USD.', 'No suspicious pattern.') AS answer, CASE WHEN c > 0 THEN 'HIGH_CONFIDENCE' ELSE 'PROBABLE' END AS confidence FROM who, l"""),
+    "assistant_general": (8, f"WITH {_WHO} SELECT id, 'general' AS kind, NULL::VARCHAR AS target, 'Questions of these kinds are answered: {', '.join(k.replace('_', ' ') for k in router.KINDS)}.' AS answer, 'UNKNOWN' AS confidence FROM who"),
+    "assistant_case_risk": (9, f"""WITH {CASES}, {WALLETS}, {_WHO}, w AS (SELECT case_id, count(*) AS n, round(avg(CAST(risk_score AS DECIMAL(38,2)))::DOUBLE, 1) AS mean, count(*) FILTER (WHERE risk_score >= 75) AS a, count(*) FILTER (WHERE risk_score >= 40 AND risk_score < 75) AS b, count(*) FILTER (WHERE risk_score >= 20 AND risk_score < 40) AS c, count(*) FILTER (WHERE attribution_status = 'attributed') AS k FROM wallets GROUP BY 1)
+SELECT id, 'risk_summary' AS kind, q.case_number AS target, CASE WHEN x.case_id IS NULL THEN 'There is no case ' || q.case_number || '.' WHEN n IS NULL THEN 'Case ' || q.case_number || ' has no wallets.'
+  ELSE 'Case ' || q.case_number || ' has ' || n || ' wallets with an average risk of ' || printf('%.1f', mean) || ': ' || a || ' critical, ' || b || ' medium, ' || c || ' low; ' || k || ' are attributed.' END AS answer, {_SURE.format("x.case_id IS NOT NULL")} FROM who q LEFT JOIN cases x USING (case_number) LEFT JOIN w ON w.case_id = x.case_id"""),
+    "assistant_case_patterns": (10, f"""WITH {_PATTERNS}, {CASES}, {WALLETS}, {_WHO}, own AS (SELECT DISTINCT case_number, address FROM cases JOIN wallets USING (case_id) WHERE case_number IN (SELECT case_number FROM who)), hit AS (SELECT DISTINCT case_number, i, pattern, v FROM (SELECT i, pattern, v, unnest(who) AS address FROM u) x JOIN own USING (address)),
+o AS (SELECT case_number, pattern, count(*) AS c, max(v) AS m FROM hit GROUP BY 1, 2), l AS (SELECT case_number, {_COUNTED} FROM o GROUP BY 1)
+SELECT id, 'pattern_detection' AS kind, q.case_number AS target, CASE WHEN l.c > 0 THEN l.c || ' suspicious patterns with wallets of case ' || q.case_number || ': ' || listed || '. The largest is a ' || top || ' of ' || printf('%.2f', m) || ' USD.' WHEN x.case_id IS NULL THEN 'There is no case ' || q.case_number || '.' ELSE 'No suspicious pattern with wallets of case ' || q.case_number || '.' END AS answer,
+  CASE WHEN l.c > 0 THEN 'HIGH_CONFIDENCE' WHEN x.case_id IS NULL THEN 'UNKNOWN' ELSE 'PROBABLE' END AS confidence FROM who q LEFT JOIN cases x USING (case_number) LEFT JOIN l USING (case_number)"""),
+}
+for _name, (_k, _oracle) in _SAID.items():
+    query(_name, _oracle)(lambda s, d, k=_k: assistant.answers(_questions(s, ASKED[k]), _tables(s, d)))
+_BY_KIND = {0: "assistant_risk", 2: "assistant_entities", 3: "assistant_timeline", 4: "assistant_comparison", 11: "assistant_general"} | {k: name for name, (k, _) in _SAID.items()}
+query("assistant_answers", " UNION ALL ".join(f"SELECT {1000 * k} + id AS id, kind, target, answer, confidence FROM ({_sql[name]}) a{k}" for k, name in sorted(_BY_KIND.items())))(lambda s, d: assistant.answers(_questions(s, *ASKED), _tables(s, d)))
+
 # -- streaming (batch twins) ------------------------------------------------------------------
 query("watchlist_alerts", f"""WITH {TRANSFERS}, {ENTITIES}, w AS (SELECT address AS watched, entity_type AS label FROM entities WHERE entity_type IN ('mixer', 'sanctioned'))
 SELECT tx_hash, watched, label, CASE WHEN watched = from_address THEN 'sent' ELSE 'received' END AS side FROM transfers JOIN w ON watched IN (from_address, to_address) WHERE value_usd >= 50""")(

@@ -28,16 +28,21 @@ def tables(spark):
 def test_every_kind_of_question_is_answered(spark, tables):
     asked = {
         1: f"How risky is wallet {A}?", 2: f"Where did the money of {A} flow to?", 3: f"Who owns the address {C}?", 4: f"history of transactions of {A}", 5: f"Compare wallet {A} and wallet {B}",
-        6: "Summary of case TRX-20240101-0001", 7: f"Which exchange is {A} attributed to?", 8: "any structuring", 9: " 12 ", 10: None, 11: "Who owns this address?", 12: f"Who owns the address {'0x' + 'f' * 40}?",
-        13: f"risk of the wallet behind 0x{'A' * 64}", 14: "Summary of case TRX-20240101-9999",
+        6: "case TRX-20240101-0001, a summary", 7: f"Which exchange is {A} attributed to?", 8: "any structuring", 9: " 12 ", 10: None, 11: "Who owns this address?", 12: f"Who owns the address {'0x' + 'f' * 40}?",
+        13: f"risk of the wallet behind 0x{'A' * 64}", 14: "case TRX-20240101-9999, a summary",
+        15: "Please sing me a song", 16: "hello", 17: "Risk of the wallets of case TRX-20240101-0001", 18: "risk of the wallets of case TRX-20240101-9999", 19: "Any rapid movement in case TRX-20240101-0001?",
+        20: "structuring in case TRX-20240101-9999", 21: "tell me about case status", 22: "risk of a wallet",
     }
     got = {r.id: r for r in assistant.answers(spark.createDataFrame(list(asked.items()), "id long, text string"), tables).collect()}
-    assert {i: r.kind for i, r in got.items()} == {1: "risk_summary", 2: "fund_flow", 3: "entity_lookup", 4: "timeline", 5: "comparison", 6: "case_overview", 7: "attribution", 8: "pattern_detection", 9: "general", 10: "general", 11: "entity_lookup", 12: "entity_lookup", 13: "risk_summary", 14: "case_overview"}
+    assert {i: r.kind for i, r in got.items()} == {1: "risk_summary", 2: "fund_flow", 3: "entity_lookup", 4: "timeline", 5: "comparison", 6: "case_overview", 7: "attribution", 8: "pattern_detection", 9: "general", 10: "general", 11: "entity_lookup", 12: "entity_lookup", 13: "risk_summary", 14: "case_overview",
+        15: "general", 16: "general", 17: "risk_summary", 18: "risk_summary", 19: "pattern_detection", 20: "pattern_detection", 21: "case_overview", 22: "risk_summary"}
     assert got[2].answer == f"Wallet {A} sent 110.00 USD in 2 transactions and got 0.00 USD in 0. Nearest service: Some Exchange, 2 hops away."
     assert got[3].answer == f"{C} belongs to Some Exchange (exchange, CONFIRMED)." and "2 transfers on 2 days, most on 2024-01-01 (1)" in got[4].answer
     assert got[5].answer == f"{A} moved 110.00 USD, {B} 200.00 USD." and got[6].answer == "Case TRX-20240101-0001 is open: 1 wallets, 1 of high risk."
     assert "Some Exchange" in got[7].answer and "rapid movement" in got[8].answer and "risk summary" in got[9].answer
-    assert {i for i, r in got.items() if r.confidence == "UNKNOWN"} == {11, 12, 14} and got[13].target == A and got[13].answer == got[1].answer
+    assert got[17].answer == "Case TRX-20240101-0001 has 1 wallets with an average risk of 80.0: 1 critical, 0 medium, 0 low; 0 are attributed." and got[18].answer == got[20].answer == got[14].answer
+    assert "1 rapid movement" in got[19].answer and "with wallets of case TRX-20240101-0001" in got[19].answer and got[15].answer == got[9].answer and got[22].answer.startswith("Name a wallet")
+    assert {i for i, r in got.items() if r.confidence == "UNKNOWN"} == {9, 10, 11, 12, 14, 15, 16, 18, 20, 21, 22} and got[13].target == A and got[13].answer == got[1].answer
     assert assistant.answers(spark.createDataFrame([], "id long, text string"), tables).count() == 0
 
 
