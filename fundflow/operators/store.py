@@ -98,3 +98,30 @@ def compare_wallets(stats: DataFrame, left: str, right: str) -> DataFrame:
     names = [c for c in stats.columns if c != "address"]
     rows = two.select("address", F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("v")) for n in names])))
     return rows.groupBy("measure").agg(F.max(F.when(F.col("address") == left, F.col("v"))).alias("left_value"), F.max(F.when(F.col("address") == right, F.col("v"))).alias("right_value"))
+
+
+def with_intelligence(wallets: DataFrame, intelligence: DataFrame) -> DataFrame:
+    """``wallets`` with what is known of their address on any chain: the
+    riskiest answer of an address; ``failed`` where its lookup did."""
+    order = Window.partitionBy("_a").orderBy(F.col("failed"), F.desc_nulls_last("risk_score"), "chain", "entity_name")
+    best = intelligence.withColumn("_a", F.lower("address")).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    known = best.select("_a", "entity_name", "entity_category", "risk_score", "is_sanctioned", "tags", "failed")
+    both = wallets.drop("risk_score").join(known, F.lower("address") == F.col("_a"), "left").drop("_a")
+    return both.withColumn("is_sanctioned", F.coalesce("is_sanctioned", F.lit(False)))
+
+
+def report_sections(cases: DataFrame, wallets: DataFrame, runs: DataFrame) -> DataFrame:
+    """The sections of every case's report, a row per line: case_id, section,
+    title, line, text. Wallets are listed by risk; the findings are those of the
+    latest run, and there is no such section without one."""
+    head = F.array(F.concat(F.lit("Case "), "case_number", F.lit(": "), "title"), F.concat(F.lit("Crime type: "), "crime_type"), F.concat(F.lit("Status: "), "status"))
+    section = lambda n, title: (F.lit(n).alias("section"), F.lit(title).alias("title"))
+    overview = cases.select("case_id", *section(1, "Case Overview"), F.posexplode(head).alias("line", "text"))
+    order = Window.partitionBy("case_id").orderBy(F.desc("risk_score"), "address", "wallet_id")
+    owned = cases.select("case_id").join(wallets, "case_id", "left").withColumn("line", F.row_number().over(order) - 1)
+    listed = F.format_string("- %s (%s) - risk score %.2f, attribution: %s", "address", "chain", "risk_score", "attribution_status")
+    tracked = owned.select("case_id", *section(2, "Tracked Wallets"), "line", F.when(F.col("wallet_id").isNull(), "No wallets tracked in this case.").otherwise(listed).alias("text"))
+    latest = runs.groupBy("case_id").agg(F.max_by(F.struct("status", "result_summary"), F.struct("started_at", "run_id")).alias("run")).join(cases.select("case_id"), "case_id", "left_semi")
+    found = F.array(F.concat(F.lit("Investigation status: "), "run.status"), F.coalesce("run.result_summary", F.lit("{}")))
+    findings = latest.select("case_id", *section(3, "Investigation Findings"), F.posexplode(found).alias("line", "text"))
+    return overview.unionByName(tracked).unionByName(findings).withColumn("line", F.col("line") + 1)

@@ -46,11 +46,15 @@ TASK_ROWS = 1_000_000
 ORDER = ("timestamp", "tx_hash", "from_address", "to_address", "value_usd")
 #: What is known of dirty addresses, and (FIFO) of dirty lots, at some time.
 STATE = "address string, lot long, dirt double, hops int, got double"
-_FAR = 1 << 30  # hops of what no countable dirt has reached
+FAR = 1 << 30  # hops of what no countable dirt has reached
+
+
+def _tens(c: Column) -> Column:
+    return c.cast("decimal(38,10)")
 
 
 def _exact(c: str) -> Column:
-    return F.col(c).cast("decimal(38,10)")
+    return _tens(F.col(c))
 
 
 # -- what taint doesn't change ---------------------------------------------
@@ -72,7 +76,7 @@ def accounts(moves: DataFrame, seeds: DataFrame) -> DataFrame:
     planted = seeds.select("address", F.col("lot").alias("at"), F.lit(None).cast("string").alias("other"), _exact("amount_usd").alias("amount"))
     every = events.unionByName(planted).withColumn("gain", F.greatest("amount", F.lit(0).cast("decimal(38,10)")))
     ran = running(every, "address", "amount", also="gain")
-    return ran.select("address", "at", "other", "amount", (F.col("before") - F.col("low")).alias("balance"), F.col("also_before").alias("received"))
+    return ran.select("address", "at", "other", "amount", _tens(F.col("before") - F.col("low")).alias("balance"), _tens(F.col("also_before")).alias("received"))
 
 
 def shares(owned: DataFrame) -> DataFrame:
@@ -83,7 +87,7 @@ def shares(owned: DataFrame) -> DataFrame:
 
 
 def pieces(owned: DataFrame) -> DataFrame:
-    """FIFO: at, from_address, to_address, lot, share of that lot's money; a row
+    """FIFO: at, from_address, to_address, lot, size, share of that lot's money; a row
     for each spend and lot that overlap.
 
     Lots tile the line of all receipts, spends (as far as they were funded) the
@@ -101,7 +105,7 @@ def pieces(owned: DataFrame) -> DataFrame:
     covering = begins.select("address", "pos", F.last("lot", ignorenulls=True).over(along).alias("lot"), F.last("spend", ignorenulls=True).over(along).alias("spend"), F.lead("pos").over(along).alias("next"))
     size = F.least(F.coalesce("next", "spend.end"), F.col("spend.end")) - F.col("pos")
     found = covering.where("lot is not null and spend is not null").withColumn("size", size).where(F.col("size") > zero)
-    return found.select(F.col("spend.at").alias("at"), F.col("address").alias("from_address"), F.col("spend.to_address").alias("to_address"), F.col("lot.at").alias("lot"), (F.col("size").cast("double") / F.col("lot.size").cast("double")).alias("share"))
+    return found.select(F.col("spend.at").alias("at"), F.col("address").alias("from_address"), F.col("spend.to_address").alias("to_address"), F.col("lot.at").alias("lot"), "size", (F.col("size").cast("double") / F.col("lot.size").cast("double")).alias("share"))
 
 
 # -- solving forward in time -------------------------------------------------
@@ -122,13 +126,13 @@ class _Dirt:
 
     def arrive(self, a: str, b: str, dirt: float, lot: int) -> None:
         """Dirt that has left a, on its way to b; beyond the horizon it is lost."""
-        near = self.hops.get(a, _FAR)
+        near = self.hops.get(a, FAR)
         if dirt <= 0 or near >= self.max_hops:
             return
         self.holds[b] = self.holds.get(b, 0.0) + dirt
         self.got[b] = self.got.get(b, 0.0) + dirt
         self.lots[lot] = dirt
-        self.hops[b] = min(self.hops.get(b, _FAR), near + 1 if dirt > EPSILON else _FAR)
+        self.hops[b] = min(self.hops.get(b, FAR), near + 1 if dirt > EPSILON else FAR)
 
     def haircut(self, rows: Iterator[tuple]) -> None:
         for at, a, b, _, share in rows:
@@ -151,10 +155,13 @@ class _Dirt:
             self.arrive(now[1], now[2], dirt, now[0])
 
     def state(self, fifo: bool) -> pd.DataFrame:
-        rows = [(who, None, held, self.hops[who], self.got[who]) for who, held in self.holds.items()]
-        rows += [(None, lot, dirt, None, None) for lot, dirt in self.lots.items()] if fifo else []
-        out = pd.DataFrame(rows, columns=["address", "lot", "dirt", "hops", "got"])
-        return out.astype({"lot": "Int64", "hops": "Int64"})
+        lots = self.lots if fifo else {}
+        none, far = [None] * len(lots), [None] * len(self.holds)
+        real = lambda x: pd.Series(x, dtype="float64")
+        return pd.DataFrame({
+            "address": pd.Series([*self.holds, *none], dtype="object"), "lot": pd.array([*far, *lots], "Int64"), "dirt": real([*self.holds.values(), *lots.values()]),
+            "hops": pd.array([*[int(self.hops[who]) for who in self.holds], *none], "Int64"), "got": real([*[self.got[who] for who in self.holds], *none]),
+        })
 
 
 def _solved(frames: Iterator[pd.DataFrame], max_hops: int, fifo: bool) -> Iterator[pd.DataFrame]:
@@ -174,7 +181,7 @@ def _solved(frames: Iterator[pd.DataFrame], max_hops: int, fifo: bool) -> Iterat
                 root, dirt = of, _Dirt(max_hops)
             known = own[own.row_kind == 0]
             for r in zip(known.address, known.lot, known.dirt, known.hops, known.got):
-                dirt.know(*[None if pd.isna(x) else x for x in r])
+                dirt.know(None if pd.isna(r[0]) else r[0], *r[1:])
             todo = own[own.row_kind == 1]
             rest += zip(todo["at"], todo.from_address, todo.to_address, todo.lot, todo.share)
             if rest:  # the last spend may go on in the next frame
@@ -200,14 +207,14 @@ def _period(rows: DataFrame, state: DataFrame, roots: DataFrame | None, max_hops
         idle = dirty.where("root is null").drop("root")
         idle = idle if not fifo else idle.unionByName(state.where("lot is not null").join(rows.select("lot").distinct(), "lot", "left_anti").select(idle.columns))
     todo = rows.select("root", "at", "from_address", "to_address", F.col("lot") if fifo else F.lit(None).cast("long").alias("lot"), "share", F.lit(1).alias("row_kind"))
-    both = known.withColumn("row_kind", F.lit(0)).unionByName(todo, allowMissingColumns=True)
+    both = known.withColumn("row_kind", F.lit(0)).unionByName(todo, allowMissingColumns=True).fillna(0, ["at", "lot"])  # numbers stay whole numbers in pandas
     parts = 1 if roots is None else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(parts, "root").sortWithinPartitions("root", "row_kind", "at")
     after = dealt.mapInPandas(lambda frames: _solved(frames, max_hops, fifo), STATE)
     return stored(after if idle is None else after.unionByName(idle), "taint-state")
 
 
-def _advance(rows: DataFrame, state: DataFrame, max_hops: int, fifo: bool) -> DataFrame:
+def advanced(rows: DataFrame, state: DataFrame, max_hops: int, fifo: bool) -> DataFrame:
     """The state after all ``rows``, period by period; gives up ``state``."""
     if rows.count() <= TASK_ROWS:
         after = _period(rows, state, None, max_hops, fifo)
@@ -218,8 +225,8 @@ def _advance(rows: DataFrame, state: DataFrame, max_hops: int, fifo: bool) -> Da
         if largest > TASK_ROWS and low < high:  # a single spend is never cut
             middle = min(middle, high - 1)
             discard(roots)
-            half = _advance(rows.where(F.col("at") <= middle), state, max_hops, fifo)
-            return _advance(rows.where(F.col("at") > middle), half, max_hops, fifo)
+            half = advanced(rows.where(F.col("at") <= middle), state, max_hops, fifo)
+            return advanced(rows.where(F.col("at") > middle), half, max_hops, fifo)
         after = _period(rows, state, roots, max_hops, fifo)
         discard(roots)
     discard(state)
@@ -239,9 +246,9 @@ def propagate(transfers: DataFrame, sources: DataFrame, model: str = HAIRCUT, ma
     rows = stored(pieces(owned) if model == FIFO else shares(owned), "taint-rows")
     planted = seeds.select("address", F.lit(None).cast("long").alias("lot"), F.col("amount_usd").alias("dirt"), F.lit(0).alias("hops"), F.col("amount_usd").alias("got"))
     lots = seeds.select(F.lit(None).cast("string").alias("address"), "lot", F.col("amount_usd").alias("dirt"), F.lit(None).cast("int").alias("hops"), F.lit(None).cast("double").alias("got"))
-    state = _advance(rows, stored(planted.unionByName(lots) if model == FIFO else planted, "taint-state"), max_hops, model == FIFO)
+    state = advanced(rows, stored(planted.unionByName(lots) if model == FIFO else planted, "taint-state"), max_hops, model == FIFO)
     discard(rows)
-    found = state.where((F.col("address").isNotNull()) & (F.col("hops") < _FAR)).select("address", "got", "hops")
+    found = state.where((F.col("address").isNotNull()) & (F.col("hops") < FAR)).select("address", "got", "hops")
     came = moves.select(F.col("to_address").alias("address"), _exact("value_usd").alias("v")).unionByName(seeds.select("address", _exact("amount_usd").alias("v")))
     total = came.groupBy("address").agg(F.sum("v").cast("double").alias("received_value_usd"))
     both = found.join(total, "address").withColumn("tainted_value_usd", F.least("got", "received_value_usd"))

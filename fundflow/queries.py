@@ -8,12 +8,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundflow.functions import codecs
+from fundflow.functions import codecs, metadata
 from fundflow.functions.columns import total
 from fundflow.operators import assistant, attribution, clusters, correlation, evidence, flow, forensics, graph, motifs, risk, router, store, taint, wallets
 from fundflow.shipping import ship
 from fundflow.sources import chains, views
 from fundflow.streaming import alerts
+from fundflow.streaming import taint as live_taint
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-02-15 00:00:00"
@@ -112,10 +113,12 @@ for _unit in ("hour", "day", "week"):
     )
 query("timeline_stats", f"""WITH {TRANSFERS}, b AS (SELECT CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS bucket, count(*) AS n, {_SUM} AS v FROM transfers GROUP BY 1)
 SELECT count(*) AS active_buckets, CAST(sum(n) AS BIGINT) AS tx_count, CAST(sum(CAST(v AS DECIMAL(38,2))) AS DOUBLE) AS value_usd, (SELECT bucket FROM b ORDER BY n DESC, bucket LIMIT 1) AS peak_bucket, max(n) AS peak_count FROM b""")(lambda s, d: flow.timeline(_t(s, d)))
-query("weighted_path", f"""WITH RECURSIVE {MOVES}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS c FROM moves GROUP BY ALL), w AS (SELECT a, b, c, {_WEIGHT.format("c")} AS w FROM e),
-p AS (SELECT [a, b] AS path, b AS node, w AS cost, c AS total_usd, c AS bottleneck_usd, 1 AS hops FROM w WHERE a = '{START}'
-  UNION ALL SELECT list_append(p.path, w.b), w.b, p.cost + w.w, p.total_usd + w.c, least(p.bottleneck_usd, w.c), p.hops + 1 FROM p JOIN w ON p.node = w.a WHERE NOT list_contains(p.path, w.b) AND p.hops < 3)
-SELECT list_aggregate(path, 'string_agg', ',') AS path, CAST(hops AS INTEGER) AS hops, round(cost, 6) AS cost, total_usd, bottleneck_usd FROM p WHERE node = '0x' || lpad('3', 40, '0') ORDER BY p.cost, p.path LIMIT 1""")(
+_RELAXED = ", ".join(
+    f"l{i} AS MATERIALIZED (SELECT node, min(l) AS l FROM (SELECT * FROM l{i - 1} UNION ALL SELECT w.b, {{'cost': l.cost + w.w, 'path': list_append(l.path, w.b), 'total': l.total + w.c, 'least': least(l.least, w.c)}} FROM l{i - 1} JOIN w ON node = w.a WHERE NOT list_contains(l.path, w.b)) x GROUP BY node)" for i in range(1, 11)
+)
+query("weighted_path", f"""WITH {MOVES}, e AS (SELECT from_address AS a, to_address AS b, {_SUM} AS c FROM moves GROUP BY ALL), w AS MATERIALIZED (SELECT a, b, c, {_WEIGHT.format("c")} AS w FROM e),
+l0 AS (SELECT '{START}' AS node, {{'cost': 0::DOUBLE, 'path': ['{START}'], 'total': 0::DOUBLE, 'least': 'inf'::DOUBLE}} AS l), {_RELAXED}
+SELECT list_aggregate(l.path, 'string_agg', ',') AS path, CAST(len(l.path) - 1 AS INTEGER) AS hops, round(l.cost, 6) AS cost, l.total AS total_usd, l.least AS bottleneck_usd FROM l10 WHERE node = '0x' || lpad('3', 40, '0')""")(
     lambda s, d: flow.weighted_path(_t(s, d), START, "0x" + "0" * 39 + "3").select(F.array_join("path", ",").alias("path"), "hops", _r("cost"), _r("total_usd", 2), "bottleneck_usd")
 )
 query("max_flow")(lambda s, d: flow.max_flow(_t(s, d), START, "0x" + "0" * 39 + "3"))
@@ -446,6 +449,9 @@ def _tainted(s: SparkSession, d: str, model: str) -> DataFrame:
 
 query("taint_haircut", _taint_sql(taint.HAIRCUT, _PLANTED, _TAINTED.format("haircut")))(lambda s, d: _tainted(s, d, taint.HAIRCUT))
 query("taint_fifo", _taint_sql(taint.FIFO, _PLANTED, _TAINTED.format("fifo")))(lambda s, d: _tainted(s, d, taint.FIFO))
+query("taint_in_batches", _taint_sql(taint.FIFO, _PLANTED, "SELECT address, round(tainted, 4) AS tainted_value_usd, hops::INT AS hops FROM result"))(
+    lambda s, d: live_taint.in_batches(_t(s, d), _seed(s), ["2024-01-05 00:00:00", "2024-01-12 06:00:00"], taint.FIFO).select("address", F.round("tainted_value_usd", 4).alias("tainted_value_usd"), "hops")
+)
 _RISKIEST = f"""{WALLETS}, worst AS (SELECT address, max(risk_score) AS risk FROM wallets GROUP BY 1 ORDER BY risk DESC, address LIMIT 3),
 seeds AS (SELECT address, coalesce((SELECT sum(value_usd) FROM transfers WHERE from_address = address), (SELECT sum(value_usd) FROM transfers WHERE to_address = address)) AS amount FROM worst)"""
 query("taint_summary", _taint_sql(taint.HAIRCUT, _RISKIEST, """SELECT address, round(tainted / received, 6) AS taint_ratio, round(tainted / received * 100, 2) AS taint_percent, round(tainted, 2) AS tainted_value_usd, round(received, 2) AS received_value_usd, hops::INT AS hops, 'haircut' AS model
@@ -575,9 +581,24 @@ query("held_tokens", "SELECT event_id FROM events WHERE event_id % 5 <> 0")(
 )
 query("block_filter", f"WITH {TRANSFERS} SELECT tx_hash FROM transfers WHERE block_number = 0 OR block_number BETWEEN 100 AND 500")(lambda s, d: chains.in_blocks(_t(s, d), 100, 500).select("tx_hash"))
 query("address_checks", None)(lambda s, d: _addresses(s, d))
-query("entity_directory", "SELECT * FROM (VALUES ('Some Exchange', '0xaa', 'Ethereum'), ('Some Exchange', '0xbb', 'Polygon'), ('Some Mixer', '0xcc', 'Ethereum')) t(name, address, chain)")(
-    lambda s, d: chains.directory(s, [("Some Exchange", "exchange", {1: ["0xAA"], 137: ["0xBB"]}, "CONFIRMED"), ("Some Mixer", "mixer", {1: ["0xCC"]}, "CONFIRMED")]).select("name", "address", "chain")
-)
+query("entity_directory", "SELECT s_name AS name, lower('0x' || upper(lpad(lower(to_hex(s_suppkey)), 40, '0'))) AS address, CASE WHEN i = 1 THEN 'Ethereum' ELSE 'Polygon' END AS chain, CASE WHEN s_suppkey % 10 = 3 THEN 'mixer' ELSE 'exchange' END AS entity_type FROM supplier, (VALUES (1), (137)) t(i) WHERE i = 1 OR s_suppkey % 2 = 0")(
+    lambda s, d: chains.directory_rows(views.directory(s, d)).select("name", "address", "chain", "entity_type")
+)
+_INTEL = """intel AS (SELECT '0x' || lpad(lower(to_hex(s_suppkey)), 40, '0') AS address, s_suppkey % 7 <> 6 AS answered, CASE WHEN s_suppkey % 5 <> 4 THEN ['exchange', 'mixer', 'sanctions', 'gambling', ''][s_suppkey % 5 + 1] END AS category, s_name AS name, CAST(s_suppkey % 101 AS DOUBLE) AS risk FROM supplier)"""
+query("entity_intelligence", f"""WITH {WALLETS}, {_INTEL} SELECT wallet_id, CASE WHEN answered THEN coalesce(category, name) END AS entity_name, CASE WHEN answered THEN category END AS entity_category, CASE WHEN answered THEN risk END AS risk_score,
+  coalesce(answered AND category = 'sanctions', false) AS is_sanctioned, NOT answered AS failed FROM wallets LEFT JOIN intel USING (address)""")(
+    lambda s, d: store.with_intelligence(views.wallets(s, d), chains.intelligence(views.intelligence_answers(s, d))).select("wallet_id", "entity_name", "entity_category", "risk_score", "is_sanctioned", "failed")
+)
+query("event_metadata", """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 3 THEN left(props, 4) WHEN event_id % 11 = 5 THEN '[1]' WHEN event_id % 11 = 7 THEN NULL ELSE props END AS metadata FROM events)
+SELECT event_id, CASE WHEN json_valid(metadata) AND left(metadata, 1) = '{' THEN CAST(json_extract_string(metadata, '$.k') AS BIGINT) END AS k, coalesce(json_valid(metadata) AND left(metadata, 1) = '{', false) AS is_object FROM e""")(
+    lambda s, d: metadata.with_fields(views.event_metadata(s, d), "metadata", k="long").select("event_id", "k", metadata.is_object(F.col("metadata")).alias("is_object"))
+)
+_RUNS = """runs AS (SELECT o_custkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, '{"orders":' || CAST(o_orderkey AS VARCHAR) || '}' AS found FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
+query("report_sections", f"""WITH {CASES}, {WALLETS}, {_RUNS}, lines AS (
+  SELECT case_id, 1 AS section, 'Case Overview' AS title, unnest([1, 2, 3]) AS line, unnest(['Case ' || case_number || ': ' || title, 'Crime type: ' || crime_type, 'Status: ' || status]) AS text FROM cases
+  UNION ALL SELECT c.case_id, 2, 'Tracked Wallets', coalesce(row_number() OVER (PARTITION BY c.case_id ORDER BY risk_score DESC, address, wallet_id), 1), CASE WHEN wallet_id IS NULL THEN 'No wallets tracked in this case.' ELSE '- ' || address || ' (' || chain || ') - risk score ' || printf('%.2f', risk_score) || ', attribution: ' || attribution_status END FROM cases c LEFT JOIN wallets w ON w.case_id = c.case_id
+  UNION ALL SELECT r.case_id, 3, 'Investigation Findings', unnest([1, 2]), unnest(['Investigation status: ' || r.status, found]) FROM runs r JOIN cases USING (case_id))
+SELECT case_id, section::INT AS section, title, line::INT AS line, text FROM lines""")(lambda s, d: store.report_sections(views.cases(s, d), views.wallets(s, d), views.investigation_runs(s, d)))
 
 
 def _addresses(s: SparkSession, d: str) -> DataFrame:

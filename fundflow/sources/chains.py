@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fundflow.functions import metadata
 from fundflow.functions.codecs import hex_to_decimal_udf, is_evm_udf, tron_address_udf, tron_form_udf
 from fundflow.shipping import ship
 
@@ -227,7 +228,26 @@ def sanctioned(rows: DataFrame) -> DataFrame:
 
 def directory(spark: SparkSession, entries: list[tuple[str, str, dict[int, list[str]], str]]) -> DataFrame:
     """(name, type, {chain id: addresses}, confidence) as one row per address."""
-    rows = spark.createDataFrame(entries, "name string, entity_type string, addresses map<long, array<string>>, confidence string")
+    return directory_rows(spark.createDataFrame(entries, "name string, entity_type string, addresses map<long, array<string>>, confidence string"))
+
+
+def directory_rows(rows: DataFrame) -> DataFrame:
+    """A directory's services as one row per address: name, entity_type,
+    address, chain, confidence, source; addresses on unknown chains are left out."""
     flat = rows.select("name", "entity_type", "confidence", F.explode("addresses").alias("chain_id", "list")).select("name", "entity_type", "confidence", "chain_id", F.explode("list").alias("address"))
-    named = flat.join(F.broadcast(chains(spark).select("chain_id", F.col("name").alias("chain"))), "chain_id")
+    named = flat.join(F.broadcast(chains(rows.sparkSession).select("chain_id", F.col("name").alias("chain"))), "chain_id")
     return named.select("name", "entity_type", F.lower("address").alias("address"), "chain", "confidence", F.lit("directory").alias("source"))
+
+
+def intelligence(answers: DataFrame, source: str = "intelligence") -> DataFrame:
+    """A provider's answers ``(address, chain, body)`` as a dimension of
+    addresses: entity_name (the category, or else the name), entity_category,
+    risk_score (0 to 100), is_sanctioned, confidence, tags, source, failed.
+    A body that is no JSON object is a failed lookup, without any of these."""
+    body = metadata.parsed(F.col("body"))
+    said = lambda name, kind="string": F.try_variant_get(body, f"$.{name}", kind)
+    return answers.select(
+        F.lower("address").alias("address"), "chain", F.coalesce(said("category"), said("name")).alias("entity_name"), said("category").alias("entity_category"), said("riskScore", "double").alias("risk_score"),
+        F.coalesce(said("category") == "sanctions", F.lit(False)).alias("is_sanctioned"), said("confidence").alias("confidence"), F.coalesce(said("tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
+        F.lit(source).alias("source"), (~metadata.is_object(F.col("body"))).alias("failed"),
+    )

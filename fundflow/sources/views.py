@@ -135,3 +135,33 @@ def wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("o_totalprice")).cast("long") % 101).cast("double").alias("risk_score"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
+
+
+def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published directory of services: (name, entity_type, addresses by chain id, confidence)."""
+    s = table(spark, sf_dir, "supplier")
+    shown = F.concat(F.lit("0x"), F.upper(F.lpad(F.lower(F.hex("s_suppkey")), 40, "0")))
+    both = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit(1).cast("long"), F.array(shown), F.lit(137).cast("long"), F.array(shown))).otherwise(F.create_map(F.lit(1).cast("long"), F.array(shown)))
+    return s.select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 10 == 3, "mixer").otherwise("exchange").alias("entity_type"), both.alias("addresses"), F.lit("CONFIRMED").alias("confidence"))
+
+
+def intelligence_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider of entity intelligence said: address, chain, body (JSON;
+    some bodies are an error page)."""
+    s = table(spark, sf_dir, "supplier")
+    category = F.element_at(F.array(*[F.lit(x) for x in ("exchange", "mixer", "sanctions", "gambling")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    said = F.to_json(F.struct(F.when(F.col("s_suppkey") % 5 != 4, category).alias("category"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 101).alias("riskScore"), F.array(F.lit("seen")).alias("tags")))
+    return s.select(hex_id(F.col("s_suppkey"), 40).alias("address"), F.lit("Ethereum").alias("chain"), F.when(F.col("s_suppkey") % 7 == 6, "<html>502</html>").otherwise(said).alias("body"))
+
+
+def event_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose metadata is cut off, no object or missing here and there."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 11
+    return e.select("event_id", F.when(k == 3, F.substring("props", 1, 4)).when(k == 5, "[1]").when(k != 7, F.col("props")).alias("metadata"))
+
+
+def investigation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of cases: run_id, case_id, status, started_at, result_summary (JSON)."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("case_id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.to_json(F.struct(F.col("o_orderkey").alias("orders"))).alias("result_summary"))

@@ -7,9 +7,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from fundflow.functions import codecs
-from fundflow.operators import assistant, evidence, flow, forensics, motifs
+from fundflow.functions import codecs, metadata
+from fundflow.operators import assistant, evidence, flow, forensics, motifs, store
 from fundflow.plans import shared
+from fundflow.sources import chains
 from helpers import legs
 
 A, B, C = (f"0x{n:040x}" for n in (1, 2, 3))
@@ -83,7 +84,6 @@ def test_canonical_values():
     assert codecs.canonical_json(value) == '{"a":"1.10","b":"2024-01-01T12:00:00Z","c":"0x01ff","d":["x","y"],"e":"2024-01-02","f":"2024-01-01T12:00:00Z","é":null}'
     good = codecs.checksum_address("0x" + "ab" * 20)
     assert codecs.is_evm(good) and codecs.is_evm(good.lower()) and not codecs.is_evm(good.swapcase().replace("0X", "0x")) and not codecs.is_evm("0x12") and not codecs.is_evm(None)
-    assert codecs.loaded('{"a": 1}') == {"a": 1} and codecs.loaded("[1]") == codecs.loaded("no") == codecs.loaded(None) == {}
 
 
 def test_bounds_of_shapes_can_be_lifted(spark):
@@ -103,3 +103,32 @@ def test_no_table_in_a_local_folder_of_a_cluster():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(session, "x")
+
+
+def test_metadata_of_any_kind(spark):
+    texts = ['{"k": 3, "s": "x"}', '{"k": "no"}', '{"k": 3', "[1]", "", None, '"{}"', '{"s": {"k": 1}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string")
+    got = {r.i: (r.k, r.s) for r in metadata.with_fields(rows, "m", k="long", s="string").collect()}
+    assert got[0] == (3, "x") and all(got[i] == (None, None) for i in range(1, 7)) and got[7][0] is None
+    assert {r.i for r in rows.where(metadata.is_object(F.col("m"))).collect()} == {0, 1, 7}
+
+
+def test_intelligence(spark):
+    bodies = [(A.upper().replace("0X", "0x"), '{"category": "sanctions", "riskScore": 99, "tags": ["t"]}'), (A, '{"name": "n", "riskScore": 5}'), (B, "<html>"), (C, '{"name": "Shop", "riskScore": "high"}')]
+    known = chains.intelligence(spark.createDataFrame([(a, "Ethereum", b) for a, b in bodies], "address string, chain string, body string"))
+    rows = {r.entity_name: r for r in known.collect()}
+    assert rows["sanctions"].tags == ["t"] and rows["sanctions"].is_sanctioned and rows["Shop"].risk_score is None and rows[None].failed and rows["n"].tags == []
+    own = spark.createDataFrame([(1, A), (2, B), (3, "0x9")], "wallet_id int, address string").withColumn("risk_score", F.lit(1.0))
+    got = {r.wallet_id: (r.risk_score, r.is_sanctioned, r.failed) for r in store.with_intelligence(own, known).collect()}
+    assert got == {1: (99.0, True, False), 2: (None, False, True), 3: (None, False, None)}
+
+
+def test_report_sections(spark, tables):
+    cases = tables.cases.withColumns({"title": F.lit("T"), "crime_type": F.lit("fraud")}).unionByName(spark.createDataFrame([(2, "TRX-2", "open", "U", "theft")], "case_id long, case_number string, status string, title string, crime_type string"))
+    runs = spark.createDataFrame([(1, 1, "failed", 1, "{}"), (2, 1, "completed", 2, None)], "run_id int, case_id long, status string, started_at int, result_summary string")
+    rows = sorted(map(tuple, store.report_sections(cases, tables.wallets, runs).collect()))
+    assert rows == [
+        (1, 1, "Case Overview", 1, "Case TRX-20240101-0001: T"), (1, 1, "Case Overview", 2, "Crime type: fraud"), (1, 1, "Case Overview", 3, "Status: open"),
+        (1, 2, "Tracked Wallets", 1, f"- {A} (ethereum) - risk score 80.00, attribution: pending"), (1, 3, "Investigation Findings", 1, "Investigation status: completed"), (1, 3, "Investigation Findings", 2, "{}"),
+        (2, 1, "Case Overview", 1, "Case TRX-2: U"), (2, 1, "Case Overview", 2, "Crime type: theft"), (2, 1, "Case Overview", 3, "Status: open"), (2, 2, "Tracked Wallets", 1, "No wallets tracked in this case."),
+    ]
