@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from fundflow.functions.columns import cents, clamp, seconds
 from fundflow.plans.components import components
+from fundflow.plans.shared import stored
 
 COSPEND, GAS_FUNDING = "cospend", "gas_funding"
 
 
 def cospend_links(transfers: DataFrame) -> DataFrame:
     """(a, b): the least sender of a transaction of several and each other."""
-    senders = transfers.groupBy("tx_hash").agg(F.min("from_address").alias("a"), F.max("from_address").alias("last")).where("a <> last")
-    return transfers.join(senders, "tx_hash").where("from_address <> a").select("a", F.col("from_address").alias("b")).distinct()
+    senders = transfers.select("tx_hash", "from_address").withColumn("a", F.min("from_address").over(Window.partitionBy("tx_hash")))
+    return senders.where("from_address <> a").select("a", F.col("from_address").alias("b")).distinct()
 
 
 def first_receipts(transfers: DataFrame) -> DataFrame:
@@ -37,24 +38,44 @@ def gas_funding_links(transfers: DataFrame, window_seconds: int = 3600, min_chil
     return peak.where(F.col("peak") >= min_children).select(F.col("from_address").alias("a"), F.col("to_address").alias("b")).distinct()
 
 
-def build_clusters(transfers: DataFrame, cospend: bool = True, gas_funding: bool = True, window_seconds: int = 3600, min_children: int = 3, max_funding_usd: float = 50.0, min_cluster_size: int = 2) -> DataFrame:
-    """cluster_id, root (least member), members, member_count, heuristics,
-    total_value_usd (each transfer once per cluster that it touches)."""
+def cluster_links(transfers: DataFrame, cospend: bool = True, gas_funding: bool = True, window_seconds: int = 3600, min_children: int = 3, max_funding_usd: float = 50.0) -> DataFrame:
+    """(a, b, heuristic): the links of the heuristics that are asked for."""
     parts = []
     if cospend:
         parts.append(cospend_links(transfers).withColumn("heuristic", F.lit(COSPEND)))
     if gas_funding:
         parts.append(gas_funding_links(transfers, window_seconds, min_children, max_funding_usd).withColumn("heuristic", F.lit(GAS_FUNDING)))
-    links = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    roots = components(links.select("a", "b"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _grouped(transfers: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """Links, stored, and (node, root) of every linked address."""
+    links = stored(cluster_links(transfers, **how), "cluster-links")
+    return links, components(links.select("a", "b"))
+
+
+def cluster_members(transfers: DataFrame, min_cluster_size: int = 2, **how) -> DataFrame:
+    """(root, member), a row for each member of a cluster of that size; ``how``
+    as in :func:`cluster_links`."""
+    _, roots = _grouped(transfers, **how)
+    large = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size).select("root")
+    return roots.join(large, "root").select("root", F.col("node").alias("member"))
+
+
+def build_clusters(transfers: DataFrame, min_cluster_size: int = 2, arrays: bool = True, **how) -> DataFrame:
+    """cluster_id, root (least member), members (only with ``arrays``; the rows
+    of :func:`cluster_members` have no bound on a cluster's size), member_count,
+    heuristics, total_value_usd (each transfer once per cluster that it touches)."""
+    links, roots = _grouped(transfers, **how)
     used = links.join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.sort_array(F.collect_set("heuristic")).alias("heuristics"))
-    members = roots.groupBy("root").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count("*").alias("member_count"))
+    members = roots.groupBy("root").agg(*[F.sort_array(F.collect_list("node")).alias("members")] * arrays, F.count("*").alias("member_count")).where(F.col("member_count") >= min_cluster_size)
     ends = [roots.select(F.col("node").alias(f"{s}_address"), F.col("root").alias(f"{s}_root")) for s in ("from", "to")]
-    touched = transfers.join(ends[0], "from_address", "left").join(ends[1], "to_address", "left")
-    touched = touched.select("value_usd", F.explode(F.array_distinct(F.array_compact(F.array("from_root", "to_root")))).alias("root"))
-    totals = touched.groupBy("root").agg(F.sum(cents(F.col("value_usd"))).cast("double").alias("total_value_usd"))
-    out = members.join(used, "root").join(totals, "root", "left").where(F.col("member_count") >= min_cluster_size)
-    return out.select(F.concat(F.lit("cluster:"), "root").alias("cluster_id"), "root", "members", "member_count", "heuristics", F.coalesce("total_value_usd", F.lit(0.0)).alias("total_value_usd"))
+    touched = transfers.select("from_address", "to_address", "value_usd").join(ends[0], "from_address", "left").join(ends[1], "to_address", "left")
+    # of both ends first, so that a cluster's transfers are added up before roots are told apart
+    pairs = touched.groupBy("from_root", "to_root").agg(F.sum(cents(F.col("value_usd"))).alias("v"))
+    totals = pairs.select("v", F.explode(F.array_distinct(F.array_compact(F.array("from_root", "to_root")))).alias("root")).groupBy("root").agg(F.sum("v").cast("double").alias("total_value_usd"))
+    out = members.join(used, "root").join(totals, "root", "left")
+    return out.select(F.concat(F.lit("cluster:"), "root").alias("cluster_id"), "root", *["members"] * arrays, "member_count", "heuristics", F.coalesce("total_value_usd", F.lit(0.0)).alias("total_value_usd"))
 
 
 def role_features(transfers: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def summary(transfers: DataFrame, case_wallets: DataFrame, top: int = 5) -> Data
     """One row: volume and addresses, clusters and the largest, motifs by kind
     and the most valuable, and what the riskiest wallets tainted."""
     base = wallets.forensic_summary(transfers)
-    groups = clusters.build_clusters(transfers).agg(F.count("*").alias("cluster_count"), F.coalesce(F.max("member_count"), F.lit(0)).alias("largest_cluster"))
+    groups = clusters.build_clusters(transfers, arrays=False).agg(F.count("*").alias("cluster_count"), F.coalesce(F.max("member_count"), F.lit(0)).alias("largest_cluster"))
     found = stored(motifs.detect_motifs(transfers), "motifs")
     counts = found.groupBy("motif").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("motif", "n")))).alias("motif_counts"))
     best = found.orderBy(F.desc("value_usd"), "motif", "addresses").limit(top).select("motif", F.round("value_usd", 2).alias("value_usd"), F.slice("addresses", 1, 6).alias("addresses"), F.round("confidence", 4).alias("confidence"))

@@ -180,6 +180,8 @@ query("clusters", f"""WITH RECURSIVE {COSPEND}, moved AS MATERIALIZED (SELECT *
 l AS MATERIALIZED (SELECT DISTINCT m.a, c.from_address AS b, 'cospend' AS heuristic FROM moved c JOIN m USING (tx_hash) WHERE c.from_address <> m.a), {_COMPONENTS}, {_CLUSTERS}""")(
     lambda s, d: _flat(clusters.build_clusters(views.cospend_transfers(s, d), gas_funding=False))
 )
+query("cluster_members", f"""WITH RECURSIVE {COSPEND}, m AS (SELECT tx_hash, min(from_address) AS a FROM cospend GROUP BY 1), l AS MATERIALIZED (SELECT DISTINCT m.a, c.from_address AS b FROM cospend c JOIN m USING (tx_hash) WHERE c.from_address <> m.a), {_COMPONENTS}
+SELECT root, node AS member FROM k""")(lambda s, d: clusters.cluster_members(views.cospend_transfers(s, d), gas_funding=False))
 query("clusters_by_gas_funding", f"""WITH RECURSIVE {TRANSFERS}, moved AS MATERIALIZED (SELECT * FROM transfers), f AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY to_address ORDER BY timestamp, tx_hash) = 1), o AS (SELECT from_address AS x, min(timestamp) AS t FROM moved GROUP BY 1),
 g AS (SELECT f.from_address AS a, f.to_address AS b, f.timestamp AS t FROM f LEFT JOIN o ON o.x = f.to_address WHERE f.value_usd <= 500 AND f.from_address <> f.to_address AND (o.t IS NULL OR o.t >= f.timestamp)),
 c AS (SELECT *, count(*) OVER (PARTITION BY a ORDER BY t RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM g), p AS (SELECT *, max(n) OVER (PARTITION BY a ORDER BY t RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOURS FOLLOWING) AS m FROM c),

@@ -72,14 +72,15 @@ def chain_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cospend_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions of several senders: an order's parts pay its suppliers."""
     rows = table(spark, sf_dir, "lineitem")
-    return normalized(
-        rows.select(
-            hex_id(F.col("l_orderkey"), 64).alias("tx_hash"),
-            hex_id(F.col("l_partkey"), 40).alias("from_address"),
-            hex_id(F.col("l_suppkey") + 1_000_000, 40).alias("to_address"),
-            F.col("l_extendedprice").alias("value_usd"),
-            F.col("l_shipdate").alias("timestamp"),
-        )
+    return rows.select(
+        hex_id(F.col("l_orderkey"), 64).alias("tx_hash"),
+        hex_id(F.col("l_partkey"), 40).alias("from_address"),
+        hex_id(F.col("l_suppkey") + 1_000_000, 40).alias("to_address"),
+        F.col("l_extendedprice").cast("double").alias("value_usd"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.lit("ethereum").alias("chain"),
+        F.lit("ETH").alias("asset"),
+        F.lit(None).cast("long").alias("block_number"),
     )
 
 

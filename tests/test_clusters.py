@@ -23,6 +23,15 @@ def test_cospend(spark):
     assert [(r.members, r.total_value_usd) for r in got] == [(["x", "y"], 150.0)]
 
 
+def test_members_are_rows(spark):
+    rows = [("x", "t", 100, 0, "one"), ("y", "t", 50, 0, "one"), ("y", "t", 1, 0, "two"), ("z", "x", 1, 0, "two"), ("q", "t", 9, 0, "three")]
+    t = legs(spark, rows)
+    assert {(r.root, r.member) for r in clusters.cluster_members(t, gas_funding=False).collect()} == {("x", "x"), ("x", "y"), ("x", "z")}
+    assert clusters.cluster_members(t, min_cluster_size=4, gas_funding=False).count() == 0
+    [one] = clusters.build_clusters(t, arrays=False, gas_funding=False).collect()
+    assert one.member_count == 3 and one.total_value_usd == 152.0 and "members" not in one.asDict()
+
+
 def test_roles(spark):
     rows = [(f"s{i}", "dep", 100, i) for i in range(3)] + [("dep", "hot", 290, 10)]
     rows += [("boss", f"d{i}", 10, 20 + i) for i in range(6)] + [("v", "mule", 1000, 30), ("mule", "out", 950, 90), ("v", "hold", 100, 40)]
