@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from datetime import datetime
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.functions.codecs import canonical_json_udf
-from fundflow.plans.shared import stored
+from fundflow.plans.shared import discard, stored
 from fundflow.shipping import ship
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -37,15 +38,19 @@ def merkle_root(hashes: DataFrame) -> DataFrame:
     neighbours, an odd last leaf pairs with itself. Ranks are dealt by ranges of
     position, so no round sorts everything in one task.
     """
-    level = stored(_ranked(hashes), "merkle")
+    level = last = stored(_ranked(hashes), "merkle")
     n = level.count()
     if not n:
         return hashes.sparkSession.createDataFrame([(EMPTY,)], "merkle_root string")
-    while n > 1:
+    for round_ in count(1):
+        if n <= 1:
+            break
         pair = level.groupBy(F.expr("rank div 2").alias("rank")).agg(F.min_by("h", "rank").alias("a"), F.max_by("h", "rank").alias("b"))
         level, n = pair.select("rank", F.sha2(F.concat("a", "b"), 256).alias("h")), (n + 1) // 2
-        if n % 4 == 0:
+        if round_ % 4 == 0:  # or the plan grows with the rounds
             level = stored(level, "merkle")
+            discard(last)
+            last = level
     return level.select(F.col("h").alias("merkle_root"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundflow.functions.columns import total
-from fundflow.operators import clusters, motifs, taint, wallets
+from fundflow.operators import attribution, clusters, flow, graph, motifs, taint, wallets
+from fundflow.operators.assistant import Tables
 from fundflow.plans.shared import stored
 
 # Least and greatest value of each parameter of a request.
@@ -36,6 +39,40 @@ def checked(request: str, **values: float) -> dict[str, float]:
     return values
 
 
+def _taint(t: Tables, model: str = taint.HAIRCUT, top_n: int = 20, **values) -> DataFrame:
+    return taint.summary(taint.propagate(t.transfers, taint.default_sources(t.transfers, t.wallets), model, **values), top_n)
+
+
+def _paths(t: Tables, start: str, **values) -> DataFrame:
+    starts = t.transfers.sparkSession.createDataFrame([(start,)], "start string")
+    return graph.paths_to_entities(t.transfers, starts, t.entities, **values)
+
+
+def _attributions(t: Tables, start: str, **values) -> DataFrame:
+    starts = t.transfers.sparkSession.createDataFrame([(start,)], "start string")
+    return attribution.attributions(t.transfers, starts, t.entities, **values)
+
+
+def _motifs(t: Tables, max_cycle_length: int = 6, **values) -> DataFrame:
+    return motifs.detect_motifs(t.transfers, max_length=max_cycle_length, **values)
+
+
+REQUESTS: dict[str, Callable[..., DataFrame]] = {
+    "taint": _taint, "motifs": _motifs, "paths": _paths, "attributions": _attributions,
+    "clusters": lambda t, **values: clusters.build_clusters(t.transfers, arrays=False, **values),
+    "flow": lambda t, source, target, **values: flow.weighted_path(t.transfers, source, target, **values),
+    "listing": lambda t, **values: wallets.listed(t.wallets, **values),
+    "transactions": lambda t, address, **values: wallets.wallet_transactions(t.transactions, address, **values),
+}
+
+
+def requested(request: str, t: Tables, **values) -> DataFrame:
+    """What a request asks for: numbers have to be within :data:`BOUNDS`, texts
+    (a start, a model) go to the operator as they are."""
+    numbers = {k: v for k, v in values.items() if not isinstance(v, str)}
+    return REQUESTS[request](t, **values | checked(request, **numbers))
+
+
 def summary(transfers: DataFrame, case_wallets: DataFrame, top: int = 5) -> DataFrame:
     """One row: volume and addresses, clusters and the largest, motifs by kind
     and the most valuable, and what the riskiest wallets tainted."""

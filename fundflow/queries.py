@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from fundflow.functions import codecs, metadata
 from fundflow.functions.columns import total
 from fundflow.operators import assistant, attribution, clusters, correlation, evidence, flow, forensics, graph, motifs, risk, router, store, taint, wallets
+from fundflow.plans.shared import shared_dir
 from fundflow.shipping import ship
-from fundflow.sources import chains, views
+from fundflow.sources import chains, pages, views
 from fundflow.streaming import alerts
 from fundflow.streaming import taint as live_taint
 
@@ -458,6 +459,9 @@ _RISKIEST = f"""{WALLETS}, worst AS (SELECT address, max(risk_score) AS risk FRO
 seeds AS (SELECT address, coalesce((SELECT sum(value_usd) FROM transfers WHERE from_address = address), (SELECT sum(value_usd) FROM transfers WHERE to_address = address)) AS amount FROM worst)"""
 query("taint_summary", _taint_sql(taint.HAIRCUT, _RISKIEST, """SELECT address, round(tainted / received, 6) AS taint_ratio, round(tainted / received * 100, 2) AS taint_percent, round(tainted, 2) AS tainted_value_usd, round(received, 2) AS received_value_usd, hops::INT AS hops, 'haircut' AS model
 FROM result ORDER BY tainted DESC, address LIMIT 20"""))(lambda s, d: taint.summary(taint.propagate(_t(s, d), taint.default_sources(_t(s, d), views.wallets(s, d)))))
+query("requested_taint", _taint_sql(taint.HAIRCUT, _RISKIEST, "SELECT address, round(tainted, 2) AS tainted_value_usd, hops::INT AS hops FROM result ORDER BY tainted DESC, address LIMIT 7", max_hops=2))(
+    lambda s, d: forensics.requested("taint", _tables(s, d), max_hops=2, top_n=7).select("address", "tainted_value_usd", "hops")
+)
 query("default_taint_sources", f"""WITH {TRANSFERS}, {WALLETS}, w AS (SELECT address, max(risk_score) AS r FROM wallets GROUP BY 1 ORDER BY r DESC, address LIMIT 3)
 SELECT address, round(coalesce((SELECT sum(value_usd) FROM transfers WHERE from_address = address), (SELECT sum(value_usd) FROM transfers WHERE to_address = address)), 2) AS amount_usd FROM w""")(lambda s, d: taint.default_sources(_t(s, d), views.wallets(s, d)).select("address", _r("amount_usd", 2)))
 
@@ -583,6 +587,15 @@ query("held_tokens", "SELECT event_id FROM events WHERE event_id % 5 <> 0")(
 )
 query("block_filter", f"WITH {TRANSFERS} SELECT tx_hash FROM transfers WHERE block_number = 0 OR block_number BETWEEN 100 AND 500")(lambda s, d: chains.in_blocks(_t(s, d), 100, 500).select("tx_hash"))
 query("address_checks", None)(lambda s, d: _addresses(s, d))
+@query("account_walk", f"WITH {TRANSFERS}, r AS (SELECT from_address AS account, tx_hash, value_usd, row_number() OVER (PARTITION BY from_address ORDER BY block_number DESC, tx_hash) - 1 AS n FROM transfers) SELECT account, CAST(n // 25 AS INTEGER) + 1 AS page, CAST(n % 25 AS INTEGER) AS place, tx_hash, value_usd FROM r")
+def _account_walk(s: SparkSession, d: str) -> DataFrame:
+    """Every account's transfers laid down as pages of 25, and walked by cursor."""
+    folder = shared_dir(ship(s), "account-pages")
+    pages.lay_down(_t(s, d).select("tx_hash", "from_address", "value_usd", "block_number"), folder, "from_address", [F.desc("block_number"), F.col("tx_hash")], 25).count()
+    entry = lambda name: F.get_json_object("entry", f"$.{name}")
+    return pages.register(s).read.format("account_pages").option("path", folder).load().select("account", "page", "place", entry("tx_hash").alias("tx_hash"), entry("value_usd").cast("double").alias("value_usd"))
+
+
 query("entity_directory", "SELECT s_name AS name, lower('0x' || upper(lpad(lower(to_hex(s_suppkey)), 40, '0'))) AS address, CASE WHEN i = 1 THEN 'Ethereum' ELSE 'Polygon' END AS chain, CASE WHEN s_suppkey % 10 = 3 THEN 'mixer' ELSE 'exchange' END AS entity_type FROM supplier, (VALUES (1), (137)) t(i) WHERE i = 1 OR s_suppkey % 2 = 0")(
     lambda s, d: chains.directory_rows(views.directory(s, d)).select("name", "address", "chain", "entity_type")
 )

@@ -78,6 +78,16 @@ def test_bounds():
             forensics.checked(request, **values)
 
 
+def test_requests_are_checked(tables):
+    assert forensics.requested("flow", tables, source=A, target=C, max_hops=3).first().hops == 2
+    assert forensics.requested("attributions", tables, start=A, max_hops=2).first().name == "Some Exchange"
+    assert forensics.requested("transactions", tables, address=B, page=1, page_size=2).count() == 2
+    assert forensics.requested("clusters", tables, window_seconds=60).count() == 0 and forensics.requested("motifs", tables, max_cycle_length=3).count() == 0
+    for request, values in (("attributions", {"start": A, "max_hops": 11}), ("listing", {"page_size": 101}), ("paths", {"start": A, "hops": 1})):
+        with pytest.raises(ValueError):
+            forensics.requested(request, tables, **values)
+
+
 def test_canonical_values():
     at = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
     value = {"b": at, "a": Decimal("1.10"), "c": b"\x01\xff", "d": {"y", "x"}, "e": date(2024, 1, 2), "f": at.replace(tzinfo=None), "é": None}
