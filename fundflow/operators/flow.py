@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.functions.columns import positive, total, value_weight
+from fundflow.plans.max_flow import decomposed, least_cut, preflow
 from fundflow.plans.paths import between
+from fundflow.plans.shared import stored
 from fundflow.shipping import ship
 
 #: Paths into which a flow is decomposed by default (the report's length).
 MOST_PATHS = 5
 EPSILON = 1e-9
+#: Edges between source and sink that one task is given (some 200 bytes each).
+TASK_EDGES = 500_000
 
 
 def movements(transfers: DataFrame) -> DataFrame:
@@ -161,11 +165,19 @@ def max_flow(transfers: DataFrame, source: str, sink: str, most_paths: int | Non
     (None: all), widest first. Zero and empty arrays if nothing gets through.
 
     Only edges that the source reaches and that lead to the sink, over any
-    number of hops, are handed to one task; the rest can't carry flow between
-    them.
+    number of hops, can carry flow between them. Up to :data:`TASK_EDGES` of
+    those are handed to one task; more are pushed through in rounds over the
+    edge table (:mod:`fundflow.plans.max_flow`). Where several cuts are least,
+    one task gives the one nearest to the source, rounds that nearest to the sink.
     """
     kind = "max_flow_usd double, bottleneck_usd double, cut array<struct<from_address: string, to_address: string, capacity_usd: double>>, paths array<struct<path: array<string>, value_usd: double>>"
-    edges = between(flow_edges(transfers, hashes=False).select("from_address", "to_address", "capacity_usd"), source, sink)
+    edges = stored(between(flow_edges(transfers, hashes=False).select("from_address", "to_address", "capacity_usd"), source, sink), "flow-edges")
+    if source != sink and edges.count() > TASK_EDGES:
+        residual, value = preflow(edges, source, sink)
+        paths = decomposed(edges, residual, source, sink, most_paths)
+        cut = least_cut(edges, residual, sink).agg(F.coalesce(F.min("capacity_usd"), F.lit(0.0)).alias("bottleneck_usd"), F.sort_array(F.collect_list(F.struct("from_address", "to_address", "capacity_usd"))).alias("cut"))
+        ways = edges.sparkSession.createDataFrame([([{"path": p, "value_usd": w} for p, w in paths],)], "paths array<struct<path: array<string>, value_usd: double>>")
+        return cut.join(F.broadcast(ways)).select(F.lit(value).alias("max_flow_usd"), "bottleneck_usd", "cut", "paths")
 
     def solve(pdf):
         import pandas as pd

@@ -43,3 +43,26 @@ def test_flow_is_what_the_cut_holds():
         assert abs(value - sum(c for (a, b), c in cap.items() if a in near and b not in near)) < 1e-6
         for n in {f"n{i}" for i in range(1, 6)}:
             assert abs(sum(f for (a, _), f in used.items() if a == n) - sum(f for (_, b), f in used.items() if b == n)) < 1e-6
+
+
+def test_rounds_give_the_flow_of_one_task(spark, monkeypatch):
+    """Random graphs beyond the bound of a task: same value, a cut of that
+    capacity that no path gets around, paths that carry it."""
+    rng = random.Random(4)
+    for size, share in ((6, 0.5), (9, 0.3)):
+        cap = {(f"n{a}", f"n{b}"): float(rng.randrange(1, 30)) for a in range(size) for b in range(size) if a != b and rng.random() < share}
+        rows = [(a, b, c, i) for i, ((a, b), c) in enumerate(cap.items())]
+        t, sink = legs(spark, rows), f"n{size - 1}"
+        want = flow._max_flow(cap, "n0", sink)[0]
+        monkeypatch.setattr(flow, "TASK_EDGES", 2)
+        got = flow.max_flow(t, "n0", sink, None).first()
+        assert abs(got.max_flow_usd - want) < 1e-6 and abs(sum(c.capacity_usd for c in got.cut) - want) < 1e-6 and got.bottleneck_usd == min((c.capacity_usd for c in got.cut), default=0)
+        without = {e: c for e, c in cap.items() if e not in {(c.from_address, c.to_address) for c in got.cut}}
+        assert flow._max_flow(without | {("n0", "n0x"): 1.0}, "n0", sink)[0] == 0
+        used = {}
+        for p in got.paths:
+            assert p.path[0] == "n0" and p.path[-1] == sink
+            for e in zip(p.path, p.path[1:]):
+                used[e] = used.get(e, 0.0) + p.value_usd
+        assert all(v <= cap[e] + 1e-6 for e, v in used.items()) and [p.value_usd for p in got.paths] == sorted((p.value_usd for p in got.paths), reverse=True)
+        assert 0 < sum(p.value_usd for p in got.paths) <= want + 1e-6
