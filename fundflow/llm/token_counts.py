@@ -3,10 +3,11 @@
 Map-side lookup in two tiers. The first is a compact hash table of the token
 counts of frequent pre-tokens, broadcast to all workers (at most
 ``frequent.ALL_WORDS`` entries of 10 bytes). What it lacks is looked up in a
-table that each worker fills as it encodes unseen pre-tokens. No pre-token of a
-text is shuffled: the broadcast table is chosen from one summary of bounded
-size per task (see frequent), and it decides speed, not counts. Pre-tokens are
-told apart by 64-bit hashes (see words.WordTable).
+table that each worker fills as it encodes unseen pre-tokens. The broadcast table
+is chosen from one summary of bounded size per task (see frequent); these
+summaries, at most ``frequent.TASK_WORDS`` words each, are the only pre-tokens
+that are shuffled, and they decide speed, not counts. Pre-tokens are told apart
+by 64-bit hashes (see words.WordTable).
 
 Defined results: a null text has the tokens of an empty one (none); rows that
 repeat are counted each; a text of any length is counted as a whole; an empty
