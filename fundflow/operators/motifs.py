@@ -15,6 +15,8 @@ from fundflow.plans.shared import stored
 # of parameters; None takes a bound off. Scores' weights below are fixed values too.
 TX_PER_EDGE, CHAIN_DEPTH, CYCLE_STARTS = 8, 64, 8
 CEILING = 0.95
+#: Times by which fewer paths have to meet for ends to be looked for first.
+PREFIX_GAIN = 4
 MOTIFS = ("fan_out_fan_in", "peel_chain", "cycle")
 
 
@@ -28,18 +30,40 @@ def _mean(c: str) -> Column:
 
 
 def fan_pairs(transfers: DataFrame, min_mules: int = 3) -> DataFrame:
-    """(source, sink, n_mules): ends of enough two-hop paths. Both hops are
-    joined on the mule after edges of ends of too low a degree are gone."""
-    return _fan_paths(transfers, min_mules).groupBy("source", "sink").agg(F.count("*").alias("n_mules")).where(F.col("n_mules") >= min_mules)
-
-
-def _fan_paths(transfers: DataFrame, min_mules: int) -> DataFrame:
+    """(source, sink, n_mules): ends of enough two-hop paths.
+
+    A mule with d edges in and e out makes d x e paths, which hubs make too
+    many. Two ends that share ``min_mules`` mules share one that isn't among the
+    last ``min_mules - 1`` of either, in whatever order all mules stand. With
+    the mules of most paths last, ends meet on the others alone; the ones that
+    do are then counted over all of their mules. Where that saves less than
+    :data:`PREFIX_GAIN` times, as in graphs without hubs, all paths are counted.
+    """
     edges = movements(transfers).select("from_address", "to_address").distinct()
     sources = edges.groupBy("from_address").count().where(F.col("count") >= min_mules).select("from_address")
     sinks = edges.groupBy("to_address").count().where(F.col("count") >= min_mules).select("to_address")
     a = edges.join(sources, "from_address").select(F.col("from_address").alias("source"), F.col("to_address").alias("mule"))
-    b = edges.join(sinks, "to_address").select(F.col("from_address").alias("mule"), F.col("to_address").alias("sink"))
-    return a.join(b, "mule").where("source <> sink")
+    b = edges.join(sinks, "to_address").select(F.col("to_address").alias("sink"), F.col("from_address").alias("mule"))
+    load = a.groupBy("mule").agg(F.count("*").alias("d")).join(b.groupBy("mule").agg(F.count("*").alias("e")), "mule").select("mule", (F.col("d") * F.col("e")).alias("load"))
+    load = stored(load, "mule-loads")
+    a, b = (stored(_rarest_first(side.join(load, "mule"), end, min_mules), "fan-sides") for side, end in ((a, "source"), (b, "sink")))
+    met = a.where("early").groupBy("mule").agg(F.count("*").alias("d")).join(b.where("early").groupBy("mule").agg(F.count("*").alias("e")), "mule").agg(F.sum(F.col("d") * F.col("e"))).first()[0]
+    every = load.agg(F.sum("load")).first()[0]
+    a_all, b_all = a.select("source", "mule"), b.select("sink", "mule")
+    if (met or 0) * PREFIX_GAIN > (every or 0):
+        paths = a_all.join(b_all, "mule").where("source <> sink")
+    else:
+        ends = a.where("early").select("source", "mule").join(b.where("early").select("sink", "mule"), "mule").where("source <> sink").select("source", "sink").distinct()
+        paths = ends.join(a_all, "source").join(b_all, ["sink", "mule"])
+    return paths.groupBy("source", "sink").agg(F.count("*").alias("n_mules")).where(F.col("n_mules") >= min_mules)
+
+
+def _rarest_first(side: DataFrame, end: str, least: int) -> DataFrame:
+    """``side(end, mule, load)`` with ``early``: whether a mule isn't among the
+    last ``least - 1`` of its end; ends of too few mules go."""
+    of, order = Window.partitionBy(end), Window.partitionBy(end).orderBy(F.desc("load"), F.desc("mule"))
+    ranked = side.withColumn("n", F.count("*").over(of)).where(F.col("n") >= least).withColumn("k", F.row_number().over(order))
+    return ranked.select(end, "mule", (F.col("k") >= least).alias("early"))
 
 
 def timed_hops(transfers: DataFrame, window_seconds: int, value_tolerance: float, tx_per_edge: int | None) -> DataFrame:

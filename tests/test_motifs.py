@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from fundflow.operators import motifs
@@ -42,3 +44,37 @@ def test_routing(spark):
     assert [r.motif for r in got.collect()] == ["fan_out_fan_in"]
     with pytest.raises(TypeError):
         motifs.detect_motifs(legs(spark, FAN), bogus=1)
+
+
+@pytest.mark.parametrize("gain", [0.01, 1e9])
+def test_fan_pairs_either_way(spark, monkeypatch, gain):
+    """Random graphs with hubs: ends that meet on rare mules are all there are."""
+    rng = random.Random(5)
+    monkeypatch.setattr(motifs, "PREFIX_GAIN", gain)
+    name = lambda: rng.choice(["hub1", "hub2", *[f"n{i}" for i in range(14)]])
+    edges = {(name(), name()) for _ in range(130)}
+    t = legs(spark, [(a, b, 5, i) for i, (a, b) in enumerate(sorted(edges)) if a != b])
+    for least in (1, 2, 3):
+        out, want = {}, {}
+        for a, b in edges:
+            if a != b:
+                out.setdefault(a, set()).add(b)
+        for s in out:
+            for m in out[s]:
+                for d in out.get(m, ()):
+                    if d != s:
+                        want[s, d] = want.get((s, d), 0) + 1
+        got = {(r.source, r.sink): r.n_mules for r in motifs.fan_pairs(t, least).collect()}
+        assert got == {k: n for k, n in want.items() if n >= least}
+
+
+def test_a_hub_makes_no_pairs_of_its_own(spark, monkeypatch):
+    """1,500 sources and sinks around one mule: 2,250,000 paths, of which none is made."""
+    n, made = 1500, []
+    rows = [(f"s{i}", "hub", 1, i) for i in range(n)] + [("hub", f"t{i}", 1, i) for i in range(n)]
+    rows += [(f"s{i}", f"a{i}", 1, i) for i in range(n)] + [(f"b{i}", f"t{i}", 1, i) for i in range(n)]
+    rows += [(f"s{i}", "m", 1, i) for i in range(3)] + [("m", f"t{i}", 1, i) for i in range(2)]
+    stored = motifs.stored
+    monkeypatch.setattr(motifs, "stored", lambda df, name: made.append(stored(df, name)) or made[-1])
+    got = {(r.source, r.sink, r.n_mules) for r in motifs.fan_pairs(legs(spark, rows), 2).collect()}
+    assert got == {(f"s{i}", f"t{j}", 2) for i in range(3) for j in range(2)} and sum(df.count() for df in made) < 4 * len(rows)
