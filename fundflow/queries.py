@@ -14,7 +14,7 @@ from fundflow.operators import assistant, attribution, clusters, correlation, ev
 from fundflow.plans.shared import shared_dir
 from fundflow.shipping import ship
 from fundflow.sources import chains, pages, views
-from fundflow.streaming import alerts
+from fundflow.streaming import alerts, merges
 from fundflow.streaming import taint as live_taint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +504,12 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 
 
 # -- merging and lookups ------------------------------------------------------------------
+query("wallets_in_batches", f"""WITH {TRANSFERS}, l AS (SELECT from_address AS address, chain, timestamp, value_usd AS s, 0 AS r FROM transfers UNION ALL SELECT to_address, chain, timestamp, 0, value_usd FROM transfers)
+SELECT address, chain, count(*) AS tx_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(sum(CAST(s AS DECIMAL(38,2))) AS DOUBLE) AS sent_usd, CAST(sum(CAST(r AS DECIMAL(38,2))) AS DOUBLE) AS received_usd FROM l GROUP BY 1, 2""")(
+    lambda s, d: merges.in_batches(_t(s, d), ["2024-01-08 00:00:00", "2024-01-20 12:00:00"]).drop("label", "risk_score")
+)
+
+
 @query("upsert_wallets", f"""WITH {TRANSFERS}, l AS (SELECT from_address AS address, chain, timestamp, value_usd AS s, 0 AS r FROM transfers UNION ALL SELECT to_address, chain, timestamp, 0, value_usd FROM transfers)
 SELECT address, chain, CAST(sum(1) AS BIGINT) AS tx_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, CAST(sum(CAST(s AS DECIMAL(38,2))) AS DOUBLE) AS sent_usd, CAST(sum(CAST(r AS DECIMAL(38,2))) AS DOUBLE) AS received_usd FROM l GROUP BY 1, 2""")
 def _upsert_wallets(s: SparkSession, d: str) -> DataFrame:
