@@ -11,8 +11,14 @@ of at least one of them: tests go through all patterns of matching words.
 The benchmark is broadcast in blocks of at most :data:`BLOCK_CHARS` of text (a
 longer single item is a block of its own), whose tables of seeds take about 25
 times as much memory. One block is one pass over the documents, which aren't
-shuffled. Where there are more, each block has its pass, whose hits are written
-down, by digest of the text, before the next block is built and shipped.
+shuffled; up to :data:`PASSES` blocks have a pass each, whose hits are written
+down, by digest of the text, before the next block is built and shipped. More
+blocks are rows of a table: the seeds of all documents, as far as a filter of
+:data:`FILTER_BITS` bits lets them through, are joined with the seeds of all
+items, which says which text has to be compared with which block; texts are
+then dealt to their blocks, in groups of at most :data:`GROUP_CHARS` of text or
+so, and verified there. That takes two scans of the documents for any number of
+blocks, and no item passes the driver.
 
 A verified overlap is the best run of an alignment (+1 a match, -2 a
 mismatch). An item counts as found in a document if the best run has at least
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from fundflow.llm.common import only, stored
+from fundflow.llm.common import discard, only, stored
 from fundflow.llm.words import Texts, Words, batches, mixed, ragged
 
 SHORTEST = 5
@@ -61,6 +67,10 @@ SHORT_MASKS = {
 #: Words that are compared at once.
 COMPARED = 1 << 20
 BLOCK_CHARS = 4 << 20
+#: Blocks up to which each has a pass over the documents.
+PASSES = 3
+#: Bits of the filter of all items' seeds that each task gets; text that is compared with a block at once.
+FILTER_BITS, GROUP_CHARS = 1 << 25, 16 << 20
 _MULTIPLIER = np.uint64(0x2545F4914F6CDD1D)
 _FIELDS = ("item_id", "n_matched", "n_compared", "start", "stop")
 _KIND = pa.list_(pa.struct([(f, pa.int32() if f.startswith("n_") else pa.int64()) for f in _FIELDS]))
@@ -173,28 +183,108 @@ class Block:
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The items in order of id, a block's worth on the driver at a time."""
-    ids: list = []
-    held: list[str] = []
+    held: list[tuple] = []
     size = 0
 
-    def block() -> Block:
-        words = [Words(t, lower=True) for _, _, t in batches(pa.array(held, pa.string()))]
-        whole = words[0].spans(np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate([[0], *[w.first[1:] + n for w, n in zip(words, np.cumsum([0, *map(len, words)]))]]))
-        whole._hash = np.concatenate([w.hash for w in words])
-        return Block(list(ids), whole)
-
     for row in only(benchmark, "item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = row.text or ""
         if held and size + len(text) > BLOCK_CHARS:
-            yield block()
-            ids.clear()
-            held.clear()
-            size = 0
-        ids.append(row.item_id)
-        held.append(text)
+            yield _block(held)
+            held, size = [], 0
+        held.append((row.item_id, text))
         size += len(text)
     if held:
-        yield block()
+        yield _block(held)
+
+
+def _block(items: list[tuple[int | None, str | None]]) -> Block:
+    """A block of these items, in order of id."""
+    items = sorted(items, key=lambda i: (i[0] is not None, i[0] or 0, i[1] or ""))
+    ids, held = [i for i, _ in items], [t or "" for _, t in items]
+    words = [Words(t, lower=True) for _, _, t in batches(pa.array(held, pa.string()))]
+    whole = words[0].spans(np.zeros(0, np.int64), np.zeros(0, np.int64), np.concatenate([[0], *[w.first[1:] + n for w, n in zip(words, np.cumsum([0, *map(len, words)]))]]))
+    whole._hash = np.concatenate([w.hash for w in words])
+    return Block(ids, whole)
+
+
+def _all_masks() -> list[str]:
+    return sorted({*MASKS, *(m for masks in SHORT_MASKS.values() for m in masks)})
+
+
+def _block_table(benchmark: DataFrame, n: int) -> DataFrame:
+    """block, items: about :data:`BLOCK_CHARS` of text each, dealt by hash."""
+    rows = only(benchmark, "item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    return stored(rows.groupBy("block").agg(F.collect_list(F.struct("item_id", "text")).alias("items")), "benchmark-blocks")
+
+
+def _block_seeds(blocks: DataFrame) -> DataFrame:
+    """seed, block: of every item, by the masks that its length asks for."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for number, items in zip(*[c.to_pylist() for c in batch.columns]):
+                for keys, _, _ in _block([(i["item_id"], i["text"]) for i in items]).tables:
+                    found = np.unique(keys).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), number, np.int32))], ["seed", "block"])
+
+    return stored(blocks.mapInArrow(run, "seed long, block int").distinct(), "benchmark-seeds")
+
+
+def _text_seeds(texts: DataFrame, words: np.ndarray) -> DataFrame:
+    """v0, v1, seed: of every text, the seeds whose bit is set; each once a text."""
+    masks = _all_masks()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for a, b, part in batches(batch.column(0)):
+                w, found = Words(part, lower=True), []
+                for mask in masks:
+                    h = seeds(w.hash, mask)
+                    bit = h & np.uint64(FILTER_BITS - 1)
+                    where = np.flatnonzero(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                    text = np.searchsorted(w.first, where, "right") - 1
+                    inside = where + len(mask) <= w.first[text + 1]
+                    found.append(np.stack([text[inside].astype(np.uint64), h[where[inside]]]))
+                text, h = np.unique(np.concatenate(found, axis=1), axis=1)
+                own = [batch.column(i)[a:b].take(pa.array(text.astype(np.int64))) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(h.view(np.int64))], ["v0", "v1", "seed"])
+
+    return texts.mapInArrow(run, "v0 long, v1 long, seed long")
+
+
+def _joined(rows: DataFrame, text: str, benchmark: DataFrame, n: int) -> DataFrame:
+    """v0, v1, hits of all texts that hold an item, with the items in n blocks."""
+    digest = [F.xxhash64(F.lit(k), text).alias(f"v{k}") for k in (0, 1)]
+    blocks = _block_table(benchmark, n)
+    asked = _block_seeds(blocks)
+    bit = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
+    set_ = asked.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+    words = np.zeros(FILTER_BITS >> 6, np.uint64)
+    some = set_.toPandas()  # at most FILTER_BITS / 64 rows
+    words[some["at"].to_numpy(np.int64)] = some["bits"].to_numpy(np.int64).view(np.uint64)
+    texts = rows.select(F.col(text).alias("text"), *digest).where("text is not null")
+    pairs = stored(_text_seeds(texts, words).join(asked, "seed").select("v0", "v1", "block").distinct(), "benchmark-pairs")
+    once = texts.join(pairs.select("v0", "v1").distinct(), ["v0", "v1"], "left_semi").dropDuplicates(["v0", "v1"])
+    dealt = stored(once.join(pairs, ["v0", "v1"]), "benchmark-candidates")
+    groups = dealt.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / GROUP_CHARS)).alias("groups"))
+    sided = dealt.join(F.broadcast(groups), "block").withColumn("part", F.pmod("v0", "groups"))  # a row a block
+    items = blocks.join(groups, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+
+    def verify(held: pa.Table, of: pa.Table) -> pa.Table:
+        hits: list = []
+        if held.num_rows:
+            block = _block([(i["item_id"], i["text"]) for row in of.column("items").to_pylist() for i in row])
+            hits = [h for chunk in held.column("text").chunks for _, _, part in batches(chunk) for h in block.verified(part)]
+        some = pa.array([i for i, h in enumerate(hits) if h], pa.int64())
+        found = pa.array([[dict(zip(_FIELDS, h)) for h in hits[i]] for i in some.to_pylist()], _KIND)
+        return pa.table({"v0": held.column("v0").take(some), "v1": held.column("v1").take(some), "hits": found})
+
+    kind = StructType([StructField("v0", LongType()), StructField("v1", LongType()), StructField("hits", HITS)])
+    keys = ["block", "part"]
+    found = sided.select(*keys, "v0", "v1", "text").groupBy(*keys).cogroup(items.select(*keys, "items").groupBy(*keys)).applyInArrow(verify, kind)
+    out = stored(found, "benchmark-hits")
+    discard(blocks, asked, pairs, dealt)
+    return out
 
 
 def _found(block: Broadcast, texts: pa.Array) -> pa.Array:
@@ -223,7 +313,13 @@ def _with_blocks(rows: DataFrame, text: str, items: Iterator[Block]) -> DataFram
         one = stored(hits.dropDuplicates(["v0", "v1"]), "benchmark-hits")
         shipped.destroy()
         passes = one if passes is None else passes.unionByName(one)
-    of = passes.groupBy("v0", "v1").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return _with_found(rows, text, passes)
+
+
+def _with_found(rows: DataFrame, text: str, found: DataFrame) -> DataFrame:
+    """``rows`` and the hits that were found for the digest of their text."""
+    digest = [F.xxhash64(F.lit(k), text).alias(f"v{k}") for k in (0, 1)]
+    of = found.groupBy("v0", "v1").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
     none = F.array().cast(HITS)
     return rows.withColumns(dict(zip(("v0", "v1"), digest))).join(of, ["v0", "v1"], "left").drop("v0", "v1").withColumn("hits", F.coalesce("hits", none))
 
@@ -232,6 +328,9 @@ def _searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, int]:
     """The columns of ``docs`` as c0, c1, ... with ``hits``, and the place of the text."""
     place = docs.columns.index(only(docs, "text").columns[0])
     rows, text = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{place}"
+    chars = only(benchmark, "text").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars > PASSES * BLOCK_CHARS:
+        return _with_found(rows, text, _joined(rows, text, benchmark, -(-chars // BLOCK_CHARS))), place
     items = blocks(benchmark)
     first, second = next(items, None), next(items, None)
     if first is None:

@@ -60,3 +60,31 @@ def test_one_word_in_five_changed(spark, frame):
         found = texts[r.doc_id][r.start : r.stop].split()
         assert len(found) == r.n_compared and sum(w in items[r.item_id] for w in found) == r.n_matched
         assert r.n_matched >= decontaminate.LEAST or 5 * r.n_matched >= 4 * r.item_id
+
+
+def test_many_blocks_are_joined(spark, frame, monkeypatch):
+    """Seeds joined by shuffle find what one block finds: repeated and null
+    texts and items, short items, an item that most documents hold."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(rng.randrange(5, 40)))) for n in range(60)]
+    items += [(60, items[3][1]), (None, items[4][1]), (61, None), (62, ""), (63, "one two")]
+    texts = []
+    for i in range(150):
+        parts = [" ".join(f"x{rng.randrange(50)}" for _ in range(20))]
+        for n in rng.sample(range(60), rng.randrange(3)) + [0] * (i % 3 > 0):
+            w = items[n][1].split()
+            for k in rng.sample(range(len(w)), len(w) // 6):
+                w[k] = "changed"
+            parts += [" ".join(w), f"y{rng.randrange(9)}"]
+        texts.append(" ".join(parts))
+    texts += [texts[0], texts[1], None, "", " "]
+    docs, bench = frame(texts), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(repr, decontaminate.with_hits(docs.drop("n_chars"), bench).collect()))
+    want = rows()
+    assert sum("n_matched" in r for r in want) > 80
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 900)
+    for passes, chars in ((100, 1 << 20), (1, 1 << 20), (1, 700)):
+        monkeypatch.setattr(decontaminate, "PASSES", passes)
+        monkeypatch.setattr(decontaminate, "GROUP_CHARS", chars)
+        assert rows() == want
+    assert decontaminate.clean(docs, bench).count() == sum("n_matched" not in r for r in want)
