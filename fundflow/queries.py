@@ -484,7 +484,10 @@ _kind_sql = "CASE " + " ".join(f"WHEN {' OR '.join(_said(p) for p in ps)} THEN '
 _name_sql = {k: f"nullif(regexp_extract(text, '{p.removeprefix('(?i)').replace('(?![a-f0-9])', '([^a-fA-F0-9]|$)')}', 1, 'i'), '')" for k, p in router.NAMED.items()}
 _name_sql["chain"] = f"upper({_name_sql['chain']}[1]) || lower({_name_sql['chain']}[2:])"
 query("nl_classify", f"SELECT conv_id, turn, {_kind_sql} AS kind, {', '.join(f'{v} AS {k}' for k, v in _name_sql.items())} FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')")(lambda s, d: router.classify(views.table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")).drop("text"))
-query("chains", "SELECT * FROM (VALUES (1::BIGINT, 'Ethereum', 'ETH'), (137, 'Polygon', 'MATIC'), (56, 'BSC', 'BNB'), (42161, 'Arbitrum', 'ETH'), (10, 'Optimism', 'ETH'), (8453, 'Base', 'ETH')) t(chain_id, name, symbol)")(lambda s, d: chains.chains(s))
+query("chains", f"""WITH {WALLETS}, c AS (SELECT * FROM (VALUES (1::BIGINT, 'Ethereum', 'ETH'), (137, 'Polygon', 'MATIC'), (56, 'BSC', 'BNB'), (42161, 'Arbitrum', 'ETH'), (10, 'Optimism', 'ETH'), (8453, 'Base', 'ETH')) t(chain_id, name, symbol))
+SELECT chain_id, name, symbol, count(wallet_id) AS wallet_count FROM c LEFT JOIN wallets ON chain = name GROUP BY ALL""")(
+    lambda s, d: views.wallets(s, d).groupBy(F.col("chain").alias("name")).agg(F.count("*").alias("n")).join(chains.chains(s), "name", "right").select("chain_id", "name", "symbol", F.coalesce("n", F.lit(0)).alias("wallet_count"))
+)
 
 # -- evidence ------------------------------------------------------------------------------
 query("evidence_hashes", f"WITH {TRANSACTIONS} SELECT block_number AS position, sha256(tx_hash || '|' || from_address || '|' || to_address || '|' || value) AS record_hash FROM transactions")(
