@@ -24,13 +24,14 @@ ANSWER = ("id", "kind", "target", "answer", "confidence")
 
 @dataclass
 class Tables:
-    """What the handlers read: transfers and raw transactions, wallets, cases
-    and entities, and the time at which ages are taken."""
+    """What the handlers read: transfers and raw transactions, wallets and cases
+    (None where no handler needs them) and entities, and the time at which ages
+    are taken."""
 
     transfers: DataFrame
     transactions: DataFrame
-    wallets: DataFrame
-    cases: DataFrame
+    wallets: DataFrame | None
+    cases: DataFrame | None
     entities: DataFrame
     as_of: str
 

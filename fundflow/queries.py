@@ -378,7 +378,7 @@ _SUMMED = """SELECT count(*) AS total, (SELECT name FROM r WHERE rank = 1) AS ne
   count(*) FILTER (entity_type = 'bridge') AS bridge_count, count(*) FILTER (entity_type = 'defi') AS defi_count, count(*) FILTER (entity_type = 'mixer') AS mixer_count FROM r HAVING count(*) > 0"""
 _listed = lambda df: df.drop("start").withColumn("confidence_score", F.round("confidence_score", 6)).withColumn("path", F.array_join("path", ",")).withColumn("evidence", F.array_join("evidence", ","))
 _summed = lambda df: attribution.summary(df).drop("start").withColumn("highest_score", F.round("highest_score", 6)).withColumn("average_hops", F.round("average_hops", 6))
-query("risk_assessment_full", _full_sql(f"SELECT address, round(risk_score, 6) AS risk_score, factor_count, factors, {_BANDS} AS severity FROM r"))(lambda s, d: assistant.wallet_risk(_tables(s, d)).withColumn("factors", F.array_join("factors", ",")).withColumn("risk_score", F.round("risk_score", 6)))
+query("risk_assessment_full", _full_sql(f"SELECT address, round(risk_score, 6) AS risk_score, factor_count, factors, {_BANDS} AS severity FROM r"))(lambda s, d: assistant.wallet_risk(assistant.Tables(_t(s, d), views.chain_transactions(s, d), None, None, views.entities(s, d), AS_OF)).withColumn("factors", F.array_join("factors", ",")).withColumn("risk_score", F.round("risk_score", 6)))
 query("attributions", f"WITH {_FAR} {_ATTRIBUTED}")(lambda s, d: _listed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("attribution_summary", f"WITH {_FAR} {_SUMMED}")(lambda s, d: _summed(attribution.attributions(_t(s, d), _start(s), views.entities(s, d))))
 query("shortest_path_to_vasp", f"WITH {_STEPS}, b AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(1, 7))}) SELECT address, name, CAST(h AS INTEGER) AS hops, list_aggregate(path, 'string_agg', ',') AS path FROM b JOIN entities ON address = n WHERE entity_type = 'exchange' ORDER BY h, address, name LIMIT 1")(
