@@ -42,5 +42,5 @@ def test_stages_hand_on_documents(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in text_queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in text_queries.queries() if n.startswith("op")) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "decontaminate", "bpe_codec"]
