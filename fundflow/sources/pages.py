@@ -3,7 +3,8 @@
 Pages are JSON documents ``{"success": true, "data": [...], "meta":
 {"fingerprint": cursor}}`` below ``path/account``: ``first.json``, then one
 document per cursor. Page n is reached by no other way than through those before
-it, so an account is walked by one task; accounts are walked side by side. As a
+it, so an account is walked by one task; a task walks its share of the accounts,
+:data:`TASKS` of them side by side. As a
 stream, the offset of an account is the number of pages that were read and the
 cursor of the last one, from which the next batch goes on when the chain has
 grown. A page that can't be read or isn't JSON is asked for again; a page
@@ -29,6 +30,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "account string, page int, place int, entry string"
 FIRST = "first"
 RETRIES, WAIT_SECONDS = 3, 0.1
+#: Tasks that accounts are dealt to; with one each, starting tasks takes longer
+#: than reading.
+TASKS = 256
 
 
 def _opened(address: str):
@@ -44,13 +48,14 @@ class PageError(Exception):
     """A page that stayed unreadable, or that its service refused."""
 
 
-def fetch(folder: str, account: str, cursor: str, retries: int = RETRIES, wait: float = WAIT_SECONDS) -> dict:
-    """One page, asked for up to ``retries`` times more."""
+def fetch(folder: str, account: str, cursor: str, retries: int = RETRIES, wait: float = WAIT_SECONDS, opened: tuple | None = None) -> dict:
+    """One page, asked for up to ``retries`` times more; ``opened`` is the
+    folder's file system and path, if they are at hand."""
     why = None
     for attempt in range(retries + 1):
         try:
-            store, path = _opened(f"{folder}/{account}/{cursor}.json")
-            with store.open_input_stream(path) as f:
+            store, path = opened or _opened(folder)
+            with store.open_input_stream(f"{path}/{account}/{cursor}.json") as f:
                 page = json.loads(f.read())
             if page.get("success") is False:
                 raise PageError(f"{account}/{cursor}: {page.get('error')}")
@@ -65,19 +70,28 @@ def follows(page: dict) -> str | None:
     return (page.get("meta") or {}).get("fingerprint") or None
 
 
-def walk(folder: str, account: str, cursor: str | None, retries: int = RETRIES) -> Iterator[tuple[str, dict]]:
+def walk(folder: str, account: str, cursor: str | None, retries: int = RETRIES, opened: tuple | None = None) -> Iterator[tuple[str, dict]]:
     """(cursor, page) from this cursor on, to the page that names no next one."""
     while cursor:
-        page = fetch(folder, account, cursor, retries)
+        page = fetch(folder, account, cursor, retries, opened=opened)
         yield cursor, page
         cursor = follows(page)
 
 
-class _Walk(InputPartition):
+class _Walk:
     def __init__(self, account: str, cursor: str, read: int, upto: int | None):
         self.account, self.cursor, self.read, self.upto = account, cursor, read, upto
 
 
+class _Share(InputPartition):
+    def __init__(self, walks: list[_Walk]):
+        self.walks = walks
+
+
+def _dealt(walks: list[_Walk]) -> list[InputPartition]:
+    return [_Share(walks[i::TASKS]) for i in range(min(TASKS, len(walks)))]
+
+
 class _Accounts:
     def __init__(self, options: dict[str, str]):
         self.folder, self.retries = options["path"].rstrip("/"), int(options.get("retries", RETRIES))
@@ -91,22 +105,27 @@ class _Accounts:
         store, path = _opened(self.folder)
         return sorted(f.base_name for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory)
 
-    def read(self, part: _Walk) -> Iterator[tuple]:
+    def read(self, share: _Share) -> Iterator[tuple]:
+        opened = _opened(self.folder)
+        for one in share.walks:
+            yield from self._pages(one, opened)
+
+    def _pages(self, one: _Walk, opened: tuple) -> Iterator[tuple]:
         """The pages after the first ``read`` ones; ``cursor`` is that of the last of these."""
-        skip = part.read > 0
-        n = part.read - skip
-        for _, page in walk(self.folder, part.account, part.cursor, self.retries):
+        skip = one.read > 0
+        n = one.read - skip
+        for _, page in walk(self.folder, one.account, one.cursor, self.retries, opened):
             n += 1
-            if part.upto is not None and n > part.upto:
+            if one.upto is not None and n > one.upto:
                 return
-            if not (skip and n == part.read):
+            if not (skip and n == one.read):
                 for i, entry in enumerate(page.get("data") or []):
-                    yield part.account, n, i, json.dumps(entry)
+                    yield one.account, n, i, json.dumps(entry)
 
 
 class AccountReader(_Accounts, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        return [_Walk(a, FIRST, 0, None) for a in self.accounts()]
+        return _dealt([_Walk(a, FIRST, 0, None) for a in self.accounts()])
 
 
 class AccountStream(_Accounts, DataSourceStreamReader):
@@ -128,7 +147,7 @@ class AccountStream(_Accounts, DataSourceStreamReader):
         return dict(self.known)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Walk(a, start.get(a, [0, FIRST])[1], start.get(a, [0, FIRST])[0], n) for a, (n, _) in end.items() if n > start.get(a, [0])[0]]
+        return _dealt([_Walk(a, start.get(a, [0, FIRST])[1], start.get(a, [0, FIRST])[0], n) for a, (n, _) in end.items() if n > start.get(a, [0])[0]])
 
 
 class AccountPages(DataSource):
@@ -168,10 +187,11 @@ def lay_down(rows: DataFrame, folder: str, account: str, order: list, page_size:
         return FIRST if page == 0 else hashlib.sha256(f"{who}/{page}".encode()).hexdigest()[:24]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _opened(folder)
         for batch in batches:
             for who, page, last, entries in zip(*[c.to_pylist() for c in batch.columns]):
-                store, path = _opened(f"{folder}/{who}/{cursor(who, page)}.json")
-                store.create_dir(path.rsplit("/", 1)[0])
+                path = f"{root}/{who}/{cursor(who, page)}.json"
+                store.create_dir(f"{root}/{who}")
                 meta = {"fingerprint": cursor(who, page + 1)} if page < last else {}
                 with store.open_output_stream(path) as out:
                     out.write(json.dumps({"success": True, "data": [json.loads(e) for e in entries], "meta": meta}).encode())

@@ -59,3 +59,15 @@ def test_a_stream_goes_on_from_the_cursor(spark, tmp_path):
     put(folder, "a", "y", [4])
     put(folder, "b", "first", [5])
     assert run() == [("a", 1, 1), ("a", 1, 2), ("a", 2, 3), ("a", 3, 4), ("b", 1, 5)]
+
+
+def test_accounts_share_tasks(tmp_path):
+    names = [f"a{i:04d}" for i in range(3 * pages.TASKS + 7)]
+    for name in names:
+        put(tmp_path, name, "first", [name])
+    reader = pages.AccountReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == pages.TASKS
+    assert sorted((a, json.loads(e)) for p in parts for a, _, _, e in reader.read(p)) == [(n, n) for n in names]
+    ends = {n: [1, pages.FIRST] for n in names}
+    assert len(pages.AccountStream({"path": str(tmp_path)}).partitions({}, ends)) == pages.TASKS
