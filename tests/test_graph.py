@@ -100,3 +100,14 @@ def test_betweenness_against_every_shortest_path(spark):
     for pairs in (10**6, 60):
         got = {r.address: r.score for r in graph.betweenness(t, pairs).collect()}
         assert set(got) == set(nodes) and all(abs(got[v] - want[v] / scale) < 1e-9 for v in nodes)
+
+
+def test_betweenness_counts_what_is_reached(spark, monkeypatch):
+    """Senders that got nothing are never reached, and search as one where they pay the same."""
+    calls, inner = [], graph._dependencies
+    monkeypatch.setattr(graph, "_dependencies", lambda *a: calls.append(a) or inner(*a))
+    rows = [(f"s{i:02d}", m, 1, i) for i in range(40) for m in ("m", "k")[: 1 + i % 2]] + [("m", "t", 1, 50), ("k", "t", 1, 50), ("k", "s00", 1, 60)]
+    got = {r.address: r.score * 42 * 41 for r in graph.betweenness(legs(spark, rows), pairs_per_batch=50).collect()}
+    assert len(calls) == 1 and len(got) == 43
+    # 20 even senders to t over m, 20 odd ones over either, 20 odd ones to s00 over k, k to m over s00
+    assert {a: round(v, 6) for a, v in got.items() if v} == {"m": 30.0, "k": 30.0, "s00": 1.0}
