@@ -111,3 +111,18 @@ def test_betweenness_counts_what_is_reached(spark, monkeypatch):
     assert len(calls) == 1 and len(got) == 43
     # 20 even senders to t over m, 20 odd ones over either, 20 odd ones to s00 over k, k to m over s00
     assert {a: round(v, 6) for a, v in got.items() if v} == {"m": 30.0, "k": 30.0, "s00": 1.0}
+
+
+def test_busy_chains_look_at_the_most_valuable_ends(spark):
+    rng = random.Random(3)
+    names = [f"n{i:02d}" for i in range(14)]
+    t = legs(spark, [(*rng.sample(names, 2), rng.randrange(1, 40), i) for i in range(150)])
+    v = {}
+    for r in t.collect():
+        v[r.from_address, r.to_address] = v.get((r.from_address, r.to_address), 0) + r.value_usd
+    walks = [[a, b, c, d] for a, b in v for c in names for d in names if (b, c) in v and (c, d) in v and len({a, b, c, d}) == 4]
+    want = sorted((-(v[a, b] + v[b, c] + v[c, d]), [a, b, c, d]) for a, b, c, d in walks)
+    for top in (1, 3, 20):
+        found = graph.busy_chains(t, 3, 0, top=top)
+        assert [(-r.value_usd, r.addresses) for r in found.collect()] == want[:top]
+        assert "row_number" in found._jdf.queryExecution().optimizedPlan().toString()  # not all walks are made
