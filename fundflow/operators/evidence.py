@@ -68,21 +68,23 @@ def _ranked(hashes: DataFrame) -> DataFrame:
 def hash_chain(hashes: DataFrame, group: str | None = None) -> DataFrame:
     """``hashes(position, record_hash)`` and, per group, link = sha256(previous
     link || hash) in order. A chain is sequential by definition: one task
-    streams a group, holding one link."""
+    streams a group, holding one link; hex digests travel as 32 bytes."""
     ship(hashes.sparkSession)
     key = F.col(group).cast("string") if group else F.lit("")
-    rows = hashes.select(key.alias("chain"), "position", "record_hash").repartition("chain").sortWithinPartitions("chain", "position")
+    digest = F.col("record_hash").rlike("^[0-9a-f]{64}\\z")
+    packed = F.when(digest, F.unhex("record_hash")).alias("packed"), F.when(~digest, F.col("record_hash")).alias("plain")
+    rows = hashes.select(key.alias("chain"), "position", *packed).repartition("chain").sortWithinPartitions("chain", "position")
 
     def run(parts):
         chain, link = None, EMPTY
         for pdf in parts:
-            links = []
-            for c, h in zip(pdf["chain"], pdf.record_hash):
+            links, said = [], [plain if packed is None else packed.hex() for packed, plain in zip(pdf.packed, pdf.plain)]
+            for c, h in zip(pdf["chain"], said):
                 if c != chain:
                     chain, link = c, EMPTY
                 link = hashlib.sha256((link + h).encode()).hexdigest()
                 links.append(link)
-            yield pd.DataFrame({"chain": pdf["chain"], "position": pdf.position, "record_hash": pdf.record_hash, "link": links})
+            yield pd.DataFrame({"chain": pdf["chain"], "position": pdf.position, "record_hash": said, "link": links})
 
     return rows.mapInPandas(run, "chain string, position long, record_hash string, link string")
 

@@ -126,3 +126,18 @@ def test_busy_chains_look_at_the_most_valuable_ends(spark):
         found = graph.busy_chains(t, 3, 0, top=top)
         assert [(-r.value_usd, r.addresses) for r in found.collect()] == want[:top]
         assert "row_number" in found._jdf.queryExecution().optimizedPlan().toString()  # not all walks are made
+
+
+def test_chains_ship_digests_as_bytes(spark):
+    import hashlib
+
+    from fundflow.operators import evidence
+
+    said = [hashlib.sha256(b"x").hexdigest(), "AB" * 32, "plain", "0" * 64, "0" * 64 + "\n"]
+    chain = evidence.hash_chain(spark.createDataFrame(list(enumerate(said)), "position long, record_hash string"))
+    link, want = evidence.EMPTY, []
+    for h in said:
+        link = hashlib.sha256((link + h).encode()).hexdigest()
+        want.append((h, link))
+    assert [(r.record_hash, r.link) for r in chain.orderBy("position").collect()] == want
+    assert "unhex" in chain._jdf.queryExecution().optimizedPlan().toString().lower()
