@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 from fundflow.operators import attribution, graph, risk
+from fundflow.plans import paths
 from fundflow.plans.components import components
 from helpers import T0, legs
 
@@ -46,6 +47,27 @@ def test_components_against_search(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_nearest_other_start_against_search(spark, monkeypatch):
+    rng = random.Random(5)
+    t = spark.createDataFrame([(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(60)], "from_address string, to_address string").where("from_address <> to_address")
+    starts = spark.createDataFrame([(f"n{i:02d}",) for i in range(0, 40, 3)] + [("away",)], "start string")
+    for direction, hops in (("both", 3), ("out", 2)):
+        want = {r.address: r.hops for r in paths.shortest_paths(t, starts, hops, direction).where("hops > 0").groupBy("address").agg({"hops": "min"}).toDF("address", "hops").collect()}
+        assert {r.address: r.hops for r in paths.nearest(t, starts, hops, direction).collect()} == want
+    written, write = [], paths.stored
+
+    def noted(df, *more):
+        out = write(df, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "stored", noted)
+    hub = spark.range(400).selectExpr("concat('s', id) AS from_address", "'hub' AS to_address")
+    got = paths.nearest(hub, hub.where("from_address < 's3'").selectExpr("from_address AS start"), 2, "both")
+    assert {r.hops for r in got.where("address <> 'hub'").collect()} == {2} and got.count() == 401
+    assert max(written) <= 2 * 401  # not a row for each start and address
+
+
 def test_attribution_is_nearest_first(spark):
     t = legs(spark, [("me", "ex", 5, 0), ("me", "hop", 5, 1), ("hop", "br", 5, 2)])
     e = spark.createDataFrame([("X", "exchange", "ex", "CONFIRMED"), ("B", "bridge", "br", "PROBABLE"), ("U", "exchange", "hop", "UNKNOWN")], "name string, entity_type string, address string, confidence string")
