@@ -68,6 +68,20 @@ def test_nearest_other_start_against_search(spark, monkeypatch):
     assert max(written) <= 2 * 401  # not a row for each start and address
 
 
+def test_starts_that_met_enough_are_searched_no_further(spark):
+    rng = random.Random(8)
+    t = legs(spark, [(f"n{rng.randrange(50):02d}", f"n{rng.randrange(50):02d}", 1, i) for i in range(90)])
+    starts = spark.createDataFrame([(f"n{i:02d}",) for i in range(12)] + [("away",)], "start string")
+    e = spark.createDataFrame([(f"E{i}", "exchange", f"n{i % 50:02d}", "CONFIRMED") for i in range(1, 60, 4)], "name string, entity_type string, address string, confidence string")
+    every = graph.paths_to_entities(t, starts, e, 5).collect()
+    for top in (1, 3):
+        want = [r for s in {r.start for r in every} for r in sorted((r for r in every if r.start == s), key=lambda r: (r.hops, r.address, r.name))[:top]]
+        assert sorted(graph.paths_to_entities(t, starts, e, 5, top=top).collect()) == sorted(want)
+    line = legs(spark, [("a", "b", 1, 0), ("b", "c", 1, 1), ("c", "d", 1, 2)])
+    met = paths.shortest_paths(line, spark.createDataFrame([("a",)], "start string"), 3, wanted=spark.createDataFrame([("b",)], "address string"))
+    assert {r.address for r in met.collect()} == {"a", "b"}
+
+
 def test_attribution_is_nearest_first(spark):
     t = legs(spark, [("me", "ex", 5, 0), ("me", "hop", 5, 1), ("hop", "br", 5, 2)])
     e = spark.createDataFrame([("X", "exchange", "ex", "CONFIRMED"), ("B", "bridge", "br", "PROBABLE"), ("U", "exchange", "hop", "UNKNOWN")], "name string, entity_type string, address string, confidence string")
