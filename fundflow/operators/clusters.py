@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from fundflow.functions.columns import cents, clamp, seconds
 from fundflow.plans.components import components
-from fundflow.plans.shared import stored
+from fundflow.plans.shared import dealt, stored
 
 COSPEND, GAS_FUNDING = "cospend", "gas_funding"
 
 
 def cospend_links(transfers: DataFrame) -> DataFrame:
     """(a, b): the least sender of a transaction of several and each other."""
-    senders = transfers.select("tx_hash", "from_address").withColumn("a", F.min("from_address").over(Window.partitionBy("tx_hash")))
-    return senders.where("from_address <> a").select("a", F.col("from_address").alias("b")).distinct()
+    rows = transfers.count()
+    senders = dealt(transfers.select("tx_hash", "from_address"), rows, "tx_hash").withColumn("a", F.min("from_address").over(Window.partitionBy("tx_hash")))
+    return dealt(senders.where("from_address <> a").select("a", F.col("from_address").alias("b")), rows, "a", "b").distinct()
 
 
 def first_receipts(transfers: DataFrame) -> DataFrame:

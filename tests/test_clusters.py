@@ -1,4 +1,5 @@
 from fundflow.operators import clusters
+from fundflow.plans import shared
 from helpers import legs
 
 
@@ -38,3 +39,11 @@ def test_roles(spark):
     rows += [(f"i{k}", "mix", 10, 50 + k) for k in range(5)] + [("mix", f"o{k}", 9, 60 + k) for k in range(5)]
     role = {r.address: r.role for r in clusters.wallet_roles(legs(spark, rows)).collect()}
     assert {k: role[k] for k in ("dep", "boss", "mule", "hold", "mix")} == {"dep": "exchange_deposit", "boss": "distributor", "mule": "mule", "hold": "holder", "mix": "mixer"}
+
+
+def test_cospend_deals_rows_to_tasks_by_their_number(spark, monkeypatch):
+    rows = [(f"s{i % 7}{j}", "shop", 1, i, f"tx{i}") for i in range(60) for j in range(3)]
+    found = clusters.cospend_links(legs(spark, rows))
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    dealt = clusters.cospend_links(legs(spark, rows))
+    assert dealt.rdd.getNumPartitions() == 18 and sorted(dealt.collect()) == sorted(found.collect()) and dealt.count() == 14
