@@ -14,8 +14,8 @@ system, and sparse:
 
 The system is triangular in time, and solved forward. Money can only meet
 within a connected component of the transfers of a period, and a component has
-to fit a task: while one has more than :data:`TASK_ROWS` transfers, the period
-is halved. What is dirty at the end of a period is a table from which the next
+to fit a task: where one has more than :data:`TASK_ROWS` transfers, the period
+is cut into as many as that calls for. What is dirty at the end of a period is a table from which the next
 one goes on, so a component of any size is spread over tasks, each of which
 holds the dirty addresses (and FIFO lots) of its part alone. Addresses with
 very many transfers are cut into ranges of time for the balances.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from fundflow.functions.columns import address
 from fundflow.operators.flow import movements
 from fundflow.plans.components import components
-from fundflow.plans.scans import numbered, running
+from fundflow.plans.scans import numbered, running, slice_of
 from fundflow.plans.shared import discard, stored
 from fundflow.shipping import ship
 
@@ -215,18 +215,23 @@ def _period(rows: DataFrame, state: DataFrame, roots: DataFrame | None, max_hops
 
 
 def advanced(rows: DataFrame, state: DataFrame, max_hops: int, fifo: bool) -> DataFrame:
-    """The state after all ``rows``, period by period; gives up ``state``."""
+    """The state after all ``rows``, period by period; gives up ``state``. Where
+    a component is too large, time is cut at once into as many periods as its
+    rows call for, so components aren't found anew for every halving."""
     if rows.count() <= TASK_ROWS:
         after = _period(rows, state, None, max_hops, fifo)
     else:
         roots = stored(components(rows.select(F.col("from_address").alias("a"), F.col("to_address").alias("b"))), "taint-roots")
         largest = rows.join(roots, F.col("from_address") == F.col("node")).groupBy("root").count().agg(F.max("count")).first()[0]
-        low, middle, high = rows.agg(F.min("at"), F.percentile_approx("at", 0.5), F.max("at")).first()
+        low, high = rows.agg(F.min("at"), F.max("at")).first()
         if largest > TASK_ROWS and low < high:  # a single spend is never cut
-            middle = min(middle, high - 1)
             discard(roots)
-            half = advanced(rows.where(F.col("at") <= middle), state, max_hops, fifo)
-            return advanced(rows.where(F.col("at") > middle), half, max_hops, fifo)
+            periods = -(-largest * 5 // (4 * TASK_ROWS))  # a little shorter than need be, as cuts are approximate
+            cuts = rows.agg(F.percentile_approx("at", [k / periods for k in range(1, periods)], max(10_000, 100 * periods))).first()[0]
+            cuts = sorted({min(c, high - 1) for c in cuts})
+            for after, until in zip([low - 1, *cuts], [*cuts, high]):
+                state = advanced(rows.where((F.col("at") > after) & (F.col("at") <= until)), state, max_hops, fifo)
+            return state
         after = _period(rows, state, roots, max_hops, fifo)
         discard(roots)
     discard(state)
@@ -243,7 +248,8 @@ def propagate(transfers: DataFrame, sources: DataFrame, model: str = HAIRCUT, ma
     seeds = stored(seeds.withColumn("lot", -1 - F.monotonically_increasing_id()), "taint-seeds")
     moves = numbered(movements(transfers).select(*ORDER), *ORDER)
     owned = accounts(moves, seeds)
-    rows = stored(pieces(owned) if model == FIFO else shares(owned), "taint-rows")
+    rows = pieces(owned) if model == FIFO else shares(owned)
+    rows = stored(rows.repartition(slice_of("at")).sortWithinPartitions("at"), "taint-rows")  # a period reads little else
     planted = seeds.select("address", F.lit(None).cast("long").alias("lot"), F.col("amount_usd").alias("dirt"), F.lit(0).alias("hops"), F.col("amount_usd").alias("got"))
     lots = seeds.select(F.lit(None).cast("string").alias("address"), "lot", F.col("amount_usd").alias("dirt"), F.lit(None).cast("int").alias("hops"), F.lit(None).cast("double").alias("got"))
     state = advanced(rows, stored(planted.unionByName(lots) if model == FIFO else planted, "taint-state"), max_hops, model == FIFO)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundflow.plans.shared import discard, stored
@@ -22,6 +22,11 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return out
 
 
+def slice_of(at: str) -> Column:
+    """The range of :func:`numbered` that a number lies in."""
+    return F.call_function("shiftright", F.col(at), F.lit(_SLICE_BITS))
+
+
 def running(events: DataFrame, key: str, value: str, also: str | None = None) -> DataFrame:
     """``events`` with the totals of what a key has had *before* each of them.
 
@@ -31,7 +36,7 @@ def running(events: DataFrame, key: str, value: str, also: str | None = None) ->
     that, so one key's rows are spread over as many tasks as there are slices.
     """
     also = also or value
-    sliced = events.withColumn("_slice", F.call_function("shiftright", F.col("at"), F.lit(_SLICE_BITS)))
+    sliced = events.withColumn("_slice", slice_of("at"))
     here = Window.partitionBy(key, "_slice").orderBy("at")
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumn("_sum", F.sum(value).over(here)).withColumn("_low", F.min("_sum").over(earlier)).withColumn("_also", F.sum(also).over(here))

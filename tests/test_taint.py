@@ -120,3 +120,14 @@ def test_fifo_pieces_tile_lots(spark):
     value = {r.at: r.value_usd for r in moves.collect()}
     found = {(r.to_address, value[r.lot], round(r.share, 9)) for r in taint.pieces(taint.accounts(moves, seeds)).collect()}
     assert found == {("b", 10.0, 1.0), ("b", 20.0, 0.25), ("c", 20.0, 0.75), ("d", 5.0, 1.0)}
+
+
+def test_components_are_not_found_anew_for_every_halving(spark, monkeypatch):
+    rows = [(f"w{i % 9}", f"w{(i * 5 + 1) % 9}", 10, i) for i in range(160)]
+    rows = [r for r in rows if r[0] != r[1]]
+    want, found = run(spark, rows, {"w0": 300.0}, taint.HAIRCUT, max_hops=4), []
+    monkeypatch.setattr(taint, "TASK_ROWS", 20)
+    search = taint.components
+    monkeypatch.setattr(taint, "components", lambda links: found.append(links.count()) or search(links))
+    got = run(spark, rows, {"w0": 300.0}, taint.HAIRCUT, max_hops=4)
+    assert found[0] == len(rows) and sum(found) < 2 * len(rows) and {a: (r.tainted_value_usd, r.hops) for a, r in got.items()} == {a: (r.tainted_value_usd, r.hops) for a, r in want.items()}
