@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+
 from fundflow.operators import attribution, graph, risk
 from fundflow.plans import paths
 from fundflow.plans.components import components
@@ -26,6 +29,63 @@ def test_rings_are_communities(spark):
     assert [(r.members, r.average_risk) for r in got] == [(["a", "b", "c"], 60.0), (["x", "y", "z"], None)]
 
 
+def _by_dicts(edges):
+    """Greedy modularity as :func:`graph._louvain` does it, over names and sets."""
+    weight = defaultdict(lambda: defaultdict(float))
+    for a, b, w in sorted(edges):
+        weight[a][b] += w
+        weight[b][a] += w
+    groups, moved_once = {v: {v} for v in weight}, True
+    while moved_once:
+        degree = {v: sum(x.values()) for v, x in weight.items()}
+        total, of, inside = sum(degree.values()), {v: v for v in weight}, dict(degree)
+        moved, moved_once = True, False
+        while moved:
+            moved = False
+            for v in sorted(weight):
+                links, here = defaultdict(float), of[v]
+                for u, w in weight[v].items():
+                    if u != v:
+                        links[of[u]] += w
+                inside[here] -= degree[v]
+                of[v] = max(sorted({*links, here}), key=lambda c: (round(links.get(c, 0.0) - inside[c] * degree[v] / total, 12), c == here))
+                inside[of[v]] += degree[v]
+                if of[v] != here:
+                    moved = moved_once = True
+        merged, new = defaultdict(set), defaultdict(lambda: defaultdict(float))
+        for v, c in of.items():
+            merged[c] |= groups[v]
+        for a, x in weight.items():
+            for b, w in x.items():
+                new[min(merged[of[a]])][min(merged[of[b]])] += w
+        groups, weight = {min(m): m for m in merged.values()}, new
+    return sorted(sorted(m) for m in groups.values() if len(m) > 2)
+
+
+def test_communities_get_numbers(spark, monkeypatch):
+    """A worker holds numbers and weights of a component, and no names."""
+    rng, louvain = random.Random(7), graph._louvain
+    rows = [(f"{c}{a:02d}", f"{c}{b:02d}", rng.choice((0, 5, 7.25, 90)), i) for i, (c, a, b) in enumerate((rng.choice("pqr"), rng.randrange(40), rng.randrange(40)) for _ in range(210)) if a != b]
+    edges = defaultdict(float)
+    for a, b, w, _ in rows:
+        edges[min(a, b), max(a, b)] += w
+    want = sorted(m for c in "pqr" for m in _by_dicts([(a, b, w or 1.0) for (a, b), w in edges.items() if a[0] == c]))  # a component each
+    found = [sorted(r.members) for r in graph.communities(legs(spark, rows)).collect()]
+    assert sorted(found) == want and len(want) > 9
+    names = sorted({v for p in edges for v in p if v[0] == "p"})
+    number = {v: i for i, v in enumerate(names)}
+    links = lambda: [np.array(c) for c in zip(*[(number[a], number[b], w or 1.0) for (a, b), w in edges.items() if a[0] == "p"])]
+    once = louvain(links()).tolist()
+    monkeypatch.setattr(graph, "LINKS_AT_ONCE", 1)
+    assert louvain(links()).tolist() == once
+    many = 200_000  # a path; 60 bytes or so per link and way at most
+    path = [np.arange(many, dtype=np.int32), np.arange(1, many + 1, dtype=np.int32), np.ones(many)]
+    tracemalloc.start()
+    start, near, w, order = graph._neighbours(path)
+    assert tracemalloc.get_traced_memory()[1] < 120 * many and not path and len(near) == 2 * many
+    tracemalloc.stop()
+
+
 def test_components_against_search(spark):
     rng = random.Random(2)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
