@@ -3,6 +3,7 @@ import random
 import pytest
 
 from fundflow.operators import motifs
+from fundflow.plans import shared
 from helpers import legs
 
 FAN = [("src", f"m{i}", 25000, 60 * i) for i in range(4)] + [(f"m{i}", "dep", 24750, 600 + 60 * i) for i in range(4)]
@@ -78,3 +79,22 @@ def test_a_hub_makes_no_pairs_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(motifs, "stored", lambda df, name: made.append(stored(df, name)) or made[-1])
     got = {(r.source, r.sink, r.n_mules) for r in motifs.fan_pairs(legs(spark, rows), 2).collect()}
     assert got == {(f"s{i}", f"t{j}", 2) for i in range(3) for j in range(2)} and sum(df.count() for df in made) < 4 * len(rows)
+
+
+def test_mule_hops_are_dealt_by_rows(spark, monkeypatch):
+    """Mules that connect two ends at other times count too; no task gets more
+    rows for tables being small on disk."""
+    day = 86400
+    rows = [("s", "m0", 100, 0), ("m0", "t", 95, 60), ("s", "m1", 100, 0), ("m1", "t", 95, 40 * day), ("s", "m0", 100, 9 * day)]
+    rows += [("p", "m0", 100, 20 * day), ("m0", "q", 95, 20 * day + 60), ("s", "m2", 70, 5 * day), ("m2", "t", 70, 5 * day + 9), ("p", "m3", 7, 0), ("m3", "q", 7, 9), ("u", "m3", 7, 0)]
+    want = {2: {("s", "m0", "t", 60), ("s", "m2", "t", 9), ("p", "m0", "q", 60), ("p", "m3", "q", 9)}, 3: {("s", "m0", "t", 60), ("s", "m2", "t", 9)}}
+    want[1] = want[2] | {("u", "m3", "q", 9)}
+    parts, dealt = [], motifs.dealt
+    monkeypatch.setattr(shared, "TASK_ROWS", 1)
+    monkeypatch.setattr(motifs, "dealt", lambda df, n, *keys: parts.append((keys, n)) or dealt(df, n, *keys))
+    for least, hops in want.items():
+        parts.clear()
+        got = motifs.mule_hops(legs(spark, rows), 1800, least)
+        assert {(r.source, r.mule, r.sink, r.gap) for r in got.collect()} == hops
+        # last: the paths of ends with too few timely mules, by their sources' receivers
+        assert parts == [(("from_address", "to_address"), 12), (("mule", "_bucket", "_band"), 72), (("mule", "sink"), {1: 0, 2: 1, 3: 6}[least])]
