@@ -1,5 +1,6 @@
 """Questions, certificates, the dashboard and what else has no test of its own."""
 
+from dataclasses import replace
 from datetime import date, datetime, timezone
 from decimal import Decimal
 from types import SimpleNamespace
@@ -62,6 +63,25 @@ def test_certificates(spark):
     assert evidence.certificate(hashes.limit(0), "TRX-1", "Officer", at).first().merkle_root == evidence.EMPTY
 
 
+def test_transfers_are_made_once(spark, tables, monkeypatch):
+    """Handlers of several kinds read one table of transfers, not its sources."""
+    made, stored = [], assistant.stored
+    monkeypatch.setattr(assistant, "stored", lambda df, name: made.append(name) or stored(df, name))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    t = replace(tables, transfers=tables.transfers.mapInArrow(seen, tables.transfers.schema))
+    texts = {1: f"Compare wallet {A} and wallet {B}", 2: f"history of transactions of {A}", 3: f"Where did the money of {A} flow to?"}
+    ask = lambda *ids: assistant.answers(spark.createDataFrame([(i, texts[i]) for i in ids], "id long, text string"), t).collect()
+    several = {r.id: r.answer for r in ask(1, 2, 3)}
+    assert made == ["questions", "asked-transfers"] and reads.value == 3
+    assert several == {r.id: r.answer for i in texts for r in ask(i)} and "asked-transfers" not in made[2:]
+
+
 def test_dashboard(spark, tables):
     fan = [("s", f"m{i}", 40, i, f"i{i}") for i in range(4)] + [(f"m{i}", "t", 39, 60 + i, f"o{i}") for i in range(4)]
     t = legs(spark, fan)
