@@ -3,6 +3,7 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from fundflow.operators import attribution, graph, risk
 from fundflow.plans import paths
@@ -209,6 +210,30 @@ def test_betweenness_counts_what_is_reached(spark, monkeypatch):
     assert {a: round(v, 6) for a, v in got.items() if v} == {"m": 30.0, "k": 30.0, "s00": 1.0}
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_betweenness_follows_only_edges_between(spark, monkeypatch, few):
+    """400 senders around a hub: none of them is tried as a step on the way back
+    of another, and nothing is broadcast but tables counted as small."""
+    monkeypatch.setattr(graph, "FEW_ROWS", few, raising=False)
+    rows = [e for i in range(400) for e in ((f"s{i:03d}", "hub", 1, i), (f"s{i:03d}", f"m{i:03d}", 1, i))] + [("hub", "x", 1, 0), ("hub", "y", 1, 0), ("x", "z", 1, 0)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: {e.executionId() for i in range(store.executionsList().size()) for e in [store.executionsList().apply(i)]}
+    before = ran()
+    n = 400 + 400 + 4
+    got = {r.address: r.score * (n - 1) * (n - 2) for r in graph.betweenness(legs(spark, rows)).collect()}
+    # hub: 400 senders to x, y and z; x: 400 senders and the hub to z
+    assert len(got) == n and {a: round(v, 6) for a, v in got.items() if v} == {"hub": 1200.0, "x": 401.0}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    joined = broadcast = 0
+    for e in ran() - before:
+        nodes, said = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            broadcast += "BroadcastExchange" in node.name()
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            joined += sum(int(said.apply(m.accumulatorId()).replace(",", "")) for m in metrics if "Join" in node.name() and m.name() == "number of output rows" and said.contains(m.accumulatorId()))
+    assert 0 < joined < 15 * len(rows) and (few or not broadcast)
+
+
 def test_busy_chains_look_at_the_most_valuable_ends(spark):
     rng = random.Random(3)
     names = [f"n{i:02d}" for i in range(14)]
