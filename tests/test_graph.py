@@ -210,8 +210,8 @@ def test_betweenness_counts_what_is_reached(spark, monkeypatch):
     assert {a: round(v, 6) for a, v in got.items() if v} == {"m": 30.0, "k": 30.0, "s00": 1.0}
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_betweenness_follows_only_edges_between(spark, monkeypatch, few):
+@pytest.mark.parametrize(("measure", "few", "most"), [("betweenness", 0, 15), ("betweenness", 500_000, 15), ("centrality", 500_000, 100)])
+def test_betweenness_follows_only_edges_between(spark, monkeypatch, measure, few, most):
     """400 senders around a hub: none of them is tried as a step on the way back
     of another, and nothing is broadcast but tables counted as small."""
     monkeypatch.setattr(graph, "FEW_ROWS", few, raising=False)
@@ -220,7 +220,7 @@ def test_betweenness_follows_only_edges_between(spark, monkeypatch, few):
     ran = lambda: {e.executionId() for i in range(store.executionsList().size()) for e in [store.executionsList().apply(i)]}
     before = ran()
     n = 400 + 400 + 4
-    got = {r.address: r.score * (n - 1) * (n - 2) for r in graph.betweenness(legs(spark, rows)).collect()}
+    got = {r.address: r["betweenness" if measure == "centrality" else "score"] * (n - 1) * (n - 2) for r in getattr(graph, measure)(legs(spark, rows)).collect()}
     # hub: 400 senders to x, y and z; x: 400 senders and the hub to z
     assert len(got) == n and {a: round(v, 6) for a, v in got.items() if v} == {"hub": 1200.0, "x": 401.0}
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
@@ -231,7 +231,7 @@ def test_betweenness_follows_only_edges_between(spark, monkeypatch, few):
             broadcast += "BroadcastExchange" in node.name()
             metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
             joined += sum(int(said.apply(m.accumulatorId()).replace(",", "")) for m in metrics if "Join" in node.name() and m.name() == "number of output rows" and said.contains(m.accumulatorId()))
-    assert 0 < joined < 15 * len(rows) and (few or not broadcast)
+    assert 0 < joined < most * len(rows) and (few or not broadcast)  # centrality: with the rounds of PageRank
 
 
 def test_busy_chains_look_at_the_most_valuable_ends(spark):
