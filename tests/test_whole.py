@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+import duckdb
 import pytest
 
 from fundflow import queries as core
@@ -66,3 +67,21 @@ def test_query_of_flow_has_no_bound(spark, tmp_path):
     events = [(i, (T0 + timedelta(seconds=i)).replace(tzinfo=None), a, "click", 100.0, f'{{"k": {b}}}') for i, (a, b) in enumerate(zip(way, way[1:]))]
     spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert core.queries()["max_flow"](spark, str(tmp_path)).collect()[0].max_flow_usd == 100.0
+
+
+def test_query_of_mules_has_no_cap_on_an_edge(spark, tmp_path):
+    """Twelve transfers from 1 to each of two mules, then one on from each: the
+    last of the twelve is the nearest in time, in the query as in its SQL."""
+    rows = [(60 * i, 1, m, 100.0) for m in (2, 3) for i in range(12)] + [(60 * 12, m, 4, 100.0) for m in (2, 3)]
+    rows += [(60 * i, m, 5, 100.0 + i) for m in (2, 3) for i in range(12)]  # of many to a sink, too: the value decides
+    rows += [(60 * 5, 6, m, 110.5) for m in (2, 3)]
+    events = [(i, (T0 + timedelta(seconds=at)).replace(tzinfo=None), a, "click", v, f'{{"k": {b}}}') for i, (at, a, b, v) in enumerate(rows)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = core.queries()["mule_hops"](spark, str(tmp_path))
+    found = {(int(r.source, 16), int(r.mule, 16), int(r.sink, 16)): (int(r.hash_in, 16), r.gap) for r in got.collect()}
+    assert found[1, 2, 4] == (11, 60.0) and found[1, 3, 4] == (23, 60.0) and len(found) == 8
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    said = con.execute(core.oracle_sql()["mule_hops"])
+    names = [c[0] for c in said.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(said.fetchall())
